@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pii
@@ -17,10 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: ~s["disguised"])
-    n = {k: F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS}
+
+    def of(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
         "doc_id",
-        *n.values(),
+        *map(of, pii.KINDS),
         F.sha2(pii.joined(base).cast("binary"), 256).alias("base_sha256"),
         pii.joined(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda s: s["disguised"])).cast("long").alias("n_disguised"),
