@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii
+from . import chat, ogg, pii, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,8 +30,48 @@ def op1_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = ogg.decode_media(ogg.encode_texts(table(spark, sf_dir, "documents")))
+    facts = [F.concat(F.lit(f"{x.split()[0]}="), F.col(f"facts.{x.split()[0]}").cast("string")) for x in ogg.FACTS.split(", ")]
+    return media.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(";", *facts).alias("feature"),
+    )
+
+
+def op3_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive(table(spark, sf_dir, "pages"))
+    kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")
+    return read.select("page_id", "payload_bytes", "payload_digest", kind.alias("record_type"), "refers_to")
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.sql("SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    chats = chat.format_chats(rows.unionByName(own)).withColumn("turns", chat.read_turns(F.col("formatted")))
+    masked = chat.under_mask(F.col("formatted"), F.col("loss_spans"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return chats.withColumn("masked", masked).select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.length("masked").cast("long").alias("loss_chars"),
+        F.sha2(F.col("masked").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_deobfuscation": op1_pii_deobfuscation,
+    "op2_ogg_media": op2_ogg_media,
+    "op3_warc_chunks": op3_warc_chunks,
+    "op7_chat_format": op7_chat_format,
 }
 
 ORACLE_SQL: dict[str, str] = {}
