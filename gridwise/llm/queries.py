@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ogg, pii, warc
+from . import bpe, chat, ogg, pii, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,15 @@ def op3_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", kind.alias("record_type"), "refers_to")
 
 
+def op5_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), "byte_bpe_50k.json").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_chars")
+
+
+def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, budget=2)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.sql("SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
@@ -71,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_deobfuscation": op1_pii_deobfuscation,
     "op2_ogg_media": op2_ogg_media,
     "op3_warc_chunks": op3_warc_chunks,
+    "op5_bpe_stream": op5_bpe_stream,
+    "op6_simhash_trie": op6_simhash_trie,
     "op7_chat_format": op7_chat_format,
 }
 
