@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, ogg, pii, simhash, warc
+from . import bpe, chat, decontaminate, langid, ogg, pii, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,17 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_langid_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    model = langid.fit(docs.where(~held_out), "piece_bpe_32k.model")
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_deobfuscation": op1_pii_deobfuscation,
     "op2_ogg_media": op2_ogg_media,
@@ -83,6 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe_stream": op5_bpe_stream,
     "op6_simhash_trie": op6_simhash_trie,
     "op7_chat_format": op7_chat_format,
+    "op8_langid_pieces": op8_langid_pieces,
+    "op10_spaced_seeds": op10_spaced_seeds,
 }
 
 ORACLE_SQL: dict[str, str] = {}
