@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, ogg, pii, simhash, warc
+from . import bpe, chat, cotrain, decontaminate, langid, lm_score, ogg, pii, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op3_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", kind.alias("record_type"), "refers_to")
 
 
+def op4_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"), lm_score.target_ids(table(spark, sf_dir, "labels")))
+
+
 def op5_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), "byte_bpe_50k.json").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_chars")
 
@@ -83,6 +87,12 @@ def op8_langid_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = cotrain.fit(docs, table(spark, sf_dir, "labels"))
+    return cotrain.score(docs, model).select("doc_id", "quality_score", (F.col("quality_score") >= cotrain.THRESHOLD).alias("keep"))
+
+
 def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -91,11 +101,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_deobfuscation": op1_pii_deobfuscation,
     "op2_ogg_media": op2_ogg_media,
     "op3_warc_chunks": op3_warc_chunks,
+    "op4_cross_entropy_difference": op4_cross_entropy_difference,
     "op5_bpe_stream": op5_bpe_stream,
     "op6_simhash_trie": op6_simhash_trie,
     "op7_chat_format": op7_chat_format,
     "op8_langid_pieces": op8_langid_pieces,
+    "op9_quality_cotraining": op9_quality_cotraining,
     "op10_spaced_seeds": op10_spaced_seeds,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_cross_entropy_difference": lm_score.SQL,
+}
