@@ -8,7 +8,7 @@ joins every pair of prefixes within the budget that has its own; each such pair
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -93,14 +93,15 @@ class Labels:
         return np.minimum.reduceat(padded, at)[::2], np.maximum.reduceat(padded, at)[::2]
 
 
-def traverse(fp: np.ndarray, half: int, depth: int, errors: int, budget: int) -> np.ndarray:
-    """Label of each fingerprint after linking all pairs within the budget.
+def traverse(key: np.ndarray, half: int, depth: int, errors: int, budget: int, deepest: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Label of each fingerprint after linking all pairs whose keys differ in at most budget of the first deepest bits and that are near.
 
-    fp[:half] and fp[half:] are the leaves below two nodes at depth whose prefixes differ in errors bits, each part sorted
-    and without repeats; with half = len(fp) the node is paired with itself. A pair of nodes whose leaves are in one
-    component already is left out: its links would change nothing.
+    key[:half] and key[half:] are the leaves below two nodes at depth whose prefixes differ in errors bits, each part
+    sorted; with half = len(key) the node is paired with itself. near says of pairs of leaves (two arrays of positions)
+    which are to be linked. A pair of nodes whose leaves are in one component already is left out: its links would
+    change nothing.
     """
-    n, labels = len(fp), Labels(len(fp))
+    n, labels = len(key), Labels(len(key))
     one = np.zeros(1, np.int64)
     first = (one, one + half, one, one + half) if half == n else (one, one + half, one + half, one + n)
     stack = [(depth, np.stack([*first, one + errors]))]
@@ -110,24 +111,36 @@ def traverse(fp: np.ndarray, half: int, depth: int, errors: int, budget: int) ->
             cut = nodes.shape[1] // 2
             stack += [(d, nodes[:, cut:]), (d, nodes[:, :cut])]
             continue
-        if labels.linked and nodes.shape[1] > FEW:
+        if labels.linked and (nodes.shape[1] > FEW or d >= deepest):
             low_a, high_a = labels.within(nodes[0], nodes[1])
             low_b, high_b = labels.within(nodes[2], nodes[3])
             nodes = nodes[:, ~((low_a == high_a) & (low_b == high_b) & (low_a == low_b))]
         sizes = (nodes[1] - nodes[0]) * (nodes[3] - nodes[2])
-        small = sizes <= FEW if d < BITS else np.ones(nodes.shape[1], bool)
+        if d >= deepest:
+            # Nothing is left to tell leaves apart by: compare them all, many at a time.
+            large = sizes > AT_ONCE
+            if large.any():
+                stack += [(d, part) for x in nodes[:, large].T for part in halves(x)]
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes[~large]) // AT_ONCE, prepend=0)).tolist()
+            parts = np.split(nodes[:, ~large], cuts, axis=1)
+            if len(parts) > 1:
+                stack += [(d, part) for part in parts[1:] if part.shape[1]]
+            nodes = parts[0]
+            sizes = (nodes[1] - nodes[0]) * (nodes[3] - nodes[2])
+        small = sizes <= FEW if d < deepest else np.ones(nodes.shape[1], bool)
         if small.any():
-            alo, ahi, blo, bhi, _ = nodes[:, small]
+            alo, _, blo, bhi, _ = nodes[:, small]
             k = np.repeat(np.arange(len(alo)), sizes[small])
             within = np.arange(len(k)) - np.repeat(np.cumsum(sizes[small]) - sizes[small], sizes[small])
             width = (bhi - blo)[k]
             i, j = alo[k] + within // width, blo[k] + within % width
-            near = (i < j) & (distance(fp[i], fp[j]) <= budget)
-            labels.link(i[near], j[near])
+            i, j = i[i < j], j[i < j]
+            linked = near(i, j)
+            labels.link(i[linked], j[linked])
             nodes = nodes[:, ~small]
         if not nodes.shape[1]:
             continue
-        ones = np.append(0, np.cumsum((fp >> np.uint64(BITS - 1 - d)) & np.uint64(1), dtype=np.int64))
+        ones = np.append(0, np.cumsum((key >> np.uint64(BITS - 1 - d)) & np.uint64(1), dtype=np.int64))
         alo, ahi, blo, bhi, err = nodes
         amid, bmid = ahi - (ones[ahi] - ones[alo]), bhi - (ones[bhi] - ones[blo])
         itself = alo == blo
@@ -145,6 +158,20 @@ def traverse(fp: np.ndarray, half: int, depth: int, errors: int, budget: int) ->
     return labels.of
 
 
+def halves(node: np.ndarray) -> list[np.ndarray]:
+    """A pair of ranges as pairs of parts that hold the same pairs of leaves, each pair of leaves in order once."""
+    alo, ahi, blo, bhi, err = node.tolist()
+    column = lambda *x: np.array([*x, err], np.int64)[:, None]
+    if alo == blo:
+        mid = (alo + ahi) // 2
+        return [column(alo, mid, mid, ahi), column(mid, ahi, mid, ahi), column(alo, mid, alo, mid)]
+    if ahi - alo >= bhi - blo:
+        mid = (alo + ahi) // 2
+        return [column(mid, ahi, blo, bhi), column(alo, mid, blo, bhi)]
+    mid = (blo + bhi) // 2
+    return [column(alo, ahi, mid, bhi), column(alo, ahi, blo, mid)]
+
+
 def level(distinct: DataFrame, leaves: int = LEAVES) -> int:
     """Trie level at which a node has about ``leaves`` fingerprints, and none has many times that, down to DEEPEST."""
     deep = materialize(distinct.groupBy(F.shiftrightunsigned("fp", BITS - DEEPEST).alias("p")).agg(F.count("*").alias("n")), "prefixes")
@@ -175,7 +202,8 @@ def links(distinct: DataFrame, budget: int = 2, leaves: int = LEAVES) -> DataFra
         rep, half = pdf.rep.to_numpy(np.int64)[order], int(len(fp) - second.sum())
         if p != q and half in (0, len(fp)):
             return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-        of = traverse(fp[order], half, depth, (p ^ q).bit_count(), budget)
+        fp = fp[order]
+        of = traverse(fp, half, depth, (p ^ q).bit_count(), budget, BITS, lambda i, j: distance(fp[i], fp[j]) <= budget)
         moved = of != np.arange(len(of))
         return pd.DataFrame({"a": rep[moved], "b": rep[of[moved]]})
 
@@ -196,6 +224,87 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.join(classes, F.col("fp") == F.col("fp_"), "left").select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), "fp", "component_id")
 
 
+# For similarity rather than a fixed few bits, wide fingerprints are looked up by several prefixes of theirs.
+#: Bytes of a wide fingerprint; bits of it that two documents may differ in. Texts with a Jaccard similarity of 0.8 of their
+#: shingles differ in 15 % of the bits on average, unrelated ones in half.
+WIDE, WIDE_BUDGET = 32, 40
+#: Prefixes looked up, bytes between their starts, bits in each and how many of these may differ. At 15 % a prefix passes
+#: with a probability of 0.4, one of ten with 0.994.
+TABLES, STRIDE, PREFIX, PREFIX_BUDGET = 10, 3, 20, 2
+WIDE_LEAVES = 32768
+
+
+def wide_fingerprint(text: str | None, shingle: int = 5) -> bytes:
+    """As fingerprint, with WIDE bytes from two 128-bit hashes of each shingle."""
+    words = (text or "").encode().translate(_LOWER).split()
+    if not words:
+        return bytes(WIDE)
+    line = b" ".join(words)
+    digest = lambda x: xxhash.xxh3_128_digest(x, 1) + xxhash.xxh3_128_digest(x, 2)
+    if len(words) <= shingle:
+        return digest(line)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = [0, *(ends[:-shingle] + 1).tolist()]
+    stops, counts = ends[shingle - 1 :].tolist(), np.zeros(8 * WIDE, np.int64)
+    for at in range(0, len(stops), 1 << 14):
+        hashes = b"".join([digest(line[a:b]) for a, b in zip(starts[at : at + (1 << 14)], stops[at : at + (1 << 14)], strict=True)])
+        counts += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, WIDE), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(stops)).tobytes()
+
+
+def wide_links(distinct: DataFrame) -> DataFrame:
+    """(a, b) with the components of all pairs of (fp, rep) that one of the prefixes brings together and that differ in at most WIDE_BUDGET bits."""
+    n = distinct.count()
+    depth = min(PREFIX, max(0, math.ceil(math.log2(max(n, 1) / WIDE_LEAVES))))
+    masks = sorted({sum(1 << b for b in bits) for k in range(min(PREFIX_BUDGET, depth) + 1) for bits in combinations(range(depth), k)})
+    twice = F.concat("fp", "fp")
+    first = [F.struct(F.lit(r).alias("t"), F.shiftright(F.conv(F.hex(F.substring(twice, STRIDE * r + 1, 3)), 16, 10).cast("long"), 24 - depth).alias("own")) for r in range(TABLES)]
+    rows = distinct.select("fp", "rep", F.explode(F.array(*first)).alias("at")).select("fp", "rep", "at.t", "at.own", F.explode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("mask"))
+    other = F.col("own").bitwiseXOR(F.col("mask"))
+    rows = rows.select("fp", "rep", "t", F.least("own", other).alias("p"), F.greatest("own", other).alias("q"), (F.col("own") > other).alias("second"))
+
+    def subtrees(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, q, t = int(pdf.p.iloc[0]), int(pdf.q.iloc[0]), int(pdf.t.iloc[0])
+        second = pdf.second.to_numpy(bool)
+        if p != q and second.sum() in (0, len(pdf)):
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        whole = np.frombuffer(b"".join(pdf.fp), np.uint8).reshape(-1, WIDE)
+        key = np.ascontiguousarray(np.hstack([whole, whole])[:, STRIDE * t : STRIDE * t + 8]).view(">u8").ravel().astype(np.uint64)
+        order = np.lexsort((key, second))
+        key, rep, full = key[order], pdf.rep.to_numpy(np.int64)[order], np.ascontiguousarray(whole[order]).view(np.uint64)
+        near = lambda i, j: distance(full[i], full[j]).sum(axis=1) <= WIDE_BUDGET
+        of = traverse(key, int(len(key) - second.sum()), depth, (p ^ q).bit_count(), PREFIX_BUDGET, PREFIX, near)
+        moved = of != np.arange(len(of))
+        return pd.DataFrame({"a": rep[moved], "b": rep[of[moved]]})
+
+    return rows.groupBy("t", "p", "q").applyInPandas(subtrees, "a long, b long")
+
+
+def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """(id, component_id) per distinct id: classes of texts whose word shingles have a similarity of about 0.8 or more.
+
+    Null counts as empty; texts without words are one class. component_id is the smallest id of a class. Null ids are left out.
+    """
+
+    def rows(ids: list, texts: list) -> dict[str, list]:
+        return {"id": ids, "fp": [wide_fingerprint(t, shingle) for t in texts]}
+
+    out = pa.schema([("id", pa.int64()), ("fp", pa.binary())])
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+    found = materialize(map_columns(texts, rows, "id long, fp binary", out), "wide")
+    distinct = materialize(found.groupBy("fp").agg(F.min("id").alias("rep")), "distinct")
+    roots = components(wide_links(distinct))
+    classes = materialize(distinct.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("fp_"), F.coalesce("root", "rep").alias("component_id")), "classes")
+    return found.join(classes, F.col("fp") == F.col("fp_")).groupBy("id").agg(F.min("component_id").alias("component_id")).select(F.col("id").alias(id_col), "component_id")
+
+
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """df with one document of each class of similar_classes: the one with the smallest id. Rows with a null id stay."""
+    classes = similar_classes(df, id_col, text_col, shingle)
+    gone = materialize(classes.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("k")), "gone")
+    return df.join(gone, F.col(id_col) == F.col("k"), "left_anti")
+
+
 def iter_pairs(fp: np.ndarray, budget: int) -> Iterator[tuple[int, int]]:
     """All pairs within the budget one by one, for tests."""
     for i in range(len(fp)):
