@@ -1,4 +1,4 @@
-"""Queries by name, each with its SQL over the same tables where SQL can express it."""
+"""All registered queries with their SQL, gathered from the modules of this package."""
 
 from __future__ import annotations
 
@@ -6,6 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridwise.plans import datasets, evaluation, lattice, rasters, spatials
+from gridwise.plans.base import Entry
+
 FLAGSHIP = "nearest_line_prior_rank"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+_ALL: dict[str, Entry] = {name: e for m in (lattice, spatials, evaluation, datasets, rasters) for name, e in m.ENTRIES.items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: e.query for name, e in _ALL.items()}
+ORACLE_SQL: dict[str, str] = {name: e.sql for name, e in _ALL.items() if e.sql}
