@@ -8,9 +8,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def session(master: str = "local[8]", memory: str = "8g", partitions: int = 8) -> SparkSession:
+#: The folder of a session without spark.checkpoint.dir, once one was needed.
+_OWN: list[str] = []
+
+
+def session(master: str = "local[8]", memory: str = "8g", partitions: int = 8, **more: str) -> SparkSession:
     """A local session for tests and benchmarks; on a cluster, spark-submit configures one."""
-    conf = {"spark.sql.shuffle.partitions": partitions, "spark.driver.memory": memory, "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.sql.adaptive.enabled": "true", "spark.ui.showConsoleProgress": "false"}
+    conf = {"spark.sql.shuffle.partitions": partitions, "spark.driver.memory": memory, "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.sql.adaptive.enabled": "true", "spark.ui.showConsoleProgress": "false"} | {k.replace("_", "."): v for k, v in more.items()}
     spark = SparkSession.builder.master(master).config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -20,8 +24,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in spark.checkpoint.dir; where that is unset, as in tests, a local folder takes its place."""
     base = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='gridwise-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _OWN:
+            _OWN.append(f"file://{tempfile.mkdtemp(prefix='gridwise-')}")
+        base = _OWN[0]
     return f"{base.rstrip('/')}/gridwise/{uuid.uuid4().hex}/{name}"
 
 
