@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from gridwise.session import materialize, scratch
+
+__all__ = ["bounded_batches", "map_columns", "materialize", "scratch"]
+
 #: Rows of an Arrow batch at most, so that a batch of long texts stays small beside a worker's memory.
 BATCH_ROWS = 500
 
@@ -21,22 +23,6 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir); a local one where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='gridwise-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/gridwise/{uuid.uuid4().hex}/{name}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def map_columns(df: DataFrame, fn: Callable[..., dict[str, list]], schema: str, out: pa.Schema) -> DataFrame:
     """mapInArrow with fn on the columns of each batch as Python lists; fn returns columns by name."""
     bounded_batches(df.sparkSession)
