@@ -160,17 +160,18 @@ class Rewritten:
 
     def back(self, start: int, end: int) -> tuple[int, int]:
         """Source offsets of the characters start to end (not empty)."""
-        k = bisect.bisect_right(self.starts, start) - 1
-        while k >= 0 and self.spans[k][0] == self.spans[k][1]:  # a deletion here ends before start
-            if k == 0 or self.spans[k - 1][1] < self.spans[k][0]:
-                break
-            k -= 1
-        a = start if k < 0 else self.spans[k][2] if start < self.spans[k][1] else self.spans[k][3] + start - self.spans[k][1]
-        k = bisect.bisect_right(self.starts, end - 1) - 1
-        while k >= 0 and self.spans[k][0] == self.spans[k][1] == end:
-            k -= 1
-        b = end if k < 0 else self.spans[k][3] if end - 1 < self.spans[k][1] else self.spans[k][3] + end - self.spans[k][1]
-        return a, b
+        return self._source(start)[0], self._source(end - 1)[1]
+
+    def _source(self, i: int) -> tuple[int, int]:
+        """What character i came from: itself, or all that its edit replaced."""
+        k = bisect.bisect_right(self.starts, i) - 1
+        if k < 0:
+            return i, i + 1
+        _, out_end, source_start, source_end = self.spans[k]
+        if i < out_end:
+            return source_start, source_end
+        at = source_end + i - out_end
+        return at, at + 1
 
 
 TRANSDUCERS = (homoglyphs, boxed_signs, spaced_at, spaced_dots, spelled_digits)

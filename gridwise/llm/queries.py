@@ -110,6 +110,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_spaced_seeds": op10_spaced_seeds,
 }
 
+_DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(floor(v / {0}) AS BIGINT) % 32, 1)"
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc_chunks": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), g AS (SELECT html, max(page_id) AS first FROM p GROUP BY html),
+d AS (SELECT html, string_agg({_DIGIT.format(32768)} || {_DIGIT.format(1024)} || {_DIGIT.format(32)} || {_DIGIT.format(1)}, '' ORDER BY i) AS digest
+    FROM (SELECT html, i, CAST('0x' || substr(sha1(html), 1 + 5 * i, 5) AS BIGINT) AS v FROM (SELECT html, unnest(range(8)) AS i FROM g)) GROUP BY html)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id < first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < first THEN first END AS refers_to
+FROM p JOIN g USING (html) JOIN d USING (html)
+""",
+    "op7_chat_format": """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+r AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    sum(length(replace(replace(text, '&', '&amp;'), '<', '&lt;')) + 7 + CASE WHEN before = role THEN 0 ELSE length(replace(replace(role, '&', '&amp;'), '<', '&lt;')) + 4 END)::BIGINT AS formatted_chars
+FROM r GROUP BY conv_id
+""",
     "op4_cross_entropy_difference": lm_score.SQL,
 }
