@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import map_columns
 
 #: Pieces whose tokens a worker remembers, and the longest such piece in characters.
-MEMO, MEMO_CHARS = 200_000, 48
+MEMO, MEMO_CHARS = 300_000, 48
 #: Token pairs whose compatibility a worker remembers.
 PAIRS = 1_000_000
 #: Characters that go through the splitter at a time.
@@ -77,14 +77,11 @@ class Merges:
             if z not in self.parts:
                 self.parts[z], self.born[z] = (x, y), r
         self.longest = max(len(b) for b in self.ids)
-        # Lengths of the tokens that end in two given bytes, longest first.
-        ends: dict[bytes, set[int]] = {}
-        for b in self.ids:
-            ends.setdefault(b[-2:], set()).add(len(b))
-        self.lengths = {e: tuple(sorted(n, reverse=True)) for e, n in ends.items() if len(e) == 2}
+        self.little = {i: i.to_bytes(4, "little") for i in self.bytes}
         self._right: dict[int, list[tuple[int, float]]] = {}
         self._left: dict[int, list[tuple[int, float]]] = {}
-        self._pairs: dict[int, bool] = {}
+        self._pairs: dict[int, dict[int, bool]] = {}
+        self._known = 0
         self.lookahead = self._lookahead()
 
     def _edge(self, t: int, side: int, memo: dict) -> list[tuple[int, float]]:
@@ -104,16 +101,17 @@ class Merges:
 
         Of equal ranks the leftmost merge goes first, so one inside a comes before, and one inside b after.
         """
-        key = a << 32 | b
-        if (ok := self._pairs.get(key)) is None:
-            if len(self._pairs) >= PAIRS:
-                self._pairs.clear()
-            left, rank, ok = self._edge(b, 0, self._left), self.rank, True
-            for x, end in self._edge(a, 1, self._right):
-                for y, until in left:
-                    if (r := rank.get((x, y))) is not None and r < end and r <= until:
-                        ok = False
-            self._pairs[key] = ok
+        left, rank, ok = self._edge(b, 0, self._left), self.rank, True
+        for x, end in self._edge(a, 1, self._right):
+            for y, until in left:
+                if (r := rank.get((x, y))) is not None and r < end and r <= until:
+                    ok = False
+        if self._known >= PAIRS:
+            self._known = 0
+            for row in self._pairs.values():
+                row.clear()
+        self._known += 1
+        self._pairs.setdefault(a, {})[b] = ok
         return ok
 
     def _lookahead(self) -> int:
@@ -142,6 +140,7 @@ class Transducer:
 
     def __init__(self, merges: Merges):
         self.m = merges
+        self.enough = merges.lookahead + merges.longest
         self.reset()
 
     def reset(self) -> None:
@@ -151,29 +150,39 @@ class Transducer:
         self.lag = 0  # most bytes ever held back
 
     def push(self, data: bytes) -> list[int]:
-        ids, lengths, together, pairs = self.m.ids, self.m.lengths, self.m.together, self.m._pairs
         out: list[int] = []
         for at in range(0, len(data), 1024):
             self.tail += data[at : at + 1024]
-            tail, last, step = self.tail, self.last, self.step
-            for end in range(len(last), len(tail) + 1):
-                for n in (*lengths.get(tail[end - 2 : end], ()), 1):
-                    if n <= end and (t := ids.get(tail[end - n : end])) is not None:
-                        before = last[end - n]
-                        if before == -1 or (before >= 0 and ((ok := pairs.get(before << 32 | t)) or (ok is None and together(before, t)))):
-                            last.append(t)
-                            step.append(n)
-                            break
-                else:
-                    last.append(-2)  # no encoding of a prefix ends here
-                    step.append(0)
-            out += self._stable()
+            self._extend()
+            if len(self.tail) > self.enough:
+                out += self._stable()
         return out
 
+    def _extend(self) -> None:
+        """Work out the last token for each new position.
+
+        Just one token that ends there may follow the last token of the text before it: a sequence whose neighbours all
+        stay side by side is the encoding. Short ones are tried first.
+        """
+        get, pairs, together = self.m.ids.get, self.m._pairs, self.m.together
+        tail, last, step = self.tail, self.last, self.step
+        for end in range(len(last), len(tail) + 1):
+            for at in range(end - 1, -1, -1):
+                if (t := get(tail[at:end])) is not None:
+                    before = last[at]
+                    if before < 0:
+                        break
+                    row = pairs.get(before)
+                    ok = None if row is None else row.get(t)
+                    if ok or (ok is None and together(before, t)):
+                        break
+            last.append(t)
+            step.append(end - at)
+
     def _stable(self) -> list[int]:
         """Emit up to the last boundary that the paths from all positions a later token can start at run through."""
         n = len(self.tail)
-        live = {p for p in range(max(0, n - self.m.longest + 1), n + 1) if self.last[p] != -2}
+        live = set(range(max(0, n - self.m.longest + 1), n + 1))
         while len(live) > 1:
             far = max(live)
             live.remove(far)
@@ -215,12 +224,11 @@ class Encoder:
         self.held, self.run = "", None
 
     def _ids(self, tokens: list[int]) -> bytes:
-        return b"".join([t.to_bytes(4, "little") for t in tokens])
+        little = self.m.little
+        return b"".join([little[t] for t in tokens])
 
     def _piece(self, piece: str) -> bytes:
-        data = piece.encode()
-        t = self.m.ids.get(data)
-        out = self._ids([t] if t is not None and t not in self.m.parts else self.transducer.push(data) + self.transducer.finish())
+        out = self._ids(self.transducer.push(piece.encode()) + self.transducer.finish())
         if len(piece) <= MEMO_CHARS:
             if len(self.memo) >= MEMO:
                 self.memo.clear()

@@ -25,7 +25,7 @@ FLOOR = 1e-8
 #: Longer words go through a slower forward pass that rescales, as plain products would get too small.
 LONG = 30
 #: Words whose likelihoods a worker remembers.
-MEMO = 200_000
+MEMO = 400_000
 WORD_START = "▁"
 
 
@@ -47,25 +47,60 @@ class Lattice:
     def __init__(self, pieces: list[str]):
         self.ids = {p: i for i, p in enumerate(pieces)}
         self.unknown = len(self.ids)
-        self.begun = {p[:n] for p in pieces for n in range(1, len(p) + 1)}
+        # What pieces begin with, by length: sorted hashes, and the number of the piece or -1 where it is only a beginning.
+        begun = dict.fromkeys((p[:n] for p in pieces for n in range(1, len(p) + 1)), -1) | self.ids
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        for n in range(1, max(map(len, pieces), default=0) + 1):
+            own = [x for x in begun if len(x) == n]
+            codes = self.codes("".join(own)).reshape(-1, n)
+            h = np.zeros(len(own), np.uint64)
+            for k in range(n):
+                h = self.longer(h, codes[:, k])
+            order = np.argsort(h)
+            self.levels.append((h[order], np.array([begun[x] for x in own], np.int64)[order]))
+
+    @staticmethod
+    def codes(text: str) -> np.ndarray:
+        """A 64-bit number for each character."""
+        c = (np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        return c ^ (c >> np.uint64(29))
+
+    @staticmethod
+    def longer(h: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Hash of strings with hash h and one more character."""
+        h = (h ^ code) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(31))
 
     def edges(self, words: list[str]) -> np.ndarray:
-        """Rows: word, start, end, piece; ordered by end, then word."""
-        ids, begun, out = self.ids, self.begun, []
-        for w, word in enumerate(words):
-            text = WORD_START + word
-            n = len(text)
-            for a in range(n):
-                b, single = a + 1, False
-                while b <= n and (cut := text[a:b]) in begun:
-                    if (piece := ids.get(cut)) is not None:
-                        out.append((w, a, b, piece))
-                        single = single or b == a + 1
-                    b += 1
-                if not single:
-                    out.append((w, a, a + 1, self.unknown))
-        e = np.array(out, np.int64).reshape(-1, 4).T
-        return e[:, np.lexsort((e[0], e[2]))]
+        """Rows: word, start, end, piece; ordered by end, then word.
+
+        All characters of all words at once: what starts at each grows by a character as long as a piece begins that way.
+        """
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        codes = self.codes(WORD_START + WORD_START.join(words))
+        word = np.repeat(np.arange(len(words)), size)
+        start = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
+        room = size[word] - start
+        at, h, out = np.arange(len(codes)), np.zeros(len(codes), np.uint64), []
+        for n, (hashes, pieces) in enumerate(self.levels, 1):
+            inside = room[at] >= n
+            at = at[inside]
+            h = self.longer(h[inside], codes[at + n - 1])
+            k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            begun = hashes[k] == h
+            piece = np.where(begun, pieces[k], -1)
+            if n == 1:
+                piece_or = np.where(piece < 0, self.unknown, piece)
+                out.append(np.stack([word, start, start + 1, piece_or]))
+            else:
+                is_piece = piece >= 0
+                p = at[is_piece]
+                out.append(np.stack([word[p], start[p], start[p] + n, piece[is_piece]]))
+            at, h = at[begun], h[begun]
+            if not len(at):
+                break
+        e = np.concatenate(out, axis=1)
+        return e[:, np.argsort(e[2] << 32 | e[0], kind="stable")]
 
     def forward(self, words: list[str], theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(edges, alpha, lengths): alpha[w, i, l] is the probability of the first i characters of word w in language l."""
@@ -220,18 +255,20 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if shared.value is not None:
             pieces, theta, prior, langs = shared.value
-            lattice, row, seen = Lattice(pieces), {}, np.empty((0, len(langs)))
+            lattice, row, seen = Lattice(pieces), {}, np.empty((1 << 16, len(langs)))
         for b in it:
             pred: list[str] = []
             score: list[float] = []
             texts = [words_of(t) if t is not None and any(map(str.isalpha, t)) else None for t in b.column(1).to_pylist()]
             if shared.value is not None:
                 if len(row) > MEMO:
-                    row, seen = {}, np.empty((0, len(langs)))
+                    row = {}
                 new = list({w for t in texts if t for w in t if w not in row})
                 if new:
-                    row |= dict(zip(new, range(len(seen), len(seen) + len(new)), strict=True))
-                    seen = np.concatenate([seen, lattice.likelihood(new, theta)])
+                    while len(seen) < len(row) + len(new):
+                        seen = np.concatenate([seen, np.empty_like(seen)])
+                    seen[len(row) : len(row) + len(new)] = lattice.likelihood(new, theta)
+                    row |= dict(zip(new, range(len(row), len(row) + len(new)), strict=True))
             for t in texts:
                 if t is None or shared.value is None:
                     pred.append("und")

@@ -77,6 +77,20 @@ class Block:
         return np.concatenate([self.word, np.full(int((self.sizes > 0).sum()), START), self.bigram])
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Unsigned 64-bit numbers as planes: all lowest bytes, then all second ones, and so on. Empty planes cost next to nothing once compressed."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def steps(rising: np.ndarray) -> np.ndarray:
+    """The first number and the differences of each to the one before."""
+    return np.diff(rising, prepend=np.zeros(1, rising.dtype))
+
+
 def span(hashes: np.ndarray, ranges: int) -> np.ndarray:
     """Which of so many equal ranges of the hash each is in; rises with the hash."""
     return ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
@@ -123,7 +137,7 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
         own = np.isin(docs.id.fillna(-1).to_numpy(np.int64), target.k.to_numpy(np.int64)) & docs.id.notna().to_numpy()
         marks = np.concatenate([np.repeat(own, made.sizes), own[made.sizes > 0], np.repeat(own, made.sizes)])
         hashes, at = np.unique(made.grams(), return_inverse=True)
-        n_all, n_own = np.bincount(at, minlength=len(hashes)).astype("<u4"), np.bincount(at[marks], minlength=len(hashes)).astype("<u4")
+        n_all, n_own = np.bincount(at, minlength=len(hashes)), np.bincount(at[marks], minlength=len(hashes))
         which = span(hashes, blocks)
         cuts = np.flatnonzero(np.diff(which, prepend=-1))
         bounds = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(hashes)], strict=True)) if len(cuts) else []
@@ -131,21 +145,20 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
             {
                 "range": which[cuts],
                 "block": np.full(len(cuts), docs.block.iloc[0]),
-                "hashes": [hashes[a:b].tobytes() for a, b in bounds],
-                "all": [n_all[a:b].tobytes() for a, b in bounds],
-                "own": [n_own[a:b].tobytes() for a, b in bounds],
+                "hashes": [pack(steps(hashes[a:b])) for a, b in bounds],
+                "all": [pack(n_all[a:b]) for a, b in bounds],
+                "own": [pack(n_own[a:b]) for a, b in bounds],
             }
         )
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes = np.concatenate([np.frombuffer(h, np.uint64) for h in pdf.hashes])
+        hashes = np.concatenate([np.cumsum(unpack(h), dtype=np.uint64) for h in pdf.hashes])
         _, at = np.unique(hashes, return_inverse=True)
         made = {}
         for c in ("all", "own"):
-            n = np.concatenate([np.frombuffer(x, "<u4") for x in pdf[c]])
-            made[c] = np.bincount(at, weights=n).astype("<u8")[at]
+            made[c] = np.bincount(at, weights=np.concatenate([unpack(x) for x in pdf[c]]))[at]
         cuts = np.cumsum([len(h) // 8 for h in pdf.hashes])
-        return pd.DataFrame({"block": pdf.block, "range": pdf.range} | {c: [p.tobytes() for p in np.split(v, cuts[:-1])] for c, v in made.items()})
+        return pd.DataFrame({"block": pdf.block, "range": pdf.range} | {c: [pack(p) for p in np.split(v, cuts[:-1])] for c, v in made.items()})
 
     packed = dealt.cogroup(marked).applyInPandas(send, "range long, block long, hashes binary, all binary, own binary")
     counts = packed.groupBy("range").applyInPandas(add, "block long, range long, all binary, own binary").groupBy("block")
@@ -154,7 +167,7 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
         made = Block(docs.text.tolist())
         hashes = np.unique(made.grams())
         counts = counts.sort_values("range")
-        n = {c: np.concatenate([np.frombuffer(x, "<u8") for x in counts[c]]).astype(float) if len(counts) else np.empty(0) for c in ("all", "own")}
+        n = {c: np.concatenate([unpack(x) for x in counts[c]]).astype(float) if len(counts) else np.empty(0) for c in ("all", "own")}
         place = lambda h: np.searchsorted(hashes, h)
         w, v, vw = place(made.word), place(made.before), place(made.bigram)
         p_b = n["all"][w] / max(n_b, 1)

@@ -232,7 +232,9 @@ WIDE, WIDE_BUDGET = 32, 40
 #: Prefixes looked up, bytes between their starts, bits in each and how many of these may differ. At 15 % a prefix passes
 #: with a probability of 0.4, one of ten with 0.994.
 TABLES, STRIDE, PREFIX, PREFIX_BUDGET = 10, 3, 20, 2
-WIDE_LEAVES = 32768
+#: Wide fingerprints below a node of the last level that Spark lays out; about 25 MB. Each further level multiplies the rows that are
+#: exchanged, so a task takes as many as its memory allows.
+WIDE_LEAVES = 1 << 19
 
 
 def wide_fingerprint(text: str | None, shingle: int = 5) -> bytes:
@@ -253,24 +255,28 @@ def wide_fingerprint(text: str | None, shingle: int = 5) -> bytes:
     return np.packbits(2 * counts > len(stops)).tobytes()
 
 
-def wide_links(distinct: DataFrame) -> DataFrame:
+def wide_links(distinct: DataFrame, leaves: int = WIDE_LEAVES) -> DataFrame:
     """(a, b) with the components of all pairs of (fp, rep) that one of the prefixes brings together and that differ in at most WIDE_BUDGET bits."""
     n = distinct.count()
-    depth = min(PREFIX, max(0, math.ceil(math.log2(max(n, 1) / WIDE_LEAVES))))
+    depth = min(PREFIX, max(0, math.ceil(math.log2(max(n, 1) / leaves))))
     masks = sorted({sum(1 << b for b in bits) for k in range(min(PREFIX_BUDGET, depth) + 1) for bits in combinations(range(depth), k)})
     twice = F.concat("fp", "fp")
     first = [F.struct(F.lit(r).alias("t"), F.shiftright(F.conv(F.hex(F.substring(twice, STRIDE * r + 1, 3)), 16, 10).cast("long"), 24 - depth).alias("own")) for r in range(TABLES)]
     rows = distinct.select("fp", "rep", F.explode(F.array(*first)).alias("at")).select("fp", "rep", "at.t", "at.own", F.explode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("mask"))
     other = F.col("own").bitwiseXOR(F.col("mask"))
-    rows = rows.select("fp", "rep", "t", F.least("own", other).alias("p"), F.greatest("own", other).alias("q"), (F.col("own") > other).alias("second"))
+    # Table and both prefixes in one number.
+    pair = (F.col("t").cast("long") * (1 << PREFIX) + F.least("own", other)) * (1 << PREFIX) + F.greatest("own", other)
+    rows = rows.select(pair.alias("pair"), "fp", "rep")
 
     def subtrees(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, q, t = int(pdf.p.iloc[0]), int(pdf.q.iloc[0]), int(pdf.t.iloc[0])
-        second = pdf.second.to_numpy(bool)
-        if p != q and second.sum() in (0, len(pdf)):
-            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        pair = int(pdf["pair"].iloc[0])
+        t, p, q = pair >> 2 * PREFIX, pair >> PREFIX & (1 << PREFIX) - 1, pair & (1 << PREFIX) - 1
         whole = np.frombuffer(b"".join(pdf.fp), np.uint8).reshape(-1, WIDE)
         key = np.ascontiguousarray(np.hstack([whole, whole])[:, STRIDE * t : STRIDE * t + 8]).view(">u8").ravel().astype(np.uint64)
+        # The prefix says which of the two nodes a fingerprint is below; of a node paired with itself, all are.
+        second = (key >> np.uint64(BITS - depth) if depth else np.zeros_like(key)) != np.uint64(p)
+        if p != q and second.sum() in (0, len(pdf)):
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
         order = np.lexsort((key, second))
         key, rep, full = key[order], pdf.rep.to_numpy(np.int64)[order], np.ascontiguousarray(whole[order]).view(np.uint64)
         near = lambda i, j: distance(full[i], full[j]).sum(axis=1) <= WIDE_BUDGET
@@ -278,7 +284,7 @@ def wide_links(distinct: DataFrame) -> DataFrame:
         moved = of != np.arange(len(of))
         return pd.DataFrame({"a": rep[moved], "b": rep[of[moved]]})
 
-    return rows.groupBy("t", "p", "q").applyInPandas(subtrees, "a long, b long")
+    return rows.groupBy("pair").applyInPandas(subtrees, "a long, b long")
 
 
 def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:

@@ -96,7 +96,9 @@ def similarity(a, b):
     return len(s[0] & s[1]) / len(s[0] | s[1])
 
 
-def test_similar_classes(spark):
+@pytest.mark.parametrize("leaves", [sh.WIDE_LEAVES, 40])
+def test_similar_classes(spark, monkeypatch, leaves):
+    monkeypatch.setattr(sh.wide_links, "__defaults__", (leaves,))
     rnd = random.Random(9)
     texts = {}
     for i in range(80):
