@@ -122,7 +122,8 @@ def traverse(key: np.ndarray, half: int, depth: int, errors: int, budget: int, d
             large = sizes > AT_ONCE
             if large.any():
                 stack += [(d, part) for x in nodes[:, large].T for part in halves(x)]
-            cuts = np.flatnonzero(np.diff(np.cumsum(sizes[~large]) // AT_ONCE, prepend=0)).tolist()
+            # The first part is never empty, as no size left is above AT_ONCE.
+            cuts = np.flatnonzero(np.diff((np.cumsum(sizes[~large]) - 1) // AT_ONCE, prepend=0)).tolist()
             parts = np.split(nodes[:, ~large], cuts, axis=1)
             if len(parts) > 1:
                 stack += [(d, part) for part in parts[1:] if part.shape[1]]
@@ -178,7 +179,7 @@ def level(distinct: DataFrame, leaves: int = LEAVES) -> int:
     deep = materialize(distinct.groupBy(F.shiftrightunsigned("fp", BITS - DEEPEST).alias("p")).agg(F.count("*").alias("n")), "prefixes")
     n = deep.agg(F.sum("n")).first()[0] or 0
     at = min(DEEPEST, max(0, math.ceil(math.log2(max(n, 1) / leaves))))
-    while at < DEEPEST and deep.groupBy(F.shiftrightunsigned("p", DEEPEST - at)).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] > 8 * leaves:
+    while n and at < DEEPEST and deep.groupBy(F.shiftrightunsigned("p", DEEPEST - at)).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] > 8 * leaves:
         at += 1
     return at
 
