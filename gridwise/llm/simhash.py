@@ -87,11 +87,11 @@ class Labels:
                 self.of = up
             self.linked = True
 
-    def within(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Smallest and largest label of each range."""
-        at = np.stack([lo, hi], axis=1).ravel()
-        padded = np.append(self.of, 0)
-        return np.minimum.reduceat(padded, at)[::2], np.maximum.reduceat(padded, at)[::2]
+    def joined(self, nodes: np.ndarray) -> np.ndarray:
+        """Whether all leaves of both ranges have one label; the time does not depend on the ranges' lengths."""
+        alo, ahi, blo, bhi, _ = nodes
+        changes = np.cumsum(self.of != np.append(self.of[:1], self.of[:-1]))
+        return (self.of[alo] == self.of[blo]) & (changes[alo] == changes[ahi - 1]) & (changes[blo] == changes[bhi - 1])
 
 
 def traverse(key: np.ndarray, half: int, depth: int, errors: int, budget: int, deepest: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
@@ -113,9 +113,7 @@ def traverse(key: np.ndarray, half: int, depth: int, errors: int, budget: int, d
             stack += [(d, nodes[:, cut:]), (d, nodes[:, :cut])]
             continue
         if labels.linked and (nodes.shape[1] > FEW or d >= deepest):
-            low_a, high_a = labels.within(nodes[0], nodes[1])
-            low_b, high_b = labels.within(nodes[2], nodes[3])
-            nodes = nodes[:, ~((low_a == high_a) & (low_b == high_b) & (low_a == low_b))]
+            nodes = nodes[:, ~labels.joined(nodes)]
         sizes = (nodes[1] - nodes[0]) * (nodes[3] - nodes[2])
         if d >= deepest:
             # Nothing is left to tell leaves apart by: compare them all, many at a time.
