@@ -53,5 +53,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: The classifier and the fingerprints can't be put in SQL; the tests hold each stage against a brute-force version.
+#: The classifier and the fingerprints can't be put in SQL; tests/llm has tests of the operators that the stages call.
 ORACLE_SQL = None
