@@ -1,5 +1,7 @@
 """SimHash near-duplicates: fingerprints, and links between them by a self-join over their binary trie.
 
+Where a similarity is asked for, the trie join only proposes classes, and the sets of shingles are compared exactly in each.
+
 Equal fingerprints are one leaf. The trie is traversed for pairs of nodes at once: differing bits add up on the way
 down, and a pair goes no further once they exceed the budget. The first levels are laid out over Spark: a fingerprint
 joins every pair of prefixes within the budget that has its own; each such pair of subtrees is then traversed by itself.
@@ -224,34 +226,46 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.join(classes, F.col("fp") == F.col("fp_"), "left").select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), "fp", "component_id")
 
 
-# For similarity rather than a fixed few bits, wide fingerprints are looked up by several prefixes of theirs.
-#: Bytes of a wide fingerprint; bits of it that two documents may differ in. Texts with a Jaccard similarity of 0.8 of their
-#: shingles differ in 15 % of the bits on average, unrelated ones in half.
-WIDE, WIDE_BUDGET = 32, 40
+# For similarity rather than a fixed few bits, wide fingerprints are looked up by several prefixes of theirs. That only
+# proposes classes; the sets of shingles decide within each.
+#: Bytes of a wide fingerprint; bits of it that two proposed documents may differ in. At a Jaccard similarity of 0.8 of their
+#: sets of shingles, texts differ in 38.8 bits on average with a deviation of 5.7, so this is four deviations more.
+WIDE, WIDE_BUDGET = 32, 62
 #: Prefixes looked up, bytes between their starts, bits in each and how many of these may differ. At 15 % a prefix passes
-#: with a probability of 0.4, one of ten with 0.994.
-TABLES, STRIDE, PREFIX, PREFIX_BUDGET = 10, 3, 20, 2
+#: with a probability of 0.64, one of ten with 0.99996.
+TABLES, STRIDE, PREFIX, PREFIX_BUDGET = 10, 3, 20, 3
 #: Wide fingerprints below a node of the last level that Spark lays out; about 25 MB. Each further level multiplies the rows that are
 #: exchanged, so a task takes as many as its memory allows.
 WIDE_LEAVES = 1 << 19
+#: Two texts are near copies from this Jaccard similarity of their sets of shingles on, as a fraction.
+SIMILAR = (4, 5)
+#: Shingle hashes in a block of a proposed class, about (32 MB); a task compares two blocks.
+SET_BLOCK = 1 << 22
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5) -> bytes:
-    """As fingerprint, with WIDE bytes from two 128-bit hashes of each shingle."""
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Sorted different XXH64 hashes of the word shingles, with words as in fingerprint. Empty without words."""
     words = (text or "").encode().translate(_LOWER).split()
     if not words:
-        return bytes(WIDE)
+        return np.empty(0, np.uint64)
     line = b" ".join(words)
-    digest = lambda x: xxhash.xxh3_128_digest(x, 1) + xxhash.xxh3_128_digest(x, 2)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return digest(line)
+        return np.array([digest(line)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = [0, *(ends[:-shingle] + 1).tolist()]
-    stops, counts = ends[shingle - 1 :].tolist(), np.zeros(8 * WIDE, np.int64)
-    for at in range(0, len(stops), 1 << 14):
-        hashes = b"".join([digest(line[a:b]) for a, b in zip(starts[at : at + (1 << 14)], stops[at : at + (1 << 14)], strict=True)])
-        counts += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, WIDE), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > len(stops)).tobytes()
+    return np.unique(np.fromiter((digest(line[a:b]) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(starts)))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """Bit i is set if it is in over half of the hashes of a set, each drawn out to WIDE bytes."""
+    counts = np.zeros(8 * WIDE, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        x = hashes[at : at + (1 << 14), None] + np.arange(1, WIDE // 8 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        counts += np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes)).tobytes()
 
 
 def wide_links(distinct: DataFrame, leaves: int = WIDE_LEAVES) -> DataFrame:
@@ -286,22 +300,77 @@ def wide_links(distinct: DataFrame, leaves: int = WIDE_LEAVES) -> DataFrame:
     return rows.groupBy("pair").applyInPandas(subtrees, "a long, b long")
 
 
+def same_classes(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set the position of the first of its class: what links of SIMILAR or more reach. Every pair that could join two classes is compared."""
+    up, down = SIMILAR
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    vocabulary, word = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_inverse=True)
+    start, held = np.cumsum(size) - size, np.zeros(len(vocabulary), bool)
+    of, free = np.full(len(sets), -1), np.arange(len(sets))
+    while len(free):
+        first, todo, free = int(free[0]), [int(free[0])], free[1:]
+        of[first] = first
+        while todo and len(free):
+            x = todo.pop()
+            # Sets of too different sizes can't be similar.
+            near = (down * np.minimum(size[free], size[x]) >= up * np.maximum(size[free], size[x])).nonzero()[0]
+            other = free[near]
+            n, own = size[other], word[start[x] : start[x] + size[x]]
+            held[own] = True
+            at = np.arange(n.sum()) + np.repeat(start[other] - (np.cumsum(n) - n), n)
+            sums = np.append(0, np.cumsum(held[word[at]]))
+            held[own] = False
+            shared = sums[np.cumsum(n)] - sums[np.cumsum(n) - n]
+            linked = (up + down) * shared >= up * (n + size[x])
+            of[other[linked]] = first
+            todo += other[linked].tolist()
+            free = np.delete(free, near[linked])
+    return of
+
+
 def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """(id, component_id) per distinct id: classes of texts whose word shingles have a similarity of about 0.8 or more.
+    """(id, component_id) per distinct id: classes of texts, linked at a Jaccard similarity of SIMILAR or more of their sets of word shingles.
 
-    Null counts as empty; texts without words are one class. component_id is the smallest id of a class. Null ids are left out.
+    Links of wide fingerprints propose classes; within each, all pairs of sets that could still join two classes are
+    compared exactly, so nothing is linked below SIMILAR. Null counts as empty; texts without words are one class.
+    component_id is the smallest id of a class. Null ids are left out.
     """
 
     def rows(ids: list, texts: list) -> dict[str, list]:
-        return {"id": ids, "fp": [wide_fingerprint(t, shingle) for t in texts]}
+        sets = [shingle_set(t, shingle) for t in texts]
+        return {"id": ids, "fp": [wide_fingerprint(x) for x in sets], "digest": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], "n": [len(x) for x in sets]}
 
-    out = pa.schema([("id", pa.int64()), ("fp", pa.binary())])
+    def members(ids: list, classes: list, blocks: list, digests: list, texts: list) -> dict[str, list]:
+        sets = [shingle_set(t, shingle) for t in texts]
+        # An id can be repeated with another text.
+        keep = [i for i, x in enumerate(sets) if xxhash.xxh3_128_digest(x.tobytes()) == digests[i]]
+        return {"rep": [ids[i] for i in keep], "class": [classes[i] for i in keep], "blocks": [blocks[i] for i in keep], "block": [int.from_bytes(digests[i][:4], "big") % blocks[i] for i in keep], "hashes": [sets[i].tobytes() for i in keep]}
+
+    def exact(pdf: pd.DataFrame) -> pd.DataFrame:
+        rep, of = pdf.rep.to_numpy(np.int64), same_classes([np.frombuffer(x, np.uint64) for x in pdf.hashes])
+        moved = of != np.arange(len(of))
+        return pd.DataFrame({"a": rep[moved], "b": rep[of[moved]]})
+
+    out = pa.schema([("id", pa.int64()), ("fp", pa.binary()), ("digest", pa.binary()), ("n", pa.int64())])
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    found = materialize(map_columns(texts, rows, "id long, fp binary", out), "wide")
-    distinct = materialize(found.groupBy("fp").agg(F.min("id").alias("rep")), "distinct")
-    roots = components(wide_links(distinct))
-    classes = materialize(distinct.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("fp_"), F.coalesce("root", "rep").alias("component_id")), "classes")
-    return found.join(classes, F.col("fp") == F.col("fp_")).groupBy("id").agg(F.min("component_id").alias("component_id")).select(F.col("id").alias(id_col), "component_id")
+    found = materialize(map_columns(texts, rows, "id long, fp binary, digest binary, n long", out), "wide")
+    # Equal sets are one.
+    sets = materialize(found.groupBy("digest").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n")), "sets")
+    distinct = materialize(sets.groupBy(F.col("fp").alias("fp_")).agg(F.min("rep").alias("rep_")), "distinct")
+    proposed = components(wide_links(distinct.select(F.col("fp_").alias("fp"), F.col("rep_").alias("rep"))))
+    proposed = distinct.join(proposed, F.col("rep_") == F.col("node"), "left").select("fp_", F.coalesce("root", "rep_").alias("class"))
+    proposed = materialize(sets.join(proposed, F.col("fp") == F.col("fp_")).select("digest", "rep", "n", "class"), "proposed")
+    several = proposed.groupBy(F.col("class").alias("class_")).agg(F.count("*").alias("several"), F.ceil(F.sum("n") / SET_BLOCK).alias("blocks")).where("several > 1")
+    several = materialize(proposed.join(several, F.col("class") == F.col("class_")).select("rep", "digest", "class", F.greatest("blocks", F.lit(1)).alias("blocks")), "several")
+    out = pa.schema([("rep", pa.int64()), ("class", pa.int64()), ("blocks", pa.int64()), ("block", pa.int64()), ("hashes", pa.binary())])
+    held = texts.join(several, F.col("id") == F.col("rep")).select("rep", "class", "blocks", "digest", "text")
+    held = materialize(map_columns(held, members, "rep long, class long, blocks long, block long, hashes binary", out), "members")
+    # Each pair of blocks of a class is a task's work.
+    pairs = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("p"), F.greatest("block", k).alias("q"))))
+    links = held.select("rep", "class", "hashes", pairs.alias("at")).groupBy("class", "at.p", "at.q").applyInPandas(exact, "a long, b long")
+    roots = components(links)
+    classes = materialize(proposed.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("digest_"), F.coalesce("root", "rep").alias("component_id")), "classes")
+    return found.join(classes, F.col("digest") == F.col("digest_")).groupBy("id").agg(F.min("component_id").alias("component_id")).select(F.col("id").alias(id_col), "component_id")
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:

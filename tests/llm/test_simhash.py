@@ -115,3 +115,29 @@ def test_similar_classes(spark, monkeypatch, leaves):
     kept = sh.deduplicate(df)
     assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted([*(str(10 * i) for i in range(80)), "None", "5000"])
     assert sh.deduplicate(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [sh.SET_BLOCK, 300])
+def test_similar_classes_are_exact(spark, monkeypatch, block):
+    monkeypatch.setattr(sh, "SET_BLOCK", block)
+    rnd = random.Random(10)
+    pick = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for i in range(240):
+        # Sets of 150 shingles with a similarity of 0.74 to 0.91.
+        shared = round(300 * (j := 0.74 + 0.17 * i / 240) / (1 + j))
+        common = pick(shared + 4)
+        texts += [" ".join([*common, *pick(150 - shared)]) for _ in range(2)]
+    for _ in range(20):
+        # A line repeated, in documents that differ otherwise.
+        line = pick(12) * 20
+        texts += [" ".join([*line, *pick(200)]) for _ in range(2)]
+    words = pick(60)
+    # A family in which only neighbours are similar.
+    texts += [" ".join([*words[k:], *pick(k)]) if k else " ".join(words) for k in (0, 2, 4, 6)] + [" ".join(words[k : k + 50]) for k in range(11)]
+    sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+    near = lambda a, b: 5 * (n := len(sets[a] & sets[b])) >= 4 * (len(sets[a]) + len(sets[b]) - n)
+    want = classes(range(len(texts)), near)
+    assert 100 < sum(want[2 * i] == want[2 * i + 1] for i in range(240)) < 200
+    got = {r.doc_id: r.component_id for r in sh.similar_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == want
