@@ -1,8 +1,8 @@
 """Personal data in text, also where it is disguised, with spans in the offsets of the source text.
 
 A chain of transducers rewrites a text and remembers which source characters each rewritten one came from:
-homoglyphs become ASCII and invisible characters go, "at"/"dot" disguises become ``@`` and ``.``, and runs of
-spelled digits become digits. The same detectors run on the source text (base spans) and on the rewritten text;
+homoglyphs become ASCII and invisible characters go, spelled IP addresses become written ones, "at"/"dot" disguises become ``@`` and ``.``, and
+runs of spelled digits become digits. The same detectors run on the source text (base spans) and on the rewritten text;
 what they find in the latter is mapped back and added unless a base span of its kind already covers it.
 """
 
@@ -92,7 +92,9 @@ def homoglyphs(text: str) -> list[tuple[int, int, str]]:
 # Words for the signs of an address.
 _AT, _DOT = "at|arroba", "dot|punkt|punto"
 _OPEN, _SHUT = r"[ \t]{0,3}[\[({<][ \t]{0,3}", r"[ \t]{0,3}[\])}>][ \t]{0,3}"
-_SIGNS = re.compile(rf"{_OPEN}(?:{_AT}|@|{_DOT}|\.){_SHUT}|[ \t]{{1,3}}(?:{_DOT})[ \t]{{1,3}}", re.I)
+_LITERAL_HOST = r"[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.([A-Za-z]{2,24})(?![A-Za-z0-9-])"
+_LITERAL_AT = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{{1,64}})(?:[ \t]{{1,3}}({_AT})[ \t]{{1,3}}|[ \t]{{1,3}}@[ \t]{{0,3}}|@[ \t]{{1,3}})(?={_LITERAL_HOST})", re.I)
+_SIGNS = re.compile(rf"{_OPEN}(?:{_AT}|@|{_DOT}|\.){_SHUT}|[ \t]{{1,3}}(?:{_DOT})[ \t]{{1,3}}|[ \t](?:(?:{_AT})[ \t]|@)[ \t]{{0,3}}[A-Za-z0-9-]{{1,63}}\.[A-Za-z0-9]|@[ \t]{{1,3}}[A-Za-z0-9-]{{1,63}}\.[A-Za-z0-9]", re.I)
 _BOXED = re.compile(rf"(?<=[A-Za-z0-9]){_OPEN}(?:({_AT}|@)|(?:{_DOT}|\.)){_SHUT}(?=[A-Za-z0-9])", re.I)
 _HOST = rf"[A-Za-z0-9-]{{1,63}}(?:(?:\.|[ \t]{{1,3}}(?:{_DOT})[ \t]{{1,3}})[A-Za-z0-9-]{{1,63}}){{0,8}}[ \t]{{1,3}}(?:{_DOT})[ \t]{{1,3}}[A-Za-z]{{2,24}}(?![A-Za-z0-9])"
 _SPACED_AT = re.compile(rf"(?<=[A-Za-z0-9])[ \t]{{1,3}}(?:{_AT}|@)[ \t]{{1,3}}(?={_HOST})", re.I)
@@ -111,6 +113,30 @@ def spaced_at(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), "@") for m in _SPACED_AT.finditer(text)]
 
 
+# Last labels of common hosts, and words that stand before "at" without being someone's name there.
+_TOP = frozenset("com org net edu gov mil int info biz name pro io co ai app dev tech cloud online site shop blog xyz tv me eu uk ie us ca mx br ar cl pe ve uy au nz in pk jp cn tw hk kr sg my id th vn ph ru ua by pl cz sk hu ro bg rs hr si gr tr il ae sa eg ma za ng ke de at ch li fr be nl lu es pt it se no dk fi is ee lv lt".split())
+_BEFORE_AT = frozenset("""a about account again all also am an and any anything anytime archive archives are around article articles as available be been book books both but by call can checked code com contact copies copy data details directly do docs documentation download downloads each email emails else every everything file files first for forum found free from full get go had has have he help her here him his home hosted how i if in info information is it items job jobs just kept later learn link links list live located look looked looking looks mail many materials me meet mirror month more most my news next no not now of off on online only or order other our out page pages paper photos please post posts prices project read release s see seen sell she shop shown sign site sites software some song sold source stay stop store stored stuff supported t team text than that the their them then there these they thing things this those time to today tool up us version video videos visit was watch we week well were what when where which who will with work works write year yet you your""".split())
+_ADDRESSED = re.compile(r"(?:e-?mails?|mail|write|contact|reach|ask|message|ping|address(?: is)?)(?: to)?:?[ \t]{1,3}$", re.I)
+
+
+def literal_at(text: str) -> list[tuple[int, int, str]]:
+    """``name at host.org`` and ``name @ host.org``: where the name is like no word, or the host's last label is a known one.
+
+    Before the word "at", a plain name must not be a word that prose has there.
+    """
+    edits = []
+    for m in _LITERAL_AT.finditer(text):
+        name, word, top = m[1], m[2], m[3]
+        like_no_word = name[0].isalnum() and name[-1].isalnum() and not name.isalpha()
+        known = top.lower() in _TOP and (top.islower() or name.isupper())
+        if word and known and not like_no_word:
+            low = name.lower()
+            known = name.isalpha() and low not in _BEFORE_AT and (not low.endswith(("ed", "ing")) or _ADDRESSED.search(text, max(0, m.start() - 20), m.start()) is not None)
+        if known or (like_no_word and (top.islower() or name.isupper()) and any(map(str.isalpha, name))):
+            edits.append((m.end(1), m.end(), "@"))
+    return edits
+
+
 def spaced_dots(text: str) -> list[tuple[int, int, str]]:
     """Spelled dots on either side of an ``@``."""
     near = [m.span() for p in (_SPACED_LOCAL, _SPACED_HOST) for m in p.finditer(text)]
@@ -143,6 +169,24 @@ def spelled_digits(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+_NUMBER = rf"(?:[0-9]{{1,3}}(?![0-9])|(?:{_WORD}|[0-9])(?:[ \t]{{1,3}}(?:{_WORD}|[0-9])(?!\w)|-(?:{_WORD}|[0-9])(?!\w)){{0,2}})"
+_IP_DOT = rf"(?:\.|{_OPEN}(?:{_DOT}|\.){_SHUT}|[ \t]{{1,3}}(?:{_DOT})[ \t]{{1,3}})"
+_SPELLED_IP = re.compile(rf"(?<![\w.])({_NUMBER}){_IP_DOT}({_NUMBER}){_IP_DOT}({_NUMBER}){_IP_DOT}({_NUMBER})(?!\w)", re.I)
+_IP_SIGN = re.compile(rf"{_OPEN}(?:{_DOT}|\.){_SHUT}|[ \t](?:{_DOT})[ \t]", re.I)
+_NUMBER_PIECE = re.compile(rf"{_WORD}|[0-9]", re.I)
+
+
+def spelled_ips(text: str) -> list[tuple[int, int, str]]:
+    """Four numbers up to 255, spelled by digits or written, joined by dots of which one at least is spelled or boxed."""
+    edits: list[tuple[int, int, str]] = []
+    if _IP_SIGN.search(text):
+        for m in _SPELLED_IP.finditer(text):
+            numbers = ["".join(_DIGIT.get(w.lower(), w) for w in _NUMBER_PIECE.findall(n)) for n in m.groups()]
+            if _IP_SIGN.search(m[0]) and all(int(n) <= 255 for n in numbers):
+                edits.append((m.start(), m.end(), ".".join(numbers)))
+    return edits
+
+
 class Rewritten:
     """A text after edits, with the way back from its offsets."""
 
@@ -174,7 +218,7 @@ class Rewritten:
         return at, at + 1
 
 
-TRANSDUCERS = (homoglyphs, boxed_signs, spaced_at, spaced_dots, spelled_digits)
+TRANSDUCERS = (homoglyphs, spelled_ips, boxed_signs, spaced_at, literal_at, spaced_dots, spelled_digits)
 
 
 def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

@@ -92,3 +92,39 @@ def test_frames(spark):
     assert sorted(str(r.text) for r in pii.redact(df).collect()) == ["", "None", "[PHONE]", "mail [EMAIL]", "mail [EMAIL]"]
     assert pii.redact(df).columns == df.columns
     assert pii.find_pii(df.limit(0)).count() == 0
+
+
+def test_spelled_ips_of_any_length():
+    forms = [
+        "eight dot eight dot eight dot eight",
+        "one zero dot zero dot zero dot one",
+        "one two seven dot zero dot zero dot one",
+        "192 dot 168 dot 1 dot 1",
+        "192 dot 168.1.1",
+        "192[.]168[.]one[dot]1",
+        "eight[.]eight (dot) eight[.]eight",
+        "two five five Dot 2 5 5 dot two-five-five dot 0",
+        "eins punkt null punkt 0 punkt eins",
+    ]
+    for x in forms:
+        assert found(f"is at {x}, so")[1] == [("ip", x)], x
+    assert found("ip eight dot eight dot eight dot eight")[1] == [("ip", "eight dot eight dot eight dot eight")]
+
+
+def test_at_before_a_literal_host():
+    for x in ("john at example.com", "john @ example.com", "john @example.com", "john@ example.com", "John.Doe at mail.example.co.uk", "j_doe7 at lab.museum", "john dot doe at example.com", "maria arroba ejemplo.es", "JOHN AT EXAMPLE.COM"):
+        assert found(f"write to {x}.")[1] == [("email", x)], x
+    assert found("mail ahmed at example.com")[1] == [("email", "ahmed at example.com")]
+
+
+def test_clean_prose_with_dots_and_at_stays_clean():
+    for t in (
+        "Look at example.com for more, or see us at shop.example.org.",
+        "The files are available at example.com and were published at example.net.",
+        "We met at home.It was late.",
+        "He was at sea.then he left; nine at night.",
+        "One. Two. Three. Four. And one dot, two dots.",
+        "Version one dot two dot three of it, 300 dot 1 dot 1 dot 1.",
+        "one dot two dot three hundred dot four",
+    ):
+        assert pii.find(t) == ([], []), t
