@@ -3,14 +3,19 @@
 A mask fixes which positions of a window of words count; the others may hold any word. The hash of the counting words
 joins windows of benchmark items with windows of documents. Around each hit the two texts are laid side by side at that
 shift and compared word by word, which tolerates substitutions.
+
+The masks miss no passage that counts. In one, more words agree than differ (PENALTY), and at least needed() agree. If
+no window of seven words held four that agree, then of L words at most 3 * (L // 7) + min(3, L % 7) would; for items
+of 17 words and more this is below max(LEAST, L / 2 + 1 / 2) at every L, for items of 5 to 16 words below needed(). So all
+ways to choose four of seven words are masks. Items of 3 and 4 words have to agree in three, shorter ones in all.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialize
 
-# 1 counts, 0 is ignored. Each mask has seven words that count.
-MASKS = ("1111111", "1101100111", "1110100110001", "1010011010101")
+#: Words that count in the masks of an item, by its length, and words that they are spread over at most.
+WEIGHT = {1: 1, 2: 2, 3: 3, 4: 3}
+HEAVY, SPREAD = 4, 7
+#: By the words that count, the masks: positions of these, the first 0.
+MASKS = {1: [(0,)], 2: [(0, 1)], 3: [(0, *m) for m in combinations(range(1, 4), 2)], HEAVY: [(0, *m) for m in combinations(range(1, SPREAD), HEAVY - 1)]}
 #: Words that have to agree in an aligned passage: this share of the item's, or LEAST words if that is less.
 SHARE, LEAST = 0.75, 13
 #: A word that differs costs as much as this many that agree when the aligned passage is chosen, so over half of a passage agrees.
@@ -29,9 +37,10 @@ PENALTY = 1
 #: Characters of benchmark texts that are broadcast at once; larger sets go in blocks of this size.
 BLOCK_CHARS = 4_000_000
 _WORD = re.compile(r"\w+")
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_FILTER = 1 << 20
+_ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
 WORDS = 500_000
+#: Words of documents that are searched at once, about.
+AT_ONCE = 200_000
 
 
 class Hashes(dict):
@@ -48,18 +57,18 @@ class Hashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def seeds(words: np.ndarray, mask: str) -> np.ndarray:
-    """Hash of each window of words under the mask."""
-    n = len(words) - len(mask) + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for j, keep in enumerate(mask):
-            if keep == "1":
-                h = (h ^ words[j : j + n]) * _ODD
-                h ^= h >> np.uint64(29)
-    return h
+def seeds(words: np.ndarray, weight: int) -> Iterator[tuple[tuple[int, ...], np.ndarray]]:
+    """Each mask of this weight with the hash of the words that count from each position on; past the end, words are 0."""
+    n, padded = len(words), np.append(words, np.zeros(SPREAD, np.uint64))
+    scaled = [padded * _ODD[k] for k in range(weight)]
+    part: dict[tuple[int, ...], np.ndarray] = {(0,): scaled[0][:n]}
+    for mask in MASKS[weight]:
+        # Masks are in order, so what two of them begin with is added up once.
+        for k in range(1, weight + 1):
+            if mask[:k] not in part:
+                part = {m: x for m, x in part.items() if len(m) < k}
+                part[mask[:k]] = part[mask[: k - 1]] + scaled[k - 1][mask[k - 1] : mask[k - 1] + n]
+        yield mask, part[mask]
 
 
 def aligned(item: np.ndarray, doc: np.ndarray, shift: int) -> tuple[int, int, int]:
@@ -83,50 +92,78 @@ def needed(n: int) -> int:
 
 
 class Index:
-    """Seed hashes of some benchmark items, sorted, with item and position; a bit table in front of them."""
+    """Seed hashes of some benchmark items, sorted, with their place in the items laid end to end; a bit table in front of them."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
         hashes = Hashes()
         self.items = [(k, hashes.of(t)) for k, t in items]
-        self.masks = []
-        for mask in MASKS:
-            made = [(seeds(w, mask), i) for i, (_, w) in enumerate(self.items)]
-            h = np.concatenate([s for s, _ in made]) if made else np.empty(0, np.uint64)
-            owner = np.concatenate([np.full(len(s), i) for s, i in made]) if made else np.empty(0, np.int64)
-            at = np.concatenate([np.arange(len(s)) for s, _ in made]) if made else np.empty(0, np.int64)
-            order = np.argsort(h, kind="stable")
-            bits = np.zeros(_FILTER, bool)
-            bits[(h & np.uint64(_FILTER - 1)).astype(np.int64)] = True
-            self.masks.append((mask, h[order], owner[order], at[order], bits))
-        # Items too short for a mask are compared whole.
-        self.short: dict[int, list[int]] = defaultdict(list)
-        for i, (_, w) in enumerate(self.items):
-            if 0 < len(w) < min(map(len, MASKS)):
-                self.short[int(w[0])].append(i)
+        size = np.fromiter((len(w) for _, w in self.items), np.int64, len(self.items))
+        self.size, self.start = size, np.cumsum(size) - size
+        self.words = np.concatenate([*(w for _, w in self.items), np.empty(0, np.uint64)])
+        self.needed = np.fromiter(map(needed, size.tolist()), np.int64, len(size))
+        owner = np.repeat(np.arange(len(size)), size)
+        room = size[owner] - (np.arange(len(owner)) - self.start[owner])
+        weight = np.array([WEIGHT.get(n, HEAVY) for n in size.tolist()], np.int64)[owner]
+        self.masks: dict[int, dict[tuple[int, ...], tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for k in np.unique(weight).tolist():
+            self.masks[k] = {}
+            for mask, h in seeds(self.words, k):
+                at = np.flatnonzero((weight == k) & (room > mask[-1]))
+                at = at[np.argsort(h[at], kind="stable")].astype(np.int32)
+                bits = np.zeros(1 << min(24, max(16, (32 * len(at)).bit_length())), bool)
+                bits[(h[at] & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+                self.masks[k][mask] = h[at], at, bits
 
     def search(self, doc: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item id, agreeing words, start, end in words) of the best passage for each item that doc holds."""
-        tried: set[tuple[int, int]] = set()
-        for mask, h, owner, at, bits in self.masks:
-            own = seeds(doc, mask)
-            pos = np.flatnonzero(bits[(own & np.uint64(_FILTER - 1)).astype(np.int64)])
-            if not len(pos) or not len(h):
-                continue
-            lo = np.searchsorted(h, own[pos], "left")
-            hi = np.searchsorted(h, own[pos], "right")
-            for p, a, b in zip(pos[lo < hi].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True):
-                tried.update((int(owner[k]), p - int(at[k])) for k in range(a, b))
-        if self.short:
-            firsts = np.fromiter(self.short, np.uint64, len(self.short))
-            for p in np.flatnonzero(np.isin(doc, firsts)).tolist():
-                tried.update((i, p) for i in self.short[int(doc[p])] if np.array_equal(doc[p : p + len(self.items[i][1])], self.items[i][1]))
-        best: dict[int, tuple[int, int, int]] = {}
-        for i, shift in sorted(tried):
-            item = self.items[i][1]
-            n, start, end = aligned(item, doc, shift)
-            if n >= needed(len(item)) and n > best.get(i, (0,))[0]:
-                best[i] = (n, start, end)
-        return [(self.items[i][0], *best[i]) for i in sorted(best)]
+        return [m[1:] for m in self.search_all([doc])]
+
+    def search_all(self, docs: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
+        """The same for several documents, with the number of the document first."""
+        size = np.fromiter(map(len, docs), np.int64, len(docs))
+        start, words = np.cumsum(size) - size, np.concatenate([*docs, np.empty(0, np.uint64)])
+        end = np.cumsum(size)
+        tried = [np.empty((3, 0), np.int64)]
+        for weight, masks in self.masks.items():
+            for mask, own in seeds(words, weight):
+                h, at, bits = masks[mask]
+                pos = np.flatnonzero(bits[(own & np.uint64(len(bits) - 1)).astype(np.int64)])
+                lo, hi = np.searchsorted(h, own[pos], "left"), np.searchsorted(h, own[pos], "right")
+                of = np.searchsorted(end, pos, "right")
+                hit = np.flatnonzero((lo < hi) & (pos + mask[-1] < end[np.minimum(of, len(end) - 1)]))
+                if len(hit):
+                    n = (hi - lo)[hit]
+                    place = at[np.arange(n.sum()) + np.repeat(lo[hit] - (np.cumsum(n) - n), n)].astype(np.int64)
+                    item = np.searchsorted(self.start + self.size, place, "right")
+                    k = np.repeat(of[hit], n)
+                    tried.append(np.unique(np.stack([k, item, np.repeat(pos[hit], n) - start[k] - (place - self.start[item])]), axis=1))
+        doc, item, shift = np.unique(np.concatenate(tried, axis=1), axis=1)
+        out: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for c in range(0, len(doc), 4096):
+            # Where not enough words agree at this shift in all, no passage can.
+            d, i, s = doc[c : c + 4096], item[c : c + 4096], shift[c : c + 4096]
+            lo, hi = np.maximum(0, -s), np.minimum(self.size[i], size[d] - s)
+            n = hi - lo
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            same = self.words[within + np.repeat(self.start[i] + lo, n)] == words[within + np.repeat(start[d] + s + lo, n)]
+            enough = np.add.reduceat(same, np.cumsum(n) - n, dtype=np.int64) >= self.needed[i]
+            for k, j, at in zip(d[enough].tolist(), i[enough].tolist(), s[enough].tolist(), strict=True):
+                found, first, last = aligned(self.items[j][1], docs[k], at)
+                if found >= self.needed[j] and found > out.get((k, j), (0,))[0]:
+                    out[k, j] = (found, first, last)
+        return [(k, self.items[j][0], *out[k, j]) for k, j in sorted(out)]
+
+
+def portions(texts: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Texts in turn in groups of about AT_ONCE words, with the number of the first of each."""
+    first, n = 0, 0
+    for k, t in enumerate(texts):
+        if n and n + len(t) > AT_ONCE:
+            yield first, texts[first:k]
+            first, n = k, 0
+        n += len(t)
+    if first < len(texts):
+        yield first, texts[first:]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -150,7 +187,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         def batches(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index, hashes = Index(shared.value), Hashes()
             for b in it:
-                hits = [(d, *m) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for m in index.search(hashes.of(t))]
+                ids, texts = b.column(0).to_pylist(), [hashes.of(t) for t in b.column(1).to_pylist()]
+                hits = [(ids[first + m[0]], *m[1:]) for first, part in portions(texts) for m in index.search_all(part)]
                 yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in hits], f.type) for i, f in enumerate(out)], schema=out)
 
         part = rows.mapInArrow(batches, "id long, item long, words int, start int, end int")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from itertools import combinations
 
 from gridwise.llm import decontaminate as de
 
@@ -65,3 +66,37 @@ def test_masks_find_two_substitutions_in_a_short_item():
             doc[[i, j]] = rnd.getrandbits(60)
             missed += not index.search(doc) and (i - j > 1)
     assert missed <= 10
+
+
+def test_masks_miss_nothing_that_counts():
+    rnd = random.Random(3)
+    fresh = lambda n: [f"x{rnd.getrandbits(50)}" for _ in range(n)]
+    for n in range(1, 26):
+        items = [(1, " ".join(fresh(n)))]
+        index, words = de.Index(items), items[0][1].split()
+        docs = []
+        # Every placement of the substitutions allowed in a whole short item, and any others in longer ones.
+        off = n - de.needed(n)
+        placed = list(combinations(range(n), off)) if n <= 16 else []
+        placed += [rnd.sample(range(n), rnd.randint(0, min(n, off + 2))) for _ in range(200)]
+        for places in placed:
+            own = [f"y{k}" if k in places else w for k, w in enumerate(words)]
+            docs.append((len(docs), " ".join(rnd.choice([own, [*fresh(5), *own, *fresh(9)], [*own, *fresh(3)]]))))
+        hashes = de.Hashes()
+        got = {(d, m[0]) for d, t in docs for m in index.search(hashes.of(t))}
+        assert got == slide(docs, items), n
+        assert {(m[0], m[1]) for m in index.search_all([hashes.of(t) for _, t in docs])} == got
+
+
+def test_masks_miss_nothing_in_part_of_a_long_item():
+    rnd = random.Random(4)
+    item = [f"a{i}" for i in range(45)]
+    items, docs = [(1, " ".join(item))], []
+    for share in (0.45, 0.5, 0.55, 0.6):
+        docs += [(len(docs) + k, " ".join(w if rnd.random() < share else "other" for w in item)) for k in range(150)]
+    # Every second word agrees, and pairs of words.
+    docs += [(1000, " ".join(w if k % 2 == 0 else "other" for k, w in enumerate(item[:25]))), (1001, " ".join(w if k % 4 < 2 else "other" for k, w in enumerate(item[:30])))]
+    index, hashes = de.Index(items), de.Hashes()
+    want = slide(docs, items)
+    assert {(1000, 1), (1001, 1)} <= want and 100 < len(want) < len(docs)
+    assert {(d, m[0]) for d, t in docs for m in index.search(hashes.of(t))} == want
