@@ -22,8 +22,10 @@ from .common import bounded_batches, materialize
 TRAIN_DOCS, ROUNDS, LANGS = 20_000, 3, 256
 #: No piece has a smaller probability than this.
 FLOOR = 1e-8
-#: Longer words go through a slower forward pass that rescales, as plain products would get too small.
+#: Longer words go through slower passes that rescale, as plain products would get too small.
 LONG = 30
+#: Positions of a long word whose probabilities are held at once in learning; the others are worked out again.
+WINDOW = 4096
 #: Words whose likelihoods a worker remembers.
 MEMO = 400_000
 WORD_START = "▁"
@@ -147,7 +149,15 @@ class Lattice:
         return scale
 
     def expected(self, words: list[str], counts: np.ndarray, theta: np.ndarray) -> np.ndarray:
-        """Expected counts of the pieces (pieces x languages) in short words with these counts (words x languages)."""
+        """Expected counts of the pieces (pieces x languages) in words with these counts (words x languages)."""
+        out = np.zeros_like(theta)
+        for i, w in enumerate(words):
+            if len(w) > LONG:
+                self.expected_long(w, counts[i], theta, out)
+        short = [i for i, w in enumerate(words) if len(w) <= LONG]
+        if not short:
+            return out
+        words, counts = [words[i] for i in short], counts[short]
         e, alpha, size = self.forward(words, theta)
         w, a, b, piece = e
         beta = np.zeros_like(alpha)
@@ -163,17 +173,52 @@ class Lattice:
                 beta[we[lo:hi][first], start] = np.add.reduceat(beta[we[lo:hi], be[lo:hi]] * theta[pe[lo:hi]], first, axis=0)
         whole = alpha[rows, size]
         share = alpha[w, a] * theta[piece] * beta[w, b] / whole[w] * counts[w]
-        out = np.zeros_like(theta)
         np.add.at(out, piece, share)
         return out
 
+    def expected_long(self, word: str, count: np.ndarray, theta: np.ndarray, out: np.ndarray) -> None:
+        """Add one long word's expected counts to out. Probabilities are logarithms, held for a WINDOW of positions at a time."""
+        text, width = WORD_START + word, max(map(len, self.ids), default=1)
+        size = len(text)
+
+        def pieces(places: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+            """The other ends and the pieces of (start, end, other end)."""
+            found = [(o, p) for a, b, o in places if (p := self.ids.get(text[a:b], self.unknown if b == a + 1 else None)) is not None]
+            return np.array([o for o, _ in found]), np.array([p for _, p in found])
+
+        def forward(lo: int, hi: int, before: np.ndarray) -> np.ndarray:
+            """Positions lo - width to hi from those up to lo."""
+            rows = np.concatenate([before, np.empty((hi - lo, theta.shape[1]))])
+            for end in range(lo + 1, hi + 1):
+                at, piece = pieces([(end - n, end, end - n) for n in range(1, min(width, end) + 1)])
+                k, last = at - lo + width, end - 1 - lo + width
+                rows[last + 1] = rows[last] + np.log((np.exp(rows[k] - rows[last]) * theta[piece]).sum(axis=0))
+            return rows
+
+        cuts = list(range(0, size, WINDOW))
+        held = [np.zeros((width + 1, theta.shape[1]))]  # before each window
+        for lo in cuts:
+            rows = forward(lo, min(size, lo + WINDOW), held[-1])
+            held.append(rows[-width - 1 :])
+        whole, after = held.pop()[-1], np.zeros((width + 1, theta.shape[1]))
+        for lo in reversed(cuts):
+            hi = min(size, lo + WINDOW)
+            alpha = forward(lo, hi, held.pop())[width:]
+            beta = np.concatenate([np.empty((hi - lo, theta.shape[1])), after])
+            for start in range(hi - 1, lo - 1, -1):
+                at, piece = pieces([(start, start + n, start + n) for n in range(1, min(width, size - start) + 1)])
+                k, last = at - lo, start + 1 - lo
+                beta[start - lo] = beta[last] + np.log((np.exp(beta[k] - beta[last]) * theta[piece]).sum(axis=0))
+                np.add.at(out, piece, np.exp(alpha[start - lo] + beta[k] - whole) * theta[piece] * count)
+            after = beta[: width + 1]
+
 
 def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
 def word_counts(train: DataFrame, langs: list[str]) -> DataFrame:
-    """(word, counts): how often each word of at most LONG characters occurs in each language's texts."""
+    """(word, counts): how often each word occurs in each language's texts."""
     bounded_batches(train.sparkSession)
     at = {x: i for i, x in enumerate(langs)}
     out = pa.schema([("word", pa.string()), ("lang", pa.int32()), ("n", pa.int64())])
@@ -185,7 +230,7 @@ def word_counts(train: DataFrame, langs: list[str]) -> DataFrame:
             n: Counter = Counter()
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 k = at[lang]
-                n.update((w, k) for w in words_of(text) if len(w) <= LONG)
+                n.update((w, k) for w in words_of(text))
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in n], pa.string()), pa.array([k for _, k in n], pa.int32()), pa.array(list(n.values()), pa.int64())], schema=out)
 
     rows = train.select("lang", "text").mapInArrow(batches, "word string, lang int, n long")

@@ -75,3 +75,32 @@ def test_corners(spark):
     assert langid.fit(df.where(F.lit(False))) is None
     assert {r.lang_pred for r in langid.predict(df, None).collect()} == {"und"}
     assert langid.predict(df.limit(0), model).count() == 0
+
+
+def test_long_words_are_learned_from(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    from gridwise.llm import langid
+
+    rnd = random.Random(5)
+    lattice = langid.Lattice(["a", "b", "ab", "ba", "aab", "▁", "▁a"])
+    theta = np.random.default_rng(5).uniform(0.01, 0.3, (8, 2))
+    words = ["".join(rnd.choice("abx") for _ in range(rnd.randint(1, 28))) for _ in range(20)]
+    counts = np.random.default_rng(6).uniform(0, 3, (20, 2))
+    want = lattice.expected(words, counts, theta)
+    for window in (3, 4, 4096):
+        monkeypatch.setattr(langid, "WINDOW", window)
+        got = np.zeros_like(theta)
+        for w, c in zip(words, counts, strict=True):
+            lattice.expected_long(w, c, theta, got)
+        assert np.allclose(got, want)
+    # Two languages without blanks.
+    syllables = {"p": ["ko", "ta", "mi"], "q": ["str", "ung", "elz"]}
+    text = lambda x: "".join(rnd.choice(syllables[x]) for _ in range(40))
+    rows = [(i, text(x), x) for i, x in enumerate("pq" * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df.where("doc_id < 30"))
+    got = {r.doc_id: r.lang_pred for r in langid.predict(df, model).collect()}
+    assert got == {i: x for i, _, x in rows}
