@@ -141,3 +141,16 @@ def test_overlap_add_keeps_a_constant(spark):
     w = spark.range(2).selectExpr("id * 4 AS row0", "0 AS col0").crossJoin(spark.range(64).selectExpr("CAST(id / 8 AS INT) AS row", "CAST(id % 8 AS INT) AS col")).withColumn("k", F.lit(1)).withColumn("p", F.lit(0.7))
     got = raster.overlap_add(w, 8, ["k"]).collect()
     assert len(got) == 96 and all(abs(r.p - 0.7) < 1e-12 for r in got)
+
+
+def test_chain_among_many_points():
+    rng = np.random.default_rng(1)
+    found = 0
+    for seed in range(10):
+        line = np.stack([300.0 * np.arange(8), np.zeros(8)], axis=1)
+        others = rng.uniform(-30000, 30000, (150, 2))
+        # None in the line's corridor, where one far off would be a hole in the chain.
+        others[:, 1] += np.where(others[:, 1] < 0, -100, 100)
+        points = np.concatenate([line, others])
+        found += any(set(range(8)) <= set(m.tolist()) for m, _ in chains.fit(points, seed))
+    assert found >= 9
