@@ -9,7 +9,11 @@ table; the target is a part of it), counted over all rows. A text is the words b
 How it runs: documents are dealt into blocks by a hash of their id. A block sorts the hashes of its distinct n-grams and
 sends their counts, cut into ranges of the hash; each range adds up the counts of all blocks and sends every block
 those of its own n-grams, in the same order. The block then scores its documents. Hashes and counts travel packed,
-and no task holds more than a block or a range; both grow in number, not in size, with the corpus.
+and no task holds more than a block or a range; both grow in number, not in size, with the corpus. A block sends to FANOUT
+ranges at most: beyond, groups of blocks first add up what they hold of a coarse range, and the sums go on to the ranges.
+
+Rows without words need no block. Ids with so much text that they would fill a block (null is one) are dealt by their
+texts and the partitions that they are read in.
 """
 
 from __future__ import annotations
@@ -24,12 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, materialize
 
 #: Pseudo-counts of the unigram and bigram models.
 MU, BETA = 1000.0, 2.0
 #: Characters in a block, about.
 BLOCK_CHARS = 8_000_000
+#: Ranges that a block sends packets to without a step between.
+FANOUT = 1024
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Hashes that no word has: marks of the start and the end of a text.
 START, END = np.uint64(0x5354415254000001), np.uint64(0x454E440000000001)
@@ -50,31 +56,46 @@ def pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """The documents of a block as hashes: predicted words (each text's and its end mark) and the words before them."""
+    """The documents of a block: sorted hashes of their distinct n-grams, and where in these each predicted word is.
+
+    A text's predicted words are its own and its end mark; a text without words has none.
+    """
 
     def __init__(self, texts: list[str | None]):
         split = [words(t) for t in texts]
-        seen: dict[bytes, int] = {}
-        for doc in split:
-            for w in doc:
-                if w not in seen:
-                    seen[w] = xxhash.xxh64_intdigest(w)
-        #: Predicted words of each text; a text without words has none and no end mark either.
         self.sizes = np.array([len(d) + 1 if d else 0 for d in split], np.int64)
-        ends = np.cumsum(self.sizes)
-        self.starts = ends - self.sizes
-        self.word = np.full(int(self.sizes.sum()), END, np.uint64)
-        inner = np.ones(len(self.word), bool)
-        inner[ends[self.sizes > 0] - 1] = False
-        self.word[inner] = np.fromiter((seen[w] for d in split for w in d), np.uint64, int(inner.sum()))
-        self.before = np.empty_like(self.word)
-        self.before[1:] = self.word[:-1]
-        self.before[self.starts[self.sizes > 0]] = START
-        self.bigram = pair(self.before, self.word)
-
-    def grams(self) -> np.ndarray:
-        """Words, start marks and bigrams, with repeats."""
-        return np.concatenate([self.word, np.full(int((self.sizes > 0).sum()), START), self.bigram])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        full = self.sizes > 0
+        # Numbers of the words as they come, after those of the two marks.
+        seen: dict[bytes, int] = {}
+        number = seen.setdefault
+        word = np.ones(int(self.sizes.sum()), np.int64)
+        inner = np.ones(len(word), bool)
+        inner[(self.starts + self.sizes)[full] - 1] = False
+        word[inner] = np.fromiter((number(w, len(seen) + 2) for d in split for w in d), np.int64, int(inner.sum()))
+        before = np.empty_like(word)
+        before[1:] = word[:-1]
+        before[self.starts[full]] = 0
+        hashes = np.concatenate([np.array([START, END]), np.fromiter(map(xxhash.xxh64_intdigest, seen), np.uint64, len(seen))])
+        pairs, at = np.unique(before * len(hashes) + word, return_inverse=True)
+        bigrams = pair(hashes[pairs // len(hashes)], hashes[pairs % len(hashes)])
+        self.hashes, place = np.unique(np.concatenate([hashes, bigrams]), return_inverse=True)
+        self.word, self.before, self.bigram = place[word], place[before], place[len(hashes) + at]
+        self.start = place[0]
+
+    def counts(self, own: np.ndarray) -> np.ndarray:
+        """How often each n-gram is in the texts that own marks; a context counts as often as a text or a word begins with it."""
+        marks = np.repeat(own, self.sizes)
+        n = np.bincount(self.word[marks], minlength=len(self.hashes)) + np.bincount(self.bigram[marks], minlength=len(self.hashes))
+        n[self.start] += int((own & (self.sizes > 0)).sum())
+        return n
+
+    def sums(self, each: np.ndarray) -> np.ndarray:
+        """Sum over the predicted words of each text."""
+        out, full = np.zeros(len(self.sizes)), self.sizes > 0
+        if full.any():
+            out[full] = np.add.reduceat(each, self.starts[full])
+        return out
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -96,18 +117,75 @@ def span(hashes: np.ndarray, ranges: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
+def packets(hashes: np.ndarray, counts: dict[str, np.ndarray], ranges: int) -> dict[str, object]:
+    """Columns range, hashes and counts of the packets that sorted hashes are cut into, one for each range that has any."""
+    which = span(hashes, ranges)
+    cuts = np.flatnonzero(np.diff(which, prepend=-1))
+    bounds = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(hashes)], strict=True)) if len(cuts) else []
+    return {"range": which[cuts], "hashes": [pack(steps(hashes[a:b])) for a, b in bounds]} | {c: [pack(n[a:b]) for a, b in bounds] for c, n in counts.items()}
+
+
+def opened(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """Of all packets: distinct hashes, where in these each packet's hashes are, where packets end, and the summed counts."""
+    each = [np.cumsum(unpack(h), dtype=np.uint64) for h in pdf.hashes]
+    hashes, at = np.unique(np.concatenate(each), return_inverse=True)
+    sums = {c: np.bincount(at, weights=np.concatenate([unpack(x) for x in pdf[c]])) for c in COUNTS}
+    return hashes, at, np.cumsum([len(h) for h in each]), sums
+
+
+def answers(pdf: pd.DataFrame, at: np.ndarray, ends: np.ndarray, sums: dict[str, np.ndarray]) -> pd.DataFrame:
+    """(block, range, counts) that go back for each packet."""
+    return pd.DataFrame({"block": pdf.block, "range": pdf.range} | {c: [pack(p) for p in np.split(n[at], ends[:-1])] for c, n in sums.items()})
+
+
+COUNTS = ("all", "own")
+_BACK = "block long, range long, all binary, own binary"
+
+
+def exchange(sent: DataFrame, step: int, ranges: int) -> DataFrame:
+    """(block, range, all, own): for each packet (block, range, hashes, all, own) the counts of its hashes over all blocks.
+
+    The packets are cut into ranges / step coarse ranges. With step > 1, as many blocks as there are coarse ranges are a
+    group, which adds up a coarse range's packets and sends the sums to its step ranges.
+    """
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, at, ends, sums = opened(pdf)
+        return answers(pdf, at, ends, sums)
+
+    if step == 1:
+        return sent.groupBy("range").applyInPandas(add, _BACK)
+    coarse = ranges // step
+    grouped = sent.withColumn("group", F.floor(F.col("block") / coarse)).groupBy("group", "range")
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        hashes, _, _, sums = opened(pdf)
+        return pd.DataFrame({"block": pdf.group.iloc[0]} | packets(hashes, sums, ranges))
+
+    def spread(pdf: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+        _, at, ends, _ = opened(pdf)
+        back = back.sort_values("fine")
+        return answers(pdf, at, ends, {c: np.concatenate([unpack(x) for x in back[c]]) for c in COUNTS})
+
+    summed = grouped.applyInPandas(merge, "block long, range long, hashes binary, all binary, own binary")
+    back = summed.groupBy("range").applyInPandas(add, _BACK)
+    back = back.select(F.col("block").alias("group"), F.floor(F.col("range") / step).alias("range"), F.col("range").alias("fine"), *COUNTS)
+    return grouped.cogroup(back.groupBy("group", "range")).applyInPandas(spread, _BACK)
+
+
 def target_ids(labels: DataFrame) -> DataFrame:
     """Ids of the target corpus: documents labelled as good."""
     return labels.where("quality = 1").select("doc_id").distinct()
 
 
-def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, fanout: int = FANOUT) -> DataFrame:
     """(id, n_tokens, ce_target, ce_background, score) per row.
 
     target has the ids of the target corpus, a part of docs; repeated ids in it count once. The cross-entropies are
     natural logarithms per predicted word (the end mark is one), 6 places; score is the target's less the background's,
     so low is like the target. Null, empty and blank texts have no tokens and null scores. Repeated rows count and come
-    out repeatedly. Rows with a null id are background. Other columns are dropped. Without a target corpus the target model is the background's unigram.
+    out repeatedly. Rows with a null id are background. Other columns are dropped, whatever their names. Without a target
+    corpus the target model is the background's unigram. An empty table gives no rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -123,67 +201,46 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x + 1 if x else 0 for x in n], pa.int64()), pa.array([len(t or "") for t in texts], pa.int64())], schema=out)
 
     per = rows.mapInArrow(sizes, "id long, n long, chars long").groupBy("id").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
-    total = per.join(ids, per.id == ids.k, "left").agg(F.sum("n"), F.sum(F.when(F.col("k").isNotNull(), F.col("n")).otherwise(0)), F.sum("chars")).first()
-    n_b, n_t, chars = (int(x or 0) for x in total)
+    per = materialize(per.join(ids, per.id == ids.k, "left").select("id", "n", "chars", F.col("k").isNotNull().alias("own")), "sizes")
+    n_b, n_t, chars = (int(x or 0) for x in per.agg(F.sum("n"), F.sum(F.when(F.col("own"), F.col("n")).otherwise(0)), F.sum("chars")).first())
     blocks = max(1, math.ceil(chars / block_chars))
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).alias("block")
-    dealt = rows.select(block("id"), "id", "text").groupBy("block")
-    marked = ids.select(block("k"), "k").groupBy("block")
+    step = 1 if blocks <= fanout else math.ceil(math.sqrt(blocks))
+    ranges = math.ceil(blocks / step) * step
+    # At most four for each block, so these may be sent to every task.
+    heavy = per.where(F.col("id").isNull() | (F.col("chars") * 4 > block_chars)).select(F.col("id").alias("h"), F.col("own").alias("own_"), F.lit(True).alias("heavy"))
+    deal = lambda *c: F.pmod(F.xxhash64(*c), F.lit(blocks)).alias("block")
+    worded = rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).join(F.broadcast(heavy), F.col("id").eqNullSafe(F.col("h")), "left")
+    spread = F.when(F.col("heavy"), deal("id", "text", F.spark_partition_id())).otherwise(deal("id")).alias("block")
+    dealt = worded.select(spread, "id", "text", F.coalesce("own_", F.lit(False)).alias("own")).groupBy("block")
+    marked = ids.select(deal("k"), "k").groupBy("block")
 
     def send(docs: pd.DataFrame, target: pd.DataFrame) -> pd.DataFrame:
         if not len(docs):
-            return pd.DataFrame({"range": [], "block": [], "hashes": [], "all": [], "own": []})
+            return pd.DataFrame({"block": [], "range": [], "hashes": [], "all": [], "own": []})
         made = Block(docs.text.tolist())
-        own = np.isin(docs.id.fillna(-1).to_numpy(np.int64), target.k.to_numpy(np.int64)) & docs.id.notna().to_numpy()
-        marks = np.concatenate([np.repeat(own, made.sizes), own[made.sizes > 0], np.repeat(own, made.sizes)])
-        hashes, at = np.unique(made.grams(), return_inverse=True)
-        n_all, n_own = np.bincount(at, minlength=len(hashes)), np.bincount(at[marks], minlength=len(hashes))
-        which = span(hashes, blocks)
-        cuts = np.flatnonzero(np.diff(which, prepend=-1))
-        bounds = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(hashes)], strict=True)) if len(cuts) else []
-        return pd.DataFrame(
-            {
-                "range": which[cuts],
-                "block": np.full(len(cuts), docs.block.iloc[0]),
-                "hashes": [pack(steps(hashes[a:b])) for a, b in bounds],
-                "all": [pack(n_all[a:b]) for a, b in bounds],
-                "own": [pack(n_own[a:b]) for a, b in bounds],
-            }
-        )
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes = np.concatenate([np.cumsum(unpack(h), dtype=np.uint64) for h in pdf.hashes])
-        _, at = np.unique(hashes, return_inverse=True)
-        made = {}
-        for c in ("all", "own"):
-            made[c] = np.bincount(at, weights=np.concatenate([unpack(x) for x in pdf[c]]))[at]
-        cuts = np.cumsum([len(h) // 8 for h in pdf.hashes])
-        return pd.DataFrame({"block": pdf.block, "range": pdf.range} | {c: [pack(p) for p in np.split(v, cuts[:-1])] for c, v in made.items()})
+        own = docs.own.to_numpy(bool) | (np.isin(docs.id.fillna(-1).to_numpy(np.int64), target.k.to_numpy(np.int64)) & docs.id.notna().to_numpy())
+        counts = {"all": made.counts(np.ones(len(own), bool)), "own": made.counts(own)}
+        return pd.DataFrame({"block": docs.block.iloc[0]} | packets(made.hashes, counts, ranges // step))
 
-    packed = dealt.cogroup(marked).applyInPandas(send, "range long, block long, hashes binary, all binary, own binary")
-    counts = packed.groupBy("range").applyInPandas(add, "block long, range long, all binary, own binary").groupBy("block")
+    sent = dealt.cogroup(marked).applyInPandas(send, "block long, range long, hashes binary, all binary, own binary")
+    counts = exchange(sent, step, ranges).groupBy("block")
 
     def judge(docs: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         made = Block(docs.text.tolist())
-        hashes = np.unique(made.grams())
         counts = counts.sort_values("range")
-        n = {c: np.concatenate([unpack(x) for x in counts[c]]).astype(float) if len(counts) else np.empty(0) for c in ("all", "own")}
-        place = lambda h: np.searchsorted(hashes, h)
-        w, v, vw = place(made.word), place(made.before), place(made.bigram)
-        p_b = n["all"][w] / max(n_b, 1)
-        p_t = (n["own"][w] + MU * p_b) / (n_t + MU)
-        loss = {}
+        n = {c: np.concatenate([unpack(x) for x in counts[c]]).astype(float) for c in COUNTS}
+        p_b = n["all"] / max(n_b, 1)
+        p_t = (n["own"] + MU * p_b) / (n_t + MU)
+        ce = {}
         for c, p in (("all", p_b), ("own", p_t)):
-            each = -np.log((n[c][vw] + BETA * p) / (n[c][v] + BETA))
-            with np.errstate(invalid="ignore", divide="ignore"):
-                loss[c] = np.array([each[a : a + k].sum() for a, k in zip(made.starts, made.sizes, strict=True)]) / made.sizes if len(each) else np.full(len(docs), np.nan)
-        none = made.sizes == 0
-        ce_t, ce_b = (pd.Series(loss[c], index=docs.index).mask(none) for c in ("own", "all"))
-        return pd.DataFrame({"id": docs.id, "n_tokens": made.sizes, "ce_target": ce_t.round(6), "ce_background": ce_b.round(6), "score": (ce_t - ce_b).round(6)})
-
-    scored = dealt.cogroup(counts).applyInPandas(lambda d, c: judge(d, c) if len(d) else pd.DataFrame({"id": [], "n_tokens": [], "ce_target": [], "ce_background": [], "score": []}), "id long, n_tokens long, ce_target double, ce_background double, score double")
-    clean = [F.when(F.isnan(c), None).otherwise(F.col(c)).alias(c) for c in ("ce_target", "ce_background", "score")]
-    return scored.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_tokens", *clean)
+            each = -np.log((n[c][made.bigram] + (BETA * p)[made.word]) / (n[c] + BETA)[made.before])
+            ce[c] = made.sums(each) / made.sizes
+        return pd.DataFrame({"id": docs.id, "n_tokens": made.sizes, "ce_target": ce["own"].round(6), "ce_background": ce["all"].round(6), "score": (ce["own"] - ce["all"]).round(6)})
+
+    none = {c: [] for c in ("id", "n_tokens", "ce_target", "ce_background", "score")}
+    scored = dealt.cogroup(counts).applyInPandas(lambda d, c: judge(d, c) if len(d) else pd.DataFrame(none), "id long, n_tokens long, ce_target double, ce_background double, score double")
+    blank = rows.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).selectExpr("id", "0L AS n_tokens", *(f"CAST(NULL AS DOUBLE) AS {c}" for c in ("ce_target", "ce_background", "score")))
+    return scored.unionByName(blank).withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)
 
 
 #: The same scores in SQL, for the tables documents and labels.

@@ -18,10 +18,11 @@ def frames(spark, docs, good):
 DOCS = [(i, " ".join(f"w{(i * j) % 23}" for j in range(i % 40))) for i in range(150)] + [(200, None), (201, " \t "), (202, "A a\x0bB\nb"), (203, "a\xa0b a")]
 
 
-@pytest.mark.parametrize("chars", [10**9, 300])
-def test_against_sql(spark, chars):
+@pytest.mark.parametrize(("chars", "fanout"), [(10**9, 1024), (300, 1024), (300, 5)])
+def test_against_sql(spark, chars, fanout):
+    """In one block, in many, and in many with a step between the blocks and the ranges."""
     d, l = frames(spark, DOCS, [*range(0, 150, 3), 202, 202])
-    got = lm_score.score(d, lm_score.target_ids(l), block_chars=chars).toPandas()
+    got = lm_score.score(d, lm_score.target_ids(l), block_chars=chars, fanout=fanout).toPandas()
     c = duckdb.connect()
     c.register("documents", d.toPandas())
     c.register("labels", l.toPandas())
@@ -45,4 +46,8 @@ def test_corners(spark):
     d, l = frames(spark, [(1, "a b"), (1, "a b"), (None, "a"), (2, None)], [])
     got = lm_score.score(d, lm_score.target_ids(l)).collect()
     assert sorted(str((r.doc_id, r.n_tokens, r.score is None)) for r in got) == ["(1, 3, False)", "(1, 3, False)", "(2, 0, True)", "(None, 2, False)"]
+    # A null id with much text is dealt over several blocks; an id with much text keeps its mark.
+    d, l = frames(spark, [(None, f"a b{i}") for i in range(40)] + [(5, f"a c{i}") for i in range(40)], [5])
+    few, many = (sorted(map(str, lm_score.score(d, lm_score.target_ids(l), block_chars=n).collect())) for n in (10**9, 30))
+    assert few == many and len(few) == 80
     assert lm_score.score(d.limit(0), lm_score.target_ids(l)).count() == 0
