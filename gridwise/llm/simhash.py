@@ -26,7 +26,9 @@ from .common import map_columns, materialize
 
 BITS = 64
 #: Fingerprints below a node of the last level that Spark lays out, about, and the deepest such level.
-LEAVES, DEEPEST = 4096, 20
+LEAVES, DEEPEST = 4096, 32
+#: A key is frequent if it has more than HOT rows and more than one row in HOT_SHARE, so HOT_SHARE keys are frequent at most.
+HOT, HOT_SHARE = 256, 100_000
 #: Pairs of nodes looked at together in a traversal.
 AT_ONCE = 1 << 18
 #: Below this many pairs of fingerprints, a pair of nodes is compared fingerprint by fingerprint.
@@ -212,6 +214,21 @@ def links(distinct: DataFrame, budget: int = 2, leaves: int = LEAVES) -> DataFra
     return rows.groupBy("p", "q").applyInPandas(subtrees, "a long, b long")
 
 
+def look_up(rows: DataFrame, table: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
+    """rows with the columns of table that has the same key, which is unique there; sizes has each key's number of rows in n.
+
+    Frequent keys, at most HOT_SHARE of them, are sent to every task, so their rows are not shuffled into one.
+    """
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    hot = materialize(sizes.where(F.col("n") > max(HOT, total / HOT_SHARE)).select(F.col(key).alias("hot_key")), "hot")
+    own = table.withColumnRenamed(key, "own_key")
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left")
+    few = own.join(F.broadcast(hot), F.col("own_key") == F.col("hot_key"), "left_semi")
+    often = marked.where("hot_key IS NOT NULL").join(F.broadcast(few), F.col(key) == F.col("own_key"), "left")
+    seldom = marked.where("hot_key IS NULL").join(own, F.col(key) == F.col("own_key"), "left")
+    return often.unionByName(seldom).drop("hot_key", "own_key")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 2) -> DataFrame:
     """(id, fp, component_id) per row: component_id is the smallest id that links of at most budget differing bits reach.
 
@@ -220,23 +237,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     linked like any other. An empty table gives none.
     """
     found = materialize(fingerprints(df, id_col, text_col, shingle), "fingerprints")
-    distinct = materialize(found.groupBy("fp").agg(F.min("id").alias("rep")).where("rep IS NOT NULL"), "distinct")
+    sizes = materialize(found.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "distinct")
+    distinct = sizes.where("rep IS NOT NULL").select("fp", "rep")
     roots = components(links(distinct, budget))
-    classes = materialize(distinct.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("fp_"), F.coalesce("root", "rep").alias("component_id")), "classes")
-    return found.join(classes, F.col("fp") == F.col("fp_"), "left").select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), "fp", "component_id")
+    classes = materialize(distinct.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "classes")
+    return look_up(found, classes, "fp", sizes).select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), "fp", "component_id")
 
 
-# For similarity rather than a fixed few bits, wide fingerprints are looked up by several prefixes of theirs. That only
-# proposes classes; the sets of shingles decide within each.
+# For similarity rather than a fixed few bits, wide fingerprints are looked up in several tries, each over bits of its own.
+# That only proposes classes; the sets of shingles decide within each.
 #: Bytes of a wide fingerprint; bits of it that two proposed documents may differ in. At a Jaccard similarity of 0.8 of their
 #: sets of shingles, texts differ in 38.8 bits on average with a deviation of 5.7, so this is four deviations more.
 WIDE, WIDE_BUDGET = 32, 62
-#: Prefixes looked up, bytes between their starts, bits in each and how many of these may differ. At 15 % a prefix passes
-#: with a probability of 0.64, one of ten with 0.99996.
-TABLES, STRIDE, PREFIX, PREFIX_BUDGET = 10, 3, 20, 3
-#: Wide fingerprints below a node of the last level that Spark lays out; about 25 MB. Each further level multiplies the rows that are
-#: exchanged, so a task takes as many as its memory allows.
-WIDE_LEAVES = 1 << 19
+MEAN_BITS, DEVIATION = 38.8, 5.7
+#: Bits of a trie below its first levels that are traversed, and how many of these may differ.
+PREFIX, PREFIX_BUDGET = 20, 3
+#: Share of the pairs at a similarity of exactly 0.8 that the tries have to propose in expectation.
+RECALL = 0.998
+#: Fingerprints below a node of the last of the first levels; above CROWDED times that, a node's are laid out by more levels.
+WIDE_LEAVES, CROWDED, MORE = 1 << 16, 4, 6
 #: Two texts are near copies from this Jaccard similarity of their sets of shingles on, as a fraction.
 SIMILAR = (4, 5)
 #: Shingle hashes in a block of a proposed class, about (32 MB); a task compares two blocks.
@@ -268,36 +287,78 @@ def wide_fingerprint(hashes: np.ndarray) -> bytes:
     return np.packbits(2 * counts > len(hashes)).tobytes()
 
 
+def trie_bits(t: int) -> np.ndarray:
+    """The bits of a wide fingerprint that trie t is over, in order."""
+    return np.random.default_rng(t).permutation(8 * WIDE)[:BITS]
+
+
+def tries_needed(depth: int) -> int:
+    """Tries that propose RECALL of the pairs at a similarity of 0.8, if the first depth bits of each have to be equal."""
+    z = np.linspace(-4, 4, 161)
+    weight = np.exp(-z * z / 2)
+    off = np.clip((MEAN_BITS + DEVIATION * z) / (8 * WIDE), 0, 1)
+    one = (1 - off) ** depth * sum(math.comb(PREFIX, k) * off**k * (1 - off) ** (PREFIX - k) for k in range(PREFIX_BUDGET + 1))
+    n = 1
+    while (weight * (1 - (1 - one) ** n)).sum() < RECALL * weight.sum():
+        n += 1
+    return n
+
+
 def wide_links(distinct: DataFrame, leaves: int = WIDE_LEAVES) -> DataFrame:
-    """(a, b) with the components of all pairs of (fp, rep) that one of the prefixes brings together and that differ in at most WIDE_BUDGET bits."""
-    n = distinct.count()
-    depth = min(PREFIX, max(0, math.ceil(math.log2(max(n, 1) / leaves))))
-    masks = sorted({sum(1 << b for b in bits) for k in range(min(PREFIX_BUDGET, depth) + 1) for bits in combinations(range(depth), k)})
-    twice = F.concat("fp", "fp")
-    first = [F.struct(F.lit(r).alias("t"), F.shiftright(F.conv(F.hex(F.substring(twice, STRIDE * r + 1, 3)), 16, 10).cast("long"), 24 - depth).alias("own")) for r in range(TABLES)]
-    rows = distinct.select("fp", "rep", F.explode(F.array(*first)).alias("at")).select("fp", "rep", "at.t", "at.own", F.explode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("mask"))
-    other = F.col("own").bitwiseXOR(F.col("mask"))
-    # Table and both prefixes in one number.
-    pair = (F.col("t").cast("long") * (1 << PREFIX) + F.least("own", other)) * (1 << PREFIX) + F.greatest("own", other)
-    rows = rows.select(pair.alias("pair"), "fp", "rep")
+    """(a, b) with the components of all pairs of (fp, rep) that one of the tries brings together and that differ in at most WIDE_BUDGET bits.
 
-    def subtrees(pdf: pd.DataFrame) -> pd.DataFrame:
-        pair = int(pdf["pair"].iloc[0])
-        t, p, q = pair >> 2 * PREFIX, pair >> PREFIX & (1 << PREFIX) - 1, pair & (1 << PREFIX) - 1
-        whole = np.frombuffer(b"".join(pdf.fp), np.uint8).reshape(-1, WIDE)
-        key = np.ascontiguousarray(np.hstack([whole, whole])[:, STRIDE * t : STRIDE * t + 8]).view(">u8").ravel().astype(np.uint64)
-        # The prefix says which of the two nodes a fingerprint is below; of a node paired with itself, all are.
-        second = (key >> np.uint64(BITS - depth) if depth else np.zeros_like(key)) != np.uint64(p)
-        if p != q and second.sum() in (0, len(pdf)):
-            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-        order = np.lexsort((key, second))
-        key, rep, full = key[order], pdf.rep.to_numpy(np.int64)[order], np.ascontiguousarray(whole[order]).view(np.uint64)
+    The first levels of a trie are as many as give nodes of about leaves fingerprints; each node is a task's work, its
+    leaves the pairs' both sides. More levels bring fewer pairs together, so there are more tries: as often as the number
+    of fingerprints doubles, by about 1.2 to 1.3 times, and the work grows with both. The fingerprints of crowded nodes
+    (of many near copies) go to nodes of further levels; those that agree in all bits of a trie are linked as they are.
+    """
+    depth = max(0, math.ceil(math.log2(max(distinct.count(), 1) / leaves)))
+    tries = tries_needed(depth)
+    out = pa.schema([("t", pa.int32()), ("key", pa.int64()), ("fp", pa.binary()), ("rep", pa.int64())])
+
+    def keys(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            bits = np.unpackbits(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(-1, WIDE), axis=1)
+            for t in range(tries):
+                key = np.ascontiguousarray(np.packbits(bits[:, trie_bits(t)], axis=1)).view(">u8").ravel().astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bits), t, np.int32)), pa.array(key), b.column(0), b.column(1)], schema=out)
+
+    todo, ready, links = distinct.select("fp", "rep").mapInArrow(keys, "t int, key long, fp binary, rep long"), [], []
+    node = lambda d: F.shiftrightunsigned("key", BITS - d) if d else F.lit(0).cast("long")
+    while True:
+        here = todo.withColumn("depth", F.lit(depth)).withColumn("node", node(depth))
+        full = here.groupBy("t", "node").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where(F.col("n") > CROWDED * leaves)
+        # At most one for each CROWDED * leaves rows.
+        full = materialize(full.select(F.col("t").alias("t_"), F.col("node").alias("node_"), "least"), "crowded")
+        if full.isEmpty():
+            ready.append(here)
+            break
+        same = (F.col("t") == F.col("t_")) & (F.col("node") == F.col("node_"))
+        ready.append(here.join(F.broadcast(full), same, "left_anti"))
+        todo = here.join(F.broadcast(full), same)
+        if depth == BITS:
+            links.append(todo.where("rep != least").select(F.col("rep").alias("a"), F.col("least").alias("b")))
+            break
+        todo, depth = todo.select("t", "key", "fp", "rep"), min(BITS, depth + MORE)
+    rows = ready[0]
+    for more in ready[1:]:
+        rows = rows.unionByName(more)
+
+    def subtree(pdf: pd.DataFrame) -> pd.DataFrame:
+        depth = int(pdf.depth.iloc[0])
+        key = pdf.key.to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(key)
+        key, rep = key[order], pdf.rep.to_numpy(np.int64)[order]
+        full = np.frombuffer(b"".join(pdf.fp), np.uint64).reshape(-1, WIDE // 8)[order]
         near = lambda i, j: distance(full[i], full[j]).sum(axis=1) <= WIDE_BUDGET
-        of = traverse(key, int(len(key) - second.sum()), depth, (p ^ q).bit_count(), PREFIX_BUDGET, PREFIX, near)
+        of = traverse(key, len(key), depth, 0, PREFIX_BUDGET, min(BITS, depth + PREFIX), near)
         moved = of != np.arange(len(of))
         return pd.DataFrame({"a": rep[moved], "b": rep[of[moved]]})
 
-    return rows.groupBy("pair").applyInPandas(subtrees, "a long, b long")
+    found = rows.groupBy("t", "depth", "node").applyInPandas(subtree, "a long, b long")
+    for more in links:
+        found = found.unionByName(more)
+    return found
 
 
 def same_classes(sets: list[np.ndarray]) -> np.ndarray:
@@ -355,7 +416,7 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     found = materialize(map_columns(texts, rows, "id long, fp binary, digest binary, n long", out), "wide")
     # Equal sets are one.
-    sets = materialize(found.groupBy("digest").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n")), "sets")
+    sets = materialize(found.groupBy("digest").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.count("*").alias("rows")), "sets")
     distinct = materialize(sets.groupBy(F.col("fp").alias("fp_")).agg(F.min("rep").alias("rep_")), "distinct")
     proposed = components(wide_links(distinct.select(F.col("fp_").alias("fp"), F.col("rep_").alias("rep"))))
     proposed = distinct.join(proposed, F.col("rep_") == F.col("node"), "left").select("fp_", F.coalesce("root", "rep_").alias("class"))
@@ -369,15 +430,19 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("p"), F.greatest("block", k).alias("q"))))
     links = held.select("rep", "class", "hashes", pairs.alias("at")).groupBy("class", "at.p", "at.q").applyInPandas(exact, "a long, b long")
     roots = components(links)
-    classes = materialize(proposed.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("digest_"), F.coalesce("root", "rep").alias("component_id")), "classes")
-    return found.join(classes, F.col("digest") == F.col("digest_")).groupBy("id").agg(F.min("component_id").alias("component_id")).select(F.col("id").alias(id_col), "component_id")
+    classes = materialize(proposed.join(roots, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("root", "rep").alias("component_id")), "classes")
+    each = look_up(found.select("id", "digest"), classes, "digest", sets.select("digest", F.col("rows").alias("n")))
+    return each.groupBy("id").agg(F.min("component_id").alias("component_id")).select(F.col("id").alias(id_col), "component_id")
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """df with one document of each class of similar_classes: the one with the smallest id. Rows with a null id stay."""
+    """df with one document of each class of similar_classes: the one with the smallest id.
+
+    Rows with a null id stay. All columns are kept as they are, whatever their names. An empty table gives an empty one.
+    """
     classes = similar_classes(df, id_col, text_col, shingle)
-    gone = materialize(classes.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("k")), "gone")
-    return df.join(gone, F.col(id_col) == F.col("k"), "left_anti")
+    gone = materialize(classes.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone_id")), "gone")
+    return df.join(gone, df[id_col] == gone["gone_id"], "left_anti")
 
 
 def iter_pairs(fp: np.ndarray, budget: int) -> Iterator[tuple[int, int]]:

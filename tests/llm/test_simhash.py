@@ -141,3 +141,40 @@ def test_similar_classes_are_exact(spark, monkeypatch, block):
     assert 100 < sum(want[2 * i] == want[2 * i + 1] for i in range(240)) < 200
     got = {r.doc_id: r.component_id for r in sh.similar_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_crowded_nodes_and_frequent_keys(spark, monkeypatch):
+    """A third of the texts are near copies of one, another third are copies; few fingerprints fit below a node."""
+    monkeypatch.setattr(sh.wide_links, "__defaults__", (8,))
+    monkeypatch.setattr(sh, "HOT", 20)
+    monkeypatch.setattr(sh, "HOT_SHARE", 10)
+    rnd = random.Random(11)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(400)]
+    near = [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(0, 400, 4)]
+    texts = [*near, *(["the very same words in all of these"] * 100), *(" ".join(f"y{rnd.randrange(10**6)}" for _ in range(60)) for _ in range(100))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in sh.similar_classes(df).collect()}
+    assert got == {i: 0 if i < 100 else 100 if i < 200 else i for i in range(300)}
+    copies = {r.doc_id: r.component_id for r in sh.near_duplicates(df).collect()}
+    assert {copies[i] for i in range(100, 200)} == {100} and len(copies) == 300
+    # Fingerprints that agree in all bits are linked as they are.
+    same = spark.createDataFrame([(bytes(32), i) for i in range(50)], "fp binary, rep long")
+    assert {(r.a, r.b) for r in sh.wide_links(same).collect()} == {(i, 0) for i in range(1, 50)}
+
+
+def test_clashing_names(spark):
+    names = ["k", "n", "fp", "rep", "node", "root", "digest", "gone_id", "component_id", "hot_key", "own_key"]
+    df = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "other words in here")], "doc_id long, text string").selectExpr("*", *(f"doc_id * 10 AS {n}" for n in names))
+    kept = sh.deduplicate(df)
+    assert kept.columns == df.columns and sorted((r.doc_id, r.k, r.gone_id) for r in kept.collect()) == [(1, 10, 10), (3, 30, 30)]
+    assert sorted((r.doc_id, r.component_id) for r in sh.near_duplicates(df).collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_recall_on_documents(spark):
+    """Every document whose id is divisible by 50 against all others: links at a similarity of 0.8 or more that are in one class."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").toPandas()
+    cut = lambda t: set(zip(*((t or "").lower().split()[k:] for k in range(5)), strict=False))
+    sets = {d: cut(t) for d, t in zip(docs.doc_id, docs.text, strict=True)}
+    of = {r.doc_id: r.component_id for r in sh.similar_classes(spark.createDataFrame(docs)).collect()}
+    linked = [(q, d) for q in sets if q % 50 == 0 and len(sets[q]) for d in sets if d != q and len(sets[q] & sets[d]) >= 0.8 * len(sets[q] | sets[d])]
+    assert linked and sum(of[q] == of[d] for q, d in linked) >= 0.9 * len(linked)
