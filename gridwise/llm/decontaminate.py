@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialize
@@ -166,8 +166,15 @@ def portions(texts: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
         yield first, texts[first:]
 
 
+def text_key(text: Column) -> Column:
+    """128 bits of a text's digest; null for a null text."""
+    return F.substring(F.sha2(text.cast("binary"), 256), 1, 32)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(id, item, words, start, end) for each item of which a document holds a passage, start and end in the document's words.
+    """(id, item, words, start, end, text_key) for each item of which a document holds a passage, start and end in the document's words.
+
+    text_key is that of the text, the same for equal texts.
 
     Words are runs of word characters, lower-cased. Benchmark items are broadcast in blocks of at most about block_chars
     characters, whose number is worked out from their total size, so a large benchmark costs more passes and no more
@@ -178,8 +185,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("t")).where("item IS NOT NULL AND t IS NOT NULL").distinct()
     chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, math.ceil(chars / block_chars))
-    out = pa.schema([("id", pa.int64()), ("item", pa.int64()), ("words", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    out = pa.schema([("id", pa.int64()), ("item", pa.int64()), ("words", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("text_key", pa.string())])
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("text_key"))
     found = None
     for k in range(blocks):
         shared = spark.sparkContext.broadcast(sorted((r["item"], r["t"]) for r in items.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == k).toLocalIterator()))
@@ -187,11 +194,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         def batches(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index, hashes = Index(shared.value), Hashes()
             for b in it:
-                ids, texts = b.column(0).to_pylist(), [hashes.of(t) for t in b.column(1).to_pylist()]
-                hits = [(ids[first + m[0]], *m[1:]) for first, part in portions(texts) for m in index.search_all(part)]
+                ids, texts, keys = b.column(0).to_pylist(), [hashes.of(t) for t in b.column(1).to_pylist()], b.column(2)
+                hits = [(ids[first + m[0]], *m[1:], keys[first + m[0]].as_py()) for first, part in portions(texts) for m in index.search_all(part)]
                 yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in hits], f.type) for i, f in enumerate(out)], schema=out)
 
-        part = rows.mapInArrow(batches, "id long, item long, words int, start int, end int")
+        part = rows.mapInArrow(batches, "id long, item long, words int, start int, end int, text_key string")
         found = part if found is None else found.unionByName(part)
     return found.withColumnRenamed("id", id_col).withColumnRenamed("item", item_col)
 
@@ -199,16 +206,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, contaminated, n_items, items, max_words) for every row of docs; items in order, comma-joined.
 
-    One pass over the texts: rows without a match come out too. Ids should be unique; rows that share one share the result.
+    The verdict is on a row's text, whatever its id: rows with a null id have theirs, and rows that share an id have each
+    their own. Null and empty texts are clean. Other columns are dropped, whatever their names. Empty tables give no rows,
+    and an empty benchmark no contaminated ones.
     """
-    held = materialize(matches(docs, benchmark, id_col, text_col), "matches")
-    per = held.groupBy(F.col(id_col).alias("k")).agg(F.count_distinct("item_id").alias("n_items"), F.array_join(F.sort_array(F.collect_set("item_id")), ",").alias("items"), F.max("words").cast("long").alias("max_words"))
-    return docs.select(F.col(id_col)).join(per, F.col(id_col) == F.col("k"), "left").select(
+    held = materialize(matches(docs, benchmark, id_col, text_col).select("text_key", "item_id", "words"), "matches")
+    per = held.groupBy("text_key").agg(F.count_distinct("item_id").alias("n_items"), F.array_join(F.sort_array(F.collect_set("item_id")), ",").alias("items"), F.max("words").cast("long").alias("max_words"))
+    rows = docs.select(F.col(id_col), text_key(F.col(text_col)).alias("own_key"))
+    return rows.join(per, F.col("own_key") == F.col("text_key"), "left").select(
         id_col, F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items", F.lit("")).alias("items"), F.coalesce("max_words", F.lit(0).cast("long")).alias("max_words")
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that hold a benchmark passage; rows with a null id stay."""
-    held = materialize(matches(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("k")).distinct(), "matches")
-    return docs.join(held, F.col(id_col) == F.col("k"), "left_anti")
+    """docs without the rows whose text holds a benchmark passage, whatever their id. All columns are kept as they are, whatever their names."""
+    held = materialize(matches(docs, benchmark, id_col, text_col).select("text_key").distinct(), "matches")
+    return docs.join(held, text_key(docs[text_col]) == held["text_key"], "left_anti")
