@@ -239,7 +239,7 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def decode_media(df: DataFrame, media_col: str = "media") -> DataFrame:
     """df with ``payload`` and ``facts`` from its media column, other columns kept.
 
-    A null container gives nulls; a damaged one raises. df must not have the two columns.
+    A null container gives nulls; a damaged one raises. Columns of these names in df are replaced. An empty table gives none.
     """
     bounded_batches(df.sparkSession)
 
@@ -248,4 +248,4 @@ def decode_media(df: DataFrame, media_col: str = "media") -> DataFrame:
         rows = [(None, None) if m is None else read(m) for m in media.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], _FACTS)], names=["payload", "facts"])
 
-    return df.withColumn("__decoded", decoded(F.col(media_col))).select(*df.columns, "__decoded.payload", "__decoded.facts")
+    return df.withColumn("__decoded", decoded(F.col(media_col))).select(*(c for c in df.columns if c not in ("payload", "facts")), "__decoded.payload", "__decoded.facts")
