@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridwise.functions import scores
-from gridwise.operators import ranking, spatial
+from gridwise.functions import geo, polygon, scores
+from gridwise.operators import ranking, regions, spatial
+from gridwise.session import materialize
 
 
 def with_line_prior(candidates: DataFrame, lines: DataFrame, start: float = 500.0) -> DataFrame:
@@ -60,3 +61,45 @@ def atlas(leads: DataFrame, known: DataFrame, cell: float = 0.1) -> DataFrame:
     grid = leads.groupBy(corner("lon").alias("lon0"), corner("lat").alias("lat0")).agg(F.count("*").alias("n_new"), F.sum(F.col("flagged").cast("long")).alias("n_flagged"), F.max("rank_score").alias("top_score"))
     have = known.groupBy(corner("lon").alias("lon0"), corner("lat").alias("lat0")).agg(F.count("*").alias("n_known"))
     return grid.join(have, ["lon0", "lat0"], "left").fillna(0, ["n_known"])
+
+
+def densities(provinces: DataFrame, held: DataFrame, least_area: float = 0.0) -> DataFrame:
+    """provinces (id, rings) with n_new and density per 1000 square kilometres from pairs (point_id, polygon_id); provinces smaller than least_area without any are left out."""
+    n = held.groupBy(F.col("polygon_id").alias("__id")).agg(F.count("*").alias("n_new"))
+    out = provinces.join(n, F.col("id") == F.col("__id"), "left").drop("__id").withColumn("n_new", F.coalesce("n_new", F.lit(0).cast("long")))
+    area = polygon.area(F.col("rings"))
+    return out.where((F.col("n_new") > 0) | (area >= least_area)).withColumn("density", F.try_divide(F.col("n_new") * 1e9, F.greatest(area, F.lit(1.0))))
+
+
+def postprocess(candidates: DataFrame, lines: DataFrame, labels: DataFrame, nodes: DataFrame, floor: float, radius: float = 60.0, size: float = 5000.0) -> DataFrame:
+    """Candidates (id, rings, confidence) of at least floor area, ranked leads.
+
+    Adds area_m2, x and y (the centroid), near_id, near_dist and voltage_v of the nearest line (-1 and null without lines),
+    status (known by a label's polygon or a node within radius) and rank_score.
+    """
+    c = candidates.withColumn("area_m2", polygon.area(F.col("rings"))).where(F.col("area_m2") >= floor)
+    mid = geo.ring_centroid(F.col("rings")[0])
+    c = materialize(c.withColumn("x", mid["x"]).withColumn("y", mid["y"]), "candidates")
+    ranked = with_line_prior(c, lines).withColumn("near_dist", F.coalesce("near_dist", F.lit(-1.0)))
+    volts = lines.select(F.col("id").alias("__line"), "voltage_v")
+    ranked = ranked.join(volts, F.col("near_id") == F.col("__line"), "left").drop("__line")
+    return regions.with_known(ranked, labels, nodes, radius, size)
+
+
+def endpoint_leads(ends: DataFrame, subs: DataFrame, candidates: DataFrame, far: float = 700.0, search: float = 5000.0) -> tuple[DataFrame, DataFrame]:
+    """(leads, endpoints): candidates (id, x, y, score, status) near line ends that no substation explains, and those ends.
+
+    Ends (id, x, y) that come repeatedly count once, and those within far of a substation not at all. Leads have min_dist,
+    n_endpoints and best_end (the nearest, ties to the smallest id). Endpoints have sub_dist (1e9 without any) and
+    n_candidates.
+    """
+    distinct = ends.groupBy("id").agg(F.min("x").alias("x"), F.min("y").alias("y"))
+    e = spatial.nearest(distinct, subs.select("id", "x", "y"), 4000.0).withColumn("sub_dist", F.coalesce("near_dist", F.lit(1e9))).where(F.col("sub_dist") > far)
+    e = materialize(e.select("id", "x", "y", "sub_dist"), "ends")
+    pairs = materialize(spatial.within(e, candidates.select("id", "x", "y", "score"), search), "pairs")
+    best = F.min(F.struct("dist", "left_id"))
+    per = pairs.groupBy(F.col("right_id").alias("__id")).agg(F.round(F.min("dist"), 1).alias("min_dist"), F.count_distinct("left_id").alias("n_endpoints"), best["left_id"].alias("best_end"))
+    leads = candidates.join(per, F.col("id") == F.col("__id")).drop("__id")
+    n = pairs.groupBy(F.col("left_id").alias("__id")).agg(F.count("*").alias("n_candidates"))
+    found = e.join(n, F.col("id") == F.col("__id"), "left").drop("__id").withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0).cast("long")))
+    return leads, found

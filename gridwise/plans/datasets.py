@@ -81,11 +81,11 @@ def json_properties(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("event_type", (F.col("p.k") % 5).alias("k")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 
-@registered(ENTRIES, f"""{ctes("subs")}, v AS (SELECT id, area_m2, CASE WHEN area_m2 >= 20000 THEN 'pos' ELSE 'small' END AS role FROM subs), u AS (SELECT id, area_m2, role FROM v UNION ALL SELECT c_custkey, 0, 'node' FROM customer WHERE c_custkey % 10 = 0) SELECT role, count(*) AS n, sum(area_m2) AS area_m2 FROM u GROUP BY role""")
+@registered(ENTRIES, f"""{ctes("subs")}, v AS (SELECT id, area_m2, CASE WHEN area_m2 >= 20000 THEN 'pos' ELSE 'small' END AS role FROM subs), u AS (SELECT id, area_m2, role FROM v UNION ALL SELECT c_custkey, 0, 'node' FROM customer) SELECT role, count(*) AS n, sum(area_m2) AS area_m2 FROM u GROUP BY role""")
 def unified_labels(spark: SparkSession, d: str) -> DataFrame:
     s = view(spark, d, "subs")
     polygons = s.select("id", "area_m2", grid.role(F.col("area_m2"), F.lit(None).cast("string"), F.lit(None), 20000).alias("role"))
-    nodes = view(spark, d, "nodes").where("id % 10 = 0").select("id", F.lit(0.0).alias("area_m2"), F.lit("node").alias("role"))
+    nodes = view(spark, d, "nodes").select("id", F.lit(0.0).alias("area_m2"), F.lit("node").alias("role"))
     return dataset.union([polygons, nodes]).groupBy("role").agg(F.count("*").alias("n"), F.sum("area_m2").alias("area_m2"))
 
 

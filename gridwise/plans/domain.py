@@ -49,9 +49,33 @@ VIEWS: dict[str, tuple[str, list[str], str]] = {
             "CAST((o_orderkey * 6101) % 130000 + (o_custkey * 91) % 4001 - 2000 AS DOUBLE) AS y1",
             "CASE o_orderkey % 4 WHEN 0 THEN CAST(66000 AS DOUBLE) WHEN 1 THEN CAST(132000 AS DOUBLE) WHEN 2 THEN CAST(220000 AS DOUBLE) ELSE NULL END AS voltage_v",
         ],
-        "o_orderkey % 20 = 0",
+        "true",
     ),
     "ends": ("events", ["event_id AS id", "CAST((event_id * 7321) % 160000 AS DOUBLE) AS x", "CAST((event_id * 8713) % 130000 AS DOUBLE) AS y", "event_type AS class"], "event_type = 'error'"),
+    "diamonds": (
+        "part",
+        [
+            "p_partkey AS id",
+            "CAST((p_partkey * 7919) % 160000 AS DOUBLE) + CAST(0.5 AS DOUBLE) AS cx",
+            "CAST((p_partkey * 104729) % 130000 AS DOUBLE) + CAST(0.25 AS DOUBLE) AS cy",
+            "CAST(200 + (p_partkey * 31) % 900 AS DOUBLE) AS r",
+            "CASE WHEN p_partkey % 4 = 0 THEN CAST(100 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS hole",
+            "CAST((p_partkey * 37) % 101 AS DOUBLE) / CAST(100 AS DOUBLE) AS confidence",
+            "1 + (p_partkey * 17) % 40 AS n_pixels",
+        ],
+        "true",
+    ),
+    "sites": (
+        "supplier",
+        [
+            "s_suppkey AS id",
+            "CAST((s_suppkey * 15485863) % 160000 AS DOUBLE) + CAST(0.125 AS DOUBLE) AS cx",
+            "CAST((s_suppkey * 32452843) % 130000 AS DOUBLE) + CAST(0.75 AS DOUBLE) AS cy",
+            "CAST(300 + (s_suppkey * 53) % 2500 AS DOUBLE) AS r",
+            "CAST(0 AS DOUBLE) AS hole",
+        ],
+        "true",
+    ),
     "boxes": (
         "part",
         [
@@ -93,6 +117,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def polygons(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view of diamonds (cx, cy, r, hole) with rings: the outer one, and a smaller one inside where hole is above 0."""
+    corner = lambda r, dx, dy: f"struct(CAST(cx + {dx} * {r} AS DOUBLE) AS x, CAST(cy + {dy} * {r} AS DOUBLE) AS y)"
+    ring = lambda r: f"array({', '.join(corner(r, dx, dy) for dx, dy in ((1, 0), (0, 1), (-1, 0), (0, -1), (1, 0)))})"
+    return view(spark, sf_dir, name).selectExpr("*", f"CASE WHEN hole > 0 THEN array({ring('r')}, {ring('hole')}) ELSE array({ring('r')}) END AS rings")
+
+
 def ctes(*names: str) -> str:
     """WITH clause that defines the views for DuckDB."""
     return "WITH " + ", ".join(f"{n} AS (SELECT {', '.join(VIEWS[n][1])} FROM {VIEWS[n][0]} WHERE {VIEWS[n][2]})" for n in names)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwise.functions import geo, grid
-from gridwise.operators import spatial
+from gridwise.operators import regions, spatial
 from gridwise.plans.base import Entry, registered
 from gridwise.plans.domain import ctes, view
 
@@ -67,16 +67,13 @@ def roi_cells_radius(spark: SparkSession, d: str) -> DataFrame:
     return near.join(own, (F.col("ix") == F.col("ox")) & (F.col("iy") == F.col("oy")), "left").select("ix", "iy", F.col("ox").isNotNull().alias("has_label"))
 
 
-@registered(ENTRIES, f"""{ctes("lines")}, s AS (SELECT id, x0 + (x1 - x0) * k / n AS x, y0 + (y1 - y0) * k / n AS y, n FROM (SELECT *, unnest(range(0, n + 1)) AS k FROM (SELECT *, greatest(CAST(ceil(sqrt((x0 - x1) * (x0 - x1) + (y0 - y1) * (y0 - y1)) / 500) AS INTEGER), 1) AS n FROM lines))),
-t AS (SELECT DISTINCT id, CAST(floor(x / 10000) AS BIGINT) AS ix, CAST(floor(y / 10000) AS BIGINT) AS iy FROM s)
-SELECT ix, iy, count(*) AS n_lines, round(sum(sqrt((x0 - x1) * (x0 - x1) + (y0 - y1) * (y0 - y1))) / 1000, 3) AS line_km FROM t JOIN lines USING (id) GROUP BY ix, iy""")
+@registered(ENTRIES, f"""{ctes("lines")}, c AS (SELECT id, x0, y0, x1, y1, ix, unnest(range(CAST(floor(least(y0, y1) / 10000) AS BIGINT), CAST(floor(greatest(y0, y1) / 10000) AS BIGINT) + 1)) AS iy FROM (SELECT *, unnest(range(CAST(floor(least(x0, x1) / 10000) AS BIGINT), CAST(floor(greatest(x0, x1) / 10000) AS BIGINT) + 1)) AS ix FROM lines)),
+t AS (SELECT *, (x1 - x0) * (iy * 10000 - y0) - (y1 - y0) * (ix * 10000 - x0) AS a, (x1 - x0) * (iy * 10000 - y0) - (y1 - y0) * ((ix + 1) * 10000 - x0) AS b, (x1 - x0) * ((iy + 1) * 10000 - y0) - (y1 - y0) * (ix * 10000 - x0) AS c, (x1 - x0) * ((iy + 1) * 10000 - y0) - (y1 - y0) * ((ix + 1) * 10000 - x0) AS d FROM c)
+SELECT ix, iy, count(*) AS n_lines, round(sum(sqrt((x0 - x1) * (x0 - x1) + (y0 - y1) * (y0 - y1))) / 1000, 3) AS line_km FROM t WHERE least(a, b, c, d) <= 0 AND greatest(a, b, c, d) >= 0 GROUP BY ix, iy""")
 def line_km_per_cell(spark: SparkSession, d: str) -> DataFrame:
-    """A line counts whole in each cell that its points, 500 m apart at most, fall into."""
-    lines = view(spark, d, "lines")
-    ends = (F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    touched = lines.select("id", geo.distance(*ends).alias("len"), F.explode(geo.densify(*ends, 500.0)).alias("p"))
-    touched = touched.select("id", "len", F.floor(F.col("p.x") / CELL_M).alias("ix"), F.floor(F.col("p.y") / CELL_M).alias("iy")).distinct()
-    return touched.groupBy("ix", "iy").agg(F.count("*").alias("n_lines"), F.round(F.sum("len") / 1000, 3).alias("line_km"))
+    """A line counts whole in each cell that it shares a point with."""
+    touched = regions.lines_by_cell(view(spark, d, "lines"), CELL_M)
+    return touched.groupBy("ix", "iy").agg(F.count("*").alias("n_lines"), F.round(F.sum("length") / 1000, 3).alias("line_km"))
 
 
 _E2, _E = repr(geo.E2), repr(geo.E)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwise.functions import geo, grid, scores
-from gridwise.operators import leads, ranking, spatial
+from gridwise.functions import grid, polygon, scores
+from gridwise.operators import leads, ranking, regions, spatial
 from gridwise.plans.base import Entry, registered
 from gridwise.plans.domain import ctes, view
 
@@ -136,20 +136,15 @@ def atlas_grid_rollup(spark: SparkSession, d: str) -> DataFrame:
     return leads.atlas(l, view(spark, d, "subs"))
 
 
-@registered(ENTRIES, """WITH p AS (SELECT n_nationkey, n_name, (n_nationkey % 5) * 32000 AS x0, (n_nationkey // 5) * 26000 AS y0 FROM nation), c AS (SELECT CAST((p_partkey * 7919) % 160000 AS DOUBLE) AS x, CAST((p_partkey * 104729) % 130000 AS DOUBLE) AS y FROM part WHERE p_partkey % 11 = 0)
+@registered(ENTRIES, """WITH p AS (SELECT n_nationkey, n_name, (n_nationkey % 5) * 32000 AS x0, (n_nationkey // 5) * 26000 AS y0 FROM nation), c AS (SELECT CAST((p_partkey * 7919) % 160000 AS DOUBLE) AS x, CAST((p_partkey * 104729) % 130000 AS DOUBLE) AS y FROM part)
 SELECT n_name AS province, count(c.x) AS n_new, round(count(c.x) / CAST(832 AS DOUBLE) * 1000, 3) AS density FROM p LEFT JOIN c ON c.x >= x0 AND c.x < x0 + 32000 AND c.y >= y0 AND c.y < y0 + 26000 GROUP BY n_name""")
 def province_density(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates in each province (a closed ring), also those without any; per 1000 square kilometres.
-
-    Rings are bounded by their own number here, so they are sent to every task; candidates aren't shuffled.
-    """
+    """Candidates in each province, also those without any; per 1000 square kilometres."""
     p = spark.read.parquet(f"{d}/nation.parquet")
-    corner = lambda dx, dy: F.struct((((F.col("n_nationkey") % 5) + dx) * 32000).cast("double").alias("x"), ((F.floor(F.col("n_nationkey") / 5) + dy) * 26000).cast("double").alias("y"))
-    p = p.select("n_name", F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0)).alias("ring"))
-    c = view(spark, d, "cand").where("id % 11 = 0")
-    n = c.join(F.broadcast(p), geo.in_ring(F.col("x"), F.col("y"), F.col("ring"))).groupBy(F.col("n_name").alias("k")).agg(F.count("*").alias("n_new"))
-    out = p.join(n, F.col("n_name") == F.col("k"), "left").withColumn("n_new", F.coalesce("n_new", F.lit(0).cast("long")))
-    return out.select(F.col("n_name").alias("province"), "n_new", F.round(F.col("n_new") / (geo.ring_area(F.col("ring")) / 1e6) * 1000, 3).alias("density"))
+    x, y = (F.col("n_nationkey") % 5) * 32000, F.floor(F.col("n_nationkey") / 5) * 26000
+    p = p.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.array(polygon.box_ring(x, y, x + 32000, y + 26000)).alias("rings"))
+    out = leads.densities(p, regions.points_in(view(spark, d, "cand").select("id", "x", "y"), p, 10000.0))
+    return out.select(F.col("name").alias("province"), "n_new", F.round("density", 3).alias("density"))
 
 
 @registered(ENTRIES, f"""{ctes("cand")}, r AS (SELECT id, lon, lat, confidence AS rank_score, row_number() OVER (ORDER BY confidence DESC, id) - 1 AS n FROM cand) SELECT id, printf('aoi-sub-%06d', n) AS candidate_id, rank_score, n::BIGINT AS n FROM r""")
