@@ -1,14 +1,16 @@
 """Quality classification by co-training two views of a document.
 
-One view is what the text looks like, the other what is known about the page it came from. Each view has a logistic
-classifier. In each round either one labels the unlabelled rows that it is surest of, and the other learns from them
-too. At the end both are calibrated on labelled rows that were set aside, and the calibrated views are added up.
+One view is the text: hashed words and pairs of words, hashed character n-grams, and the shape of the text in bins. The
+other is what is known about the page it came from: source, language, length and what is missing. Each view is a naive
+Bayes classifier, whose model is sums of features by class. In each round either view labels all rows that it is sure
+of, and the other view's sums are taken over the labelled rows and over these, in one pass. After each round both views are
+calibrated on labelled rows that were set aside; at the end the calibrated views are added up.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -16,38 +18,48 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, materialize
 
-#: Labelled and unlabelled rows that the classifiers are fitted on at most; every fifth labelled row is set aside.
-LABELLED, POOL, SET_ASIDE = 12_000, 12_000, 5
-ROUNDS = 4
-#: Share of the pool that a view labels in a round, and how sure of a row it has to be.
-EXCHANGED, SURE = 0.05, 0.95
+#: Labelled rows that are learned from at most; every fifth of them only calibrates. Other labelled rows count as unlabelled.
+LABELLED, SET_ASIDE = 12_000, 5
+ROUNDS = 3
+#: How sure of a row a view has to be to label it for the other.
+SURE = 0.95
 #: A document is rejected if its probability of being good is below this.
 THRESHOLD = 0.5
-SLOTS = 32
+#: Buckets of hashed words and pairs, and of hashed character n-grams; characters (bytes) of such a one; bins of a shape feature or a length.
+WORDS, GRAMS, GRAM, BINS = 1 << 16, 1 << 16, 4, 32
+#: Buckets of hashed sources and languages.
+SLOTS = 256
+#: Added to each sum.
+SMOOTH = 0.5
+#: Words whose buckets a worker remembers.
+MEMO = 500_000
 
 _CLASS = np.zeros(256, np.int64)
 for _i, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b".,;:'\"-()", b"!?", b"|#$%&*+<=>@[\\]^_`{}~/")):
     _CLASS[list(_chars)] = _i + 1
 _CLASS[128:] = 9
 
+SHAPE = ["other", "lower", "upper", "digits", "blanks", "breaks", "stops", "shouts", "symbols", "beyond", "length", "types", "words", "richness", "lines", "titles", "tails", "single"]
+#: The parts of the views and their numbers of features: a part's features of one row are compared with its own sums.
+PARTS = {"words": WORDS, "grams": GRAMS, "shape": len(SHAPE) * BINS, "page": 2 * SLOTS + BINS + 8}
+VIEWS = {"text": ("words", "grams", "shape"), "page": ("page",)}
 
-def text_features(text: str | None) -> list[float]:
-    """Shares of character classes, word lengths, repetition of words and lines; zeros for a null or empty text."""
-    data = np.frombuffer((text or "").encode(), np.uint8)
+
+def shape(data: np.ndarray, words: list[str], text: str) -> list[float]:
+    """Shares of character classes, word lengths, repetition of words and lines, about from 0 to 1; zeros for an empty text."""
     if not len(data):
-        return [0.0] * len(TEXT)
+        return [0.0] * len(SHAPE)
     kinds = np.bincount(_CLASS, np.bincount(data, minlength=256), minlength=10) / len(data)
-    words = text.split()
     lines = [x for x in text.split("\n") if x]
     n = max(len(words), 1)
     distinct = len(set(words))
     return [
         *kinds.tolist(),
-        len(data) / n / 10,
+        len(data) / n / 100,
         distinct / n,
-        np.log(n) / 10,
+        np.log(n) / 20,
         np.log(max(distinct, 1)) / max(np.log(n), 1.0),
         len(set(lines)) / max(len(lines), 1),
         sum(map(str.istitle, words)) / n,
@@ -56,70 +68,86 @@ def text_features(text: str | None) -> list[float]:
     ]
 
 
-TEXT = ["other", "lower", "upper", "digits", "blanks", "breaks", "stops", "shouts", "symbols", "beyond", "length", "types", "words", "richness", "lines", "titles", "tails", "single"]
+class Features:
+    """Features of rows as numbers by part; remembers words' buckets."""
+
+    def __init__(self):
+        self.memo: dict[str, int] = {}
+
+    def _bucket(self, word: str) -> int:
+        b = self.memo.get(word)
+        if b is None:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            b = self.memo[word] = xxhash.xxh32_intdigest(word.encode())
+        return b
 
+    def text(self, text: str | None) -> dict[str, np.ndarray]:
+        text = text or ""
+        words, data = text.split(), np.frombuffer(text.encode(), np.uint8)
+        h = np.fromiter(map(self._bucket, text.lower().split()), np.uint32)
+        pairs = (h[:-1] * np.uint32(0x9E3779B1) + h[1:]) * np.uint32(0x85EBCA6B) >> np.uint32(16)
+        grams = np.zeros(max(0, len(data) - GRAM + 1), np.uint32)
+        for k in range(GRAM):
+            grams = (grams ^ data[k : k + len(grams)]) * np.uint32(0x01000193)
+        bins = (np.sqrt(np.clip(shape(data, words, text), 0, 1)) * (BINS - 1)).astype(np.int64) + BINS * np.arange(len(SHAPE))
+        return {"words": np.concatenate([h >> np.uint32(16), pairs]).astype(np.int64), "grams": ((grams ^ grams >> np.uint32(15)) % np.uint32(GRAMS)).astype(np.int64), "shape": bins}
 
-def slot(name: str, value: object) -> int:
-    return xxhash.xxh64_intdigest(f"{name}={value}") % SLOTS
+    @staticmethod
+    def page(source: str | None, lang: str | None, n_chars: int | None) -> dict[str, np.ndarray]:
+        """Source, language, logarithm of the length, and what is missing."""
+        slot = lambda name, value: xxhash.xxh64_intdigest(f"{name}={value}") % SLOTS
+        length = min(BINS - 1, int(2 * np.log2(max(n_chars or 0, 0) + 1)))
+        missing = [2 * i + (x is None) for i, x in enumerate((source, lang, n_chars))]
+        return {"page": np.array([slot("source", source), SLOTS + slot("lang", lang), 2 * SLOTS + length, *(2 * SLOTS + BINS + m for m in missing)])}
 
 
-def page_features(source: str | None, lang: str | None, n_chars: int | None) -> list[float]:
-    """Hashed one-hot source and language, log length and whether each is missing."""
-    one = [0.0] * (2 * SLOTS)
-    one[slot("source", source)] = 1.0
-    one[SLOTS + slot("lang", lang)] = 1.0
-    n = max(n_chars or 0, 0)
-    return [*one, float(np.log1p(n)) / 10, float(n_chars is None), float(source is None), float(lang is None)]
+Sums = dict[str, np.ndarray]
 
 
-PAGE = 2 * SLOTS + 4
+def no_sums() -> Sums:
+    """For each part the sums of its features in bad and in good rows."""
+    return {p: np.zeros((2, n)) for p, n in PARTS.items()}
 
 
 @dataclass
-class Logistic:
-    """A linear model over standardised features."""
+class View:
+    """A naive Bayes classifier over some parts: log odds of each feature, and how the parts' odds are calibrated."""
 
-    mean: np.ndarray
-    scale: np.ndarray
-    weights: np.ndarray
-    bias: float
+    odds: dict[str, np.ndarray]
+    a: np.ndarray = field(default_factory=lambda: np.empty(0))
+    base: float = 0.0
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 30) -> Logistic:
-        """Newton's method on the ridge-penalised likelihood; both classes weigh the same."""
-        mean, scale = x.mean(axis=0), x.std(axis=0)
-        scale = np.where(scale > 1e-9, scale, 1.0)
-        z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
-        share = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / len(y)
-        w, eye = np.zeros(z.shape[1]), ridge * np.eye(z.shape[1])
-        for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            step = np.linalg.solve(z.T @ (z * (share * p * (1 - p))[:, None]) + eye, z.T @ (share * (p - y)) + ridge * w)
-            w -= step
-            if np.abs(step).max() < 1e-6:
-                break
-        return cls(mean, scale, w[:-1], float(w[-1]))
+    def of(cls, parts: tuple[str, ...], sums: Sums) -> View:
+        log = {p: np.log((sums[p] + SMOOTH) / (sums[p] + SMOOTH).sum(axis=1, keepdims=True)) for p in parts}
+        return cls({p: x[1] - x[0] for p, x in log.items()})
+
+    def parts(self, features: dict[str, np.ndarray]) -> list[float]:
+        """The mean log odds of a row's features in each part; 0 where it has none."""
+        return [float(odds[features[p]].mean()) if len(features[p]) else 0.0 for p, odds in self.odds.items()]
 
-    def logit(self, x: np.ndarray) -> np.ndarray:
-        return (x - self.mean) / self.scale @ self.weights + self.bias
+    def logit(self, features: dict[str, np.ndarray]) -> float:
+        return float(np.clip(np.dot(self.parts(features), self.a) + self.base, -20, 20))
 
 
 @dataclass
 class CoTrained:
-    text: Logistic
-    page: Logistic
+    text: View
+    page: View
     #: Calibrated log odds: base + a . (text logit, page logit), a >= 0.
     a: np.ndarray
     base: float
+    #: Of each round the rows that the text view labelled for the page view, and the other way round.
     rounds: list[tuple[int, int]]
 
-    def probability(self, text: np.ndarray, page: np.ndarray) -> np.ndarray:
-        z = np.stack([np.clip(self.text.logit(text), -20, 20), np.clip(self.page.logit(page), -20, 20)], axis=1) @ self.a + self.base
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    def probability(self, text: dict[str, np.ndarray], page: dict[str, np.ndarray]) -> float:
+        z = np.dot([self.text.logit(text), self.page.logit(page)], self.a) + self.base
+        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
 def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Platt scaling of both views' logits together, on rows neither was fitted on. A view that points the wrong way gets no weight."""
+    """Logistic regression of y on the columns of z, on rows that z's model has not seen. A column that points the wrong way gets no weight."""
     used = list(range(z.shape[1]))
     while True:
         w = np.zeros(len(used) + 1)
@@ -137,67 +165,122 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
         used = [u for u, v in zip(used, w, strict=False) if v >= 0]
 
 
-def cotrain(text: np.ndarray, page: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_page: np.ndarray, aside: np.ndarray, rounds: int = ROUNDS) -> CoTrained | None:
-    """aside marks the labelled rows that only calibrate. None if a class is missing on either side."""
-    fit, cal = ~aside, aside
-    if len(set(y[fit])) < 2 or len(set(y[cal])) < 2:
-        return None
-    views = [(text[fit], pool_text), (page[fit], pool_page)]
-    label = np.full((2, len(pool_text)), -1)  # what each view has been told about the pool
-    models: list[Logistic] = []
-    done = []
-    for r in range(rounds + 1):
-        models = []
-        for v, (x, pool) in enumerate(views):
-            told = label[v] >= 0
-            models.append(Logistic.fit(np.concatenate([x, pool[told]]), np.concatenate([y[fit], label[v][told]])))
-        if r == rounds:
-            break
-        told = [0, 0]
-        for v, (_, pool) in enumerate(views):
-            other = 1 - v
-            p = 1 / (1 + np.exp(-np.clip(models[v].logit(pool), -30, 30)))
-            sure = np.maximum(p, 1 - p)
-            free = np.flatnonzero((label[other] < 0) & (sure >= SURE))
-            best = free[np.argsort(-sure[free], kind="stable")[: int(EXCHANGED * len(pool))]]
-            label[other][best] = (p[best] > 0.5).astype(int)
-            told[v] = len(best)
-        done.append((told[0], told[1]))
-    z = np.stack([np.clip(models[0].logit(text[cal]), -20, 20), np.clip(models[1].logit(page[cal]), -20, 20)], axis=1)
-    a, base = calibrate(z, y[cal])
-    return CoTrained(models[0], models[1], a, base, done)
+_COLUMNS = ("text", "source", "lang", "n_chars")
+_SUMS = pa.schema([("part", pa.string()), ("feature", pa.int32()), ("good", pa.int32()), ("n", pa.float64())])
 
 
-_COLUMNS = ("text", "source", "lang", "n_chars")
+def _inputs(docs: DataFrame, *more: str) -> DataFrame:
+    return docs.select(*more, F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars"))
 
 
-def _matrices(texts: list, sources: list, langs: list, sizes: list) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([text_features(t) for t in texts]).reshape(-1, len(TEXT)), np.array([page_features(*p) for p in zip(sources, langs, sizes, strict=True)]).reshape(-1, PAGE)
+def _collected(made: DataFrame) -> Sums:
+    """Sums of (part, feature, good, n) rows, added up over Spark; their number is bounded by PARTS."""
+    sums = no_sums() | {"told": np.zeros((2, 2))}
+    got = made.groupBy("part", "feature", "good").agg(F.sum("n").alias("n")).toPandas()
+    for part, rows in got.groupby("part"):
+        sums[part][rows.good, rows.feature] = rows.n
+    return sums
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> CoTrained | None:
-    """Fit on the first ``labelled`` labelled rows and the first ``pool`` others by a hash of doc_id, so their features have a fixed size."""
-    bounded_batches(docs.sparkSession)
-    known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").alias("k")).agg(F.max("quality").alias("quality"))
-    h = F.xxhash64(F.col("k"), F.lit(9))
-    known = known.select("k", "quality", h.alias("h")).orderBy("h", "k").limit(labelled)
-    rest = docs.select(F.col("doc_id").alias("k")).where("doc_id IS NOT NULL").join(labels.select(F.col("doc_id").alias("l")), F.col("k") == F.col("l"), "left_anti")
-    rest = rest.distinct().select("k", F.lit(-1).alias("quality"), h.alias("h")).orderBy("h", "k").limit(pool)
-    # Both sides are bounded by parameters, so they can go to every task.
-    rows = docs.select("doc_id", *_COLUMNS).join(F.broadcast(known.unionByName(rest)), F.col("doc_id") == F.col("k"))
-    out = pa.schema([("h", pa.int64()), ("quality", pa.int32()), ("text", pa.list_(pa.float64())), ("page", pa.list_(pa.float64()))])
+def _emitted(sums: Sums) -> pa.RecordBatch:
+    rows = [(p, *np.nonzero(x), x) for p, x in sums.items()]
+    columns = [np.concatenate([np.full(len(g), p, object) for p, g, _, _ in rows]), np.concatenate([f for _, _, f, _ in rows]), np.concatenate([g for _, g, _, _ in rows]), np.concatenate([x[g, f] for _, g, f, x in rows])]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SUMS, strict=True)], schema=_SUMS)
+
+
+def label_sums(rows: DataFrame) -> Sums:
+    """Sums over labelled rows (good, text, source, lang, n_chars)."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, sums = Features(), no_sums()
         for b in it:
-            text, page = _matrices(*(c.to_pylist() for c in b.columns[2:]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(text), out.field("text").type), pa.array(list(page), out.field("page").type)], schema=out)
+            for good, text, *page in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for part, f in (features.text(text) | features.page(*page)).items():
+                    np.add.at(sums[part][good], f, 1)
+        yield _emitted(sums)
+
+    return _collected(_inputs(rows, "good").mapInArrow(batches, "part string, feature int, good int, n double"))
+
 
-    made = rows.select("h", F.col("quality").cast("int"), "text", "source", "lang", F.col("n_chars").cast("long")).mapInArrow(batches, "h long, quality int, text array<double>, page array<double>")
-    got = made.toPandas().sort_values(["h", "quality"], kind="stable")
-    own, free = got[got.quality >= 0], got[got.quality < 0]
-    stack = lambda s, width: np.stack(s.to_numpy()) if len(s) else np.empty((0, width))
-    aside = np.arange(len(own)) % SET_ASIDE == 0
-    return cotrain(stack(own.text, len(TEXT)), stack(own.page, PAGE), own.quality.to_numpy(int), stack(free.text, len(TEXT)), stack(free.page, PAGE), aside, rounds)
+def exchanged(rows: DataFrame, text: View, page: View, sure: float = SURE) -> Sums:
+    """Sums over rows of what each view labels: of text features by the page view's labels, of page features by the text view's.
+
+    told[good, 0] counts the rows that the text view labelled, told[good, 1] those that the page view did.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((text, page))
+    edge = float(np.log(sure / (1 - sure)))
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, sums = Features(), no_sums() | {"told": np.zeros((2, 2))}
+        views = shared.value
+        for b in it:
+            for t, *about in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                own = (features.text(t), features.page(*about))
+                for v, view in enumerate(views):
+                    z = view.logit(own[v])
+                    if abs(z) >= edge:
+                        good = int(z > 0)
+                        sums["told"][good, v] += 1
+                        for part, f in own[1 - v].items():
+                            np.add.at(sums[part][good], f, 1)
+        yield _emitted(sums)
+
+    return _collected(_inputs(rows).mapInArrow(batches, "part string, feature int, good int, n double"))
+
+
+def _odds(rows: DataFrame, text: View, page: View) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of labelled rows the parts' mean log odds in both views, and the labels."""
+    shared = rows.sparkSession.sparkContext.broadcast((text, page))
+    out = pa.schema([("good", pa.int32()), ("text", pa.list_(pa.float64())), ("page", pa.list_(pa.float64()))])
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, (text, page) = Features(), shared.value
+        for b in it:
+            made = [(g, text.parts(features.text(t)), page.parts(features.page(*about))) for g, t, *about in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], f.type) for i, f in enumerate(out)], schema=out)
+
+    got = _inputs(rows, "good").mapInArrow(batches, "good int, text array<double>, page array<double>").toPandas()
+    stack = lambda c: np.stack(got[c].to_numpy())
+    return stack("text"), stack("page"), got.good.to_numpy(float)
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> CoTrained | None:
+    """Learn from the first ``labelled`` labelled ids by a hash, and in each round from all other rows of docs.
+
+    Labels other than 0 and 1 and null ids don't count; of conflicting labels of an id the good one counts. Of rows that
+    share a labelled id the least by text, source, language and length is learned from. What reaches the driver are sums
+    by feature, and of the rows set aside (a fifth of ``labelled`` at most) a few numbers each. None if a class is missing
+    among the rows learned from or those set aside, as with empty tables.
+    """
+    bounded_batches(docs.sparkSession)
+    known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").alias("known_id")).agg(F.max("quality").cast("int").alias("good"))
+    known = known.withColumn("h", F.xxhash64("known_id", F.lit(9))).orderBy("h", "known_id").limit(labelled)
+    # Bounded by a parameter, so it can go to every task.
+    known = materialize(known, "known")
+    least = F.min(F.struct(*_COLUMNS)).alias("row")
+    rows = docs.select(F.col("doc_id"), *(c for c in _COLUMNS)).join(F.broadcast(known), F.col("doc_id") == F.col("known_id")).groupBy("doc_id", "good", "h").agg(least)
+    rows = materialize(rows.select("good", "row.*", (F.pmod(F.xxhash64("h"), F.lit(SET_ASIDE)) == 0).alias("aside")), "labelled")
+    counts = {(r["aside"], r["good"]): r["n"] for r in rows.groupBy("aside", "good").agg(F.count("*").alias("n")).collect()}
+    if len(counts) < 4:
+        return None
+    ids = known.select("known_id")
+    pool = docs.select("doc_id", *_COLUMNS).join(F.broadcast(ids), F.col("doc_id") == F.col("known_id"), "left_anti")
+    learned, aside = rows.where("NOT aside"), rows.where("aside")
+    own = label_sums(learned)
+    sums, done = own, []
+    for r in range(rounds + 1):
+        text, page = (View.of(VIEWS[v], sums) for v in ("text", "page"))
+        z_text, z_page, y = _odds(aside, text, page)
+        for view, z in ((text, z_text), (page, z_page)):
+            view.a, view.base = calibrate(z, y)
+        if r == rounds:
+            break
+        more = exchanged(pool, text, page)
+        done.append((int(more["told"][:, 0].sum()), int(more["told"][:, 1].sum())))
+        sums = {p: own[p] + more[p] for p in PARTS}
+    z = np.stack([np.clip(z_text @ text.a + text.base, -20, 20), np.clip(z_page @ page.a + page.base, -20, 20)], axis=1)
+    a, base = calibrate(z, y)
+    return CoTrained(text, page, a, base, done)
 
 
 def score(docs: DataFrame, model: CoTrained | None) -> DataFrame:
@@ -212,7 +295,8 @@ def score(docs: DataFrame, model: CoTrained | None) -> DataFrame:
     def scored(texts: pa.Array, sources: pa.Array, langs: pa.Array, sizes: pa.Array) -> pa.Array:
         if shared.value is None:
             return pa.array(np.ones(len(texts)))
-        text, page = _matrices(texts.to_pylist(), sources.to_pylist(), langs.to_pylist(), sizes.to_pylist())
-        return pa.array(np.round(shared.value.probability(text, page), 6))
+        features = Features()
+        rows = zip(texts.to_pylist(), sources.to_pylist(), langs.to_pylist(), sizes.to_pylist(), strict=True)
+        return pa.array([round(shared.value.probability(features.text(t), features.page(*about)), 6) for t, *about in rows], pa.float64())
 
     return docs.withColumn("quality_score", scored("text", "source", "lang", F.col("n_chars").cast("long")))

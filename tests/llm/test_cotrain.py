@@ -1,7 +1,9 @@
-"""Accuracy on labelled rows that were set aside, and corner cases."""
+"""A round against brute force, accuracy on labelled rows that were set aside, and corner cases."""
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 
 from gridwise.llm import cotrain, queries
@@ -12,7 +14,7 @@ DATA = "/root/testdata/sf0.01"
 def test_accuracy(spark):
     docs, labels = queries.table(spark, DATA, "documents"), queries.table(spark, DATA, "labels")
     learned, aside = labels.where("doc_id % 3 != 0"), labels.where("doc_id % 3 = 0")
-    model = cotrain.fit(docs, learned, labelled=400, pool=400)
+    model = cotrain.fit(docs, learned, labelled=400)
     got = cotrain.score(docs, model).select("doc_id", "quality_score").join(aside, "doc_id").toPandas()
     keep = got.quality_score >= cotrain.THRESHOLD
     assert ((keep == (got.quality == 1)).mean()) >= 0.95
@@ -20,22 +22,71 @@ def test_accuracy(spark):
     assert len(model.rounds) == cotrain.ROUNDS and sum(map(sum, model.rounds)) > 0
 
 
-def test_views_teach_each_other():
+ROWS = [(i, f"{'fine words here' if i % 2 else 'BUY NOW $$$'} w{i % 5}\nw{i % 7}", "good.example" if i % 2 else "bad.example", "en", 20) for i in range(60)] + [(60, None, None, None, None), (61, "", "good.example", "de", 0), (62, "BUY NOW $$$", "other.example", "en", 11)]
+SCHEMA = "doc_id long, text string, source string, lang string, n_chars long"
+
+
+def brute_sums(rows):
+    """Counts by part, feature and class, one row after the other."""
+    n = Counter()
+    for good, text, page in rows:
+        for part, f in [*(text or {}).items(), *(page or {}).items()]:
+            for x in f.tolist():
+                n[part, x, good] += 1
+    return n
+
+
+def nonzero(sums):
+    return {(p, int(f), int(g)): int(sums[p][g, f]) for p in cotrain.PARTS for g, f in zip(*np.nonzero(sums[p]), strict=True)}
+
+
+def test_a_round_against_brute_force(spark):
+    features = cotrain.Features()
+    own = [(i % 2, features.text(t), features.page(*about)) for i, t, *about in ROWS[:20]]
+    known = spark.createDataFrame(ROWS[:20], SCHEMA).selectExpr("*", "CAST(doc_id % 2 AS INT) AS good")
+    sums = cotrain.label_sums(known)
+    assert nonzero(sums) == brute_sums(own)
+    # Naive Bayes by its definition.
+    text, page = (cotrain.View.of(cotrain.VIEWS[v], sums) for v in ("text", "page"))
+    n = brute_sums(own)
+    for part, x in [("words", int(own[1][1]["words"][0])), ("page", int(own[1][2]["page"][0]))]:
+        share = [(n[part, x, g] + cotrain.SMOOTH) / (sum(v for (p, _, k), v in n.items() if p == part and k == g) + cotrain.SMOOTH * cotrain.PARTS[part]) for g in (0, 1)]
+        assert np.isclose((text if part == "words" else page).odds[part][x], np.log(share[1] / share[0]))
+    text.a, text.base, page.a, page.base = np.array([2.0, 1.0, 1.0]), 0.1, np.array([3.0]), 0.0
+    pool = spark.createDataFrame(ROWS[20:], SCHEMA).repartition(3)
+    got = cotrain.exchanged(pool, text, page, sure=0.8)
+    want, told = [], Counter()
+    for _, t, *about in ROWS[20:]:
+        f, g = features.text(t), features.page(*about)
+        p_text, p_page = (1 / (1 + np.exp(-view.logit(x))) for view, x in ((text, f), (page, g)))
+        if max(p_text, 1 - p_text) >= 0.8:
+            want.append((int(p_text > 0.5), None, g))
+            told[int(p_text > 0.5), 0] += 1
+        if max(p_page, 1 - p_page) >= 0.8:
+            want.append((int(p_page > 0.5), f, None))
+            told[int(p_page > 0.5), 1] += 1
+    assert nonzero(got) == brute_sums(want) and len(want) > 40
+    assert {k: got["told"][k] for k in told} == told and got["told"].sum() == sum(told.values())
+
+
+def test_calibration_gives_no_weight_to_what_points_the_wrong_way():
     rng = np.random.default_rng(1)
-    y = rng.integers(0, 2, 400)
-    text, page = y[:, None] * 2.0 + rng.normal(0, 1, (400, 3)), y[:, None] * 1.5 + rng.normal(0, 1, (400, 2))
-    m = cotrain.cotrain(text[:60], page[:60], y[:60], text[60:300], page[60:300], np.arange(60) % 3 == 0)
-    assert ((m.probability(text[300:], page[300:]) > 0.5) == y[300:]).mean() > 0.9 and all(sum(r) > 0 for r in m.rounds[:1])
-    assert (m.a >= 0).all()
-    assert cotrain.cotrain(text[:9], page[:9], np.ones(9, int), text, page, np.arange(9) % 3 == 0) is None
+    y = rng.integers(0, 2, 400).astype(float)
+    a, _ = cotrain.calibrate(np.stack([y * 2 + rng.normal(0, 1, 400), -y + rng.normal(0, 1, 400)], axis=1), y)
+    assert a[0] > 0.5 and a[1] == 0
 
 
 def test_corners(spark):
-    df = spark.createDataFrame([(1, None, None, None, None), (2, "", "s", "en", 0), (3, "w " * 50_000, "s", "en", 100_000)], "doc_id long, text string, source string, lang string, n_chars long").selectExpr("*", "'old' AS quality_score")
+    df = spark.createDataFrame([(1, None, None, None, None), (2, "", "s", "en", 0), (3, "w " * 50_000, "s", "en", 100_000)], SCHEMA).selectExpr("*", "'old' AS quality_score", "1 AS known_id", "2 AS good", "3 AS h")
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     model = cotrain.fit(df, labels)
     assert model is None
     assert [r.quality_score for r in cotrain.score(df, model).collect()] == [1.0, 1.0, 1.0]
-    real = cotrain.fit(queries.table(spark, DATA, "documents"), queries.table(spark, DATA, "labels"), labelled=200, pool=100)
+    # Repeated ids: one row of each is learned from. Conflicting labels: the good one.
+    many = spark.createDataFrame(ROWS * 10, SCHEMA).selectExpr("*", "1 AS known_id", "2 AS good", "3 AS h")
+    real = cotrain.fit(many, spark.createDataFrame([(i, q) for i in range(60) for q in {0, i % 2}] + [(None, 1), (5, 7)], "doc_id long, quality int"), labelled=40)
     assert all(0 <= r.quality_score <= 1 for r in cotrain.score(df, real).collect())
-    assert cotrain.score(df.limit(0), real).count() == 0
+    assert all(n <= 10 * (len(ROWS) - 40) for told in real.rounds for n in told)
+    got = {r.doc_id: r.quality_score for r in cotrain.score(many, real).collect()}
+    assert min(got[i] for i in range(1, 60, 2)) > 0.5 > max(got[i] for i in range(0, 60, 2))
+    assert cotrain.score(df.limit(0), real).count() == 0 and cotrain.fit(df.limit(0), labels.limit(0)) is None
