@@ -18,16 +18,18 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialize
 
-#: Labelled documents that the model is fitted on at most, rounds of fitting, languages at most.
-TRAIN_DOCS, ROUNDS, LANGS = 20_000, 3, 256
+#: Labelled documents that the model is fitted on at most, rounds of fitting.
+TRAIN_DOCS, ROUNDS = 20_000, 3
 #: No piece has a smaller probability than this.
 FLOOR = 1e-8
 #: Longer words go through slower passes that rescale, as plain products would get too small.
 LONG = 30
 #: Positions of a long word whose probabilities are held at once in learning; the others are worked out again.
 WINDOW = 4096
-#: Words whose likelihoods a worker remembers.
-MEMO = 400_000
+#: Words whose likelihoods a worker remembers, and bytes of these.
+MEMO, MEMO_BYTES = 400_000, 128 << 20
+#: Words times languages that are worked on at once, about.
+AT_ONCE = 1 << 14
 WORD_START = "▁"
 
 
@@ -122,8 +124,8 @@ class Lattice:
         """Natural logarithm of each word's probability in each language (words x languages)."""
         out = np.empty((len(words), theta.shape[1]))
         short = [i for i, w in enumerate(words) if len(w) <= LONG]
-        for at in range(0, len(short), 4096):
-            part = short[at : at + 4096]
+        for at in range(0, len(short), some := portion(theta)):
+            part = short[at : at + some]
             _, alpha, size = self.forward([words[i] for i in part], theta)
             out[part] = np.log(alpha[np.arange(len(part)), size])
         for i, w in enumerate(words):
@@ -213,12 +215,17 @@ class Lattice:
             after = beta[: width + 1]
 
 
+def portion(theta: np.ndarray) -> int:
+    """Words that are worked on at once."""
+    return max(16, AT_ONCE // theta.shape[1])
+
+
 def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
 def word_counts(train: DataFrame, langs: list[str]) -> DataFrame:
-    """(word, counts): how often each word occurs in each language's texts."""
+    """(word, counts): how often each word occurs in texts of each language that has it, as an array of (lang, n)."""
     bounded_batches(train.sparkSession)
     at = {x: i for i, x in enumerate(langs)}
     out = pa.schema([("word", pa.string()), ("lang", pa.int32()), ("n", pa.int64())])
@@ -234,8 +241,7 @@ def word_counts(train: DataFrame, langs: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in n], pa.string()), pa.array([k for _, k in n], pa.int32()), pa.array(list(n.values()), pa.int64())], schema=out)
 
     rows = train.select("lang", "text").mapInArrow(batches, "word string, lang int, n long")
-    each = [F.sum(F.when(F.col("lang") == i, F.col("n")).otherwise(0)).cast("double") for i in range(len(langs))]
-    return rows.groupBy("word").agg(F.array(*each).alias("counts"))
+    return rows.groupBy("word", "lang").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("lang", "n")).alias("counts"))
 
 
 class Model:
@@ -248,16 +254,17 @@ class Model:
 def fit(labelled: DataFrame, path: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS) -> Model | None:
     """Learn from rows with text and language; None if there are none.
 
-    Fitted on at most train_docs rows, the first by a hash of their id. What reaches the driver is expected counts of
-    the vocabulary's pieces in at most LANGS languages, whatever the number of rows; more languages raise.
+    Fitted on at most train_docs rows, the first by a hash of their id; of rows that share an id the least by text and
+    language, and none without an id. What reaches the driver is expected counts of the vocabulary's pieces in the
+    languages of these rows, whatever the number of rows. Other columns don't matter, whatever their names.
     """
     spark = labelled.sparkSession
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    chosen = rows.select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(train_docs).distinct()
-    train = materialize(rows.join(chosen.select("id"), "id", "left_semi"), "langid")
-    per = train.groupBy("lang").count().orderBy("lang").limit(LANGS + 1).collect()
-    if len(per) > LANGS:
-        raise ValueError(f"more than {LANGS} languages")
+    # Bounded by a parameter, so it can go to every task.
+    chosen = rows.where("id IS NOT NULL").select("id", F.xxhash64("id").alias("h")).distinct().orderBy("h", "id").limit(train_docs)
+    train = rows.join(F.broadcast(chosen.select("id")), "id", "left_semi").groupBy("id").agg(F.min(F.struct("text", "lang")).alias("row"))
+    train = materialize(train.select("row.*"), "langid")
+    per = train.groupBy("lang").count().orderBy("lang").collect()
     if not per:
         return None
     langs = [r["lang"] for r in per]
@@ -272,9 +279,13 @@ def fit(labelled: DataFrame, path: str = "piece_bpe_32k.model", id_col: str = "d
             pieces, theta = shared.value
             lattice, total = Lattice(pieces), np.zeros_like(theta)
             for pdf in it:
-                for at in range(0, len(pdf), 4096):
-                    part = pdf.iloc[at : at + 4096]
-                    total += lattice.expected(part.word.tolist(), np.stack(part.counts.to_numpy()), theta)
+                for at in range(0, len(pdf), some := portion(theta)):
+                    part = pdf.iloc[at : at + some]
+                    counts = np.zeros((len(part), theta.shape[1]))
+                    for i, c in enumerate(part.counts):
+                        for x in c:
+                            counts[i, x["lang"]] = x["n"]
+                    total += lattice.expected(part.word.tolist(), counts, theta)
             piece, lang = np.nonzero(total)
             yield pd.DataFrame({"piece": piece.astype(np.int32), "lang": lang.astype(np.int32), "n": total[piece, lang]})
 
@@ -300,14 +311,14 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if shared.value is not None:
             pieces, theta, prior, langs = shared.value
-            lattice, row, seen = Lattice(pieces), {}, np.empty((1 << 16, len(langs)))
+            lattice, row, seen, most = Lattice(pieces), {}, np.empty((1 << 10, len(langs))), min(MEMO, MEMO_BYTES // (8 * len(langs)))
         for b in it:
             pred: list[str] = []
             score: list[float] = []
             texts = [words_of(t) if t is not None and any(map(str.isalpha, t)) else None for t in b.column(1).to_pylist()]
             if shared.value is not None:
-                if len(row) > MEMO:
-                    row = {}
+                if len(row) > most:
+                    row, seen = {}, np.empty((1 << 10, len(langs)))
                 new = list({w for t in texts if t for w in t if w not in row})
                 if new:
                     while len(seen) < len(row) + len(new):

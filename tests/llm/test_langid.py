@@ -104,3 +104,15 @@ def test_long_words_are_learned_from(spark, monkeypatch):
     model = langid.fit(df.where("doc_id < 30"))
     got = {r.doc_id: r.lang_pred for r in langid.predict(df, model).collect()}
     assert got == {i: x for i, _, x in rows}
+
+
+def test_many_languages_and_repeated_ids(spark):
+    two = lambda i: chr(97 + i // 20) + chr(97 + i % 20)
+    rows = [(10 * i + k, f"{two(i)}x{two(i)}y{two(i)} {two(i) * 3}", f"l{i:03}") for i in range(300) for k in range(2)] + [(5, "other words", "l000")] * 50 + [(None, "w1a", "l001")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS id", "2 AS row", "3 AS h")
+    model = langid.fit(df, rounds=2)
+    assert len(model.langs) == 300
+    got = {r.doc_id: r.lang_pred for r in langid.predict(df, model).collect() if r.doc_id is not None and r.doc_id != 5}
+    assert sum(got[d] == x for d, _, x in rows if d in got) >= 0.8 * len(got)
+    # At most so many rows are learned from, also where ids are repeated.
+    assert langid.fit(df.where("doc_id <= 5"), train_docs=1).langs in (["l000"], ["l001"])
