@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, scratch
+from .common import bounded_batches, materialize, scratch
 
 #: Bytes of payload in a record at most.
 CHUNK = 64 << 10
@@ -29,6 +29,9 @@ _END = "\r\n\r\n"
 SALTS = 64
 #: Bytes of chunks in an Arrow batch, about.
 FLUSH = 8 << 20
+_BOUNDARY = re.compile(re.escape(BOUNDARY))
+#: Payloads with copies that are sent to every task at most (about 100 bytes each); more go by a shuffle.
+FEW = 100_000
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -39,14 +42,13 @@ def base32(hex_digest: Column) -> Column:
     return F.array_join(F.transform(five, lambda n: F.concat(*(digit(n, s) for s in (15, 10, 5, 0)))), "")
 
 
-def chunks(payload: bytes, size: int = CHUNK) -> Iterator[memoryview]:
+def chunks(payload: bytes | memoryview, size: int = CHUNK) -> Iterator[memoryview]:
     """Pieces of at most size bytes, one at least; no BOUNDARY lies whole in a piece."""
     view, at = memoryview(payload), 0
     while True:
         end = min(at + size, len(view))
-        hit = payload.find(BOUNDARY, at, end)
-        if hit >= 0:
-            end = hit + len(_END) + 2
+        if hit := _BOUNDARY.search(view, at, end):
+            end = hit.start() + len(_END) + 2
         yield view[at:end]
         at = end
         if at >= len(view):
@@ -57,22 +59,30 @@ def typed(pages: DataFrame, least: int = 0) -> DataFrame:
     """(page_id, url, html, sha1, n_bytes, refers_to): refers_to is the page whose response a revisit refers to.
 
     Of pages with equal payloads of at least ``least`` bytes, the largest page_id is the response; smaller payloads are
-    all responses. Rows of one digest are dealt over SALTS partitions, and the counts meet them there.
+    all responses. Up to FEW payloads that have copies are sent to every task, so that no payload is shuffled. Beyond,
+    rows of one digest are dealt over SALTS partitions, and the counts meet them there. Rows with a null page_id are
+    responses; if all rows of a payload have none, no row refers to another.
     """
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))
     # The digest is worked out before the exchange and once more for the counts; the payload crosses it once.
     own = pages.withColumn("sha1", F.sha1(F.col("html").cast("binary"))).withColumn("n_bytes", F.octet_length("html").cast("long"))
     first = own.where(F.col("n_bytes") >= least).groupBy("sha1", "n_bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    spread = first.select(F.col("sha1").alias("s"), F.col("n_bytes").alias("b"), "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt_"))
+    first = materialize(first.select(F.col("sha1").alias("s"), F.col("n_bytes").alias("b"), "first"), "copies")
+    refers_to = F.when(F.col("page_id") < F.col("first"), F.col("first")).alias("refers_to")
+    if first.count() <= FEW:
+        joined = own.join(F.broadcast(first), (F.col("sha1") == F.col("s")) & (F.col("n_bytes") == F.col("b")), "left")
+        return joined.select("page_id", "url", "html", "sha1", "n_bytes", refers_to)
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))
+    spread = first.select("s", "b", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt_"))
     joined = own.withColumn("salt", salt).join(spread, (F.col("sha1") == F.col("s")) & (F.col("n_bytes") == F.col("b")) & (F.col("salt") == F.col("salt_")), "left")
-    return joined.select("page_id", "url", "html", "sha1", "n_bytes", F.when(F.col("page_id") < F.col("first"), F.col("first")).alias("refers_to"))
+    return joined.select("page_id", "url", "html", "sha1", "n_bytes", refers_to)
 
 
 def chunk_table(pages: DataFrame, chunk: int = CHUNK, least: int = 0) -> DataFrame:
     """(record_id, chunk_no, last, page_id, url, refers_to, n_bytes, digest, data) of the pages (page_id, url, html).
 
     A null html is empty. A revisit has one chunk without data. digest: base-32 SHA-1 of the payload up to and with this
-    chunk. n_bytes: of the payload up to and with this chunk. Rows with the same page_id are records of their own.
+    chunk. n_bytes: of the payload up to and with this chunk. Rows with the same page_id, or with none, are records of
+    their own. Other columns are dropped, whatever their names. An empty table gives no rows.
     """
     bounded_batches(pages.sparkSession)
     names = ["record_id", "chunk_no", "last", "page_id", "url", "refers_to", "n_bytes", "digest", "data"]
@@ -91,7 +101,8 @@ def chunk_table(pages: DataFrame, chunk: int = CHUNK, least: int = 0) -> DataFra
                 if about[2] is not None:
                     rows.append((record, 1, True, *about, n_bytes[i].as_py(), base64.b32encode(bytes.fromhex(sha1[i].as_py())).decode(), b""))
                     continue
-                payload, done, digest = html[i].as_buffer().to_pybytes(), 0, hashlib.sha1(usedforsecurity=False)
+                # A view of the row's own bytes; only chunks are copied.
+                payload, done, digest = memoryview(html[i].as_buffer()), 0, hashlib.sha1(usedforsecurity=False)
                 for k, piece in enumerate(chunks(payload, chunk)):
                     digest.update(piece)
                     done += len(piece)
@@ -125,6 +136,7 @@ def write_archives(table: DataFrame, path: str, compression: str = "gzip") -> No
         header("WARC-Segment-Number", segment),
         header("WARC-Segment-Total-Length", F.when(F.col("last") & (F.col("chunk_no") > 1), F.col("n_bytes"))),
         header("WARC-Payload-Digest", F.when(F.col("last"), F.concat(F.lit("sha1:"), F.col("digest")))),
+        header("Content-Type", F.when(F.col("refers_to").isNull() & (F.col("chunk_no") == 1), F.lit("text/html"))),
         header("WARC-Profile", F.when(F.col("refers_to").isNotNull(), F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
         header("X-Page-ID", F.col("page_id")),
         header("X-Digest-So-Far", F.col("digest")),
@@ -153,9 +165,12 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes]:
         if not m:
             raise Damaged(f"no header: {line[:80]!r}")
         fields[m[1].decode()] = m[2].decode()
-    block = block.removesuffix(b"\r\n\r\n") if len(block) == int(fields["Content-Length"]) + 4 else block
-    if not found or len(block) != int(fields["Content-Length"]):
-        raise Damaged(f"{len(block)} bytes; Content-Length is {fields.get('Content-Length')}")
+    length = fields.get("Content-Length", "")
+    if not found or not length.isdecimal():
+        raise Damaged(f"no length: Content-Length is {length!r}")
+    block = block.removesuffix(b"\r\n\r\n") if len(block) == int(length) + 4 else block
+    if len(block) != int(length):
+        raise Damaged(f"{len(block)} bytes; Content-Length is {length}")
     return fields, block
 
 

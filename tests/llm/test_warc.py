@@ -41,7 +41,21 @@ def test_archives(spark, tmp_path):
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
     text = b"".join(gzip.decompress(p.read_bytes()) for p in Path(tmp_path, "w").glob("*.gz"))
     assert text.count(b"WARC-Type: continuation") >= 10 and b"X: y z" not in text.replace(b"X:%20y%20z", b"")
-    assert warc.archive(df.limit(0), f"file://{tmp_path}/e").count() == 0 if list(Path(tmp_path).glob("e/*")) else True
+    assert text.count(b"Content-Type: text/html") == text.count(b"WARC-Type: response\r\nWARC-Record-ID")
+    assert warc.archive(df.limit(0), f"file://{tmp_path}/e").count() == 0
+
+
+def test_many_copies_go_by_a_shuffle(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"u{i}", f"page {i % 7}") for i in range(60)], "page_id long, url string, html string")
+    few = sorted(map(str, warc.typed(df).collect()))
+    monkeypatch.setattr(warc, "FEW", 3)
+    assert sorted(map(str, warc.typed(df).collect())) == few
+
+
+def test_lengths_are_needed():
+    for bad in (b"WARC-Type: response\r\n\r\nabc", b"Content-Length: x\r\n\r\nabc", b"Content-Length: 4\r\n\r\nabc", b"Content-Length: 3"):
+        with pytest.raises(warc.Damaged):
+            warc.parse(b"WARC/1.1\r\n" + bad)
 
 
 def test_incremental_digests(spark):
