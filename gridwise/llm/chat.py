@@ -8,7 +8,7 @@ the turns can be read back exactly.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 END, AND = "<|end|>", "<|and|>"
@@ -30,8 +30,16 @@ def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     text or role is empty. Rows with a null conversation form one conversation. Other columns are dropped. An empty
     table gives none. What is collected is one conversation, which a formatted text has to hold anyway.
     """
-    turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    turns = df.select(F.col(conv_col).alias("conv"), turn.alias("t")).groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    said = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # Where a text starts: what all turns up to it take, the marks before them with them.
+    order = Window.partitionBy("conv").orderBy("turn", "role", "text")
+    before = F.lag("role").over(order)
+    head = F.length(escape(F.col("role"))) + 4
+    said = said.withColumn("ahead", F.when(before.isNull(), head).when(before != F.col("role"), head + len(END)).otherwise(len(AND)))
+    size = F.length(escape(F.col("text")))
+    end = F.sum(F.col("ahead") + size).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")
+    turn = F.struct("turn", "role", "text", (F.col("end") - size).alias("start"), "end")
+    turns = said.withColumn("end", end).select("conv", turn.alias("t")).groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     # The first turn of each run, and one past the last turn as the end of the last run.
     starts = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: (i == 1) | (F.element_at("turns", i)["role"] != F.element_at("turns", F.greatest(i - 1, F.lit(1)))["role"]))
     runs = F.transform(
@@ -39,28 +47,8 @@ def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
         lambda r: F.struct(F.element_at("turns", r["a"])["role"].alias("role"), F.transform(F.slice("turns", r["a"], r["b"] - r["a"]), lambda t: escape(t["text"])).alias("texts")),
     )
     block = lambda r: F.concat(F.lit("<|"), escape(r["role"]), F.lit("|>"), F.array_join(r["texts"], AND), F.lit(END))
-    ahead = lambda r: F.length(escape(r["role"])) + 4
-    size = lambda r: ahead(r) + F.aggregate(r["texts"], F.lit(0), lambda n, t: n + F.length(t)) + (F.size(r["texts"]) - 1) * len(AND) + len(END)
-    # Offsets add up over the blocks, and within a block over its texts.
-    step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts"))
-    none = lambda at: F.struct(at.alias("at"), F.array().cast("array<int>").alias("starts"))
-    at = F.aggregate(F.transform("runs", size), none(F.lit(0)), step, lambda acc: acc["starts"])
-    spans = F.flatten(
-        F.transform(
-            F.filter(F.arrays_zip(F.col("runs").alias("r"), F.col("at").alias("at")), lambda x: x["r"]["role"] == loss_role),
-            lambda x: F.zip_with(
-                F.aggregate(F.transform(x["r"]["texts"], lambda t: F.length(t) + len(AND)), none(x["at"] + ahead(x["r"])), step, lambda acc: acc["starts"]),
-                x["r"]["texts"],
-                lambda s, t: F.struct(s.alias("start"), (s + F.length(t)).alias("end")),
-            ),
-        )
-    )
-    return (
-        turns.withColumn("starts", starts)
-        .withColumn("runs", runs)
-        .withColumn("at", at)
-        .select(F.col("conv").alias(conv_col), F.array_join(F.transform("runs", block), "").alias("formatted"), spans.alias("loss_spans"))
-    )
+    spans = F.transform(F.filter("turns", lambda t: t["role"] == loss_role), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
+    return turns.withColumn("starts", starts).select(F.col("conv").alias(conv_col), F.array_join(F.transform(runs, block), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:
