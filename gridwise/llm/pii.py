@@ -2,7 +2,7 @@
 
 A chain of transducers rewrites a text and remembers which source characters each rewritten one came from:
 homoglyphs become ASCII and invisible characters go, spelled IP addresses become written ones, "at"/"dot" disguises become ``@`` and ``.``, and
-runs of spelled digits become digits. The same detectors run on the source text (base spans) and on the rewritten text;
+spelled digits become digits. The same detectors run on the source text (base spans) and on the rewritten text;
 what they find in the latter is mapped back and added unless a base span of its kind already covers it.
 """
 
@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import bisect
 import re
+import sys
 import unicodedata
+from functools import cache
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -61,20 +64,23 @@ def detect(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-# Characters of other scripts that are drawn like an ASCII one.
+# Characters of other scripts that are drawn like an ASCII one (Cyrillic, Greek, Armenian), dashes and stops.
 _LOOKALIKES = dict(
     zip(
-        "АВЕЅІЈКМНОРСТХУаеѕіјорсухԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρι",
-        "ABESIJKMHOPCTXYaesijopcyxdqwABEZHIKMNOPTYXovpi",
+        "АВЕЅІЈКМНОРСТХУҮԌԚԜаеѕіјорсухһӏԁԛԝүΑΒΕΖΗΙΚΜΝΟΡΤΥΧαονρικυսօոհ‐‑‒–—−。",
+        "ABESIJKMHOPCTXYYGQWaesijopcyxhldqwyABEZHIKMNOPTYXaovpikuuonh------.",
         strict=True,
     )
 )
 _INVISIBLE = "­​‌‍⁠﻿"
-_FOREIGN = re.compile(f"[{_INVISIBLE}{''.join(_LOOKALIKES)}٠-٩۰-۹०-९！-～\U0001d400-\U0001d7ff]")
 
 
 def _plain(c: str) -> str:
-    """The ASCII character that c is drawn like; none for an invisible one."""
+    """The ASCII character that c is drawn like; none for an invisible one; c itself otherwise.
+
+    Beside the fixed values: decimal digits of any script, and letters, signs and blanks whose compatibility form is one
+    ASCII character (wide, mathematical and the like; no superscripts).
+    """
     if c in _INVISIBLE:
         return ""
     if c in _LOOKALIKES:
@@ -82,11 +88,19 @@ def _plain(c: str) -> str:
     if (d := unicodedata.decimal(c, None)) is not None:
         return str(d)
     n = unicodedata.normalize("NFKC", c)
-    return n if len(n) == 1 and n.isascii() else c
+    return n if len(n) == 1 and n.isascii() and unicodedata.category(c) not in ("No", "Lo", "Lm") else c
+
+
+@cache
+def _foreign() -> re.Pattern[str]:
+    """All characters beyond ASCII that _plain changes."""
+    found = [i for i in range(0x80, sys.maxunicode + 1) if not 0xD800 <= i < 0xE000 and _plain(chr(i)) != chr(i)]
+    cuts = [0, *(k for k in range(1, len(found)) if found[k] != found[k - 1] + 1), len(found)]
+    return re.compile("[" + "".join(f"{re.escape(chr(found[a]))}-{re.escape(chr(found[b - 1]))}" for a, b in pairwise(cuts)) + "]")
 
 
 def homoglyphs(text: str) -> list[tuple[int, int, str]]:
-    return [] if text.isascii() else [(m.start(), m.end(), _plain(m[0])) for m in _FOREIGN.finditer(text)]
+    return [] if text.isascii() else [(m.start(), m.end(), _plain(m[0])) for m in _foreign().finditer(text)]
 
 
 # Words for the signs of an address.
@@ -169,6 +183,19 @@ def spelled_digits(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+_MIXED = re.compile(rf"(?<![\w+])(?:\+|plus[ \t]+)[0-9]{{1,4}}(?:[ \t().-]{{1,3}}(?:{_WORD}|[0-9]{{1,4}})(?!\w)){{2,}}", re.I)
+_ONE = re.compile(rf"(?<!\w)(?:{_WORD}|plus[ \t]+)(?!\w)|plus[ \t]+", re.I)
+
+
+def mixed_digits(text: str) -> list[tuple[int, int, str]]:
+    """Spelled digits among written ones after a plus sign or the word, however few: ``+1 555 five five five 1234``."""
+    edits: list[tuple[int, int, str]] = []
+    if _TWO.search(text):
+        for run in _MIXED.finditer(text):
+            edits += [(m.start(), m.end(), _DIGIT[m[0].strip().lower()]) for m in _ONE.finditer(text, *run.span())]
+    return edits
+
+
 _NUMBER = rf"(?:[0-9]{{1,3}}(?![0-9])|(?:{_WORD}|[0-9])(?:[ \t]{{1,3}}(?:{_WORD}|[0-9])(?!\w)|-(?:{_WORD}|[0-9])(?!\w)){{0,2}})"
 _IP_DOT = rf"(?:\.|{_OPEN}(?:{_DOT}|\.){_SHUT}|[ \t]{{1,3}}(?:{_DOT})[ \t]{{1,3}})"
 _SPELLED_IP = re.compile(rf"(?<![\w.])({_NUMBER}){_IP_DOT}({_NUMBER}){_IP_DOT}({_NUMBER}){_IP_DOT}({_NUMBER})(?!\w)", re.I)
@@ -218,7 +245,7 @@ class Rewritten:
         return at, at + 1
 
 
-TRANSDUCERS = (homoglyphs, spelled_ips, boxed_signs, spaced_at, literal_at, spaced_dots, spelled_digits)
+TRANSDUCERS = (homoglyphs, spelled_ips, boxed_signs, spaced_at, literal_at, spaced_dots, spelled_digits, mixed_digits)
 
 
 def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
