@@ -16,6 +16,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -368,7 +369,7 @@ def digests(df: DataFrame, path: str = "byte_bpe_50k.json", id_col: str = "doc_i
 
 
 def encode(df: DataFrame, path: str = "byte_bpe_50k.json", text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """df with the token ids of text_col as an array; null for a null text."""
+    """df with the token ids of text_col as an array; null for a null text. A column of that name is replaced."""
     from .common import bounded_batches
 
     bounded_batches(df.sparkSession)
@@ -377,19 +378,22 @@ def encode(df: DataFrame, path: str = "byte_bpe_50k.json", text_col: str = "text
     def ids(texts: pa.Array) -> pa.Array:
         merges, memo = load(_named(path))
 
-        def one(t: str | None) -> list[int] | None:
+        def one(t: str | None) -> bytes:
             if t is None:
-                return None
+                return b""
             e = Encoder(merges, memo)
-            return list(memoryview(b"".join([*e.feed(t), e.finish()])).cast("I"))
+            return b"".join([*e.feed(t), e.finish()])
 
-        return pa.array(map(one, texts.to_pylist()), pa.list_(pa.int32()))
+        made = [one(t.as_py()) for t in texts]
+        ends = np.cumsum([0, *(len(x) // 4 for x in made)]).astype(np.int32)
+        values = pa.array(np.frombuffer(b"".join(made), "<u4").view("<i4"))
+        return pa.ListArray.from_arrays(pa.array(ends), values, mask=texts.is_null())
 
     return df.withColumn(out_col, ids(F.col(text_col)))
 
 
 def decode(df: DataFrame, path: str = "byte_bpe_50k.json", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """df with the text of the ids in ids_col; null for null. Bytes that aren't UTF-8 become U+FFFD."""
+    """df with the text of the ids in ids_col; null for null. Bytes that aren't UTF-8 become U+FFFD. A column of that name is replaced."""
     from .common import bounded_batches
 
     bounded_batches(df.sparkSession)
@@ -398,12 +402,12 @@ def decode(df: DataFrame, path: str = "byte_bpe_50k.json", ids_col: str = "ids",
     def text(arrays: pa.Array) -> pa.Array:
         merges, _ = load(_named(path))
 
-        def one(ids: list[int] | None) -> str | None:
-            if ids is None:
+        def one(ids: pa.ListScalar) -> str | None:
+            if not ids.is_valid:
                 return None
             d = Decoder(merges)
-            return d.feed(b"".join(i.to_bytes(4, "little") for i in ids)) + d.finish()
+            return d.feed(ids.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()) + d.finish()
 
-        return pa.array(map(one, arrays.to_pylist()), pa.string())
+        return pa.array(map(one, arrays), pa.string())
 
     return df.withColumn(out_col, text(F.col(ids_col)))
