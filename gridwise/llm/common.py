@@ -11,16 +11,20 @@ from gridwise.session import materialize, scratch
 
 __all__ = ["bounded_batches", "map_columns", "materialize", "scratch"]
 
-#: Rows of an Arrow batch at most, so that a batch of long texts stays small beside a worker's memory.
-BATCH_ROWS = 500
+#: Rows of an Arrow batch at most, and its bytes, about: a batch ends at either. One text longer than that is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
+_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches at BATCH_ROWS rows or fewer: texts can be long, and a batch is held whole."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if not 0 < now <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Keep Arrow batches small, as texts can be long and a batch is held whole.
+
+    The settings are lowered in the session and stay so, as they are read when a query is run; lower ones are left as they are.
+    """
+    for key, most in _LIMITS.items():
+        now = (spark.conf.get(key) or "").lower().removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def map_columns(df: DataFrame, fn: Callable[..., dict[str, list]], schema: str, out: pa.Schema) -> DataFrame:

@@ -56,4 +56,7 @@ def test_frames(spark):
         data = t.encode()
         assert got[k].n_bytes == len(data) and bytes(got[k].payload) == ogg.padded(data) and len(got[k].payload) % 576 == 0 and len(got[k].payload) > 0
     assert got[1].media == got[5].media and got[1].facts == got[5].facts
+    both = ogg.encode_texts(df).selectExpr("*", "'old' AS payload", "1 AS facts", "2 AS k")
+    again = ogg.decode_media(both)
+    assert again.columns == ["doc_id", "n_bytes", "media", "k", "payload", "facts"] and {bytes(r.payload) for r in again.select("payload").collect()} == {bytes(r.payload) for r in got.values()}
     assert ogg.decode_media(ogg.encode_texts(df.limit(0))).count() == 0
