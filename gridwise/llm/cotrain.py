@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from .common import bounded_batches, materialize
 
 #: Labelled rows that are learned from at most; every fifth of them only calibrates. Other labelled rows count as unlabelled.
 LABELLED, SET_ASIDE = 12_000, 5
-ROUNDS = 3
+ROUNDS = 2
 #: How sure of a row a view has to be to label it for the other.
 SURE = 0.95
 #: A document is rejected if its probability of being good is below this.
@@ -33,73 +34,125 @@ WORDS, GRAMS, GRAM, BINS = 1 << 16, 1 << 16, 4, 32
 SLOTS = 256
 #: Added to each sum.
 SMOOTH = 0.5
-#: Words whose buckets a worker remembers.
-MEMO = 500_000
 
-_CLASS = np.zeros(256, np.int64)
+# Classes of bytes: other, lower, upper, digits, blanks, breaks, stops, shouts, symbols, beyond ASCII.
+_CLASS = np.zeros(256, np.uint8)
 for _i, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b".,;:'\"-()", b"!?", b"|#$%&*+<=>@[\\]^_`{}~/")):
     _CLASS[list(_chars)] = _i + 1
 _CLASS[128:] = 9
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Odd weights of the bytes of a word by their place; longer words go round.
+_WEIGHTS = np.random.default_rng(7).integers(0, 1 << 31, 64, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 SHAPE = ["other", "lower", "upper", "digits", "blanks", "breaks", "stops", "shouts", "symbols", "beyond", "length", "types", "words", "richness", "lines", "titles", "tails", "single"]
 #: The parts of the views and their numbers of features: a part's features of one row are compared with its own sums.
 PARTS = {"words": WORDS, "grams": GRAMS, "shape": len(SHAPE) * BINS, "page": 2 * SLOTS + BINS + 8}
 VIEWS = {"text": ("words", "grams", "shape"), "page": ("page",)}
+#: Bytes of texts that are worked on at once, about.
+AT_ONCE = 1 << 20
+
+#: Of each part the features of rows, and the number of the row of each.
+Found = dict[str, tuple[np.ndarray, np.ndarray]]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
+    return (h ^ h >> np.uint32(12)) * np.uint32(0x297A2D39)
+
+
+def _runs(data: np.ndarray, inside: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, hash, row) of the runs of bytes marked inside; edges are where rows begin and end."""
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    begin = edges[:-1][edges[:-1] < len(data)]
+    first[begin] = inside[begin]
+    start = np.flatnonzero(first)
+    if not len(start):
+        return start, start, np.empty(0, np.uint32), start
+    number = np.cumsum(first, dtype=np.int32) - 1
+    place = np.arange(len(data), dtype=np.int32) - start[np.maximum(number, 0)].astype(np.int32)
+    h = np.add.reduceat(np.where(inside, (data.astype(np.uint32) + np.uint32(1)) * _WEIGHTS[place & 63], np.uint32(0)), start, dtype=np.uint32)
+    size = np.add.reduceat(inside, start, dtype=np.int64)
+    return start, size, _mixed(h + size.astype(np.uint32)), np.searchsorted(edges, start, "right") - 1
+
+
+def _different(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
+    """How many different hashes each row has."""
+    x = np.sort(row.astype(np.uint64) << np.uint64(32) | h)
+    return np.bincount((x[np.diff(x, prepend=x[:1] + np.uint64(1)) != 0] >> np.uint64(32)).astype(np.int64), minlength=rows)
+
+
+def _share(n: np.ndarray, of: np.ndarray) -> np.ndarray:
+    return n / np.maximum(of, 1)
+
+
+def text_features(texts: list[str | None]) -> Found:
+    """Words, pairs of words and n-grams of bytes as buckets, and the text's shape in bins; A-Z lower-cased for words, which end at ASCII white space."""
+    rows, raw = len(texts), [(t or "").encode() for t in texts]
+    edges = np.cumsum([0, *map(len, raw)])
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    per = lambda row, weights=None: np.bincount(row, weights, minlength=rows)
+    start, size, h, row = _runs(_LOWER[data], ~_SPACE[data], edges)
+    pairs = _mixed(h[:-1] * np.uint32(0x9E3779B1) + h[1:])[row[:-1] == row[1:]]
+    grams = np.zeros(max(0, len(data) - GRAM + 1), np.uint32)
+    for k in range(GRAM):
+        grams = (grams ^ data[k : k + len(grams)]) * np.uint32(0x01000193)
+    owner = np.repeat(np.arange(rows, dtype=np.int32), np.diff(edges))
+    whole = owner[: len(grams)] == owner[len(data) - len(grams) :]
+    n, bytes_ = per(row), np.diff(edges)
+    kinds = np.bincount(owner * 10 + _CLASS[data], minlength=10 * rows).reshape(rows, 10)
+    different = _different(row, h, rows)
+    _, _, line, line_row = _runs(data, data != 10, edges)
+    last = _CLASS[data[start + size - 1]] if len(start) else start
+    shape = np.stack(
+        [
+            *_share(kinds.T, bytes_),
+            _share(bytes_, n) / 100,
+            _share(different, n),
+            np.log(np.maximum(n, 1)) / 20,
+            np.log(np.maximum(different, 1)) / np.maximum(np.log(np.maximum(n, 1)), 1.0),
+            _share(_different(line_row, line, rows), per(line_row)),
+            _share(per(row, _CLASS[data[start]] == 2) if len(start) else n, n),
+            _share(per(row, (last != 1) & (last != 2) & (last != 3) & (last != 9)) if len(start) else n, n),
+            _share(per(row, size == 1), n),
+        ],
+        axis=1,
+    )
+    bins = (np.sqrt(np.clip(shape, 0, 1)) * (BINS - 1)).astype(np.int64) + BINS * np.arange(len(SHAPE))
+    return {
+        "words": (np.concatenate([h, pairs]).astype(np.int64) % WORDS, np.concatenate([row, row[:-1][row[:-1] == row[1:]]])),
+        "grams": ((_mixed(grams[whole]) % np.uint32(GRAMS)).astype(np.int64), owner[: len(grams)][whole]),
+        "shape": (bins.ravel(), np.repeat(np.arange(rows), len(SHAPE))),
+    }
+
+
+@cache
+def slot(name: str, value: str | None) -> int:
+    return xxhash.xxh64_intdigest(f"{name}={value}") % SLOTS
+
+
+def page_features(rows: list[tuple[str | None, str | None, int | None]]) -> Found:
+    """Of (source, lang, n_chars): source, language, logarithm of the length, and what is missing."""
+    out = []
+    for source, lang, n_chars in rows:
+        length = min(BINS - 1, int(2 * np.log2(max(n_chars or 0, 0) + 1)))
+        missing = [2 * SLOTS + BINS + 2 * i + (x is None) for i, x in enumerate((source, lang, n_chars))]
+        out.append([slot("source", source), SLOTS + slot("lang", lang), 2 * SLOTS + length, *missing])
+    return {"page": (np.array(out, np.int64).ravel(), np.repeat(np.arange(len(rows)), 6))}
 
 
-def shape(data: np.ndarray, words: list[str], text: str) -> list[float]:
-    """Shares of character classes, word lengths, repetition of words and lines, about from 0 to 1; zeros for an empty text."""
-    if not len(data):
-        return [0.0] * len(SHAPE)
-    kinds = np.bincount(_CLASS, np.bincount(data, minlength=256), minlength=10) / len(data)
-    lines = [x for x in text.split("\n") if x]
-    n = max(len(words), 1)
-    distinct = len(set(words))
-    return [
-        *kinds.tolist(),
-        len(data) / n / 100,
-        distinct / n,
-        np.log(n) / 20,
-        np.log(max(distinct, 1)) / max(np.log(n), 1.0),
-        len(set(lines)) / max(len(lines), 1),
-        sum(map(str.istitle, words)) / n,
-        sum(1 for w in words if not w[-1].isalnum()) / n,
-        sum(1 for w in words if len(w) == 1) / n,
-    ]
-
-
-class Features:
-    """Features of rows as numbers by part; remembers words' buckets."""
-
-    def __init__(self):
-        self.memo: dict[str, int] = {}
-
-    def _bucket(self, word: str) -> int:
-        b = self.memo.get(word)
-        if b is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            b = self.memo[word] = xxhash.xxh32_intdigest(word.encode())
-        return b
-
-    def text(self, text: str | None) -> dict[str, np.ndarray]:
-        text = text or ""
-        words, data = text.split(), np.frombuffer(text.encode(), np.uint8)
-        h = np.fromiter(map(self._bucket, text.lower().split()), np.uint32)
-        pairs = (h[:-1] * np.uint32(0x9E3779B1) + h[1:]) * np.uint32(0x85EBCA6B) >> np.uint32(16)
-        grams = np.zeros(max(0, len(data) - GRAM + 1), np.uint32)
-        for k in range(GRAM):
-            grams = (grams ^ data[k : k + len(grams)]) * np.uint32(0x01000193)
-        bins = (np.sqrt(np.clip(shape(data, words, text), 0, 1)) * (BINS - 1)).astype(np.int64) + BINS * np.arange(len(SHAPE))
-        return {"words": np.concatenate([h >> np.uint32(16), pairs]).astype(np.int64), "grams": ((grams ^ grams >> np.uint32(15)) % np.uint32(GRAMS)).astype(np.int64), "shape": bins}
-
-    @staticmethod
-    def page(source: str | None, lang: str | None, n_chars: int | None) -> dict[str, np.ndarray]:
-        """Source, language, logarithm of the length, and what is missing."""
-        slot = lambda name, value: xxhash.xxh64_intdigest(f"{name}={value}") % SLOTS
-        length = min(BINS - 1, int(2 * np.log2(max(n_chars or 0, 0) + 1)))
-        missing = [2 * i + (x is None) for i, x in enumerate((source, lang, n_chars))]
-        return {"page": np.array([slot("source", source), SLOTS + slot("lang", lang), 2 * SLOTS + length, *(2 * SLOTS + BINS + m for m in missing)])}
+def portions(columns: list[list]) -> Iterator[tuple[list, ...]]:
+    """Rows in turn, about AT_ONCE characters of texts (the first column) at once."""
+    first, n = 0, 0
+    for k, t in enumerate(columns[0]):
+        if n and n + len(t or "") > AT_ONCE:
+            yield tuple(c[first:k] for c in columns)
+            first, n = k, 0
+        n += len(t or "")
+    if first < len(columns[0]):
+        yield tuple(c[first:] for c in columns)
 
 
 Sums = dict[str, np.ndarray]
@@ -123,12 +176,16 @@ class View:
         log = {p: np.log((sums[p] + SMOOTH) / (sums[p] + SMOOTH).sum(axis=1, keepdims=True)) for p in parts}
         return cls({p: x[1] - x[0] for p, x in log.items()})
 
-    def parts(self, features: dict[str, np.ndarray]) -> list[float]:
-        """The mean log odds of a row's features in each part; 0 where it has none."""
-        return [float(odds[features[p]].mean()) if len(features[p]) else 0.0 for p, odds in self.odds.items()]
+    def parts(self, found: Found, rows: int) -> np.ndarray:
+        """The mean log odds of each row's features in each part; 0 where it has none."""
+        out = np.zeros((rows, len(self.odds)))
+        for i, (p, odds) in enumerate(self.odds.items()):
+            features, row = found[p]
+            out[:, i] = np.bincount(row, odds[features], minlength=rows) / np.maximum(np.bincount(row, minlength=rows), 1)
+        return out
 
-    def logit(self, features: dict[str, np.ndarray]) -> float:
-        return float(np.clip(np.dot(self.parts(features), self.a) + self.base, -20, 20))
+    def logit(self, found: Found, rows: int) -> np.ndarray:
+        return np.clip(self.parts(found, rows) @ self.a + self.base, -20, 20)
 
 
 @dataclass
@@ -141,9 +198,9 @@ class CoTrained:
     #: Of each round the rows that the text view labelled for the page view, and the other way round.
     rounds: list[tuple[int, int]]
 
-    def probability(self, text: dict[str, np.ndarray], page: dict[str, np.ndarray]) -> float:
-        z = np.dot([self.text.logit(text), self.page.logit(page)], self.a) + self.base
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+    def probability(self, text: Found, page: Found, rows: int) -> np.ndarray:
+        z = np.stack([self.text.logit(text, rows), self.page.logit(page, rows)], axis=1) @ self.a + self.base
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -188,15 +245,21 @@ def _emitted(sums: Sums) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SUMS, strict=True)], schema=_SUMS)
 
 
+def _add(sums: Sums, found: Found, good: np.ndarray) -> None:
+    """Add the features of rows by their class; rows of another number than 0 and 1 have none."""
+    for part, (features, row) in found.items():
+        for g in (0, 1):
+            sums[part][g] += np.bincount(features[good[row] == g], minlength=PARTS[part])
+
+
 def label_sums(rows: DataFrame) -> Sums:
     """Sums over labelled rows (good, text, source, lang, n_chars)."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, sums = Features(), no_sums()
+        sums = no_sums()
         for b in it:
-            for good, text, *page in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for part, f in (features.text(text) | features.page(*page)).items():
-                    np.add.at(sums[part][good], f, 1)
+            for texts, good, *page in portions([b.column(k).to_pylist() for k in (1, 0, 2, 3, 4)]):
+                _add(sums, text_features(texts) | page_features(list(zip(*page, strict=True))), np.array(good))
         yield _emitted(sums)
 
     return _collected(_inputs(rows, "good").mapInArrow(batches, "part string, feature int, good int, n double"))
@@ -211,18 +274,15 @@ def exchanged(rows: DataFrame, text: View, page: View, sure: float = SURE) -> Su
     edge = float(np.log(sure / (1 - sure)))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, sums = Features(), no_sums() | {"told": np.zeros((2, 2))}
-        views = shared.value
+        sums, (text, page) = no_sums() | {"told": np.zeros((2, 2))}, shared.value
         for b in it:
-            for t, *about in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                own = (features.text(t), features.page(*about))
-                for v, view in enumerate(views):
-                    z = view.logit(own[v])
-                    if abs(z) >= edge:
-                        good = int(z > 0)
-                        sums["told"][good, v] += 1
-                        for part, f in own[1 - v].items():
-                            np.add.at(sums[part][good], f, 1)
+            for texts, *about in portions([c.to_pylist() for c in b.columns]):
+                found = (text_features(texts), page_features(list(zip(*about, strict=True))))
+                for v, view in enumerate((text, page)):
+                    z = view.logit(found[v], len(texts))
+                    good = np.where(np.abs(z) >= edge, (z > 0).astype(int), -1)
+                    sums["told"][:, v] += [(good == 0).sum(), (good == 1).sum()]
+                    _add(sums, found[1 - v], good)
         yield _emitted(sums)
 
     return _collected(_inputs(rows).mapInArrow(batches, "part string, feature int, good int, n double"))
@@ -234,10 +294,11 @@ def _odds(rows: DataFrame, text: View, page: View) -> tuple[np.ndarray, np.ndarr
     out = pa.schema([("good", pa.int32()), ("text", pa.list_(pa.float64())), ("page", pa.list_(pa.float64()))])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, (text, page) = Features(), shared.value
+        text, page = shared.value
         for b in it:
-            made = [(g, text.parts(features.text(t)), page.parts(features.page(*about))) for g, t, *about in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], f.type) for i, f in enumerate(out)], schema=out)
+            for texts, good, *about in portions([b.column(k).to_pylist() for k in (1, 0, 2, 3, 4)]):
+                made = [good, list(text.parts(text_features(texts), len(texts))), list(page.parts(page_features(list(zip(*about, strict=True))), len(texts)))]
+                yield pa.RecordBatch.from_arrays([pa.array(m, f.type) for m, f in zip(made, out, strict=True)], schema=out)
 
     got = _inputs(rows, "good").mapInArrow(batches, "good int, text array<double>, page array<double>").toPandas()
     stack = lambda c: np.stack(got[c].to_numpy())
@@ -295,8 +356,9 @@ def score(docs: DataFrame, model: CoTrained | None) -> DataFrame:
     def scored(texts: pa.Array, sources: pa.Array, langs: pa.Array, sizes: pa.Array) -> pa.Array:
         if shared.value is None:
             return pa.array(np.ones(len(texts)))
-        features = Features()
-        rows = zip(texts.to_pylist(), sources.to_pylist(), langs.to_pylist(), sizes.to_pylist(), strict=True)
-        return pa.array([round(shared.value.probability(features.text(t), features.page(*about)), 6) for t, *about in rows], pa.float64())
+        made = [np.empty(0)]
+        for part, *about in portions([c.to_pylist() for c in (texts, sources, langs, sizes)]):
+            made.append(shared.value.probability(text_features(part), page_features(list(zip(*about, strict=True))), len(part)))
+        return pa.array(np.round(np.concatenate(made), 6))
 
     return docs.withColumn("quality_score", scored("text", "source", "lang", F.col("n_chars").cast("long")))

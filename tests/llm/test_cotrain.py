@@ -26,6 +26,25 @@ ROWS = [(i, f"{'fine words here' if i % 2 else 'BUY NOW $$$'} w{i % 5}\nw{i % 7}
 SCHEMA = "doc_id long, text string, source string, lang string, n_chars long"
 
 
+def test_features_of_many_texts_are_those_of_each():
+    texts = ["", None, "One two  two\n\nline é!", " ", "x", "\n", "a b c d " * 30, "ab", "Two two"]
+    found = cotrain.text_features(texts)
+    for i, t in enumerate(texts):
+        single = cotrain.text_features([t])
+        for p, (f, row) in found.items():
+            assert sorted(f[row == i].tolist()) == sorted(single[p][0].tolist()), (t, p)
+    words = {w: sorted(cotrain.text_features([w])["words"][0].tolist()) for w in ("two", "Two", "one")}
+    assert words["two"] == words["Two"] != words["one"]
+    f, row = found["words"]
+    assert [int((row == i).sum()) for i in range(len(texts))] == [0, 0, 9, 0, 1, 0, 239, 1, 3]
+    assert [int((found["grams"][1] == i).sum()) for i in (0, 4, 6, 7)] == [0, 0, 237, 0]
+    shape = found["shape"][0].reshape(len(texts), -1) - cotrain.BINS * np.arange(len(cotrain.SHAPE))
+    at = {n: k for k, n in enumerate(cotrain.SHAPE)}
+    top = cotrain.BINS - 1
+    assert shape[4, at["single"]] == top and shape[2, at["types"]] == int(np.sqrt(4 / 5) * top) and shape[2, at["titles"]] == int(np.sqrt(1 / 5) * top)
+    assert shape[2, at["lines"]] == top and shape[2, at["tails"]] == int(np.sqrt(1 / 5) * top) and (shape[0] == shape[1]).all()
+
+
 def brute_sums(rows):
     """Counts by part, feature and class, one row after the other."""
     n = Counter()
@@ -41,8 +60,8 @@ def nonzero(sums):
 
 
 def test_a_round_against_brute_force(spark):
-    features = cotrain.Features()
-    own = [(i % 2, features.text(t), features.page(*about)) for i, t, *about in ROWS[:20]]
+    one = lambda found: {p: f for p, (f, _) in found.items()}
+    own = [(i % 2, one(cotrain.text_features([t])), one(cotrain.page_features([tuple(about)]))) for i, t, *about in ROWS[:20]]
     known = spark.createDataFrame(ROWS[:20], SCHEMA).selectExpr("*", "CAST(doc_id % 2 AS INT) AS good")
     sums = cotrain.label_sums(known)
     assert nonzero(sums) == brute_sums(own)
@@ -57,8 +76,9 @@ def test_a_round_against_brute_force(spark):
     got = cotrain.exchanged(pool, text, page, sure=0.8)
     want, told = [], Counter()
     for _, t, *about in ROWS[20:]:
-        f, g = features.text(t), features.page(*about)
-        p_text, p_page = (1 / (1 + np.exp(-view.logit(x))) for view, x in ((text, f), (page, g)))
+        f, g = cotrain.text_features([t]), cotrain.page_features([tuple(about)])
+        p_text, p_page = (1 / (1 + np.exp(-view.logit(x, 1)[0])) for view, x in ((text, f), (page, g)))
+        f, g = one(f), one(g)
         if max(p_text, 1 - p_text) >= 0.8:
             want.append((int(p_text > 0.5), None, g))
             told[int(p_text > 0.5), 0] += 1

@@ -64,8 +64,7 @@ def shingles(text):
 
 def kept_by_quality(spark, rows, d):
     model = cotrain.fit(spark.createDataFrame(rows, SCHEMA), spark.read.parquet(f"{d}/labels.parquet"))
-    f = cotrain.Features()
-    return [r for r in rows if round(model.probability(f.text(r[1]), f.page(r[3], r[2], r[4])), 6) >= cotrain.THRESHOLD]
+    return [r for r in rows if round(model.probability(cotrain.text_features([r[1]]), cotrain.page_features([(r[3], r[2], r[4])]), 1)[0], 6) >= cotrain.THRESHOLD]
 
 
 def without_copies(rows):
