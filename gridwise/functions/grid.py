@@ -65,3 +65,20 @@ def round_key(lon: Column, lat: Column, step: float) -> Column:
     """Deduplication key by the nearest multiple of step, half to even."""
     part = lambda c: F.bround(c / step).cast("long").cast("string")
     return F.concat_ws("_", part(lon), part(lat))
+
+
+def uniform(key: Column, seed: int) -> Column:
+    """A number from 0 to below 1 that depends on an integer key and the seed only: a step of a multiplicative generator."""
+    return F.pmod(F.pmod(key.cast("long") * 48271 + seed * 69621, F.lit(2147483647)) * 16807, F.lit(2147483647)) / 2147483647.0
+
+
+def jittered(lon: Column, lat: Column, key: Column, seed: int, metres: float) -> tuple[Column, Column]:
+    """lon and lat moved by up to so many metres either way along both axes."""
+    off = lambda s: (2 * uniform(key, s) - 1) * (metres / DEGREE_M)
+    return lon + off(seed) / F.cos(F.radians(lat)), lat + off(seed + 1)
+
+
+def window_box(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> list[Column]:
+    """A box with a margin of half its longer side and 0.0015 degrees."""
+    m = F.greatest(xmax - xmin, ymax - ymin) * 0.5 + 0.0015
+    return [(xmin - m).alias("xmin"), (ymin - m).alias("ymin"), (xmax + m).alias("xmax"), (ymax + m).alias("ymax")]

@@ -53,11 +53,40 @@ def decode_db(dn: Column) -> Column:
 
 
 def fusions(a: Column, b: Column) -> dict[str, Column]:
-    return {"geometric": F.sqrt(a * b), "mean": (a + b) / 2, "max": F.greatest(a, b), "gated": a * (0.5 + 0.5 * b)}
+    """Each alone and four ways to fuse them; where b is missing, a stands alone."""
+    both = {"geometric": F.sqrt(a * b), "mean": (a + b) / 2, "max": F.greatest(a, b), "gated": a * (0.5 + 0.5 * b)}
+    return {"first": a, "second": b} | {k: F.coalesce(c, a) for k, c in both.items()}
 
 
-def ndvi(nir: Column, red: Column) -> Column:
-    return F.try_divide(nir - red, nir + red)
+def ndvi(nir: Column, red: Column, guard: str = "null") -> Column:
+    """(nir - red) / (nir + red). Against a sum of 0: null, ``add`` 1e-6 to it, or take ``one`` or a ``tiny`` 1e-6 where it is less."""
+    total = nir + red
+    under = {"add": total + 1e-6, "one": F.greatest(total, F.lit(1.0)), "tiny": F.greatest(total, F.lit(1e-6))}
+    return F.try_divide(nir - red, total) if guard == "null" else (nir - red) / under[guard]
+
+
+def brightness(*bands: Column) -> Column:
+    return reduce(lambda s, b: s + b, bands) / float(len(bands))
+
+
+def reflectance(dn: Column, offset: float = 0.0) -> Column:
+    """Share of light from a digital number, cut to 0..1 if an offset is taken off."""
+    return F.least(F.greatest((dn - offset) / 10000.0, F.lit(0.0)), F.lit(1.0)) if offset else dn / 10000.0
+
+
+def standardised(db: Column, mean: float, std: float) -> Column:
+    """Deviations from the mean; 0 where there is no signal."""
+    return F.coalesce((db - mean) / std, F.lit(0.0))
+
+
+def positive_class(first: Column, second: Column) -> Column:
+    """Probability of the second of two classes from their logits."""
+    return 1 / (1 + F.exp(first - second))
+
+
+def solar_day(ts: Column, lon: Column) -> Column:
+    """Date at a place's solar time: an hour for each 15 degrees."""
+    return F.timestamp_seconds(F.unix_timestamp(ts) + F.floor(lon * 240)).cast("date")
 
 
 def quantise(p: Column) -> Column:

@@ -7,6 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridwise.functions import geo, grid
+from gridwise.operators import spatial
+from gridwise.session import materialize
+
 #: Parts that a hot group is cut into to number its rows.
 PARTS = 256
 
@@ -76,3 +80,116 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     fresh = new.select(*(F.col(k).alias(f"__{k}") for k in keys)).distinct()
     same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
     return old.join(fresh, same, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def exact_sample(df: DataFrame, n: int, key: Column, ties: list[Column]) -> DataFrame:
+    """n rows, those with the least keys; all if there are fewer."""
+    return df.orderBy(key, *ties).limit(n)
+
+
+def capped(df: DataFrame, group: str, caps: dict[str, int], key: str, ties: list[str], key_range: int) -> DataFrame:
+    """At most so many rows of each group named, those with the least keys (from 0 below key_range); other groups go."""
+    cap = F.create_map(*(x for k, n in caps.items() for x in (F.lit(k), F.lit(n))))
+    return number_in_group(df.where(F.col(group).isin(*caps)), group, key, ties, key_range).where(F.col("n") <= cap[F.col(group)]).drop("n")
+
+
+def with_validation(df: DataFrame, key: Column, split: str = "split", least: int = 8, percent: int = 20) -> DataFrame:
+    """df with the split to use: as it is, or, with fewer than least validation rows, a share of the training rows for validation."""
+    if df.where(F.col(split) == "val").limit(least).count() >= least:
+        return df
+    inside = F.pmod(key, F.lit(100)) < percent
+    return df.withColumn(split, F.when((F.col(split) == "train") & inside, "val").otherwise(F.col(split)))
+
+
+def frequent(df: DataFrame, group: str, least: int = 20) -> DataFrame:
+    """Rows of groups that have at least so many."""
+    n = df.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n")).where(F.col("__n") >= least)
+    return df.join(n, F.col(group) == F.col("__g"), "left_semi")
+
+
+class MissingLayer(ValueError):
+    """More cells than allowed lack a layer."""
+
+
+def with_layer(cells: DataFrame, layers: DataFrame, key: str, most: float = 0.05) -> DataFrame:
+    """Cells that have the layer; raises if more than this share of them lack it."""
+    have = layers.select(F.col(key).alias("__have")).distinct()
+    every, lack = cells.count(), cells.join(have, F.col(key) == F.col("__have"), "left_anti").count()
+    if lack > most * every:
+        raise MissingLayer(f"{lack} of {every} cells lack the layer")
+    return cells.join(have, F.col(key) == F.col("__have"), "left_semi")
+
+
+def recipe(text: str) -> list[tuple[str, int]]:
+    """Names and repeats from ``name:times,name``; times is 1 where it isn't given."""
+    parts = (p.strip().partition(":") for p in text.split(",") if p.strip())
+    return [(name.strip(), int(times or 1)) for name, _, times in parts]
+
+
+def merged(indexes: dict[str, DataFrame], text: str) -> DataFrame:
+    """The indexes that a recipe names, with aoi (where it is null or absent) and copy; training rows come as often as it says, others once."""
+    frames = []
+    for name, times in recipe(text):
+        df = indexes[name]
+        df = df.withColumn("aoi", F.coalesce("aoi", F.lit(name)) if "aoi" in df.columns else F.lit(name))
+        frames.append(repeat(df, F.when(F.col("split") == "train", times).otherwise(1)))
+    return union(frames)
+
+
+def rebalanced(index: DataFrame, limit: int, key: str, ties: list[str], key_range: int, group: str = "aoi", pixels: str = "sub_pixels") -> DataFrame:
+    """All rows with positive pixels, and of the others about limit in proportion to their groups."""
+    return index.where(F.col(pixels) > 0).unionByName(proportional_cap(index.where(F.col(pixels) == 0), group, limit, key, ties, key_range).select(index.columns))
+
+
+def reused(wanted: DataFrame, present: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """wanted with status: linked already, to link (present elsewhere), or missing."""
+    w = wanted
+    for df, name in ((done, "__done"), (present, "__there")):
+        w = w.join(df.select(F.col(key).alias(f"{name}_k")).distinct().withColumn(name, F.lit(True)), F.col(key) == F.col(f"{name}_k"), "left").drop(f"{name}_k")
+    return w.withColumn("status", F.when(F.col("__done"), "linked").when(F.col("__there"), "link").otherwise("missing")).drop("__done", "__there")
+
+
+def jittered_grid(box: tuple[float, float, float, float], step: float, share: float, seed: int) -> Column:
+    """An array of (k, x, y): points every step over a box, each moved by up to this share of the step."""
+    nx, ny = (max(1, int(-(-(box[i + 2] - box[i]) // step))) for i in (0, 1))
+    off = lambda k, s: (2 * grid.uniform(k, s) - 1) * (share * step)
+    return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(nx * ny - 1).cast("long")), lambda k: F.struct(k.alias("k"), (box[0] + (k % nx) * step + off(k, seed)).alias("x"), (box[1] + F.floor(k / nx) * step + off(k, seed + 1)).alias("y")))
+
+
+def clear_points(points: DataFrame, keep_off: list[tuple[DataFrame, float]], n: int | None = None, key: Column | None = None) -> DataFrame:
+    """Points (id, x, y) with nothing of any frame within its distance; of them n by the least keys and ids, if asked for."""
+    for other, radius in keep_off:
+        points = spatial.clear_of(points, other, radius)
+    return points if n is None else exact_sample(points, n, key if key is not None else F.col("id"), [F.col("id")])
+
+
+def chip_centres(labels: DataFrame, line_points: DataFrame, near: DataFrame, box: tuple[float, float, float, float], seed: int = 42, voltage_weight: int = 1, clearance: float = 1500.0) -> DataFrame:
+    """(kind, id, lon, lat) of chips to cut: labels, lines far from any label, and the background.
+
+    labels: id, lon, lat, voltage_v (positives). Each is moved by up to 900 m; of those in one square of 0.02 degrees the
+    first by id stays; one with a voltage comes voltage_weight times, the further ones moved by up to 300 m more.
+    line_points: id, lon, lat, x, y; those with a point of near (id, x, y) within clearance are left out, and 0.7 times as
+    many as positives are kept. The background is 0.3 times as many, anywhere in the box; what lies outside goes.
+    """
+    lon, lat = grid.jittered(F.col("lon"), F.col("lat"), F.col("id"), seed, 900.0)
+    moved = labels.select("id", lon.alias("lon"), lat.alias("lat"), "voltage_v")
+    kept = first_of(moved, [grid.round_key(F.col("lon"), F.col("lat"), 0.02)], [F.col("id")])
+    times = F.when(F.col("voltage_v") > 0, voltage_weight).otherwise(1)
+    copies = repeat(kept, times)
+    lon, lat = grid.jittered(F.col("lon"), F.col("lat"), F.col("id") * 31 + F.col("copy"), seed + 2, 300.0)
+    further = F.col("copy") > 1
+    positive = materialize(copies.select(F.lit("positive").alias("kind"), "id", F.when(further, lon).otherwise(F.col("lon")).alias("lon"), F.when(further, lat).otherwise(F.col("lat")).alias("lat")), "positives")
+    n = max(positive.count(), 1)
+    far = spatial.clear_of(line_points, near, clearance)
+    lon, lat = grid.jittered(F.col("lon"), F.col("lat"), F.col("id"), seed + 4, 900.0)
+    negative = exact_sample(far, int(0.7 * n), grid.uniform(F.col("id"), seed + 6), [F.col("id")]).select(F.lit("line_negative").alias("kind"), "id", lon.alias("lon"), lat.alias("lat"))
+    at = lambda i, s: box[i] + (box[i + 2] - box[i]) * grid.uniform(F.col("id"), s)
+    background = labels.sparkSession.range(max(int(0.3 * n), 1)).select(F.lit("background").alias("kind"), "id", at(0, seed + 8).alias("lon"), at(1, seed + 9).alias("lat"))
+    return union([positive, negative, background]).where(F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3]))
+
+
+def line_vertices(lines: DataFrame, spacing: float = 3000.0) -> DataFrame:
+    """(id, line_id, k, x, y): points along segments (id, x0, y0, x1, y1), ends included, spacing apart at most; id is a number of its own."""
+    ends = (F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+    p = lines.select(F.col("id").alias("line_id"), F.posexplode(geo.densify(*ends, spacing)).alias("k", "p"))
+    return p.select((F.col("line_id") * 100000 + F.col("k")).alias("id"), "line_id", "k", "p.x", "p.y")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridwise.session import materialize
+
 #: Ranges that a table's scores are cut into.
 RANGES = 64
 
@@ -57,15 +62,78 @@ def precision_at(df: DataFrame, k: int, order: list[Column], truth: str) -> Data
     return top.agg(F.lit(k).alias("k"), F.sum(F.col(truth).cast("long")).alias("hits"), F.avg(F.col(truth).cast("double")).alias("precision"))
 
 
+#: Rows of a range that are numbered in one task, about.
+RANGE_ROWS = 500_000
+
+
 def numbered(df: DataFrame, score: str, ties: list[Column], name: str = "n") -> DataFrame:
-    """df with 0, 1, ... by falling score and then ties; null scores come last."""
-    rows = df.withColumn("__null", F.col(score).isNull().cast("int"))
-    rows = rows.withColumn("__range", F.when(F.col(score).isNull(), RANGES + 1).otherwise(RANGES - _cuts(df.where(F.col(score).isNotNull()), score)))
+    """df with 0, 1, ... by falling score and then ties; null scores come last.
+
+    Rows are cut into ranges of the whole order, ties included, so that equal scores are spread too. The ranges are
+    written once; a range's rows are numbered by themselves, and the ranges by the sizes of those before.
+    """
+    order = [F.col(score).desc_nulls_last(), *ties]
+    parts = max(1, math.ceil(df.count() / RANGE_ROWS))
+    cut = df.repartitionByRange(parts, *order) if parts > 1 else df.coalesce(1)
+    rows = materialize(cut.withColumn("__range", F.spark_partition_id() if parts > 1 else F.lit(0)), "ranges")
     sizes = rows.groupBy("__range").agg(F.count("*").alias("__size"))
     before = F.coalesce(F.sum("__size").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select(F.col("__range").alias("__r"), before.alias("__before"))
-    own = F.row_number().over(Window.partitionBy("__range").orderBy(F.col(score).desc_nulls_last(), *ties)) - 1
-    return rows.withColumn("__own", own).join(F.broadcast(sizes), F.col("__range") == F.col("__r")).withColumn(name, F.col("__own") + F.col("__before")).drop("__null", "__range", "__own", "__r", "__before")
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    # One row a range: fewer than one for RANGE_ROWS rows.
+    return rows.withColumn("__own", own).join(F.broadcast(sizes), F.col("__range") == F.col("__r")).withColumn(name, F.col("__own") + F.col("__before")).drop("__range", "__own", "__r", "__before")
+
+
+def every_nth(df: DataFrame, n: int, score: str, ties: list[Column]) -> DataFrame:
+    """The first row by falling score, and every nth after it."""
+    return numbered(df, score, ties, "__n").where(F.col("__n") % n == 0).drop("__n")
+
+
+def ordinal_auc(df: DataFrame, score: str, truth: str, ties: list[Column]) -> DataFrame:
+    """One row (n_pos, n_neg, auc) by plain ranks, where equal scores are ordered by ties: the later of them counts as lower."""
+    rows = df.where(F.col(score).isNotNull() & F.col(truth).isin(0, 1))
+    n = numbered(rows, score, ties)
+    t = n.agg(F.sum(F.col(truth).cast("long")).alias("n_pos"), F.count("*").alias("__all"), F.sum(F.when(F.col(truth) == 1, F.col("n"))).alias("__sum"))
+    negatives = F.col("__all") - F.col("n_pos")
+    # A positive at place n of the falling order has all - 1 - n below it.
+    below = (F.col("__all") - 1) * F.col("n_pos") - F.col("__sum")
+    return t.select("n_pos", negatives.alias("n_neg"), F.try_divide(below - F.col("n_pos") * (F.col("n_pos") - 1) / 2.0, (F.col("n_pos") * negatives).cast("double")).alias("auc"))
+
+
+def mann_whitney(df: DataFrame, score: str, truth: str) -> DataFrame:
+    """One row (n_pos, n_neg, u, z, p): the rank sum statistic of the positives, its normal deviate with ties and continuity corrected, and the chance of as much or more."""
+    pos, neg = F.sum(F.when(F.col(truth) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(truth) == 0, 1).otherwise(0)).alias("neg")
+    c = score_counts(df.where(F.col(truth).isin(0, 1)), score, pos, neg)
+    d = lambda x: F.col(x).cast("double")
+    t = c.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") / 2.0)).alias("u"), F.sum(d("n") * d("n") * d("n") - d("n")).alias("__ties"))
+    n = d("n_pos") + d("n_neg")
+    sigma = F.sqrt(d("n_pos") * d("n_neg") / 12 * (n + 1 - F.try_divide(F.col("__ties"), n * (n - 1))))
+    z = F.try_divide(F.col("u") - d("n_pos") * d("n_neg") / 2 - 0.5, sigma)
+
+    @F.arrow_udf("double")
+    def tail(deviate: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else math.erfc(x / math.sqrt(2)) / 2 for x in deviate.to_pylist()], pa.float64())
+
+    return t.select("n_pos", "n_neg", "u", z.alias("z"), tail(z).alias("p"))
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float], *groups: str) -> DataFrame:
+    """(groups, q_<percent>...): quantiles with linear interpolation, also the median as 0.5."""
+    out = df.groupBy(*groups).agg(F.percentile(F.col(value), F.array(*map(F.lit, shares))).alias("__q"))
+    return out.select(*groups, *(F.col("__q")[i].alias(f"q_{round(100 * s)}") for i, s in enumerate(shares)))
+
+
+def compared(df: DataFrame, variants: dict[str, Column], truth: str, ks: list[int], tie: Column) -> DataFrame:
+    """(variant, auc, p<k>...) of several scores of the same rows, 6 and no places; scores are rounded to 9 places, equal ones go by tie."""
+    rows = materialize(df.select(F.col(truth).alias("truth"), tie.alias("tie"), *(F.round(c, 9).alias(v) for v, c in variants.items())), "variants")
+    out = None
+    for v in variants:
+        one = auc(rows.withColumn("s", F.col(f"`{v}`")), "s", "truth").select(F.lit(v).alias("variant"), F.round("auc", 6).alias("auc"))
+        for k in ks:
+            top = rows.orderBy(F.desc(f"`{v}`"), "tie").limit(k).agg(F.avg(F.col("truth").cast("double")).alias(f"p{k}"))
+            one = one.crossJoin(top)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def confusion(df: DataFrame, truth: str, pred: str) -> DataFrame:

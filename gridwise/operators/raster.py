@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridwise.functions import scores
 from gridwise.operators.graph import components
 
 #: Scene classes that show clear ground.
@@ -53,8 +54,10 @@ def overlap_add(windows: DataFrame, size: int, keys: list[str]) -> DataFrame:
 def _tilewise(fn: Callable[[np.ndarray], np.ndarray], kind: str, type_: pa.DataType) -> Callable[..., Column]:
     @F.arrow_udf(kind)
     def run(px: pa.Array, h: pa.Array, w: pa.Array) -> pa.Array:
-        out = [None if p is None else fn(np.array(p, float).reshape(a, b)).ravel().tolist() for p, a, b in zip(px.to_pylist(), h.to_pylist(), w.to_pylist(), strict=True)]
-        return pa.array(out, type=type_)
+        made = [None if not p.is_valid else fn(p.values.to_numpy(zero_copy_only=False).astype(float).reshape(a, b)).ravel() for p, a, b in zip(px, h.to_pylist(), w.to_pylist(), strict=True)]
+        ends = np.cumsum([0, *(0 if m is None else len(m) for m in made)]).astype(np.int32)
+        values = np.concatenate([np.empty(0), *(m for m in made if m is not None)])
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(type_.value_type.to_pandas_dtype())), mask=px.is_null())
 
     return run
 
@@ -179,3 +182,104 @@ def burn(shapes: DataFrame, grid: DataFrame) -> DataFrame:
     best = touched.groupBy("id", "row", "col").agg(F.max("value").alias("value"))
     every = grid.select("id", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("row"), "w").select("id", "row", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("col"))
     return every.join(best, ["id", "row", "col"], "left").select("id", "row", "col", F.coalesce("value", F.lit(0)).alias("value"))
+
+
+def radar_composite(obs: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """(keys, dn, n): the median of the positive powers as encoded decibels, 0 without any; n counts them."""
+    v = F.when(F.col(value) > 0, F.col(value))
+    m = obs.groupBy(*keys).agg(F.median(v).alias("__m"), F.count(v).alias("n"))
+    return m.select(*keys, scores.encode_db(F.coalesce("__m", F.lit(0.0))).alias("dn"), "n")
+
+
+def with_offset(obs: DataFrame, offsets: DataFrame, day: str = "obs_date", value: str = "value", default: float = 1000.0) -> DataFrame:
+    """obs with its day's offset (day, offset) added to value; the default for a day that offsets lacks."""
+    known = offsets.select(F.col("day").alias("__day"), F.col("offset").alias("__offset"))
+    return obs.join(known, F.col(day) == F.col("__day"), "left").withColumn(value, F.col(value) + F.coalesce("__offset", F.lit(default))).drop("__day", "__offset")
+
+
+def sampled_db(samples: DataFrame, keys: list[str], scene: str, least: int = 4, scenes: int = 2, order: str | None = None, value: str = "value") -> DataFrame:
+    """(keys, db, n_scenes): of each scene the mean positive power in decibels, if it has so many pixels; the median over the first scenes."""
+    ok = F.when(F.col(value) > 0, F.col(value))
+    per = samples.groupBy(*keys, scene).agg(F.count(ok).alias("__n"), (10 * F.log10(F.avg(ok))).alias("__db"), F.min(order or scene).alias("__o")).where(F.col("__n") >= least)
+    first = F.slice(F.array_sort(F.collect_list(F.struct("__o", F.col(scene).alias("s"), "__db"))), 1, scenes)
+    got = per.groupBy(*keys).agg(first.alias("__first"))
+    dbs = F.array_sort(F.transform("__first", lambda x: x["__db"]))
+    n = F.size("__first")
+    return got.select(*keys, ((F.element_at(dbs, F.floor((n + 1) / 2).cast("int")) + F.element_at(dbs, F.floor(n / 2 + 1).cast("int"))) / 2).alias("db"), n.alias("n_scenes"))
+
+
+def around(points: DataFrame, cells: DataFrame, reach: int) -> DataFrame:
+    """(point_id, n, mean, most, least) of the pixels (id, row, col, p) up to reach rows and columns from points (point_id, id, row, col)."""
+    step = F.sequence(F.lit(-reach), F.lit(reach))
+    near = points.select("point_id", "id", "row", "col").withColumn("row", F.explode(F.transform(step, lambda d: F.col("row") + d))).withColumn("col", F.explode(F.transform(step, lambda d: F.col("col") + d)))
+    return near.join(cells, ["id", "row", "col"]).groupBy("point_id").agg(F.count("p").alias("n"), F.avg("p").alias("mean"), F.max("p").alias("most"), F.min("p").alias("least"))
+
+
+def _picked(tiles: DataFrame, h: Column, w: Column, source: Column | None) -> DataFrame:
+    """tiles of a new shape whose pixel k is the old pixel number source(k), or 0 where that is null."""
+    px = F.transform(F.sequence(F.lit(0), h * w - 1), lambda k: F.coalesce(F.get(F.col("px"), source(k)), F.lit(0.0)))
+    return tiles.withColumns({"px": px, "h": h, "w": w})
+
+
+def fitted(tiles: DataFrame, size: int) -> DataFrame:
+    """tiles cut to size x size around their middle, or filled up with 0 around."""
+    top, left = F.floor((F.col("h") - size) / 2).cast("int"), F.floor((F.col("w") - size) / 2).cast("int")
+
+    def source(k: Column) -> Column:
+        r, c = F.floor(k / size).cast("int") + top, k % size + left
+        return F.when((r >= 0) & (r < F.col("h")) & (c >= 0) & (c < F.col("w")), (r * F.col("w") + c).cast("int"))
+
+    return _picked(tiles, F.lit(size), F.lit(size), source)
+
+
+def turned(tiles: DataFrame, quarters: int, mirrored: bool = False) -> DataFrame:
+    """tiles turned counter-clockwise by so many quarters, then mirrored left to right if asked for."""
+    q, h, w = quarters % 4, F.col("h"), F.col("w")
+    new_h, new_w = (w, h) if q % 2 else (h, w)
+
+    def source(k: Column) -> Column:
+        r, c = F.floor(k / new_w).cast("int"), (k % new_w).cast("int")
+        if mirrored:
+            c = new_w - 1 - c
+        row, col = {0: (r, c), 1: (c, w - 1 - r), 2: (h - 1 - r, w - 1 - c), 3: (h - 1 - c, r)}[q]
+        return (row * w + col).cast("int")
+
+    return _picked(tiles, new_h, new_w, source)
+
+
+def _kernel(x: np.ndarray, mode: str) -> np.ndarray:
+    x = np.abs(x)
+    if mode == "bilinear":
+        return np.maximum(0.0, 1 - x)
+    a = -0.75
+    return np.where(x <= 1, (a + 2) * x**3 - (a + 3) * x**2 + 1, np.where(x < 2, a * x**3 - 5 * a * x**2 + 8 * a * x - 4 * a, 0.0))
+
+
+def weights(n: int, m: int, mode: str) -> np.ndarray:
+    """How much each of n pixels counts in each of m that cover the same length; pixels beyond an edge count as the edge's."""
+    at = (np.arange(m) + 0.5) * n / m - 0.5
+    if mode == "nearest":
+        return np.eye(n)[np.minimum((np.arange(m) * n) // m, n - 1)]
+    out, low = np.zeros((m, n)), np.floor(at).astype(int)
+    for d in range(-1, 3):
+        np.add.at(out, (np.arange(m), np.clip(low + d, 0, n - 1)), _kernel(at - (low + d), mode))
+    return out
+
+
+def resampled(tiles: DataFrame, h: int, w: int, mode: str = "bilinear") -> DataFrame:
+    """tiles of another size: nearest, bilinear or bicubic."""
+    made = _tilewise(lambda x: weights(x.shape[0], h, mode) @ x @ weights(x.shape[1], w, mode).T, "array<double>", pa.list_(pa.float64()))("px", "h", "w")
+    return tiles.withColumns({"px": made, "h": F.lit(h), "w": F.lit(w)})
+
+
+def map_of(row: Column, col: Column, affine: tuple[float, float, float, float, float, float]) -> tuple[Column, Column]:
+    """Place of a pixel's centre: x = a col + b row + c, y = d col + e row + f, from the pixel's corner moved by a half."""
+    a, b, c, d, e, f = affine
+    return (col + 0.5) * a + (row + 0.5) * b + c, (col + 0.5) * d + (row + 0.5) * e + f
+
+
+def pixel_of(x: Column, y: Column, affine: tuple[float, float, float, float, float, float]) -> tuple[Column, Column]:
+    """(row, col) of the pixel that holds a place."""
+    a, b, c, d, e, f = affine
+    det = a * e - b * d
+    return F.floor(((y - f) * a - (x - c) * d) / det).cast("int"), F.floor(((x - c) * e - (y - f) * b) / det).cast("int")

@@ -125,3 +125,18 @@ def tiles_near(tiles: DataFrame, candidates: DataFrame, margin: float, size: flo
     wide = boxed(candidates).select("id", F.col("xmin") - margin, F.col("ymin") - margin, F.col("xmax") + margin, F.col("ymax") + margin).toDF("id", *EDGES)
     hit = spatial.box_pairs(tiles.select("id", *EDGES), wide, size).select(F.col("left_id").alias("__hit")).distinct()
     return tiles.join(hit, F.col("id") == F.col("__hit"), "left_semi")
+
+
+def roi_cells(seeds: DataFrame, lines: DataFrame, radius: float, size: float, bounds: tuple[int, int, int, int], labelled: Column) -> DataFrame:
+    """(ix, iy, has_label, line_km): cells of the lattice within radius of a seed (x, y), whether a labelled seed is in them, and the kilometres of the lines that touch them.
+
+    bounds: the least and the largest ix and iy.
+    """
+    span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - radius) / size), F.floor((F.col(c) + radius) / size)))
+    gap = lambda c, i: F.greatest(F.col(i) * size - F.col(c), F.lit(0.0), F.col(c) - (F.col(i) + 1) * size)
+    near = seeds.withColumn("ix", span("x")).withColumn("iy", span("y")).where(F.sqrt(gap("x", "ix") * gap("x", "ix") + gap("y", "iy") * gap("y", "iy")) <= radius)
+    near = near.where(F.col("ix").between(bounds[0], bounds[2]) & F.col("iy").between(bounds[1], bounds[3])).select("ix", "iy").distinct()
+    own = seeds.where(labelled).select(F.floor(F.col("x") / size).alias("ix"), F.floor(F.col("y") / size).alias("iy")).distinct().withColumn("has_label", F.lit(True))
+    km = lines_by_cell(lines, size).groupBy("ix", "iy").agg((F.sum("length") / 1000).alias("line_km"))
+    out = near.join(own, ["ix", "iy"], "left").join(km, ["ix", "iy"], "left")
+    return out.select("ix", "iy", F.coalesce("has_label", F.lit(False)).alias("has_label"), F.coalesce("line_km", F.lit(0.0)).alias("line_km"))

@@ -111,14 +111,67 @@ def median_of_revisits(stacks: DataFrame) -> DataFrame:
     return stacks.withColumn("px", F.transform(F.sequence(F.lit(0), n - 1), median)).withColumn("shape", F.slice("shape", 2, 3))
 
 
-def page_tiles(points: DataFrame, size: float, cap: int, key: str = "id") -> tuple[DataFrame, DataFrame]:
-    """Points by tile as a paged service would hand them out: (the distinct points, the tiles that reach the service's cap).
+def staged_pages(pages: DataFrame, key: str, order: str, size: float, cap: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, full tiles) of staged answers (lon, lat and more): the first row of each key by order, and tiles with cap rows or more.
 
-    A tile at the cap may hide points, so callers split those further; points are never dropped here.
+    An answer is cut at the cap, so a full tile may lack rows. Repeats of a key are summed up before they are shuffled.
     """
-    at = points.withColumn("tx", F.floor(F.col("lon") / size)).withColumn("ty", F.floor(F.col("lat") / size))
-    full = at.groupBy("tx", "ty").agg(F.count("*").alias("n")).where(F.col("n") >= cap)
-    return points.dropDuplicates([key]), full
+    first = pages.groupBy(key).agg(F.min_by(F.struct(*pages.columns), order).alias("row")).select("row.*")
+    full = pages.groupBy(F.floor(F.col("lon") / size).alias("tx"), F.floor(F.col("lat") / size).alias("ty")).agg(F.count("*").alias("n")).where(F.col("n") >= cap)
+    return first, full
+
+
+def wkb_of(kind: str, parts: list) -> bytes:
+    """Well-known binary of a point, a line or a polygon, little-endian."""
+    code = {name: n for n, name in _KINDS.items()}[kind]
+    points = lambda p: b"".join(struct.pack("<2d", q["x"], q["y"]) for q in p)
+    head = struct.pack("<BI", 1, code)
+    if kind == "Point":
+        return head + points(parts[0])
+    if kind == "LineString":
+        return head + struct.pack("<I", len(parts[0])) + points(parts[0])
+    return head + struct.pack("<I", len(parts)) + b"".join(struct.pack("<I", len(p)) + points(p) for p in parts)
+
+
+def encode_wkb(column: Column) -> Column:
+    """Well-known binary of a column of points, lines and polygons (kind, parts); null for null."""
+
+    @F.arrow_udf("binary")
+    def encoded(shapes: pa.Array) -> pa.Array:
+        return pa.array([None if s is None else wkb_of(s["kind"], s["parts"]) for s in shapes.to_pylist()], pa.binary())
+
+    return encoded(column)
+
+
+def write_geoparquet(df: DataFrame, path: str, by: str | None = None, geometry: str = "geometry") -> None:
+    """df with its geometry (kind, parts) in well-known binary and its box as a struct, in a folder for each value of ``by`` if asked for."""
+    points = F.flatten(F.col(geometry)["parts"])
+    edge = lambda f, c: f(F.transform(points, lambda p: p[c]))
+    box = F.struct(edge(F.array_min, "x").alias("xmin"), edge(F.array_min, "y").alias("ymin"), edge(F.array_max, "x").alias("xmax"), edge(F.array_max, "y").alias("ymax"))
+    out = df.withColumn("bbox", box).withColumn(geometry, encode_wkb(F.col(geometry))).write
+    (out.partitionBy(by) if by else out).parquet(path)
+
+
+def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A comma-separated table with a header; fields that don't fit are null."""
+    return spark.read.csv(path, schema=schema, header=True, mode="PERMISSIVE")
+
+
+def unreadable(spark: SparkSession, path: str, key: str = "image") -> DataFrame:
+    """(path, length) of NumPy archives that read_stacks leaves out for what they hold."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path)
+
+    @F.arrow_udf("boolean")
+    def bad(content: pa.Array) -> pa.Array:
+        def one(data: bytes) -> bool:
+            try:
+                return np.load(io.BytesIO(data), allow_pickle=False)[key].ndim == 0
+            except (ValueError, KeyError, OSError):
+                return True
+
+        return pa.array([one(c.as_py()) for c in content], pa.bool_())
+
+    return files.where(bad("content")).select("path", "length")
 
 
 def elements(spark: SparkSession, path: str) -> DataFrame:
@@ -130,6 +183,23 @@ def elements(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("id", F.col("type").alias("kind"), F.coalesce("center.lon", "lon").alias("lon"), F.coalesce("center.lat", "lat").alias("lat"), line.alias("line"), "tags.power", "tags.voltage", "tags.name")
 
 
+def tagged(features: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:
+    """features with layer: the first of ``power=substation`` and so on that a row's tags meet, by kind of shape; others are left out.
+
+    wanted: layer to ``kind:column=value``; several mean any of them.
+    """
+    layer = None
+    for name, rules in wanted.items():
+        test = F.lit(False)
+        for rule in rules:
+            kind, _, tag = rule.rpartition(":")
+            column, _, value = tag.partition("=")
+            one = F.col(column) == value
+            test = test | (one & (F.col("kind") == kind) if kind else one)
+        layer = F.when(test, name) if layer is None else layer.when(test, name)
+    return features.withColumn("layer", layer).where("layer IS NOT NULL")
+
+
 def coalesced(primary: DataFrame, fallback: DataFrame, key: str) -> DataFrame:
     """primary, and the rows of fallback for keys that primary lacks."""
     have = primary.select(F.col(key).alias("__have")).distinct()

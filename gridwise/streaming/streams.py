@@ -1,13 +1,9 @@
-"""Streaming forms of batch operators: daily composites, deduplication, incremental runs and a circuit breaker."""
+"""Streaming forms of batch operators: daily composites, deduplication, incremental runs and runs of failures."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
 
@@ -28,28 +24,20 @@ def distinct_issues(stream: DataFrame, key: str, ts: str = "ts", late: str = "2
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
-def breaker(calls: DataFrame, failures: int = 3, open_s: int = 600) -> DataFrame:
-    """(provider, ts, allowed) for calls (provider, ts, ok): after so many failures in a row, calls are refused for a while.
+def outages(calls: DataFrame, failures: int = 3) -> DataFrame:
+    """(provider, start, end, n) of runs of at least so many failed calls (provider, ts, ok) in a row, from a log that is complete.
 
-    A success ends a run of failures; refused calls count neither way. State is one run length and one time a provider.
+    A run's number is how many calls succeeded before it.
     """
+    order = Window.partitionBy("provider").orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = calls.withColumn("run", F.sum(F.col("ok").cast("int")).over(order)).where("NOT ok")
+    return runs.groupBy("provider", "run").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("n")).where(F.col("n") >= failures).drop("run")
+
 
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        bad, until = state.get if state.exists else (0, -1.0)
-        for pdf in pdfs:
-            out = []
-            for r in pdf.sort_values("ts").itertuples():
-                t = r.ts.timestamp()
-                allowed = t >= until
-                out.append((key[0], r.ts, allowed))
-                if allowed:
-                    bad = 0 if r.ok else bad + 1
-                    if bad >= failures:
-                        bad, until = 0, t + open_s
-            yield pd.DataFrame(out, columns=["provider", "ts", "allowed"])
-        state.update((bad, until))
-
-    return calls.groupBy("provider").applyInPandasWithState(step, "provider string, ts timestamp, allowed boolean", "bad int, until double", "append", GroupStateTimeout.NoTimeout)
+def daily_median(spark: SparkSession, done: str, keys: list[str], value: str = "value", ts: str = "ts") -> DataFrame:
+    """(keys, day, n, median) over what run_once has written to done; a median isn't added up, so it is taken over whole days."""
+    rows = spark.read.parquet(done).where(F.col(value).isNotNull())
+    return rows.groupBy(*keys, F.to_date(ts).alias("day")).agg(F.count("*").alias("n"), F.median(value).alias("median"))
 
 
 def run_once(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
