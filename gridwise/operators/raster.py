@@ -218,12 +218,14 @@ def around(points: DataFrame, cells: DataFrame, reach: int) -> DataFrame:
 def _picked(tiles: DataFrame, h: Column, w: Column, source: Column | None) -> DataFrame:
     """tiles of a new shape whose pixel k is the old pixel number source(k), or 0 where that is null."""
     px = F.transform(F.sequence(F.lit(0), h * w - 1), lambda k: F.coalesce(F.get(F.col("px"), source(k)), F.lit(0.0)))
-    return tiles.withColumns({"px": px, "h": h, "w": w})
+    # In two steps: in one, names inside the function would mean the new columns.
+    return tiles.withColumn("px", px).withColumns({"h": h, "w": w})
 
 
 def fitted(tiles: DataFrame, size: int) -> DataFrame:
-    """tiles cut to size x size around their middle, or filled up with 0 around."""
-    top, left = F.floor((F.col("h") - size) / 2).cast("int"), F.floor((F.col("w") - size) / 2).cast("int")
+    """tiles cut to size x size around their middle, or filled up with 0 below and to the right."""
+    half = lambda c: F.greatest(F.floor((F.col(c) - size) / 2), F.lit(0)).cast("int")
+    top, left = half("h"), half("w")
 
     def source(k: Column) -> Column:
         r, c = F.floor(k / size).cast("int") + top, k % size + left

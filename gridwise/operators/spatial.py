@@ -1,7 +1,8 @@
 """Distance joins over a grid: equal cells meet by key, and the exact distance decides.
 
 Every frame has unique ids. Cells near a point are listed beside the point, so a join is an equi-join on the cell and
-shuffles by it; crowded cells are left to adaptive skew handling.
+shuffles by it. A cell that is crowded on the right is cut into parts, and what is to meet it goes to each of them; one
+that is crowded on the left only is left to adaptive skew handling, as its work grows with its rows.
 """
 
 from __future__ import annotations
@@ -9,13 +10,19 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwise.functions import geo
+from gridwise.functions import geo, polygon
 from gridwise.session import materialize
 
 
+#: Rows of the right side in a cell, above which it is cut.
+CROWDED = 20_000
+#: Rings that nearest looks at before it goes down the cells.
+RINGS = 3
+
+
 def _cell(c: Column, size: float) -> Column:
     return F.floor(c / size)
 
@@ -37,6 +44,20 @@ def _is_line(df: DataFrame) -> bool:
     return "x0" in df.columns
 
 
+def _met(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a joined with b by cx and cy, crowded cells of b in parts."""
+    counts = b.groupBy("cx", "cy").agg(F.count("*").alias("n"))
+    if (counts.agg(F.max("n")).first()[0] or 0) <= CROWDED:
+        return a.join(b, ["cx", "cy"])
+    # One row for CROWDED rows at most.
+    full = materialize(counts.where(F.col("n") > CROWDED).select(F.col("cx").alias("fx"), F.col("cy").alias("fy"), F.ceil(F.col("n") / CROWDED).cast("int").alias("parts")), "crowded")
+    same = (F.col("cx") == F.col("fx")) & (F.col("cy") == F.col("fy"))
+    parts = F.coalesce("parts", F.lit(1))
+    a = a.join(F.broadcast(full), same, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("fx", "fy", "parts")
+    b = b.join(F.broadcast(full), same, "left").withColumn("part", F.pmod(F.xxhash64("right_id"), parts).cast("int")).drop("fx", "fy", "parts")
+    return a.join(b, ["cx", "cy", "part"]).drop("part")
+
+
 def within(left: DataFrame, right: DataFrame, radius: float, strict: bool = False) -> DataFrame:
     """Pairs (left_id, right_id, dist) of points with the points or segments no farther than radius.
 
@@ -51,42 +72,91 @@ def within(left: DataFrame, right: DataFrame, radius: float, strict: bool = Fals
     b = _covered(b, radius) if line else b.withColumn("cx", _cell(F.col("bx"), radius)).withColumn("cy", _cell(F.col("by"), radius))
     at = [F.col(f"b{c}") for c in place]
     d = geo.segment_distance(F.col("ax"), F.col("ay"), *at) if line else geo.distance(F.col("ax"), F.col("ay"), *at)
-    pairs = _around(a, radius).join(b, ["cx", "cy"]).withColumn("dist", d).where(F.col("dist") < radius if strict else F.col("dist") <= radius)
+    pairs = _met(_around(a, radius), b).withColumn("dist", d).where(F.col("dist") < radius if strict else F.col("dist") <= radius)
     pairs = pairs.select("left_id", "right_id", "dist", *(f"r_{c}" for c in extra))
     return pairs.dropDuplicates(["left_id", "right_id"]) if line else pairs
 
 
+def _descended(todo: DataFrame, right: DataFrame, place: list[str], size: float, places: int, extent: float, most: float | None) -> DataFrame:
+    """(id, near) of the nearest rows of right, found by going down its cells: from a few large ones to those of size.
+
+    Of the cells that have rows, those go whose nearest corner is farther from a point than all of another one, so a
+    point goes on with few cells however far it is from all rows.
+    """
+    leaf = _touched(right, size) if "x0" in place else right.withColumns({"cx": _cell(F.col("x"), size), "cy": _cell(F.col("y"), size)})
+    top = max(0, math.ceil(math.log(max(extent / size, 1.0), 4)))
+    cells = leaf.select("cx", "cy").distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top))))
+    at = lambda c: F.floor(F.col(c) / F.pow(F.lit(4.0), F.col("level")))
+    cells = materialize(cells.select("level", at("cx").alias("cx"), at("cy").alias("cy")).distinct(), "cells")
+    level = lambda k: cells.where(F.col("level") == k).select("cx", "cy", F.floor(F.col("cx") / 4).alias("px"), F.floor(F.col("cy") / 4).alias("py"))
+    # At the top, cells are at least as long as all of right, so there are four at most.
+    pairs = todo.crossJoin(F.broadcast(level(top).select("cx", "cy")))
+    for k in range(top, -1, -1):
+        wide = size * 4**k
+        low = lambda p, c: F.greatest(F.col(c) * wide - F.col(p), F.lit(0.0), F.col(p) - (F.col(c) + 1) * wide)  # noqa: E731, B023
+        high = lambda p, c: F.greatest(F.abs(F.col(p) - F.col(c) * wide), F.abs((F.col(c) + 1) * wide - F.col(p)))  # noqa: E731, B023
+        lo, hi = (F.sqrt(f("x", "cx") * f("x", "cx") + f("y", "cy") * f("y", "cy")) for f in (low, high))
+        limit = F.min("hi").over(Window.partitionBy("id")) + 10.0**-places
+        pairs = pairs.withColumns({"lo": lo, "hi": hi}).withColumn("limit", limit).where(F.col("lo") <= F.col("limit"))
+        if most is not None:
+            pairs = pairs.where(F.col("lo") <= most)
+        pairs = pairs.select("id", "x", "y", "cx", "cy")
+        if k:
+            below = level(k - 1).withColumnsRenamed({"cx": "nx", "cy": "ny"})
+            pairs = pairs.join(below, (F.col("cx") == F.col("px")) & (F.col("cy") == F.col("py"))).select("id", "x", "y", F.col("nx").alias("cx"), F.col("ny").alias("cy"))
+    held = leaf.select(F.col("id").alias("right_id"), *(F.col(c).alias(f"b{c}") for c in place), "cx", "cy")
+    met = _met(pairs.withColumnsRenamed({"x": "ax", "y": "ay"}), held)
+    ends = [F.col(f"b{c}") for c in place]
+    d = geo.segment_distance(F.col("ax"), F.col("ay"), *ends) if "x0" in place else geo.distance(F.col("ax"), F.col("ay"), *ends)
+    met = met.withColumn("dist", d)
+    met = met if most is None else met.where(F.col("dist") <= most)
+    return met.groupBy("id").agg(F.min(F.struct(F.round("dist", places).alias("d"), F.col("right_id").alias("r"))).alias("near"))
+
+
+def _touched(lines: DataFrame, size: float) -> DataFrame:
+    """Segments beside each cell that they share a point with, as cx and cy."""
+    span = lambda a, b: F.explode(F.sequence(_cell(F.least(a, b), size), _cell(F.greatest(a, b), size)))
+    at = lines.withColumn("cx", span("x0", "x1")).withColumn("cy", span("y0", "y1"))
+    x, y = F.col("cx") * size, F.col("cy") * size
+    return at.where(polygon.segment_in_box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), x, y, x + size, y + size))
+
+
 def nearest(left: DataFrame, right: DataFrame, start: float = 0.0, places: int = 1, max_distance: float | None = None) -> DataFrame:
     """left with near_id and near_dist (rounded) of the nearest row of right; ties go to the smallest id.
 
     The first ring is as wide as right is sparse (at least ``start``), the next ones four times as wide: a row whose best
-    hit lies within the ring is done, the others go on, so few rows see a wide ring. The last ring covers both frames
-    whole, or max_distance. Each round ends in the shared folder. Rows without a partner have nulls.
+    hit lies within the ring is done, the others go on. What RINGS of them leave, lone rows far from all others, goes
+    down the cells of right. left is written once, and each round ends in the shared folder. Rows without a partner, also
+    within max_distance, have nulls.
     """
     line = _is_line(right)
     place = ["x0", "y0", "x1", "y1"] if line else ["x", "y"]
+    left = materialize(left, "left")
+    right = right.select("id", *place).dropna(subset=place)
     edges = [f(c).alias(f"{n}_{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in place]
     bounds = right.agg(F.count(place[0]).alias("n"), *edges).first()
-    own = left.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    found = None
-    if bounds["n"] and own[0] is not None:
+    todo, found = left.select("id", "x", "y").where("x IS NOT NULL AND y IS NOT NULL"), None
+    if bounds["n"]:
         wide = [max(bounds[f"hi_{c}"] for c in axis) - min(bounds[f"lo_{c}"] for c in axis) for axis in (place[::2], place[1::2])]
-        reach = max(abs(a - bounds[f"{n}_{c}"]) for axis, ends in ((place[::2], own[0:2]), (place[1::2], own[2:4])) for c in axis for n in ("lo", "hi") for a in ends)
-        last = 2 * reach + 1 if max_distance is None else max_distance
-        size = min(last, max(start, 1.0, math.sqrt(max(wide[0], 1.0) * max(wide[1], 1.0) / bounds["n"])))
-        todo, right = left.select("id", "x", "y"), right.select("id", *place)
-        while True:
+        first = max(start, 1.0, math.sqrt(max(wide[0], 1.0) * max(wide[1], 1.0) / bounds["n"]))
+        size, done = first if max_distance is None else min(first, max_distance), False
+        for _ in range(RINGS):
+            last = max_distance is not None and size >= max_distance
             d = F.struct(F.round("dist", places).alias("d"), F.col("right_id").alias("r"))
             best = within(todo, right, size).groupBy(F.col("left_id").alias("id")).agg(F.min(d).alias("near"))
             # A rounded distance at the ring's edge may have a rival just outside.
-            sure = materialize(best.where(F.col("near.d") <= size - 10.0**-places) if size < last else best, "nearest")
+            sure = materialize(best if last else best.where(F.col("near.d") <= size - 10.0**-places), "nearest")
             found = sure if found is None else found.unionByName(sure)
-            if size >= last:
+            if last:
+                done = True
                 break
             todo = materialize(todo.join(sure.select(F.col("id").alias("__id")), F.col("id") == F.col("__id"), "left_anti"), "todo")
             if todo.isEmpty():
+                done = True
                 break
-            size = min(size * 4, last)
+            size = size * 4 if max_distance is None else min(size * 4, max_distance)
+        if not done:
+            found = found.unionByName(materialize(_descended(todo, right, place, first, places, max(wide), max_distance), "nearest"))
     if found is None:
         found = left.sparkSession.createDataFrame([], f"id {left.schema['id'].dataType.simpleString()}, near struct<d: double, r: {right.schema['id'].dataType.simpleString()}>")
     f = found.select(F.col("id").alias("__id"), F.col("near.r").alias("near_id"), F.col("near.d").alias("near_dist"))
