@@ -86,7 +86,7 @@ def positive_class(first: Column, second: Column) -> Column:
 
 def solar_day(ts: Column, lon: Column) -> Column:
     """Date at a place's solar time: an hour for each 15 degrees."""
-    return F.timestamp_seconds(F.unix_timestamp(ts) + F.floor(lon * 240)).cast("date")
+    return (ts + F.make_dt_interval(secs=F.floor(lon * 240))).cast("date")
 
 
 def quantise(p: Column) -> Column:

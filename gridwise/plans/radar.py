@@ -84,10 +84,10 @@ def component_polygons(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", "label", "n_pixels", polygon.area(F.col("rings")).alias("area_m2"), around.alias("outline_m"))
 
 
-@registered(ENTRIES, f"""{ctes("obs", "cand")}, d AS (SELECT event_id, CAST(ts + to_seconds(CAST(floor((60 + event_id % 17) * 240) AS BIGINT)) AS DATE) AS day FROM obs) SELECT day, count(*) AS n FROM d GROUP BY day""")
+@registered(ENTRIES, f"""{ctes("obs", "cand")}, d AS (SELECT event_id, CAST(ts + to_seconds(CAST(floor((60 + event_id % 17) * 240) AS BIGINT)) AS DATE) AS day FROM obs) SELECT CAST(day AS VARCHAR) AS day, count(*) AS n FROM d GROUP BY day""")
 def solar_days(spark: SparkSession, d: str) -> DataFrame:
     """Observations by the date at their place's solar time."""
-    o = view(spark, d, "obs").select(scores.solar_day(F.col("ts"), (60 + F.col("event_id") % 17).cast("double")).alias("day"))
+    o = view(spark, d, "obs").select(scores.solar_day(F.col("ts"), (60 + F.col("event_id") % 17).cast("double")).cast("string").alias("day"))
     return o.groupBy("day").agg(F.count("*").alias("n"))
 
 
