@@ -7,12 +7,12 @@ import os
 import time
 
 from gridwise.plans import registry
-from gridwise.session import session
+from gridwise.session import clear, session
 
 HEADLINE = (
     "nearest_line_prior_rank", "regional_rank", "known_new_semi", "clearance_anti", "endpoint_candidate_matches", "annulus_counts", "building_fill_boxes",
     "line_km_per_cell", "auc_average_rank", "fusion_threshold_sweep", "masked_median_composite", "hysteresis_components_8x8", "focal_contrast_8x8", "hann_overlap_add",
-    "proportional_negative_cap", "dedupe_grid_first", "atlas_grid_rollup",
+    "proportional_negative_cap", "dedupe_grid_first", "atlas_grid_rollup", "polygon_known_mark", "polygon_overlap_fill", "postprocess_run", "endpoint_leads_run", "chip_centres", "roi_cells_run",
 )
 
 
@@ -27,6 +27,7 @@ def main() -> None:
             registry.QUERIES[name](spark, d).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - t)
         took[name] = round(runs[-1], 3)
+        clear(spark)
     print(json.dumps({"metric": "headline_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(d.rstrip("/"))}))
     spark.stop()
 

@@ -21,13 +21,24 @@ def session(master: str = "local[8]", memory: str = "8g", partitions: int = 8, *
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir; where that is unset, as in tests, a local folder takes its place."""
+    """A new path in spark.checkpoint.dir, below a folder of the application's own.
+
+    Where that setting is unset, a local session, as in tests, has a local folder; on a cluster it is needed.
+    """
     base = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: set it to a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append(f"file://{tempfile.mkdtemp(prefix='gridwise-')}")
         base = _OWN[0]
-    return f"{base.rstrip('/')}/gridwise/{uuid.uuid4().hex}/{name}"
+    return f"{base.rstrip('/')}/gridwise/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that materialize has written for this application; what was read from it can't be read any more."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark, "x")).getParent().getParent()
+    top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(top, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
