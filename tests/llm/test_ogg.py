@@ -60,3 +60,24 @@ def test_frames(spark):
     again = ogg.decode_media(both)
     assert again.columns == ["doc_id", "n_bytes", "media", "k", "payload", "facts"] and {bytes(r.payload) for r in again.select("payload").collect()} == {bytes(r.payload) for r in got.values()}
     assert ogg.decode_media(ogg.encode_texts(df.limit(0))).count() == 0
+
+
+def test_query_against_plain_digests(spark):
+    import hashlib
+    import zlib
+
+    from gridwise.llm import queries
+
+    d = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()}
+    got = queries.op2_ogg_media(spark, d).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        data = (texts[r.doc_id] or "").encode()
+        payload = data + b"\xff" * (-len(data) % 576 or (576 if not data else 0))
+        media = ogg.write(payload)
+        back, facts = ogg.read(media)
+        assert back == payload
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        assert r.feature.startswith(f"streams={facts['streams']};pages={facts['pages']};packets={facts['packets']};")
