@@ -107,6 +107,12 @@ def frequent(df: DataFrame, group: str, least: int = 20) -> DataFrame:
     return df.join(n, F.col(group) == F.col("__g"), "left_semi")
 
 
+def pools(wanted: DataFrame, other: DataFrame, n: int, inside: bool = False) -> DataFrame:
+    """The first n different rows of wanted that other lacks, or has if asked for; frames of the same columns."""
+    rows = wanted.intersect(other) if inside else wanted.subtract(other)
+    return rows.orderBy(*rows.columns).limit(n)
+
+
 class MissingLayer(ValueError):
     """More cells than allowed lack a layer."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridwise.functions import geo, polygon, scores
+from gridwise.functions import geo, grid, polygon, scores
 from gridwise.operators import ranking, regions, spatial
 from gridwise.session import materialize
 
@@ -86,6 +86,28 @@ def postprocess(candidates: DataFrame, lines: DataFrame, labels: DataFrame, node
     return regions.with_known(ranked, labels, nodes, radius, size)
 
 
+def unexplained(ends: DataFrame, subs: DataFrame, far: float = 700.0) -> DataFrame:
+    """(id, x, y, sub_dist) of line ends, each id once, that no substation lies within far of; sub_dist is 1e9 without any."""
+    distinct = ends.groupBy("id").agg(F.min("x").alias("x"), F.min("y").alias("y"))
+    e = spatial.nearest(distinct, subs.select("id", "x", "y"), 4000.0).withColumn("sub_dist", F.coalesce("near_dist", F.lit(1e9))).where(F.col("sub_dist") > far)
+    return materialize(e.select("id", "x", "y", "sub_dist"), "ends")
+
+
+def flagged(leads: DataFrame, settled: DataFrame, radius: float, base: Column) -> DataFrame:
+    """leads (id, x, y, flag_building) with flag_urban (something settled within radius), flagged (either) and score, the base less for each flag."""
+    out = spatial.marked(leads, settled, radius, "flag_urban")
+    return out.withColumn("flagged", F.col("flag_urban") | F.col("flag_building")).withColumn("score", scores.penalised(base, F.col("flag_urban"), F.col("flag_building")))
+
+
+def labels(outlines: DataFrame, better: DataFrame, nodes: DataFrame, floor: float) -> DataFrame:
+    """(id, role, area_m2, origin): outlines (id, area_m2, status), with the area of better (id, area_m2) where there is one, and nodes."""
+    b = better.select(F.col("id").alias("__id"), F.col("area_m2").alias("__area"))
+    o = outlines.join(b, F.col("id") == F.col("__id"), "left")
+    area = F.coalesce("__area", "area_m2")
+    o = o.select("id", grid.role(area, F.col("status"), F.lit(None), floor).alias("role"), area.alias("area_m2"), F.when(F.col("__id").isNull(), "plain").otherwise("refined").alias("origin"))
+    return o.unionByName(nodes.select("id", F.lit("node").alias("role"), F.lit(0.0).alias("area_m2"), F.lit("node").alias("origin")))
+
+
 def endpoint_leads(ends: DataFrame, subs: DataFrame, candidates: DataFrame, far: float = 700.0, search: float = 5000.0) -> tuple[DataFrame, DataFrame]:
     """(leads, endpoints): candidates (id, x, y, score, status) near line ends that no substation explains, and those ends.
 
@@ -93,9 +115,7 @@ def endpoint_leads(ends: DataFrame, subs: DataFrame, candidates: DataFrame, far:
     n_endpoints and best_end (the nearest, ties to the smallest id). Endpoints have sub_dist (1e9 without any) and
     n_candidates.
     """
-    distinct = ends.groupBy("id").agg(F.min("x").alias("x"), F.min("y").alias("y"))
-    e = spatial.nearest(distinct, subs.select("id", "x", "y"), 4000.0).withColumn("sub_dist", F.coalesce("near_dist", F.lit(1e9))).where(F.col("sub_dist") > far)
-    e = materialize(e.select("id", "x", "y", "sub_dist"), "ends")
+    e = unexplained(ends, subs, far)
     pairs = materialize(spatial.within(e, candidates.select("id", "x", "y", "score"), search), "pairs")
     best = F.min(F.struct("dist", "left_id"))
     per = pairs.groupBy(F.col("right_id").alias("__id")).agg(F.round(F.min("dist"), 1).alias("min_dist"), F.count_distinct("left_id").alias("n_endpoints"), best["left_id"].alias("best_end"))

@@ -7,6 +7,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,6 +158,17 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, schema=schema, header=True, mode="PERMISSIVE")
 
 
+def append_new(df: DataFrame, path: str, key: str) -> None:
+    """Add the rows whose key isn't in the table at path yet; a run that was ended can be started again."""
+    spark = df.sparkSession
+    try:
+        done = spark.read.parquet(path).select(F.col(key).alias("__done")).distinct()
+    except AnalysisException:
+        done = None
+    new = df if done is None else df.join(done, F.col(key) == F.col("__done"), "left_anti")
+    new.write.mode("append").parquet(path)
+
+
 def unreadable(spark: SparkSession, path: str, key: str = "image") -> DataFrame:
     """(path, length) of NumPy archives that read_stacks leaves out for what they hold."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path)

@@ -116,6 +116,10 @@ def test_tables_tags_and_bad_archives(spark, tmp_path):
     f = spark.createDataFrame([(1, "way", "substation", None), (2, "node", "substation", None), (3, "way", "line", None), (4, "node", None, "village"), (5, "node", None, None)], "id long, kind string, power string, place string")
     layers = {"poly": ["way:power=substation"], "node": ["node:power=substation"], "lines": ["way:power=line"], "settlement": ["place=village", "place=hamlet"]}
     assert [(r.id, r.layer) for r in files.tagged(f, layers).orderBy("id").collect()] == [(1, "poly"), (2, "node"), (3, "lines"), (4, "settlement")]
+    log = spark.createDataFrame([(1, "a"), (2, "b")], "idx long, v string")
+    for rows in (log, log, spark.createDataFrame([(2, "late"), (3, "c")], "idx long, v string")):
+        files.append_new(rows, str(tmp_path / "log"), "idx")
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "log")).collect())) == [(1, "a"), (2, "b"), (3, "c")]
     np.savez(tmp_path / "1.0_2.0.npz", image=np.zeros((1, 1, 1, 1)))
     (tmp_path / "1_2.npz").write_bytes(b"broken")
     assert [r.path.rsplit("/", 1)[1] for r in files.unreadable(spark, str(tmp_path)).collect()] == ["1_2.npz"]
