@@ -34,10 +34,12 @@ def _around(df: DataFrame, size: float) -> DataFrame:
     return near.withColumn("cx", _cell(F.col("ax"), size) + F.col("dx")).withColumn("cy", _cell(F.col("ay"), size) + F.col("dy")).drop("dx", "dy")
 
 
-def _covered(df: DataFrame, size: float) -> DataFrame:
-    """Segments (bx0, by0, bx1, by1) beside each cell that their box touches."""
+def _touched(lines: DataFrame, size: float) -> DataFrame:
+    """Segments beside each cell that they share a point with, as cx and cy."""
     span = lambda a, b: F.explode(F.sequence(_cell(F.least(a, b), size), _cell(F.greatest(a, b), size)))
-    return df.withColumn("cx", span("bx0", "bx1")).withColumn("cy", span("by0", "by1"))
+    at = lines.withColumn("cx", span("x0", "x1")).withColumn("cy", span("y0", "y1"))
+    x, y = F.col("cx") * size, F.col("cy") * size
+    return at.where(polygon.segment_in_box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), x, y, x + size, y + size))
 
 
 def _is_line(df: DataFrame) -> bool:
@@ -68,8 +70,9 @@ def within(left: DataFrame, right: DataFrame, radius: float, strict: bool = Fals
     place = ["x0", "y0", "x1", "y1"] if line else ["x", "y"]
     extra = [c for c in right.columns if c not in ("id", *place)]
     a = left.select(F.col("id").alias("left_id"), F.col("x").alias("ax"), F.col("y").alias("ay")).where("ax IS NOT NULL AND ay IS NOT NULL")
-    b = right.dropna(subset=place).select(F.col("id").alias("right_id"), *(F.col(c).alias(f"b{c}") for c in place), *(F.col(c).alias(f"r_{c}") for c in extra))
-    b = _covered(b, radius) if line else b.withColumn("cx", _cell(F.col("bx"), radius)).withColumn("cy", _cell(F.col("by"), radius))
+    b = right.dropna(subset=place)
+    b = _touched(b, radius) if line else b.withColumns({"cx": _cell(F.col("x"), radius), "cy": _cell(F.col("y"), radius)})
+    b = b.select(F.col("id").alias("right_id"), *(F.col(c).alias(f"b{c}") for c in place), *(F.col(c).alias(f"r_{c}") for c in extra), "cx", "cy")
     at = [F.col(f"b{c}") for c in place]
     d = geo.segment_distance(F.col("ax"), F.col("ay"), *at) if line else geo.distance(F.col("ax"), F.col("ay"), *at)
     pairs = _met(_around(a, radius), b).withColumn("dist", d).where(F.col("dist") < radius if strict else F.col("dist") <= radius)
@@ -113,14 +116,6 @@ def _descended(todo: DataFrame, right: DataFrame, place: list[str], size: float,
     return met.groupBy("id").agg(F.min(F.struct(F.round("dist", places).alias("d"), F.col("right_id").alias("r"))).alias("near"))
 
 
-def _touched(lines: DataFrame, size: float) -> DataFrame:
-    """Segments beside each cell that they share a point with, as cx and cy."""
-    span = lambda a, b: F.explode(F.sequence(_cell(F.least(a, b), size), _cell(F.greatest(a, b), size)))
-    at = lines.withColumn("cx", span("x0", "x1")).withColumn("cy", span("y0", "y1"))
-    x, y = F.col("cx") * size, F.col("cy") * size
-    return at.where(polygon.segment_in_box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), x, y, x + size, y + size))
-
-
 def nearest(left: DataFrame, right: DataFrame, start: float = 0.0, places: int = 1, max_distance: float | None = None) -> DataFrame:
     """left with near_id and near_dist (rounded) of the nearest row of right; ties go to the smallest id.
 
