@@ -50,7 +50,8 @@ def test_scores(spark):
     assert round(one(spark, scores.penalised(d(0.8), F.lit(True), F.lit(True))), 6) == 0.072
     assert [one(spark, scores.encode_db(d(p))) for p in (0.1, 0.0, 1e-12)] == [20000, 0, 1]
     f = scores.fusions(d(0.8), d(0.6))
-    assert {k: round(one(spark, c), 4) for k, c in f.items()} == {"gated": 0.64, "mean": 0.7, "max": 0.8, "geometric": 0.6928}
+    assert {k: round(one(spark, c), 4) for k, c in f.items()} == {"first": 0.8, "second": 0.6, "gated": 0.64, "mean": 0.7, "max": 0.8, "geometric": 0.6928}
+    assert {k: one(spark, c) for k, c in scores.fusions(d(0.8), d(None)).items()} == {"second": None} | dict.fromkeys(("first", "gated", "mean", "max", "geometric"), 0.8)
 
 
 def test_shapes(spark):
