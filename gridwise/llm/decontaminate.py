@@ -210,15 +210,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     their own. Null and empty texts are clean. Other columns are dropped, whatever their names. Empty tables give no rows,
     and an empty benchmark no contaminated ones.
     """
-    held = materialize(matches(docs, benchmark, id_col, text_col).select("text_key", "item_id", "words"), "matches")
-    per = held.groupBy("text_key").agg(F.count_distinct("item_id").alias("n_items"), F.array_join(F.sort_array(F.collect_set("item_id")), ",").alias("items"), F.max("words").cast("long").alias("max_words"))
-    rows = docs.select(F.col(id_col), text_key(F.col(text_col)).alias("own_key"))
-    return rows.join(per, F.col("own_key") == F.col("text_key"), "left").select(
-        id_col, F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items", F.lit("")).alias("items"), F.coalesce("max_words", F.lit(0).cast("long")).alias("max_words")
+    held = materialize(matches(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("held_id"), "text_key", "item_id", "words"), "matches")
+    # By id and text: copies have ids of their own, so they meet their verdicts in many tasks.
+    per = held.groupBy("held_id", "text_key").agg(F.count_distinct("item_id").alias("n_items"), F.array_join(F.sort_array(F.collect_set("item_id")), ",").alias("items"), F.max("words").cast("long").alias("max_words"))
+    rows = docs.select(F.col(id_col).alias("own_id"), text_key(F.col(text_col)).alias("own_key"))
+    return rows.join(per, F.col("own_id").cast("long").eqNullSafe(F.col("held_id")) & (F.col("own_key") == F.col("text_key")), "left").select(
+        F.col("own_id").alias(id_col), F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items", F.lit("")).alias("items"), F.coalesce("max_words", F.lit(0).cast("long")).alias("max_words")
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose text holds a benchmark passage, whatever their id. All columns are kept as they are, whatever their names."""
-    held = materialize(matches(docs, benchmark, id_col, text_col).select("text_key").distinct(), "matches")
-    return docs.join(held, text_key(docs[text_col]) == held["text_key"], "left_anti")
+    held = materialize(matches(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("held_id"), "text_key").distinct(), "matches")
+    return docs.join(held, docs[id_col].cast("long").eqNullSafe(held["held_id"]) & (text_key(docs[text_col]) == held["text_key"]), "left_anti")

@@ -53,7 +53,7 @@ def test_against_sliding(spark):
     kept = de.drop_contaminated(d, b)
     assert kept.columns == d.columns and {x.doc_id for x in kept.collect()} == {i for i, _ in docs} - {i for i, _ in got}
     assert [r.contaminated for r in de.contamination(d, b).collect() if r.doc_id is None] == [True]
-    clash = d.selectExpr("*", *(f"1 AS {c}" for c in ("k", "text_key", "own_key", "items", "words")))
+    clash = d.selectExpr("*", *(f"1 AS {c}" for c in ("k", "text_key", "own_key", "items", "words", "held_id", "own_id")))
     assert de.drop_contaminated(clash, b).columns == clash.columns and de.drop_contaminated(clash, b).count() == kept.count()
     assert de.contamination(clash, b).where("contaminated").count() == sum(1 for _ in {i for i, _ in got}) + 2
     assert de.contamination(d.limit(0), b).count() == 0 and de.contamination(d, b.limit(0)).where("contaminated").count() == 0
