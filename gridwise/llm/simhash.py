@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwise.operators.graph import components
@@ -30,7 +30,7 @@ LEAVES, DEEPEST = 4096, 32
 #: A key is frequent if it has more than HOT rows and more than one row in HOT_SHARE, so HOT_SHARE keys are frequent at most.
 HOT, HOT_SHARE = 256, 100_000
 #: Pairs of nodes looked at together in a traversal.
-AT_ONCE = 1 << 18
+AT_ONCE = 1 << 16
 #: Below this many pairs of fingerprints, a pair of nodes is compared fingerprint by fingerprint.
 FEW = 16
 
@@ -262,6 +262,28 @@ SIMILAR = (4, 5)
 SET_BLOCK = 1 << 22
 
 
+#: Bits of a table that says which ids are to be looked at (8 MB, whatever the number of ids); ids that share a bit with one are looked at in vain.
+ID_BITS = 1 << 26
+#: Bits in a piece of it, as Spark's bitmap functions have them.
+PIECE_BITS = 8 * 4096
+
+
+def id_slot(c: str) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(ID_BITS))
+
+
+def id_bits(ids: DataFrame, column: str) -> np.ndarray:
+    """A table with the bits of all ids set, least bit first."""
+    slot = id_slot(column) + 1
+    pieces = ids.select(F.bitmap_bucket_number(slot).alias("piece"), F.bitmap_bit_position(slot).alias("at")).groupBy("piece").agg(F.bitmap_construct_agg("at").alias("bits"))
+    out = np.zeros(ID_BITS // 8, np.uint8)
+    # At most ID_BITS / PIECE_BITS rows.
+    for r in pieces.collect():
+        at = (r["piece"] - 1) * PIECE_BITS // 8
+        out[at : at + PIECE_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     """Sorted different XXH64 hashes of the word shingles, with words as in fingerprint. Empty without words."""
     words = (text or "").encode().translate(_LOWER).split()
@@ -401,11 +423,10 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         sets = [shingle_set(t, shingle) for t in texts]
         return {"id": ids, "fp": [wide_fingerprint(x) for x in sets], "digest": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], "n": [len(x) for x in sets]}
 
-    def members(ids: list, classes: list, blocks: list, digests: list, texts: list) -> dict[str, list]:
-        sets = [shingle_set(t, shingle) for t in texts]
-        # An id can be repeated with another text.
-        keep = [i for i, x in enumerate(sets) if xxhash.xxh3_128_digest(x.tobytes()) == digests[i]]
-        return {"rep": [ids[i] for i in keep], "class": [classes[i] for i in keep], "blocks": [blocks[i] for i in keep], "block": [int.from_bytes(digests[i][:4], "big") % blocks[i] for i in keep], "hashes": [sets[i].tobytes() for i in keep]}
+    def members(ids: list, slots: list, texts: list) -> dict[str, list]:
+        bits = shared.value
+        sets = [(i, shingle_set(t, shingle)) for i, k, t in zip(ids, slots, texts, strict=True) if bits[k >> 3] >> (k & 7) & 1]
+        return {"member": [i for i, _ in sets], "own": [xxhash.xxh3_128_digest(x.tobytes()) for _, x in sets], "hashes": [x.tobytes() for _, x in sets]}
 
     def exact(pdf: pd.DataFrame) -> pd.DataFrame:
         rep, of = pdf.rep.to_numpy(np.int64), same_classes([np.frombuffer(x, np.uint64) for x in pdf.hashes])
@@ -421,11 +442,16 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     proposed = components(wide_links(distinct.select(F.col("fp_").alias("fp"), F.col("rep_").alias("rep"))))
     proposed = distinct.join(proposed, F.col("rep_") == F.col("node"), "left").select("fp_", F.coalesce("root", "rep_").alias("class"))
     proposed = materialize(sets.join(proposed, F.col("fp") == F.col("fp_")).select("digest", "rep", "n", "class"), "proposed")
-    several = proposed.groupBy(F.col("class").alias("class_")).agg(F.count("*").alias("several"), F.ceil(F.sum("n") / SET_BLOCK).alias("blocks")).where("several > 1")
-    several = materialize(proposed.join(several, F.col("class") == F.col("class_")).select("rep", "digest", "class", F.greatest("blocks", F.lit(1)).alias("blocks")), "several")
-    out = pa.schema([("rep", pa.int64()), ("class", pa.int64()), ("blocks", pa.int64()), ("block", pa.int64()), ("hashes", pa.binary())])
-    held = texts.join(several, F.col("id") == F.col("rep")).select("rep", "class", "blocks", "digest", "text")
-    held = materialize(map_columns(held, members, "rep long, class long, blocks long, block long, hashes binary", out), "members")
+    sizes = materialize(proposed.groupBy("class").agg(F.greatest(F.ceil(F.sum("n") / SET_BLOCK), F.lit(1)).alias("blocks"), F.count("*").alias("n")), "sizes")
+    several = look_up(proposed.select("digest", "rep", "class"), sizes.where("n > 1").select("class", "blocks"), "class", sizes.select("class", "n")).where("blocks IS NOT NULL")
+    several = materialize(several, "several")
+    # Only texts that may be in such a class are cut into shingles once more, and no text is shuffled.
+    shared = df.sparkSession.sparkContext.broadcast(id_bits(several, "rep"))
+    out = pa.schema([("member", pa.int64()), ("own", pa.binary()), ("hashes", pa.binary())])
+    held = map_columns(texts.select("id", id_slot("id").alias("slot"), "text"), members, "member long, own binary, hashes binary", out)
+    # An id can be repeated with another text.
+    held = held.join(several, (F.col("member") == F.col("rep")) & (F.col("own") == F.col("digest")))
+    held = materialize(held.select("rep", "class", "blocks", F.pmod(F.xxhash64("digest"), F.col("blocks")).alias("block"), "hashes"), "members")
     # Each pair of blocks of a class is a task's work.
     pairs = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("p"), F.greatest("block", k).alias("q"))))
     links = held.select("rep", "class", "hashes", pairs.alias("at")).groupBy("class", "at.p", "at.q").applyInPandas(exact, "a long, b long")

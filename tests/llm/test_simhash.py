@@ -178,3 +178,11 @@ def test_recall_on_documents(spark):
     of = {r.doc_id: r.component_id for r in sh.similar_classes(spark.createDataFrame(docs)).collect()}
     linked = [(q, d) for q in sets if q % 50 == 0 and len(sets[q]) for d in sets if d != q and len(sets[q] & sets[d]) >= 0.8 * len(sets[q] | sets[d])]
     assert linked and sum(of[q] == of[d] for q, d in linked) >= 0.9 * len(linked)
+
+
+def test_bits_of_ids(spark):
+    ids = spark.range(0, 3_000_000, 10).withColumnRenamed("id", "k")
+    bits = sh.id_bits(ids, "k")
+    slots = [r[0] for r in ids.select(sh.id_slot("k")).limit(5000).collect()]
+    assert all(bits[x >> 3] >> (x & 7) & 1 for x in slots)
+    assert np.unpackbits(bits).sum() == ids.select(sh.id_slot("k")).distinct().count() and not sh.id_bits(ids.limit(0), "k").any()
