@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, cotrain, decontaminate, langid, lm_score, ogg, pii, simhash, warc
+from . import bpe, chat, cotrain, decontaminate, fim, langid, lm_score, ogg, pii, simhash, warc, whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,6 +97,18 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation that is no long is null."""
+    made = whiten.report(table(spark, sf_dir, "embeddings"))
+    return made.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_deobfuscation": op1_pii_deobfuscation,
     "op2_ogg_media": op2_ogg_media,
@@ -108,6 +120,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid_pieces": op8_langid_pieces,
     "op9_quality_cotraining": op9_quality_cotraining,
     "op10_spaced_seeds": op10_spaced_seeds,
+    "op11_whitening": op11_whitening,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 _DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(floor(v / {0}) AS BIGINT) % 32, 1)"
@@ -129,4 +143,5 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM r GROUP BY conv_id
 """,
     "op4_cross_entropy_difference": lm_score.SQL,
+    "op13_fill_in_middle": fim.SQL,
 }
