@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, cotrain, decontaminate, fim, langid, lm_score, ogg, pii, simhash, warc, whiten
+from . import bpe, chat, cotrain, decontaminate, fim, langid, lm_score, ogg, pii, simhash, substrings, warc, whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,6 +103,13 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
+def op12_substring_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    texts = substrings.distinct_texts(docs)
+    made = substrings.without_repeats(texts).select("tid", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    return substrings.by_document(docs, texts, made)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fim.fill_in_middle(table(spark, sf_dir, "documents"))
     sha = lambda c: F.sha2(c.cast("binary"), 256)
@@ -121,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_cotraining": op9_quality_cotraining,
     "op10_spaced_seeds": op10_spaced_seeds,
     "op11_whitening": op11_whitening,
+    "op12_substring_automata": op12_substring_automata,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
@@ -143,5 +151,6 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM r GROUP BY conv_id
 """,
     "op4_cross_entropy_difference": lm_score.SQL,
+    "op12_substring_automata": substrings.SQL,
     "op13_fill_in_middle": fim.SQL,
 }
