@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from gridwise.operators.graph import components
 
-from .common import map_columns, materialize
+from .common import bounded_batches, map_columns, materialize
 
 BITS = 64
 #: Fingerprints below a node of the last level that Spark lays out, about, and the deepest such level.
@@ -214,13 +214,13 @@ def links(distinct: DataFrame, budget: int = 2, leaves: int = LEAVES) -> DataFra
     return rows.groupBy("p", "q").applyInPandas(subtrees, "a long, b long")
 
 
-def look_up(rows: DataFrame, table: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
+def look_up(rows: DataFrame, table: DataFrame, key: str, sizes: DataFrame, share: int = HOT_SHARE) -> DataFrame:
     """rows with the columns of table that has the same key, which is unique there; sizes has each key's number of rows in n.
 
-    Frequent keys, at most HOT_SHARE of them, are sent to every task, so their rows are not shuffled into one.
+    Frequent keys, at most ``share`` of them, are sent to every task, so their rows are not shuffled into one.
     """
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    hot = materialize(sizes.where(F.col("n") > max(HOT, total / HOT_SHARE)).select(F.col(key).alias("hot_key")), "hot")
+    hot = materialize(sizes.where(F.col("n") > max(HOT, total / share)).select(F.col(key).alias("hot_key")), "hot")
     own = table.withColumnRenamed(key, "own_key")
     marked = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left")
     few = own.join(F.broadcast(hot), F.col("own_key") == F.col("hot_key"), "left_semi")
@@ -262,23 +262,30 @@ SIMILAR = (4, 5)
 SET_BLOCK = 1 << 22
 
 
-#: Bits of a table that says which ids are to be looked at (8 MB, whatever the number of ids); ids that share a bit with one are looked at in vain.
-ID_BITS = 1 << 26
+#: A table of bits says which texts are to be looked at: BITS_A_TEXT for each, ID_BITS at least and MOST_BITS at most (512 MB). Texts that share a bit with one are looked at in vain.
+ID_BITS, BITS_A_TEXT, MOST_BITS = 1 << 26, 16, 1 << 32
 #: Bits in a piece of it, as Spark's bitmap functions have them.
 PIECE_BITS = 8 * 4096
+#: Classes whose first set of shingles is sent to every task, at most.
+SENT_SETS = 1000
 
 
-def id_slot(c: str) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(ID_BITS))
+def bits_needed(n: int) -> int:
+    """Bits of a table for n texts, a power of two."""
+    return min(max(ID_BITS, 1 << (BITS_A_TEXT * n).bit_length()), MOST_BITS)
 
 
-def id_bits(ids: DataFrame, column: str) -> np.ndarray:
+def id_slot(*columns: str, bits: int | None = None) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(bits or ID_BITS))
+
+
+def id_bits(ids: DataFrame, *columns: str, bits: int | None = None) -> np.ndarray:
     """A table with the bits of all ids set, least bit first."""
-    slot = id_slot(column) + 1
+    slot = id_slot(*columns, bits=bits) + 1
     pieces = ids.select(F.bitmap_bucket_number(slot).alias("piece"), F.bitmap_bit_position(slot).alias("at")).groupBy("piece").agg(F.bitmap_construct_agg("at").alias("bits"))
-    out = np.zeros(ID_BITS // 8, np.uint8)
-    # At most ID_BITS / PIECE_BITS rows.
-    for r in pieces.collect():
+    out = np.zeros((bits or ID_BITS) // 8, np.uint8)
+    # At most as many rows as there are pieces.
+    for r in pieces.toLocalIterator():
         at = (r["piece"] - 1) * PIECE_BITS // 8
         out[at : at + PIECE_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
     return out
@@ -411,64 +418,134 @@ def same_classes(sets: list[np.ndarray]) -> np.ndarray:
     return of
 
 
-def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """(id, component_id) per distinct id: classes of texts, linked at a Jaccard similarity of SIMILAR or more of their sets of word shingles.
+def _beside(df: DataFrame, fn: Callable[..., dict[str, list]], kinds: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
+    """df's columns but text beside what fn makes of the texts; fn returns the rows that stay under "row"."""
+    keep = [c for c in df.columns if c != "text"]
+    bounded_batches(df.sparkSession)
 
-    Links of wide fingerprints propose classes; within each, all pairs of sets that could still join two classes are
-    compared exactly, so nothing is linked below SIMILAR. Null counts as empty; texts without words are one class.
-    component_id is the smallest id of a class. Null ids are left out.
-    """
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            made = fn(b)
+            own = [b.column(c).take(pa.array(made["row"], pa.int64())) for c in keep]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(made[k], t) for k, (_, t) in kinds.items())], names=[*keep, *kinds])
 
-    def rows(ids: list, texts: list) -> dict[str, list]:
-        sets = [shingle_set(t, shingle) for t in texts]
-        return {"id": ids, "fp": [wide_fingerprint(x) for x in sets], "digest": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], "n": [len(x) for x in sets]}
+    schema = ", ".join([*(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep), *(f"{k} {t}" for k, (t, _) in kinds.items())])
+    return df.mapInArrow(batches, schema)
 
-    def members(ids: list, slots: list, texts: list) -> dict[str, list]:
-        bits = shared.value
-        sets = [(i, shingle_set(t, shingle)) for i, k, t in zip(ids, slots, texts, strict=True) if bits[k >> 3] >> (k & 7) & 1]
-        return {"member": [i for i, _ in sets], "own": [xxhash.xxh3_128_digest(x.tobytes()) for _, x in sets], "hashes": [x.tobytes() for _, x in sets]}
+
+def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of hashes have a Jaccard similarity of SIMILAR or more; empty ones have with each other."""
+    up, down = SIMILAR
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return down * shared >= up * (len(a) + len(b) - shared)
+
+
+def _links_in_classes(held: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(a, b): links that join what is similar in each class of sets (rep, class, hashes); sizes: (class, n, blocks).
+
+    Each set is compared with the first one of its class, all over the cluster. Those that aren't similar to it are
+    compared with all of the class, block by block; those that are need no comparison with each other. So a family of
+    near copies takes work in proportion to its size, and a class without such a first set takes all pairs of blocks.
+    """
+    firsts = held.groupBy("class").agg(F.min_by("hashes", "rep").alias("first_hashes"), F.min("rep").alias("first"))
+    out = {"linked": ("boolean", pa.bool_())}
+
+    def judge(b: pa.RecordBatch) -> dict[str, list]:
+        pairs = zip(b.column("hashes").to_pylist(), b.column("first_hashes").to_pylist(), strict=True)
+        return {"row": list(range(b.num_rows)), "linked": [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in pairs]}
+
+    both = look_up(held.select("rep", "class", "hashes"), firsts, "class", sizes.select("class", "n"), SENT_SETS)
+    judged = materialize(_beside(both, judge, out).select("rep", "class", "first", "hashes", "linked"), "judged")
+    words = F.octet_length("hashes") / 8
+    free = judged.where("NOT linked").groupBy("class").agg(F.greatest(F.ceil(F.sum(words) / SET_BLOCK), F.lit(1)).alias("free_blocks"))
+    free = materialize(free.join(sizes.select(F.col("class").alias("c"), "blocks"), F.col("class") == F.col("c")).drop("c"), "free")
+    rest = look_up(judged, free, "class", sizes.select("class", "n")).where("free_blocks IS NOT NULL")
+    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    at = lambda p, q: F.struct(p.cast("long").alias("p"), q.cast("long").alias("q"))
+    everywhere = F.transform(upto("free_blocks"), lambda k: at(k, block("blocks")))
+    places = F.when(F.col("linked"), everywhere).otherwise(F.array_union(everywhere, F.transform(upto("blocks"), lambda k: at(block("free_blocks"), k))))
 
     def exact(pdf: pd.DataFrame) -> pd.DataFrame:
         rep, of = pdf.rep.to_numpy(np.int64), same_classes([np.frombuffer(x, np.uint64) for x in pdf.hashes])
         moved = of != np.arange(len(of))
         return pd.DataFrame({"a": rep[moved], "b": rep[of[moved]]})
 
-    out = pa.schema([("id", pa.int64()), ("fp", pa.binary()), ("digest", pa.binary()), ("n", pa.int64())])
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    found = materialize(map_columns(texts, rows, "id long, fp binary, digest binary, n long", out), "wide")
-    # Equal sets are one.
-    sets = materialize(found.groupBy("digest").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.count("*").alias("rows")), "sets")
+    # A task compares a block of what is left with a block of all.
+    more = rest.select("rep", "class", "hashes", F.explode(places).alias("at")).groupBy("class", "at.p", "at.q").applyInPandas(exact, "a long, b long")
+    return judged.where("linked AND rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).unionByName(more)
+
+
+def classes_of_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """(id, th, root, first_id, first_th) per row: th is the text's hash, root stands for a class of similar texts, and (first_id, first_th) is its first row.
+
+    The first row is that with the smallest id, null ones last, and of those that with the smallest th. Links of wide
+    fingerprints propose classes; within each, sets of shingles are compared exactly, so nothing is linked below SIMILAR.
+    Null counts as empty; texts without words are one class. Ids can be of any type, repeated and null.
+    """
+
+    def cut(b: pa.RecordBatch) -> dict[str, list]:
+        sets = [shingle_set(t, shingle) for t in b.column("text").to_pylist()]
+        return {"row": list(range(len(sets))), "fp": [wide_fingerprint(x) for x in sets], "digest": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], "n": [len(x) for x in sets]}
+
+    def members(b: pa.RecordBatch) -> dict[str, list]:
+        bits = shared.value
+        rows = [k for k, slot in enumerate(b.column("slot").to_pylist()) if bits[slot >> 3] >> (slot & 7) & 1]
+        sets = [shingle_set(b.column("text")[k].as_py(), shingle) for k in rows]
+        return {"row": rows, "own": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], "hashes": [x.tobytes() for x in sets]}
+
+    texts = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    made = _beside(texts, cut, {"fp": ("binary", pa.binary()), "digest": ("binary", pa.binary()), "n": ("long", pa.int64())})
+    # Rows are numbered once, as they are written.
+    found = materialize(made.withColumn("at", F.monotonically_increasing_id()), "wide")
+    # Equal sets are one, for which one row stands.
+    one = F.min(F.struct("at", "id", "th")).alias("one")
+    sets = materialize(found.groupBy("digest").agg(one, F.first("fp").alias("fp"), F.first("n").alias("n"), F.count("*").alias("rows")).withColumn("rep", F.col("one.at")), "sets")
     distinct = materialize(sets.groupBy(F.col("fp").alias("fp_")).agg(F.min("rep").alias("rep_")), "distinct")
     proposed = components(wide_links(distinct.select(F.col("fp_").alias("fp"), F.col("rep_").alias("rep"))))
     proposed = distinct.join(proposed, F.col("rep_") == F.col("node"), "left").select("fp_", F.coalesce("root", "rep_").alias("class"))
-    proposed = materialize(sets.join(proposed, F.col("fp") == F.col("fp_")).select("digest", "rep", "n", "class"), "proposed")
-    sizes = materialize(proposed.groupBy("class").agg(F.greatest(F.ceil(F.sum("n") / SET_BLOCK), F.lit(1)).alias("blocks"), F.count("*").alias("n")), "sizes")
-    several = look_up(proposed.select("digest", "rep", "class"), sizes.where("n > 1").select("class", "blocks"), "class", sizes.select("class", "n")).where("blocks IS NOT NULL")
+    proposed = materialize(sets.join(proposed, F.col("fp") == F.col("fp_")).select("digest", "rep", F.col("one.id").alias("rep_id"), F.col("one.th").alias("rep_th"), "n", "class"), "proposed")
+    sizes = materialize(proposed.groupBy("class").agg(F.greatest(F.ceil(F.sum("n") / SET_BLOCK), F.lit(1)).alias("blocks"), F.count("*").alias("n")).where("n > 1"), "sizes")
+    several = look_up(proposed.select("digest", "rep", "rep_id", "rep_th", "class"), sizes.select("class", "blocks"), "class", sizes.select("class", "n")).where("blocks IS NOT NULL")
     several = materialize(several, "several")
     # Only texts that may be in such a class are cut into shingles once more, and no text is shuffled.
-    shared = df.sparkSession.sparkContext.broadcast(id_bits(several, "rep"))
-    out = pa.schema([("member", pa.int64()), ("own", pa.binary()), ("hashes", pa.binary())])
-    held = map_columns(texts.select("id", id_slot("id").alias("slot"), "text"), members, "member long, own binary, hashes binary", out)
-    # An id can be repeated with another text.
-    held = held.join(several, (F.col("member") == F.col("rep")) & (F.col("own") == F.col("digest")))
-    held = materialize(held.select("rep", "class", "blocks", F.pmod(F.xxhash64("digest"), F.col("blocks")).alias("block"), "hashes"), "members")
-    # Each pair of blocks of a class is a task's work.
-    pairs = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("p"), F.greatest("block", k).alias("q"))))
-    links = held.select("rep", "class", "hashes", pairs.alias("at")).groupBy("class", "at.p", "at.q").applyInPandas(exact, "a long, b long")
-    roots = components(links)
-    classes = materialize(proposed.join(roots, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("root", "rep").alias("component_id")), "classes")
-    each = look_up(found.select("id", "digest"), classes, "digest", sets.select("digest", F.col("rows").alias("n")))
-    return each.groupBy("id").agg(F.min("component_id").alias("component_id")).select(F.col("id").alias(id_col), "component_id")
+    bits = bits_needed(several.count())
+    shared = df.sparkSession.sparkContext.broadcast(id_bits(several, "rep_id", "rep_th", bits=bits))
+    held = _beside(texts.withColumn("slot", id_slot("id", "th", bits=bits)), members, {"own": ("binary", pa.binary()), "hashes": ("binary", pa.binary())})
+    held = held.join(several, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th")) & (F.col("own") == F.col("digest")))
+    # Repeated rows have the same set.
+    held = materialize(held.groupBy("rep", "class").agg(F.first("hashes").alias("hashes")), "members")
+    roots = components(_links_in_classes(held, sizes))
+    classes = materialize(proposed.join(roots, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("root", "rep").alias("root")), "classes")
+    rows = sets.select("digest", F.col("rows").alias("n"))
+    each = materialize(look_up(found.select("id", "th", "digest"), classes, "digest", rows).select("id", "th", "root"), "each")
+    firsts = materialize(each.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("f"), F.count("*").alias("n")), "firsts")
+    return look_up(each, firsts.select("root", F.col("f.id").alias("first_id"), F.col("f.th").alias("first_th")), "root", firsts.select("root", "n"))
+
+
+def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """(id, component_id) per distinct id, null left out: component_id is the smallest id of the classes that its texts are in."""
+    each = classes_of_rows(df, id_col, text_col, shingle).where("id IS NOT NULL")
+    return each.groupBy(F.col("id").alias(id_col)).agg(F.min("first_id").alias("component_id"))
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """df with one document of each class of similar_classes: the one with the smallest id.
+    """df with one row of each class of similar texts: that with the smallest id, null ones last; if it has several texts of the class, one of them, and if it is repeated, one of the repetitions.
 
-    Rows with a null id stay. All columns are kept as they are, whatever their names. An empty table gives an empty one.
+    What counts is the row's text: an id with texts in several classes can stay with some of them. All columns are kept as
+    they are, whatever their names. An empty table gives an empty one.
     """
-    classes = similar_classes(df, id_col, text_col, shingle)
-    gone = materialize(classes.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone_id")), "gone")
-    return df.join(gone, df[id_col] == gone["gone_id"], "left_anti")
+    each = materialize(classes_of_rows(df, id_col, text_col, shingle), "rows")
+    first = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("th") == F.col("first_th"))
+    named = lambda rows: rows.select(F.col("id").alias("gone_id"), F.col("th").alias("gone_th"))
+    gone = materialize(named(each.where(~first).select("id", "th").distinct()), "gone")
+    again = materialize(named(each.where(first).groupBy("id", "th").count().where("count > 1")), "again")
+    same = lambda left, right: left[id_col].eqNullSafe(right["gone_id"]) & (F.xxhash64(left[text_col]) == right["gone_th"])
+    kept = df.join(gone, same(df, gone), "left_anti")
+    if again.isEmpty():
+        return kept
+    # Repetitions are merged before they are shuffled.
+    return kept.join(again, same(kept, again), "left_anti").union(kept.join(again, same(kept, again), "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def iter_pairs(fp: np.ndarray, budget: int) -> Iterator[tuple[int, int]]:

@@ -180,6 +180,38 @@ def test_recall_on_documents(spark):
     assert linked and sum(of[q] == of[d] for q, d in linked) >= 0.9 * len(linked)
 
 
+def test_rows_are_judged_by_their_texts(spark, monkeypatch):
+    """No text without a copy goes, whatever its id, and repeated rows are one."""
+    rnd = random.Random(12)
+    a, b, c = ([f"w{rnd.randrange(10**6)}" for _ in range(60)] for _ in range(3))
+    text = " ".join
+    rows = [("3", text(a)), ("5", text(a)), ("5", text(b)), ("7", text([*b, "word"])), ("4", text(a)), (None, text(a)), (None, text(a)), (None, text(c)), (None, text(c)), ("9", None), ("8", " "), ("6", text(b).upper()), ("3", text(a))]
+    want = sorted([("3", text(a)), ("5", text(b)), ("None", text(c)), ("8", " ")])
+    for hot in (sh.HOT, 1):
+        monkeypatch.setattr(sh, "HOT", hot)
+        kept = sh.deduplicate(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id string, text string, at int, th int"))
+        assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == want
+    numbers = spark.createDataFrame([(int(i) if i else None, t) for i, t in rows], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.text) for r in sh.deduplicate(numbers).collect()) == want
+    assert sorted((r.doc_id, r.component_id) for r in sh.similar_classes(numbers).collect()) == [(3, 3), (4, 3), (5, 3), (6, 5), (7, 5), (8, 8), (9, 8)]
+
+
+def test_first_set_of_a_class_and_the_rest(spark, monkeypatch):
+    """Chains in which the first set is similar to few: the rest is compared with all, in blocks."""
+    monkeypatch.setattr(sh, "SET_BLOCK", 120)
+    rnd = random.Random(13)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(90)]
+    texts = [words[k : k + 50] for k in range(0, 40, 2)]
+    rnd.shuffle(texts)
+    sets = [sh.shingle_set(" ".join(t)) for t in texts]
+    held = spark.createDataFrame([(i, 0, s.tobytes()) for i, s in enumerate(sets)], "rep long, class long, hashes binary")
+    sizes = spark.createDataFrame([(0, len(sets), 9)], "class long, n long, blocks long")
+    roots = {r.node: r.root for r in sh.components(sh._links_in_classes(held, sizes)).collect()}
+    want = classes(range(len(sets)), lambda a, b: sh._linked(sets[a], sets[b]))
+    assert {i: roots.get(i, i) for i in range(len(sets))} == {i: want[i] for i in range(len(sets))}
+    assert len(set(want.values())) == 1 and sum(not sh._linked(s, sets[0]) for s in sets) > 10
+
+
 def test_bits_of_ids(spark):
     ids = spark.range(0, 3_000_000, 10).withColumnRenamed("id", "k")
     bits = sh.id_bits(ids, "k")
