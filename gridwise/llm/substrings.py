@@ -54,10 +54,21 @@ class _Hashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    p = np.full(n, base, np.uint64)
-    p[:1] = 1
-    return np.cumprod(p, dtype=np.uint64)
+class _Powers:
+    """Powers of an odd base modulo 2**64, as many as were asked for so far."""
+
+    def __init__(self, base: int) -> None:
+        self.base, self.held = base, np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> np.ndarray:
+        if len(self.held) < n:
+            p = np.full(2 * n, self.base, np.uint64)
+            p[:1] = 1
+            self.held = np.cumprod(p, dtype=np.uint64)
+        return self.held[:n]
+
+
+_UP, _DOWN = _Powers(_BASE), _Powers(pow(_BASE, -1, 1 << 64))
 
 
 def group_hashes(h: np.ndarray, size: int) -> np.ndarray:
@@ -65,19 +76,19 @@ def group_hashes(h: np.ndarray, size: int) -> np.ndarray:
     if len(h) < size:
         return np.zeros(0, np.uint64)
     total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * _powers(_BASE, len(h)), out=total[1:])
-    g = (total[size:] - total[:-size]) * _powers(pow(_BASE, -1, 1 << 64), len(h) - size + 1)
+    np.cumsum(h * _UP.upto(len(h)), out=total[1:])
+    g = (total[size:] - total[:-size]) * _DOWN.upto(len(h) - size + 1)
     g ^= g >> np.uint64(31)
     g *= np.uint64(0xD6E8FEB86659FD93)
     return g ^ (g >> np.uint64(32))
 
 
-def least_of(g: np.ndarray, width: int) -> np.ndarray:
-    """Least of each width values in a row, by doubling."""
+def sliding(take: np.ufunc, g: np.ndarray, width: int) -> np.ndarray:
+    """Least or largest of each width values in a row, by doubling."""
     done = 1
     while done < width:
         step = min(done, width - done)
-        g = np.minimum(g[: len(g) - step], g[step:])
+        g = take(g[: len(g) - step], g[step:])
         done += step
     return g
 
@@ -92,14 +103,18 @@ class Reader:
         """(hash of each word group, anchor of each window, hash of each word) of a text."""
         h = self.hashes.of(words)
         g = group_hashes(h, self.group)
-        return g, least_of(g, self.least - self.group + 1) if len(words) >= self.least else g[:0], h
+        return g, sliding(np.minimum, g, self.least - self.group + 1) if len(words) >= self.least else g[:0], h
 
-    def keys(self, words: list[bytes], crowded: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """(key, times) of a text: its anchors, or, given the crowded anchors, the hashes of their windows."""
+    def keys(self, words: list[bytes], crowded: np.ndarray | None) -> np.ndarray:
+        """Anchors of a text, or, given the crowded anchors, the hashes of their windows; each as often as it occurs."""
+        if len(words) < self.least:
+            return np.zeros(0, np.uint64)
         g, a, h = self.anchors(words)
-        if crowded is None:
-            return np.unique(g[held_in(g, np.unique(a))], return_counts=True)
-        return np.unique(group_hashes(h, self.least)[held_in(a, crowded)], return_counts=True) if len(a) else np.unique(a, return_counts=True)
+        if crowded is not None:
+            return group_hashes(h, self.least)[held_in(a, crowded)]
+        # No window that covers a group has a larger anchor than the group's hash; where one has as large a one, the group is an anchor.
+        around = np.zeros(self.least - self.group, np.uint64)
+        return g[g == sliding(np.maximum, np.concatenate([around, a, around]), self.least - self.group + 1)]
 
 
 def held_in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -208,14 +223,13 @@ def matched(pieces: list[list[bytes]], least: int) -> list[list[tuple[int, int]]
     return [runs[p] for p in numbered]
 
 
-def within_shard(groups: list[list[bytes]], least: int, words: int = SHARD_WORDS) -> list[list[tuple[int, int]]]:
-    """matched for the pieces of one key or of several; more words than an automaton takes are dealt window by window, by their hashes."""
+def within_shard(groups: list[list[bytes]], least: int, words: int = 4 * SHARD_WORDS) -> list[list[tuple[int, int]]]:
+    """matched for the pieces of some keys; if one key has more words than an automaton takes, its windows are dealt by their hashes."""
     total = sum(map(len, groups))
     if total <= words:
         return matched(groups, least)
     windows = [(hash(tuple(p[s : s + least])), i, s) for i, p in enumerate(groups) for s in range(len(p) - least + 1)]
-    deals = total // words + 1
-    shards: list[list[tuple[int, int]]] = [[] for _ in range(deals * least)]
+    shards: list[list[tuple[int, int]]] = [[] for _ in range(len(windows) * least // words + 1)]
     for h, i, s in windows:
         shards[h % len(shards)].append((i, s))
     found: list[list[int]] = [[] for _ in groups]
@@ -233,21 +247,23 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
 
 
 def _keys(texts: DataFrame, least: int, crowded: Broadcast | None, named: bool = False) -> DataFrame:
-    """(key, n), or with their texts (key, n, tid): anchors, or window hashes of crowded anchors, and how often they occur."""
-    names = ["key", "n", *(["tid"] if named else [])]
-    out = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("tid", pa.string())][: len(names)])
+    """(key, n): anchors, or window hashes of crowded anchors, and how often they occur; with names (key, tid), the texts that hold them."""
+    out = pa.schema([("key", pa.int64()), ("tid", pa.string()) if named else ("n", pa.int64())])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(least)
         for b in it:
             found = [reader.keys(t.as_py().split(), crowded and crowded.value) for t in b.column("text")]
-            keys, times = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            columns = [pa.array(keys.view(np.int64)), pa.array(times.astype(np.int64))]
             if named:
-                columns.append(pa.array(np.repeat(b.column("tid").to_numpy(zero_copy_only=False), [len(k) for k, _ in found]), pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, schema=out)
+                found = [np.unique(k) for k in found]
+                keys = np.concatenate([np.zeros(0, np.uint64), *found])
+                owner = np.repeat(b.column("tid").to_numpy(zero_copy_only=False), [len(k) for k in found])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(owner, pa.string())], schema=out)
+            else:
+                keys, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(times.astype(np.int64))], schema=out)
 
-    return texts.select("tid", "text").mapInArrow(batches, ", ".join(f"{n} {'string' if n == 'tid' else 'long'}" for n in names))
+    return texts.select("tid", "text").mapInArrow(batches, "key long, tid string" if named else "key long, n long")
 
 
 def _array(keys: DataFrame) -> np.ndarray:
@@ -257,7 +273,7 @@ def _array(keys: DataFrame) -> np.ndarray:
 
 def _with_keys(texts: DataFrame, repeated: DataFrame, least: int, crowded: Broadcast | None, top: int) -> DataFrame:
     """(tid, text, own): the texts that hold repeated keys, with those, by a join; keys above top go to every task."""
-    rows = _keys(texts, least, crowded, named=True).select("key", "tid")
+    rows = _keys(texts, least, crowded, named=True)
     hot = repeated.where(F.col("n") > top).select("key")
     rest = rows.join(F.broadcast(hot), "key", "left_anti").join(repeated.where(F.col("n") <= top).select("key"), "key", "left_semi")
     hits = rows.join(F.broadcast(hot), "key", "left_semi").unionByName(rest)
@@ -312,7 +328,7 @@ def _in_shards(pieces: DataFrame, least: int) -> DataFrame:
     out = pa.schema([("tid", pa.string()), ("first", pa.int32()), ("last", pa.int32())])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, places, held, size = set(), [], [], 0
+        latest, places, held, size = None, [], [], 0
 
         def flush() -> pa.RecordBatch:
             rows = [(tid, at + first, at + last) for (tid, at), runs in zip(places, within_shard(held, least), strict=True) for first, last in runs]
@@ -320,10 +336,10 @@ def _in_shards(pieces: DataFrame, least: int) -> DataFrame:
 
         for b in it:
             for key, tid, at, words in zip(*(b.column(n).to_pylist() for n in ("key", "tid", "at", "words")), strict=True):
-                if size >= SHARD_WORDS and key not in keys:
+                if size >= SHARD_WORDS and key != latest:
                     yield flush()
-                    keys, places, held, size = set(), [], [], 0
-                keys.add(key)
+                    places, held, size = [], [], 0
+                latest = key
                 places.append((tid, at))
                 held.append(words.split())
                 size += len(held[-1])
