@@ -1,7 +1,8 @@
 """Joins of polygons over a grid, and what is decided by them.
 
-A polygon (id, rings) stands beside every cell that its box touches, so what can meet has a cell in common and joins by
-it; the exact test decides. A pair counts in one cell only: the one that holds the lower corner of what the boxes share.
+What goes through the grid is a polygon's id with its box or its cells, never its rings: what can meet has a cell in
+common and joins by it, crowded cells in parts, and rings are fetched by id for the pairs that are left; the exact test
+decides. A pair of boxes counts in one cell only: the one that holds the lower corner of what they share.
 """
 
 from __future__ import annotations
@@ -23,25 +24,56 @@ def boxed(polygons: DataFrame) -> DataFrame:
 
 
 def _cells(df: DataFrame, side: str, size: float) -> DataFrame:
-    out = df.select(*(F.col(c).alias(f"{side}_{c}") for c in df.columns))
+    """Boxes beside each cell that they touch, as cx and cy."""
+    out = df.select(*(F.col(c).alias(f"{side}_{c}") for c in ("id", *EDGES)))
     span = lambda axis: F.explode(F.sequence(F.floor(F.col(f"{side}_{axis}min") / size), F.floor(F.col(f"{side}_{axis}max") / size)))
     return out.withColumn("cx", span("x")).withColumn("cy", span("y"))
 
 
+def cells_of(polygons: DataFrame, size: float) -> DataFrame:
+    """(id, cx, cy, border): cells that a polygon (id, rings) covers in part (border) or wholly.
+
+    Border cells are those that its sides touch. Between them, a row of cells is filled where its middle line is inside:
+    from each odd crossing with the sides to the next one. Both go by sides, so a polygon's size doesn't matter.
+    """
+    own = polygons.select("id", F.explode(polygon.edges(F.col("rings"))).alias("e"))
+    own = own.select("id", F.col("e.a.x").alias("x0"), F.col("e.a.y").alias("y0"), F.col("e.b.x").alias("x1"), F.col("e.b.y").alias("y1"))
+    border = spatial._touched(own, size).select("id", "cx", "cy").distinct()
+    lines = F.sequence(F.floor(F.least("y0", "y1") / size), F.floor(F.greatest("y0", "y1") / size))
+    at = own.where("y0 <> y1").withColumn("cy", F.explode(lines)).withColumn("y", (F.col("cy") + 0.5) * size).where((F.col("y0") > F.col("y")) != (F.col("y1") > F.col("y")))
+    at = at.select("id", "cy", (F.col("x0") + (F.col("x1") - F.col("x0")) * (F.col("y") - F.col("y0")) / (F.col("y1") - F.col("y0"))).alias("x"))
+    rows = at.groupBy("id", "cy").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    # Middles of cells from one crossing to the next; runs without one are empty.
+    run = lambda i: F.struct(F.ceil(F.get("xs", 2 * i) / size - 0.5).alias("a"), F.floor(F.get("xs", 2 * i + 1) / size - 0.5).alias("b"))
+    runs = F.filter(F.transform(F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1), run), lambda r: r["a"] <= r["b"])
+    full = rows.where("size(xs) > 1").select("id", "cy", F.explode(runs).alias("r")).select("id", F.explode(F.sequence("r.a", "r.b")).alias("cx"), "cy")
+    whole = full.join(border, ["id", "cx", "cy"], "left_anti")
+    return border.select("id", "cx", "cy", F.lit(True).alias("border")).unionByName(whole.select("id", "cx", "cy", F.lit(False).alias("border")))
+
+
 def points_in(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
-    """(point_id, polygon_id): points (id, x, y) and the polygons that hold them; each point has one cell, so each pair comes once."""
+    """(point_id, polygon_id): points (id, x, y) and the polygons that hold them, each pair once. Rings are looked at for points in border cells only."""
     p = points.where("x IS NOT NULL AND y IS NOT NULL").select(F.col("id").alias("point_id"), "x", "y", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
-    q = _cells(boxed(polygons), "q", size)
-    near = p.join(q, ["cx", "cy"]).where(F.col("x").between(F.col("q_xmin"), F.col("q_xmax")) & F.col("y").between(F.col("q_ymin"), F.col("q_ymax")))
-    return near.where(polygon.contains(F.col("q_rings"), F.col("x"), F.col("y"))).select("point_id", F.col("q_id").alias("polygon_id"))
+    own = polygons.select("id", "rings").where("size(rings) > 0 AND size(rings[0]) > 0")
+    met = spatial._met(p, cells_of(own, size).withColumnRenamed("id", "right_id"))
+    near = met.where("border").join(own, F.col("right_id") == F.col("id")).where(polygon.contains(F.col("rings"), F.col("x"), F.col("y")))
+    return met.where("NOT border").select("point_id", F.col("right_id").alias("polygon_id")).unionByName(near.select("point_id", F.col("right_id").alias("polygon_id")))
 
 
-def meeting(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
-    """(left_id, right_id, left_rings, right_rings) of polygons whose boxes meet, each pair once."""
-    a, b = _cells(boxed(left), "left", size), _cells(boxed(right), "right", size)
+def pairs(left: DataFrame, right: DataFrame, size: float, margin: float = 0.0) -> DataFrame:
+    """(left_id, right_id) of boxed polygons whose boxes meet, those of the left widened by a margin; each pair once."""
+    wide = left.withColumns({c: F.col(c) + (margin if c.endswith("max") else -margin) for c in EDGES})
+    a, b = _cells(wide, "left", size), _cells(right, "right", size)
     low = lambda axis: F.floor(F.greatest(f"left_{axis}min", f"right_{axis}min") / size)
     meet = (F.col("left_xmin") <= F.col("right_xmax")) & (F.col("right_xmin") <= F.col("left_xmax")) & (F.col("left_ymin") <= F.col("right_ymax")) & (F.col("right_ymin") <= F.col("left_ymax"))
-    return a.join(b, ["cx", "cy"]).where(meet & (F.col("cx") == low("x")) & (F.col("cy") == low("y"))).select("left_id", "right_id", "left_rings", "right_rings")
+    return spatial._met(a, b).where(meet & (F.col("cx") == low("x")) & (F.col("cy") == low("y"))).select("left_id", "right_id")
+
+
+def meeting(left: DataFrame, right: DataFrame, size: float, margin: float = 0.0) -> DataFrame:
+    """(left_id, right_id, left_rings, right_rings) of polygons whose boxes meet or are no farther apart than margin, each pair once."""
+    a, b = boxed(left), boxed(right)
+    rings = lambda df, side: df.select(F.col("id").alias(f"{side}_id"), F.col("rings").alias(f"{side}_rings"))
+    return pairs(a, b, size, margin).join(rings(a, "left"), "left_id").join(rings(b, "right"), "right_id").select("left_id", "right_id", "left_rings", "right_rings")
 
 
 def crossing(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
@@ -59,18 +91,47 @@ def marked(left: DataFrame, right: DataFrame, size: float, name: str) -> DataFra
     return _flag(left, crossing(left, right, size), "left_id", name)
 
 
-def overlaps(polygons: DataFrame, convex: DataFrame, size: float) -> DataFrame:
-    """(left_id, right_id, overlap): areas that polygons share with convex polygons (their outer rings), none of 0."""
-    pairs = meeting(polygons, convex, size)
-    return pairs.select("left_id", "right_id", polygon.overlap(F.col("left_rings"), F.col("right_rings")[0]).alias("overlap")).where("overlap > 0")
+def overlaps(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
+    """(left_id, right_id, overlap): areas that polygons of any form share, none of 0."""
+    met = meeting(left, right, size)
+    # Few boxes can meet in very many pairs.
+    met = met.repartition("left_id", "right_id")
+    return met.select("left_id", "right_id", polygon.shared_area(F.col("left_rings"), F.col("right_rings")).alias("overlap")).where("overlap > 0")
 
 
 def near_points(polygons: DataFrame, points: DataFrame, radius: float, size: float) -> DataFrame:
     """(polygon_id, point_id, dist) of points no farther than radius from a polygon; inside is 0."""
-    q = boxed(polygons).withColumns({"xmin": F.col("xmin") - radius, "ymin": F.col("ymin") - radius, "xmax": F.col("xmax") + radius, "ymax": F.col("ymax") + radius})
+    q = boxed(polygons)
+    wide = q.select("id", F.col("xmin") - radius, F.col("ymin") - radius, F.col("xmax") + radius, F.col("ymax") + radius).toDF("id", *EDGES)
     p = points.where("x IS NOT NULL AND y IS NOT NULL").select(F.col("id").alias("point_id"), "x", "y", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
-    near = p.join(_cells(q, "q", size), ["cx", "cy"]).where(F.col("x").between(F.col("q_xmin"), F.col("q_xmax")) & F.col("y").between(F.col("q_ymin"), F.col("q_ymax")))
-    return near.select(F.col("q_id").alias("polygon_id"), "point_id", polygon.distance(F.col("q_rings"), F.col("x"), F.col("y")).alias("dist")).where(F.col("dist") <= radius)
+    near = spatial._met(p, _cells(wide, "right", size)).where(F.col("x").between(F.col("right_xmin"), F.col("right_xmax")) & F.col("y").between(F.col("right_ymin"), F.col("right_ymax")))
+    near = near.select("point_id", "x", "y", F.col("right_id").alias("polygon_id")).join(q.select(F.col("id").alias("polygon_id"), "rings"), "polygon_id")
+    return near.select("polygon_id", "point_id", polygon.distance(F.col("rings"), F.col("x"), F.col("y")).alias("dist")).where(F.col("dist") <= radius)
+
+
+def near_polygons(left: DataFrame, right: DataFrame, radius: float, size: float) -> DataFrame:
+    """(left_id, right_id, dist) of polygons no farther apart than radius; 0 if they share a point.
+
+    Sides of the left are listed in the cells within radius of their boxes, those of the right in the cells that they
+    touch; so only sides that can be near meet, whatever the polygons' sizes, and the least distance counts. A polygon
+    inside another one has no side near and is found by a corner of its own.
+    """
+    sides = lambda df, side: df.select(F.col("id").alias(f"{side}_id"), F.explode(polygon.edges(F.col("rings"))).alias("e")).select(f"{side}_id", *(F.col(f"e.{p}.{c}").alias(f"{c}{k}") for k, p in enumerate("ab") for c in "xy"))
+    a, b = sides(boxed(left), "left"), sides(boxed(right), "right")
+    span = lambda axis: F.explode(F.sequence(F.floor((F.least(f"{axis}0", f"{axis}1") - radius) / size), F.floor((F.greatest(f"{axis}0", f"{axis}1") + radius) / size)))
+    a = a.withColumn("cx", span("x")).withColumn("cy", span("y"))
+    a = a.select("left_id", "cx", "cy", *(F.col(f"{c}{k}").alias(f"a{c}{k}") for k in (0, 1) for c in "xy"))
+    near = spatial._met(a, spatial._touched(b, size))
+    gap = lambda c: F.greatest(F.least(f"a{c}0", f"a{c}1") - F.greatest(f"{c}0", f"{c}1"), F.least(f"{c}0", f"{c}1") - F.greatest(f"a{c}0", f"a{c}1"), F.lit(0.0))
+    near = near.where(gap("x") * gap("x") + gap("y") * gap("y") <= radius * radius)
+    p, q = [F.struct(F.col(f"ax{k}").alias("x"), F.col(f"ay{k}").alias("y")) for k in (0, 1)], [F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in (0, 1)]
+    to = lambda e, s: geo.segment_distance(e["x"], e["y"], s[0]["x"], s[0]["y"], s[1]["x"], s[1]["y"])
+    apart = F.when(polygon.segments_touch(*p, *q), 0.0).otherwise(F.least(to(p[0], q), to(p[1], q), to(q[0], p), to(q[1], p)))
+    found = near.select("left_id", "right_id", apart.alias("dist")).where(F.col("dist") <= radius).groupBy("left_id", "right_id").agg(F.min("dist").alias("dist"))
+    corner = lambda df: df.select("id", F.col("rings")[0][0]["x"].alias("x"), F.col("rings")[0][0]["y"].alias("y")).where("x IS NOT NULL")
+    within = points_in(corner(left), right, size).select(F.col("point_id").alias("left_id"), F.col("polygon_id").alias("right_id"))
+    within = within.unionByName(points_in(corner(right), left, size).select(F.col("polygon_id").alias("left_id"), F.col("point_id").alias("right_id")))
+    return found.unionByName(within.withColumn("dist", F.lit(0.0))).groupBy("left_id", "right_id").agg(F.min("dist").alias("dist"))
 
 
 def with_known(candidates: DataFrame, labels: DataFrame, nodes: DataFrame, radius: float, size: float) -> DataFrame:
@@ -86,9 +147,14 @@ def recall(truth: DataFrame, candidates: DataFrame, size: float, bucket: Column)
 
 
 def fill(leads: DataFrame, buildings: DataFrame, size: float, threshold: float = 0.25) -> DataFrame:
-    """leads (convex polygons) with fill, the buildings' shared area over the lead's, and flag_building."""
-    share = overlaps(buildings, leads, size).groupBy(F.col("right_id").alias("__id")).agg(F.sum("overlap").alias("__in"))
-    out = leads.join(share, F.col("id") == F.col("__id"), "left").withColumn("fill", F.coalesce(F.try_divide(F.col("__in"), geo.ring_area(F.col("rings")[0])), F.lit(0.0)))
+    """leads with fill, the buildings' shared area over the lead's, and flag_building; with industrial, if buildings have that column: whether one that shares area is."""
+    kind = "industrial" in buildings.columns
+    share = overlaps(buildings, leads, size)
+    if kind:
+        share = share.join(buildings.select(F.col("id").alias("__b"), "industrial"), F.col("left_id") == F.col("__b"))
+    share = share.groupBy(F.col("right_id").alias("__id")).agg(F.sum("overlap").alias("__in"), *([F.bool_or("industrial").alias("industrial")] if kind else []))
+    out = leads.join(share, F.col("id") == F.col("__id"), "left").withColumn("fill", F.coalesce(F.try_divide(F.col("__in"), polygon.area(F.col("rings"))), F.lit(0.0)))
+    out = out.withColumn("industrial", F.coalesce("industrial", F.lit(False))) if kind else out
     return out.withColumn("flag_building", F.col("fill") > threshold).drop("__id", "__in")
 
 

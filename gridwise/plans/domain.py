@@ -76,6 +76,17 @@ VIEWS: dict[str, tuple[str, list[str], str]] = {
         ],
         "true",
     ),
+    "yards": (
+        "supplier",
+        [
+            "s_suppkey AS id",
+            "CAST((s_suppkey * 15485863) % 160000 AS DOUBLE) + CAST(0.125 AS DOUBLE) AS cx",
+            "CAST((s_suppkey * 32452843) % 130000 AS DOUBLE) + CAST(0.75 AS DOUBLE) AS cy",
+            "CAST(300 + (s_suppkey * 53) % 2500 AS DOUBLE) AS r",
+            "CASE WHEN s_suppkey % 2 = 0 THEN CAST(100 + (s_suppkey * 53) % 2500 / CAST(2 AS DOUBLE) AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS hole",
+        ],
+        "true",
+    ),
     "boxes": (
         "part",
         [

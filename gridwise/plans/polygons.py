@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwise.functions import polygon
-from gridwise.operators import leads, regions
+from gridwise.operators import leads, overlay, regions
 from gridwise.plans.base import Entry, registered
 from gridwise.plans.domain import ctes, polygons, view
 from gridwise.plans.spatials import _D, _SEG, _T, _nearest
+from gridwise.session import materialize
 
 ENTRIES: dict[str, Entry] = {}
 #: Metres in a cell of these joins.
@@ -105,19 +106,76 @@ def endpoint_match_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @registered(ENTRIES, f"""{ctes("diamonds")}, t AS (SELECT ix, iy, ix * 8000 AS xmin, iy * 8000 AS ymin FROM range(0, 21) a(ix), range(0, 17) b(iy))
-SELECT DISTINCT ix * 100 + iy AS id FROM t, diamonds d WHERE d.r > 1050 AND d.cx - d.r - 1200 < xmin + 8000 AND d.cx + d.r + 1200 > xmin AND d.cy - d.r - 1200 < ymin + 8000 AND d.cy + d.r + 1200 > ymin""")
+SELECT DISTINCT ix * 100 + iy AS id FROM t, diamonds d WHERE d.cx - d.r - 1200 < xmin + 8000 AND d.cx + d.r + 1200 > xmin AND d.cy - d.r - 1200 < ymin + 8000 AND d.cy + d.r + 1200 > ymin""")
 def tiles_near_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Tiles of 8 km that the surroundings of a large candidate touch."""
+    """Tiles of 8 km that the surroundings of a candidate touch."""
     t = spark.range(21 * 17).selectExpr("id % 21 AS ix", "id DIV 21 AS iy").selectExpr("ix * 100 + iy AS id", "CAST(ix * 8000 AS DOUBLE) AS xmin", "CAST(iy * 8000 AS DOUBLE) AS ymin", "CAST(ix * 8000 + 8000 AS DOUBLE) AS xmax", "CAST(iy * 8000 + 8000 AS DOUBLE) AS ymax")
-    return regions.tiles_near(t, polygons(spark, d, "diamonds").where("r > 1050"), 1200.0, CELL_M).select("id")
+    return regions.tiles_near(t, polygons(spark, d, "diamonds"), 1200.0, CELL_M).select("id")
 
 
-@registered(ENTRIES, f"""{ctes("diamonds", "sites")} SELECT a.id AS polygon_id, b.id AS site_id, round(greatest(0, abs(b.cx - a.cx) + abs(b.cy - a.cy) - a.r) / sqrt(CAST(2 AS DOUBLE)), 3) AS dist FROM diamonds a, sites b
-WHERE a.hole = 0 AND greatest(abs(b.cx - a.cx), abs(b.cy - a.cy)) <= a.r AND greatest(0, abs(b.cx - a.cx) + abs(b.cy - a.cy) - a.r) / sqrt(CAST(2 AS DOUBLE)) <= 800 AND abs(abs(b.cx - a.cx) - abs(b.cy - a.cy)) <= a.r""")
+_DX, _DY = "abs(b.cx - a.cx)", "abs(b.cy - a.cy)"
+# From a point to a diamond: to its hole's side from within, 0 inside, to a side, or to a corner.
+_TO_POINT = f"""CASE WHEN {_DX} + {_DY} < a.hole THEN (a.hole - {_DX} - {_DY}) / sqrt(CAST(2 AS DOUBLE)) WHEN {_DX} + {_DY} <= a.r THEN 0 WHEN abs({_DX} - {_DY}) <= a.r THEN ({_DX} + {_DY} - a.r) / sqrt(CAST(2 AS DOUBLE))
+ELSE sqrt(pow(greatest({_DX}, {_DY}) - a.r, 2) + pow(least({_DX}, {_DY}), 2)) END"""
+
+
+@registered(ENTRIES, f"""{ctes("diamonds", "sites")}, p AS (SELECT a.id AS polygon_id, b.id AS site_id, {_TO_POINT} AS dist FROM diamonds a, sites b) SELECT polygon_id, site_id, round(dist, 3) AS dist FROM p WHERE dist <= 800""")
 def polygon_point_distance(spark: SparkSession, d: str) -> DataFrame:
-    """Distances of sites' centres to polygons, where the nearest point is inside or on a side and not a corner."""
+    """Distances of sites' centres to polygons within 800 m: to sides, corners and holes."""
     s = view(spark, d, "sites").select("id", F.col("cx").alias("x"), F.col("cy").alias("y"))
-    near = regions.near_points(polygons(spark, d, "diamonds").where("hole = 0"), s, 800.0, CELL_M)
-    at = near.join(s.select(F.col("id").alias("p"), "x", "y"), F.col("point_id") == F.col("p")).join(view(spark, d, "diamonds").select("id", "cx", "cy", "r"), F.col("polygon_id") == F.col("id"))
-    dx, dy = F.abs(F.col("x") - F.col("cx")), F.abs(F.col("y") - F.col("cy"))
-    return at.where((F.greatest(dx, dy) <= F.col("r")) & (F.abs(dx - dy) <= F.col("r"))).select("polygon_id", F.col("point_id").alias("site_id"), F.round("dist", 3).alias("dist"))
+    near = regions.near_points(polygons(spark, d, "diamonds"), s, 800.0, CELL_M)
+    return near.select("polygon_id", F.col("point_id").alias("site_id"), F.round("dist", 3).alias("dist"))
+
+
+_GAP = "sqrt(pow(greatest({u} - a.r - b.r, 0), 2) + pow(greatest({v} - a.r - b.r, 0), 2))".format(u=_U, v=_V)
+
+
+@registered(ENTRIES, f"""{ctes("diamonds", "sites")}, p AS (SELECT a.id AS left_id, b.id AS right_id, CASE WHEN greatest({_U}, {_V}) + b.r < a.hole THEN a.hole - b.r - greatest({_U}, {_V}) ELSE {_GAP} END / sqrt(CAST(2 AS DOUBLE)) AS dist FROM diamonds a, sites b) SELECT left_id, right_id, round(dist, 3) AS dist FROM p WHERE dist <= 500""")
+def polygon_polygon_distance(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates' polygons and sites no farther apart than 500 m, with their distance; 0 if they meet."""
+    near = regions.near_polygons(polygons(spark, d, "diamonds"), polygons(spark, d, "sites"), 500.0, CELL_M)
+    return near.select("left_id", "right_id", F.round("dist", 3).alias("dist"))
+
+
+def _common(p: str, q: str) -> str:
+    """Area that squares of two radii share."""
+    u = f"greatest(least(a.cx + a.cy + {p}, b.cx + b.cy + {q}) - greatest(a.cx + a.cy - {p}, b.cx + b.cy - {q}), 0)"
+    v = f"greatest(least(a.cx - a.cy + {p}, b.cx - b.cy + {q}) - greatest(a.cx - a.cy - {p}, b.cx - b.cy - {q}), 0)"
+    return f"{u} * {v} / 2"
+
+
+_YARDS = f"""{ctes("diamonds", "yards")}, p AS (SELECT a.id AS left_id, b.id AS right_id, 2 * a.r * a.r - 2 * a.hole * a.hole AS own, {_common("a.r", "b.r")} - {_common("a.hole", "b.r")} - {_common("a.r", "b.hole")} + {_common("a.hole", "b.hole")} AS shared FROM diamonds a, yards b WHERE greatest({_U}, {_V}) <= a.r + b.r)"""
+
+
+@registered(ENTRIES, f"""{_YARDS} SELECT left_id, right_id, round(shared, 3) AS shared_m2 FROM p WHERE shared > 1e-3""")
+def polygon_intersection_area(spark: SparkSession, d: str) -> DataFrame:
+    """Areas that candidates and yards share, holes on both sides."""
+    o = regions.overlaps(polygons(spark, d, "diamonds"), polygons(spark, d, "yards"), CELL_M).where("overlap > 1e-3")
+    return o.select("left_id", "right_id", F.round("overlap", 3).alias("shared_m2"))
+
+
+@registered(ENTRIES, f"""{_YARDS} SELECT left_id, right_id, round(shared, 2) AS shared_m2, round(own - shared, 2) AS left_m2 FROM p WHERE shared > 1e-3""")
+def polygon_overlay(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates and yards that share area: their intersection, and what is left of the candidate, as polygons."""
+    met = regions.meeting(polygons(spark, d, "diamonds"), polygons(spark, d, "yards"), CELL_M)
+    two = materialize(overlay.paired(met), "pairs")
+    size = lambda df, name: df.groupBy("group").agg(F.sum(polygon.area(F.col("rings"))).alias(name))
+    both = size(overlay.intersection(two, CELL_M), "shared").join(size(overlay.difference(two, CELL_M), "rest"), "group", "left")
+    return both.select("group.left_id", "group.right_id", F.round("shared", 2).alias("shared_m2"), F.round(F.coalesce("rest", F.lit(0.0)), 2).alias("left_m2"))
+
+
+@registered(ENTRIES, f"""WITH RECURSIVE {ctes("diamonds").removeprefix("WITH ")}, e AS (SELECT a.id AS a, b.id AS b FROM diamonds a, diamonds b WHERE a.id <> b.id AND {_MEET} AND greatest({_U}, {_V}) + a.r >= b.hole),
+r(id, part) AS (SELECT id, id FROM diamonds UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.part), l AS (SELECT part, min(id) AS id FROM r GROUP BY part),
+s AS (SELECT l.id, cx + cy AS u, cx - cy AS v, r, hole FROM l JOIN diamonds d ON d.id = l.part),
+us AS (SELECT id, u, lead(u) OVER (PARTITION BY id ORDER BY u) AS w FROM (SELECT id, u - r AS u FROM s UNION SELECT id, u + r FROM s UNION SELECT id, u - hole FROM s UNION SELECT id, u + hole FROM s)),
+vs AS (SELECT id, v, lead(v) OVER (PARTITION BY id ORDER BY v) AS z FROM (SELECT id, v - r AS v FROM s UNION SELECT id, v + r FROM s UNION SELECT id, v - hole FROM s UNION SELECT id, v + hole FROM s)),
+c AS (SELECT DISTINCT s.id, us.u, us.w, vs.v, vs.z FROM us JOIN vs USING (id) JOIN s ON s.id = us.id AND s.u - s.r <= us.u AND s.u + s.r >= us.w AND s.v - s.r <= vs.v AND s.v + s.r >= vs.z AND NOT (s.u - s.hole <= us.u AND s.u + s.hole >= us.w AND s.v - s.hole <= vs.v AND s.v + s.hole >= vs.z)),
+a AS (SELECT id, sum((w - u) * (z - v)) / 2 AS area FROM c GROUP BY id) SELECT a.id, n AS n_parts, round(area, 2) AS area_m2 FROM a JOIN (SELECT id, count(*) AS n FROM l GROUP BY id) USING (id)""")
+def polygon_union(spark: SparkSession, d: str) -> DataFrame:
+    """Polygons that meet as one, with its area; what several cover counts once."""
+    p = polygons(spark, d, "diamonds")
+    groups = materialize(regions.dissolved(p, CELL_M), "groups")
+    parts = groups.join(p.select(F.col("id").alias("k"), "rings"), F.col("part") == F.col("k")).select(F.col("id").alias("group"), "part", "rings")
+    size = overlay.union(parts, CELL_M).groupBy("group").agg(F.sum(polygon.area(F.col("rings"))).alias("area"))
+    n = groups.groupBy("id").agg(F.count("*").alias("n_parts"))
+    return n.join(size, F.col("id") == F.col("group")).select("id", "n_parts", F.round("area", 2).alias("area_m2"))
