@@ -22,7 +22,6 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,20 +37,9 @@ SENT, MOST_CROWDED, MOST_FREQUENT = 4_000_000, 4_000_000, 10_000
 #: Bytes of removals, about, that are sent to every task; more of them are joined.
 SENT_BYTES = 64 << 20
 _BASE = 0x9E3779B97F4A7C15
-_WRAP = (1 << 64) - 1
-
-
-class _Hashes(dict):
-    """Word hashes, each worked out once; emptied when there are many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+#: Bytes whose words are hashed at once, and bytes of texts that are looked at together.
+BLOCK, TOGETHER = 1 << 19, 1 << 20
+_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 class _Powers:
@@ -77,10 +65,7 @@ def group_hashes(h: np.ndarray, size: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     total = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(h * _UP.upto(len(h)), out=total[1:])
-    g = (total[size:] - total[:-size]) * _DOWN.upto(len(h) - size + 1)
-    g ^= g >> np.uint64(31)
-    g *= np.uint64(0xD6E8FEB86659FD93)
-    return g ^ (g >> np.uint64(32))
+    return _mixed((total[size:] - total[:-size]) * _DOWN.upto(len(h) - size + 1))
 
 
 def sliding(take: np.ufunc, g: np.ndarray, width: int) -> np.ndarray:
@@ -93,28 +78,94 @@ def sliding(take: np.ufunc, g: np.ndarray, width: int) -> np.ndarray:
     return g
 
 
-class Reader:
-    """Anchors and hashes of windows of least words."""
-
-    def __init__(self, least: int) -> None:
-        self.least, self.group, self.hashes = least, max(1, least // 3), _Hashes()
-
-    def anchors(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash of each word group, anchor of each window, hash of each word) of a text."""
-        h = self.hashes.of(words)
-        g = group_hashes(h, self.group)
-        return g, sliding(np.minimum, g, self.least - self.group + 1) if len(words) >= self.least else g[:0], h
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def _words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of all words, worked out over BLOCK bytes at once; a word goes to the block in which it starts."""
+    raw = np.frombuffer(text, np.uint8)
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    at = 0
+    while at < len(raw):
+        stop = min(at + BLOCK, len(raw))
+        while stop < len(raw) and not (more := _BLANK[raw[stop : stop + BLOCK]]).any():
+            stop = min(stop + BLOCK, len(raw))
+        if stop < len(raw):
+            stop += int(more.argmax())
+        part = raw[at:stop]
+        edge = np.diff(_BLANK[part].view(np.int8), prepend=1, append=1)
+        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part + np.uint64(1)) * _UP.upto(len(part)), out=total[1:])
+        parts.append((start + at, end + at, _mixed((total[end] - total[start]) * _DOWN.upto(len(part) + 1)[start])))
+        at = stop
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return tuple(map(np.concatenate, zip(*parts, strict=True)))  # type: ignore[return-value]
+
+
+class Windows:
+    """All windows of least words of several texts at once.
+
+    bytes: the texts with a blank after each; start, end: of the words in them; first: the first word of each text, and
+    one more; text: the text of each window; group: hashes of short word groups; anchor: the least of them in each window;
+    whole: whether a window lies within one text.
+    """
 
-    def keys(self, words: list[bytes], crowded: np.ndarray | None) -> np.ndarray:
-        """Anchors of a text, or, given the crowded anchors, the hashes of their windows; each as often as it occurs."""
-        if len(words) < self.least:
-            return np.zeros(0, np.uint64)
-        g, a, h = self.anchors(words)
+    def __init__(self, texts: list[bytes], least: int) -> None:
+        self.least, size = least, max(1, least // 3)
+        self.bytes = b" ".join([*texts, b""])
+        self.start, self.end, self.hash = _words(self.bytes)
+        ends = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        self.first = np.searchsorted(self.start, ends)
+        self.group = group_hashes(self.hash, size)
+        self.width = least - size + 1
+        self.anchor = sliding(np.minimum, self.group, self.width) if len(self.hash) >= least else self.group[:0]
+        self.text = np.searchsorted(self.first, np.arange(len(self.anchor)), "right") - 1
+        self.whole = np.arange(len(self.anchor)) + least <= self.first[self.text + 1]
+
+    def own(self) -> np.ndarray:
+        """A hash of all words of each window."""
+        return group_hashes(self.hash, self.least)
+
+    def keys(self, crowded: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """(key, text): anchors, or, given the crowded anchors, the hashes of their windows; each as often as it occurs."""
+        if not len(self.anchor):
+            return self.group[:0], self.text
         if crowded is not None:
-            return group_hashes(h, self.least)[held_in(a, crowded)]
+            pick = self.whole & held_in(self.anchor, crowded)
+            return self.own()[pick], self.text[pick]
         # No window that covers a group has a larger anchor than the group's hash; where one has as large a one, the group is an anchor.
-        around = np.zeros(self.least - self.group, np.uint64)
-        return g[g == sliding(np.maximum, np.concatenate([around, a, around]), self.least - self.group + 1)]
+        around = np.zeros(self.width - 1, np.uint64)
+        largest = sliding(np.maximum, np.concatenate([around, np.where(self.whole, self.anchor, np.uint64(0)), around]), self.width)
+        at = np.flatnonzero(self.group == largest)
+        return self.group[at], np.searchsorted(self.first, at, "right") - 1
+
+    def pieces(self, good: np.ndarray, single: bool) -> Iterator[tuple[int, int, int, bytes]]:
+        """(window, text, place in it, bytes) of the stretches of good windows with one anchor, or of single good windows."""
+        if single:
+            first = last = np.flatnonzero(good)
+        else:
+            turn = np.flatnonzero((self.anchor[1:] != self.anchor[:-1]) | (self.text[1:] != self.text[:-1]) | (good[1:] != good[:-1])) + 1
+            first, last = np.append(0, turn), np.append(turn, len(good)) - 1
+            first, last = first[good[first]], last[good[first]]
+        text = self.text[first]
+        for w, t, at, a, b in zip(first.tolist(), text.tolist(), (first - self.first[text]).tolist(), self.start[first].tolist(), self.end[last + self.least - 1].tolist(), strict=True):
+            yield w, t, at, self.bytes[a:b]
+
+
+def several(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts (first one's number, texts) of about TOGETHER bytes, in order."""
+    held, size = [], 0
+    for i, t in enumerate(texts):
+        held.append(t)
+        size += len(t)
+        if size >= TOGETHER or i + 1 == len(texts):
+            yield i + 1 - len(held), held
+            held, size = [], 0
 
 
 def held_in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -251,17 +302,17 @@ def _keys(texts: DataFrame, least: int, crowded: Broadcast | None, named: bool =
     out = pa.schema([("key", pa.int64()), ("tid", pa.string()) if named else ("n", pa.int64())])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(least)
         for b in it:
-            found = [reader.keys(t.as_py().split(), crowded and crowded.value) for t in b.column("text")]
-            if named:
-                found = [np.unique(k) for k in found]
-                keys = np.concatenate([np.zeros(0, np.uint64), *found])
-                owner = np.repeat(b.column("tid").to_numpy(zero_copy_only=False), [len(k) for k in found])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(owner, pa.string())], schema=out)
-            else:
-                keys, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(times.astype(np.int64))], schema=out)
+            tids = b.column("tid").to_numpy(zero_copy_only=False)
+            for at, held in several(b.column("text").to_pylist()):
+                keys, text = Windows(held, least).keys(crowded and crowded.value)
+                if named:
+                    rows = np.unique(np.stack([keys, text.astype(np.uint64)], axis=1), axis=0)
+                    keys, last = np.ascontiguousarray(rows[:, 0]), pa.array(tids[at + rows[:, 1].astype(np.int64)], pa.string())
+                else:
+                    keys, times = np.unique(keys, return_counts=True)
+                    last = pa.array(times.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), last], schema=out)
 
     return texts.select("tid", "text").mapInArrow(batches, "key long, tid string" if named else "key long, n long")
 
@@ -290,33 +341,31 @@ def _pieces(texts: DataFrame, least: int, repeated: Broadcast | None, left: Broa
     bounded_batches(texts.sparkSession)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(least)
         rows, held = [], 0
         flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
         for b in it:
-            for i in range(b.num_rows):
-                words = b.column("text")[i].as_py().split()
-                _, a, h = reader.anchors(words)
-                if not len(a):
+            tids = b.column("tid").to_pylist()
+            for at, part in several(b.column("text").to_pylist()):
+                w = Windows(part, least)
+                if not len(w.anchor):
                     continue
-                known = repeated.value if repeated else np.sort(b.column("own")[i].values.to_numpy().view(np.uint64))
-                if crowded:
-                    keys = group_hashes(h, least)
-                    good = held_in(keys, known) & held_in(a, crowded.value)
-                    cuts = np.arange(len(keys) + 1)
+                keys, good = (w.own(), w.whole & held_in(w.anchor, crowded.value)) if crowded else (w.anchor, w.whole)
+                if repeated:
+                    good = good & held_in(keys, repeated.value)
                 else:
-                    keys, good = a, held_in(a, known)
-                    cuts = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1, [len(a)]])
+                    # Each text with its own keys.
+                    known = [np.sort(b.column("own")[at + k].values.to_numpy().view(np.uint64)) for k in range(len(part))]
+                    edges = np.searchsorted(w.text, np.arange(len(part) + 1))
+                    good = good & np.concatenate([held_in(keys[a:e], known[k]) for k, (a, e) in enumerate(pairwise(edges.tolist()))])
                 if left:
-                    good &= ~held_in(keys, left.value)
-                signed, tid = keys.view(np.int64), b.column("tid")[i].as_py()
-                for s, e in pairwise(cuts.tolist()):
-                    if good[s]:
-                        rows.append((int(signed[s]), tid, s, b" ".join(words[s : e + least - 1])))
-                        held += len(rows[-1][-1]) + 60
-                        if held >= BATCH_BYTES:
-                            yield flush()
-                            rows, held = [], 0
+                    good = good & ~held_in(keys, left.value)
+                signed = keys.view(np.int64)
+                for window, text, place, words in w.pieces(good, bool(crowded)):
+                    rows.append((int(signed[window]), tids[at + text], place, words))
+                    held += len(words) + 60
+                    if held >= BATCH_BYTES:
+                        yield flush()
+                        rows, held = [], 0
         if rows:
             yield flush()
 
@@ -382,7 +431,8 @@ def repeats(texts: DataFrame, least: int = LEAST, crowd: int = CROWDED, sent: in
         return runs, []
     # One text of words for each frequent hash, or several if such a hash stands for several.
     held = _pieces(texts.select("tid", "text"), least, context.broadcast(frequent), None, crowded)
-    return runs, [bytes(r["words"]) for r in held.select("words").groupBy("words").count().where(F.col("count") > 1).collect()]
+    blanks = F.regexp_replace(F.col("words").cast("string"), r"[\x20\x09-\x0D]+", " ")
+    return runs, [r["words"].encode() for r in held.groupBy(blanks.alias("words")).count().where(F.col("count") > 1).collect()]
 
 
 def without_repeats(texts: DataFrame, least: int = LEAST, crowd: int = CROWDED, sent: int = SENT, sent_bytes: int = SENT_BYTES) -> DataFrame:

@@ -29,13 +29,22 @@ def test_automaton(pieces, words):
     assert [[i for s, e in runs for i in range(s, e + 1)] for runs in got] == [[i for i in range(len(p) - 3) if seen[tuple(p[i : i + 4])] > 1] for p in pieces]
 
 
-def test_equal_windows_have_equal_keys():
-    reader, rng = substrings.Reader(7), random.Random(1)
-    passage = [str(rng.random()).encode() for _ in range(9)]
-    a, b = (x + passage + y for x, y in (([b"x"] * 3, [b"y"]), ([b"q", b"r"], [b"z"] * 30)))
-    one, two = reader.anchors(a)[1], reader.anchors(b)[1]
-    assert one[3:6].tolist() == two[2:5].tolist()
-    assert substrings.group_hashes(reader.hashes.of(a), 7)[3:6].tolist() == substrings.group_hashes(reader.hashes.of(b), 7)[2:5].tolist()
+def test_equal_windows_have_equal_keys(monkeypatch):
+    rng = random.Random(1)
+    passage = [str(rng.random()) for _ in range(9)]
+    texts = [" \t".join([*("x" * 3), *passage, "y"]), "", "few words", "\n ".join(["q", "r", *passage, *("z" * 30)]) + "\n"]
+    w = substrings.Windows([t.encode() for t in texts], 7)
+    assert w.first.tolist() == [0, 13, 13, 15, 56]
+    for hashes in (w.anchor, w.own()):
+        assert hashes[3:6].tolist() == hashes[17:20].tolist()
+    assert w.whole.tolist() == [i + 7 <= 13 or i >= 15 for i in range(50)]
+    for block in (1, 7, 64):
+        monkeypatch.setattr(substrings, "BLOCK", block)
+        again = substrings.Windows([t.encode() for t in texts], 7)
+        assert again.hash.tolist() == w.hash.tolist() and again.start.tolist() == w.start.tolist() and again.end.tolist() == w.end.tolist()
+    keys, text = w.keys(None)
+    brute = [(int(g), t) for t, (a, b) in enumerate(zip(w.first, w.first[1:], strict=False)) for p, g in enumerate(w.group) if a <= p and p + 2 <= b and any(w.anchor[i] == g for i in range(max(p - 5, a), min(p, b - 7) + 1))]
+    assert list(zip(keys.tolist(), text.tolist(), strict=True)) == brute
 
 
 def corpus():
