@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridwise.operators import selection
 from gridwise.session import materialize
 
 #: Ranges that a table's scores are cut into.
@@ -74,7 +75,7 @@ def numbered(df: DataFrame, score: str, ties: list[Column], name: str = "n") ->
     """
     order = [F.col(score).desc_nulls_last(), *ties]
     parts = max(1, math.ceil(df.count() / RANGE_ROWS))
-    cut = df.repartitionByRange(parts, *order) if parts > 1 else df.coalesce(1)
+    cut = df.repartitionByRange(parts, *order) if parts > 1 else df.repartition(1)
     rows = materialize(cut.withColumn("__range", F.spark_partition_id() if parts > 1 else F.lit(0)), "ranges")
     sizes = rows.groupBy("__range").agg(F.count("*").alias("__size"))
     before = F.coalesce(F.sum("__size").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -119,8 +120,8 @@ def mann_whitney(df: DataFrame, score: str, truth: str) -> DataFrame:
 
 def quantiles(df: DataFrame, value: str, shares: list[float], *groups: str) -> DataFrame:
     """(groups, q_<percent>...): quantiles with linear interpolation, also the median as 0.5."""
-    out = df.groupBy(*groups).agg(F.percentile(F.col(value), F.array(*map(F.lit, shares))).alias("__q"))
-    return out.select(*groups, *(F.col("__q")[i].alias(f"q_{round(100 * s)}") for i, s in enumerate(shares)))
+    out = selection.quantiles(df, list(groups), value, shares)
+    return out.select(*groups, *(F.col("q")[i].alias(f"q_{round(100 * s)}") for i, s in enumerate(shares)))
 
 
 def compared(df: DataFrame, variants: dict[str, Column], truth: str, ks: list[int], tie: Column) -> DataFrame:
@@ -155,6 +156,7 @@ def recall_by(df: DataFrame, bucket: Column, hit: str, buckets: list[str]) -> Da
 def described(df: DataFrame, group: str, value: str) -> DataFrame:
     """Count, mean, standard deviation, minimum, exact quartiles and maximum of value in each group."""
     v = F.col(value)
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(group).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("least"), q.alias("q"), F.max(v).alias("most"))
+    q = selection.quantiles(df, [group], value, [0.25, 0.5, 0.75]).select(F.col(group).alias("__g"), "q")
+    out = df.groupBy(group).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("least"), F.max(v).alias("most"))
+    out = out.join(q, F.col(group).eqNullSafe(F.col("__g")), "left")
     return out.select(group, "n", "mean", "std", "least", *(F.col("q")[i].alias(f"q{25 * (i + 1)}") for i in range(3)), "most")

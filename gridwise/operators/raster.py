@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwise.functions import scores
+from gridwise.operators import selection
 from gridwise.operators.graph import components
+from gridwise.session import materialize
 
 #: Scene classes that show clear ground.
 CLEAR = (4, 5, 6, 7)
@@ -134,9 +136,8 @@ def hysteresis_pixels(tiles: DataFrame, low: float, high: float | None = None, d
 
 def component_stats(cells: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n_pixels, conf_max, conf_mean, conf_p90): conf_p90 is the mean of the values from the 0.9 quantile up."""
-    q = cells.groupBy(*keys).agg(F.count("*").alias("n_pixels"), F.max("p").alias("conf_max"), F.avg("p").alias("conf_mean"), F.percentile("p", F.lit(0.9)).alias("q"))
-    top = cells.join(q.select(*(F.col(k).alias(f"__{k}") for k in keys), "q"), [F.col(k) == F.col(f"__{k}") for k in keys]).where(F.col("p") >= F.col("q"))
-    return q.drop("q").join(top.groupBy(*keys).agg(F.avg("p").alias("conf_p90")), keys)
+    made = selection.with_top_mean(cells, keys, "p", 0.9)
+    return made.select(*keys, F.col("n").alias("n_pixels"), F.col("most").alias("conf_max"), F.col("mean").alias("conf_mean"), F.col("top").alias("conf_p90"))
 
 
 def hysteresis(tiles: DataFrame, low: float = 0.2, high: float = 0.4, diagonal: bool = False) -> DataFrame:
@@ -144,21 +145,37 @@ def hysteresis(tiles: DataFrame, low: float = 0.2, high: float = 0.4, diagonal:
     return component_stats(hysteresis_pixels(tiles, low, high, diagonal), ["id", "label"])
 
 
-def mosaic_components(tiles: DataFrame, low: float = 0.2, high: float = 0.4) -> DataFrame:
-    """Components across the borders of adjoining tiles (id, tx, ty, h, w, px), all of one size.
+def mosaic_labels(tiles: DataFrame, low: float) -> tuple[DataFrame, DataFrame]:
+    """(tiles with labels, (node, root)) of adjoining tiles (id, tx, ty, h, w, px), all of one size.
 
-    Tiles are labelled by themselves; labels that touch across a border are linked, and links are followed over the whole
-    mosaic. Returns component (its smallest tile number and label as one number), and the statistics.
+    Tiles are labelled by themselves; a node is a tile's number and label as one number. Labels that touch across a border
+    are linked, and links are followed over the whole mosaic: root is the smallest node; nodes without links aren't listed.
     """
-    place = tiles.select(F.col("id").alias("tid"), "tx", "ty", F.col("h").alias("th"), F.col("w").alias("tw"))
-    cells = hysteresis_pixels(tiles, low).join(place, F.col("id") == F.col("tid"))
-    node = F.col("id") * (F.col("th") * F.col("tw")).cast("long") + F.col("label")
-    at = cells.select(node.alias("node"), (F.col("ty") * F.col("th") + F.col("row")).alias("y"), (F.col("tx") * F.col("tw") + F.col("col")).alias("x"), "p", ((F.col("row") == 0) | (F.col("row") == F.col("th") - 1) | (F.col("col") == 0) | (F.col("col") == F.col("tw") - 1)).alias("rim"))
-    rim = at.where("rim").select("node", "y", "x")
+    labelled = tiles.withColumn("labels", _tilewise(lambda x: label(x >= low, False), "array<int>", pa.list_(pa.int32()))("px", "h", "w"))
+    labelled = materialize(labelled.select("id", "tx", "ty", "h", "w", "px", "labels"), "labelled")
+    # Only the rims of tiles are shuffled.
+    k = F.posexplode("labels").alias("k", "label")
+    row, col = F.floor(F.col("k") / F.col("w")), F.col("k") % F.col("w")
+    rim = labelled.select("id", "tx", "ty", "h", "w", k).where((F.col("label") >= 0) & ((row == 0) | (row == F.col("h") - 1) | (col == 0) | (col == F.col("w") - 1)))
+    rim = rim.select(mosaic_node("label").alias("node"), (F.col("ty") * F.col("h") + row).alias("y"), (F.col("tx") * F.col("w") + col).alias("x"))
     step = F.explode(F.array(F.struct(F.lit(0).alias("dy"), F.lit(1).alias("dx")), F.struct(F.lit(1).alias("dy"), F.lit(0).alias("dx"))))
     beyond = rim.withColumn("s", step).select(F.col("node").alias("a"), (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"))
     links = beyond.join(rim.withColumnRenamed("node", "b"), ["y", "x"]).where("a != b").select("a", "b")
-    roots = components(links)
+    return labelled, components(links)
+
+
+def mosaic_node(label_col: str) -> Column:
+    return F.col("id") * (F.col("h") * F.col("w")).cast("long") + F.col(label_col)
+
+
+def mosaic_components(tiles: DataFrame, low: float = 0.2, high: float = 0.4) -> DataFrame:
+    """Components across the borders of adjoining tiles (id, tx, ty, h, w, px), all of one size, that reach high somewhere.
+
+    Returns component (its smallest tile number and label as one number), and the statistics.
+    """
+    labelled, roots = mosaic_labels(tiles, low)
+    at = labelled.select("id", "h", "w", F.explode(F.arrays_zip("labels", "px")).alias("z")).where("z.labels >= 0").withColumn("label", F.col("z.labels"))
+    at = at.select(mosaic_node("label").alias("node"), F.col("z.px").alias("p"))
     whole = at.join(roots.withColumnRenamed("node", "n_"), F.col("node") == F.col("n_"), "left").select(F.coalesce("root", "node").alias("component"), "p")
     return component_stats(whole, ["component"]).where(F.col("conf_max") >= high)
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwise.functions import scores
-from gridwise.operators import raster
+from gridwise.functions import geo, polygon, scores
+from gridwise.operators import raster, shapes
 from gridwise.plans.base import Entry, registered
 from gridwise.plans.domain import PIXELS, ctes, table, tiles, view
 
@@ -68,14 +68,35 @@ def component_stats_p90(spark: SparkSession, d: str) -> DataFrame:
     return c.withColumn("conf_mean", F.round("conf_mean", 10)).withColumn("conf_p90", F.round("conf_p90", 10))
 
 
-@registered(ENTRIES)
+# Pixels of the mosaic of all tiles, 100 to a row, and their components by a walk; the component's name is its least tile number and pixel.
+_MOSAIC = f"""WITH RECURSIVE {PIXELS}, m AS (SELECT (id % 100) * 8 + k % 8 AS x, (id // 100) * 8 + k // 8 AS y, id * 64 + k AS n, p FROM px WHERE p >= 0.7),
+e AS (SELECT a.n AS a, b.n AS b FROM m a JOIN m b ON b.y = a.y AND b.x = a.x + 1 UNION ALL SELECT a.n, b.n FROM m a JOIN m b ON b.x = a.x AND b.y = a.y + 1), e2 AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(n, root) AS (SELECT n, n FROM m UNION SELECT e2.b, r.root FROM r JOIN e2 ON e2.a = r.n WHERE e2.b > r.root), l AS (SELECT n, min(root) AS component FROM r GROUP BY n), c AS (SELECT * FROM m JOIN l USING (n)),
+q AS (SELECT component, quantile_cont(p, 0.9) AS q, max(p) AS most FROM c GROUP BY component),
+s AS (SELECT c.component, count(*) AS n_pixels, max(p) AS conf_max, round(avg(p), 10) AS conf_mean, round(avg(p) FILTER (WHERE p >= q), 10) AS conf_p90 FROM c JOIN q USING (component) WHERE most >= 0.9 GROUP BY c.component)"""
+
+
+def _mosaic(spark: SparkSession, d: str) -> DataFrame:
+    return tiles(spark, d).withColumn("tx", F.col("id") % 100).withColumn("ty", F.floor(F.col("id") / 100))
+
+
+@registered(ENTRIES, f"{_MOSAIC} SELECT * FROM s")
 def mosaic_components(spark: SparkSession, d: str) -> DataFrame:
     """Components over the mosaic of all tiles, 100 to a row. The tests hold it against one flood fill over the mosaic."""
-    t = tiles(spark, d).withColumn("tx", F.col("id") % 100).withColumn("ty", F.floor(F.col("id") / 100))
-    c = raster.mosaic_components(t, 0.7, 0.9)
+    c = raster.mosaic_components(_mosaic(spark, d), 0.7, 0.9)
     return c.withColumn("conf_mean", F.round("conf_mean", 10)).withColumn("conf_p90", F.round("conf_p90", 10))
 
 
+@registered(ENTRIES, f"""{_MOSAIC}, o AS (SELECT a.component, count(*) AS n FROM c a JOIN c b ON b.component = a.component AND abs(a.x - b.x) + abs(a.y - b.y) = 1 GROUP BY a.component),
+f AS (SELECT a.component, count(*) AS n FROM c a JOIN c b ON b.component = a.component AND b.x = a.x + 1 AND b.y = a.y JOIN c d ON d.component = a.component AND d.x = a.x AND d.y = a.y + 1 JOIN c g ON g.component = a.component AND g.x = a.x + 1 AND g.y = a.y + 1 GROUP BY a.component)
+SELECT s.component, n_pixels, conf_max, CAST(n_pixels AS DOUBLE) AS area, CAST(4 * n_pixels - coalesce(o.n, 0) AS DOUBLE) AS outline, 1 - (n_pixels - coalesce(o.n, 0) // 2 + coalesce(f.n, 0)) AS n_holes FROM s LEFT JOIN o USING (component) LEFT JOIN f USING (component)""")
+def mosaic_polygons(spark: SparkSession, d: str) -> DataFrame:
+    """The same components as polygons: their area, the length of their outline and their holes follow from the pixels too."""
+    c = shapes.mosaic_polygons(_mosaic(spark, d), 0.7, 0.9)
+    outline = F.aggregate(F.transform("rings", geo.line_length), F.lit(0.0), lambda s, n: s + n)
+    return c.select("component", "n_pixels", "conf_max", polygon.area(F.col("rings")).alias("area"), outline.alias("outline"), (F.size("rings") - 1).cast("long").alias("n_holes"))
+
+
 _HANN = "(1 - cos({0} * (2 * pi() / 7))) / 2"
 
 
