@@ -47,6 +47,86 @@ def utm_epsg(lon: Column, lat: Column) -> Column:
     return (F.when(lat >= 0, 32600).otherwise(32700) + F.floor((lon + 180) / 6.0) + 1).cast("int")
 
 
+# Scale on the central meridian, false easting and false northing of the south, and the coefficients of Krueger's
+# series in the third flattening, from the second power of the one to the sixth, as (numerator, denominator) by rising power.
+UTM_SCALE, UTM_EAST, UTM_SOUTH = 0.9996, 500_000.0, 10_000_000.0
+_FORWARD = (
+    ((1, 2), (-2, 3), (5, 16), (41, 180), (-127, 288), (7891, 37800)),
+    ((13, 48), (-3, 5), (557, 1440), (281, 630), (-1983433, 1935360)),
+    ((61, 240), (-103, 140), (15061, 26880), (167603, 181440)),
+    ((49561, 161280), (-179, 168), (6601661, 7257600)),
+    ((34729, 80640), (-3418889, 1995840)),
+    ((212378941, 319334400),),
+)
+_INVERSE = (
+    ((1, 2), (-2, 3), (37, 96), (-1, 360), (-81, 512), (96199, 604800)),
+    ((1, 48), (1, 15), (-437, 1440), (46, 105), (-1118711, 3870720)),
+    ((17, 480), (-37, 840), (-209, 4480), (5569, 90720)),
+    ((4397, 161280), (-11, 504), (-830251, 7257600)),
+    ((4583, 161280), (-108847, 3991680)),
+    ((20648693, 638668800),),
+)
+_N = _F / (2 - _F)
+#: Radius of the sphere whose meridian is as long as the ellipsoid's.
+RECTIFYING = A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64 + _N**6 / 256)
+
+
+def series(table: tuple) -> list[float]:
+    """The series' coefficients for this ellipsoid, from the first on."""
+    return [sum(p / q * _N ** (j + k) for k, (p, q) in enumerate(row)) for j, row in enumerate(table, 1)]
+
+
+def utm_zone(lon: Column) -> Column:
+    return (F.floor((lon + 180) / 6.0) + 1).cast("int")
+
+
+def utm_xy(lon: Column, lat: Column, zone: Column, south: Column) -> Column:
+    """(x, y) in metres of a place in a UTM zone, by Krueger's series; good to well below a millimetre within some 30 degrees of the zone."""
+    l = F.radians(lon - (zone * 6 - 183))
+    s = F.sin(F.radians(lat))
+    t = F.sinh(F.atanh(s) - F.atanh(s * E) * E)
+    xi, eta = F.atan2(t, F.cos(l)), F.asinh(F.sin(l) / F.sqrt(t * t + F.cos(l) * F.cos(l)))
+    x, y = eta, xi
+    for j, c in enumerate(series(_FORWARD), 1):
+        x = x + F.cos(2 * j * xi) * F.sinh(2 * j * eta) * c
+        y = y + F.sin(2 * j * xi) * F.cosh(2 * j * eta) * c
+    k = UTM_SCALE * RECTIFYING
+    return F.struct((x * k + UTM_EAST).alias("x"), (y * k + F.when(south, UTM_SOUTH).otherwise(0.0)).alias("y"))
+
+
+def utm_lonlat(x: Column, y: Column, zone: Column, south: Column) -> Column:
+    """(lon, lat) of a place in a UTM zone; the inverse of utm_xy."""
+    k = UTM_SCALE * RECTIFYING
+    eta, xi = (x - UTM_EAST) / k, (y - F.when(south, UTM_SOUTH).otherwise(0.0)) / k
+    h, v = eta, xi
+    for j, c in enumerate(series(_INVERSE), 1):
+        h = h - F.cos(2 * j * xi) * F.sinh(2 * j * eta) * c
+        v = v - F.sin(2 * j * xi) * F.cosh(2 * j * eta) * c
+    conformal = F.sin(v) / F.sqrt(F.sinh(h) * F.sinh(h) + F.cos(v) * F.cos(v))
+
+    def nearer(t: Column, goal: Column) -> Column:
+        """One step of Newton's way from the tangent of the conformal latitude to that of the geodetic one."""
+        root = F.sqrt(t * t + 1)
+        s = F.sinh(F.atanh(t / root * E) * E)
+        now = t * F.sqrt(s * s + 1) - s * root
+        return t + (goal - now) / F.sqrt(now * now + 1) * (t * t * (1 - E2) + 1) / (root * (1 - E2))
+
+    start = F.struct(conformal.alias("t"), conformal.alias("goal"))
+    tangent = F.aggregate(F.sequence(F.lit(1), F.lit(4)), start, lambda a, _: F.struct(nearer(a["t"], a["goal"]).alias("t"), a["goal"].alias("goal")), lambda a: a["t"])
+    return F.struct((F.degrees(F.atan2(F.sinh(h), F.cos(v))) + (zone * 6 - 183)).alias("lon"), F.degrees(F.atan(tangent)).alias("lat"))
+
+
+def utm_bounds(xmin: Column, ymin: Column, xmax: Column, ymax: Column, zone: Column, south: Column, points: int = 21) -> Column:
+    """(xmin, ymin, xmax, ymax) in degrees of a box in a UTM zone: the extent of so many points on each of its sides."""
+    t = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: i / float(points - 1))
+    at = lambda a, b: F.transform(t, lambda s: a + (b - a) * s)
+    side = lambda xs, ys: F.zip_with(xs, ys, lambda x, y: utm_lonlat(x, y, zone, south))
+    flat = lambda c: F.transform(t, lambda _: c)
+    rim = F.concat(side(at(xmin, xmax), flat(ymin)), side(at(xmin, xmax), flat(ymax)), side(flat(xmin), at(ymin, ymax)), side(flat(xmax), at(ymin, ymax)))
+    edge = lambda f, c: f(F.transform(rim, lambda p: p[c]))
+    return F.struct(edge(F.array_min, "lon").alias("xmin"), edge(F.array_min, "lat").alias("ymin"), edge(F.array_max, "lon").alias("xmax"), edge(F.array_max, "lat").alias("ymax"))
+
+
 def distance(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.sqrt((x0 - x1) * (x0 - x1) + (y0 - y1) * (y0 - y1))
 

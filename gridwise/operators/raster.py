@@ -180,6 +180,35 @@ def mosaic_components(tiles: DataFrame, low: float = 0.2, high: float = 0.4) ->
     return component_stats(whole, ["component"]).where(F.col("conf_max") >= high)
 
 
+def warped(tiles: DataFrame, grid: DataFrame, to_source: Callable[[Column, Column], tuple[Column, Column]], size: tuple[int, int], how: str = "bilinear") -> DataFrame:
+    """(block, row, col, value): a mosaic brought to another grid, each target pixel from where its centre lies in the source.
+
+    tiles: (tx, ty, px), all of size (h, w); a source pixel is one unit, tile (0, 0) starts at the origin. grid: (block, x0,
+    y0, step, h, w), blocks of the target with their upper left corner and pixel size in the target's coordinates; to_source
+    turns those into the source's. how: nearest, or bilinear, where pixels that are 0 or not there don't count and the
+    others' weights are made up to one. Without any, the value is 0. What a block wants from a tile goes to the tile as one
+    row, so each pixel of the source moves only with its tile.
+    """
+    th, tw = size
+    rows = F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("row")
+    at = grid.select("block", "x0", "y0", "step", "w", rows).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
+    x, y = to_source(F.col("x0") + (F.col("col") + 0.5) * F.col("step"), F.col("y0") + (F.col("row") + 0.5) * F.col("step"))
+    at = at.select("block", "row", "col", x.alias("x"), y.alias("y"))
+    if how == "nearest":
+        wanted = at.select("block", "row", "col", F.floor("x").alias("sx"), F.floor("y").alias("sy"), F.lit(1.0).alias("weight"))
+    else:
+        fx, fy = F.col("x") - 0.5, F.col("y") - 0.5
+        a, b = fx - F.floor(fx), fy - F.floor(fy)
+        corner = lambda dx, dy: F.struct((F.floor(fx) + dx).alias("sx"), (F.floor(fy) + dy).alias("sy"), ((a if dx else 1 - a) * (b if dy else 1 - b)).alias("weight"))
+        wanted = at.select("block", "row", "col", F.explode(F.array(*(corner(dx, dy) for dx in (0, 1) for dy in (0, 1)))).alias("c")).select("block", "row", "col", "c.*").where("weight > 0")
+    place = (F.pmod("sy", F.lit(th)) * tw + F.pmod("sx", F.lit(tw))).cast("int")
+    asked = wanted.groupBy("block", F.floor(F.col("sx") / tw).alias("tx"), F.floor(F.col("sy") / th).alias("ty")).agg(F.collect_list(F.struct("row", "col", "weight", place.alias("place"))).alias("asked"))
+    met = asked.join(tiles.select("tx", "ty", "px"), ["tx", "ty"])
+    got = met.select("block", F.explode(F.transform("asked", lambda q: F.struct(q["row"].alias("row"), q["col"].alias("col"), q["weight"].alias("weight"), F.get("px", q["place"]).alias("p")))).alias("g")).select("block", "g.*")
+    got = got.where("p IS NOT NULL AND p <> 0").groupBy("block", "row", "col").agg((F.sum(F.col("p") * F.col("weight")) / F.sum("weight")).alias("value"))
+    return at.select("block", "row", "col").join(got, ["block", "row", "col"], "left").select("block", "row", "col", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
 def zonal(cells: DataFrame, zones: list[str], value: str = "p") -> DataFrame:
     """(zones, n, mean, std) of the pixels of each zone; std is the population's."""
     return cells.groupBy(*zones).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))

@@ -89,6 +89,24 @@ def equal_area_projection(spark: SparkSession, d: str) -> DataFrame:
     return c.select("id", F.round(x, 2).alias("x"), F.round(y, 2).alias("y"), geo.utm_epsg(F.col("lon"), F.col("lat")).alias("utm"), *back)
 
 
+_D = "CAST({0!r} AS DOUBLE)".format
+_FORWARD = geo.series(geo._FORWARD)
+_ETA = " + ".join(["eta", *(f"{_D(c)} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, c in enumerate(_FORWARD, 1))])
+_XI = " + ".join(["xi", *(f"{_D(c)} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, c in enumerate(_FORWARD, 1))])
+_K = _D(geo.UTM_SCALE * geo.RECTIFYING)
+
+
+@registered(ENTRIES, f"""{ctes("cand")}, p AS (SELECT id, lon, CASE WHEN id % 2 = 0 THEN lat ELSE -lat END AS lat FROM cand), z AS (SELECT *, CAST(floor((lon + 180) / 6) + 1 AS INTEGER) AS zone, sin(radians(lat)) AS s FROM p),
+t AS (SELECT *, radians(lon - (zone * 6 - 183)) AS l, sinh(atanh(s) - {_D(geo.E)} * atanh({_D(geo.E)} * s)) AS t FROM z), q AS (SELECT *, atan2(t, cos(l)) AS xi, asinh(sin(l) / sqrt(t * t + cos(l) * cos(l))) AS eta FROM t)
+SELECT id, zone, round(({_ETA}) * {_K} + 500000, 3) AS x, round(({_XI}) * {_K} + CASE WHEN lat < 0 THEN 10000000 ELSE 0 END, 3) AS y, round(lon, 8) AS lon_back, round(lat, 8) AS lat_back FROM q""")
+def utm_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates in their UTM zone, half of them south, and back: 8 places of a degree are a millimetre."""
+    c = view(spark, d, "cand").select("id", "lon", F.when(F.col("id") % 2 == 0, F.col("lat")).otherwise(-F.col("lat")).alias("lat"))
+    c = c.withColumn("zone", geo.utm_zone(F.col("lon"))).withColumn("south", F.col("lat") < 0)
+    c = c.withColumn("m", geo.utm_xy(F.col("lon"), F.col("lat"), F.col("zone"), F.col("south"))).withColumn("b", geo.utm_lonlat(F.col("m.x"), F.col("m.y"), F.col("zone"), F.col("south")))
+    return c.select("id", "zone", F.round("m.x", 3).alias("x"), F.round("m.y", 3).alias("y"), F.round("b.lon", 8).alias("lon_back"), F.round("b.lat", 8).alias("lat_back"))
+
+
 @registered(ENTRIES, f"""{ctes("cand")} SELECT id, substr(sha1(printf('%.5f_%.5f', lon, lat)), 1, 12) AS chip_id, CASE WHEN lon BETWEEN 67 AND 69.5 AND lat BETWEEN 24 AND 26.5 THEN 'val' ELSE 'train' END AS split FROM cand""")
 def chip_id_sha1(spark: SparkSession, d: str) -> DataFrame:
     lon, lat = F.col("lon"), F.col("lat")

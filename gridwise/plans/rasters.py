@@ -97,6 +97,31 @@ def mosaic_polygons(spark: SparkSession, d: str) -> DataFrame:
     return c.select("component", "n_pixels", "conf_max", polygon.area(F.col("rings")).alias("area"), outline.alias("outline"), (F.size("rings") - 1).cast("long").alias("n_holes"))
 
 
+# A target grid turned against the mosaic: where a target pixel's centre lies in it.
+_ON_MOSAIC = f"""WITH {PIXELS}, m AS (SELECT (id % 100) * 8 + k % 8 AS sx, (id // 100) * 8 + k // 8 AS sy, p FROM px),
+b AS (SELECT DISTINCT id % 20 + 100 * (id // 100) AS block, (id % 20) * 40 AS x0, (id // 100) * 8 AS y0 FROM px), t AS (SELECT block, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, x0 + (col + CAST(0.5 AS DOUBLE)) * 2 AS u, y0 + (row + CAST(0.5 AS DOUBLE)) * 2 AS v FROM b, range(0, 4) r(row), range(0, 20) c(col)),
+w AS (SELECT block, row, col, CAST(0.96 AS DOUBLE) * u - CAST(0.28 AS DOUBLE) * v + 3 AS x, CAST(0.28 AS DOUBLE) * u + CAST(0.96 AS DOUBLE) * v - 40 AS y FROM t)"""
+
+
+def _warped(spark: SparkSession, d: str, how: str) -> DataFrame:
+    t = _mosaic(spark, d)
+    grid = t.selectExpr("id % 20 + 100 * (id DIV 100) AS block", "CAST((id % 20) * 40 AS DOUBLE) AS x0", "CAST((id DIV 100) * 8 AS DOUBLE) AS y0", "2.0D AS step", "4 AS h", "20 AS w").distinct()
+    return raster.warped(t, grid, lambda x, y: (0.96 * x - 0.28 * y + 3, 0.28 * x + 0.96 * y - 40), (8, 8), how).withColumn("value", F.round("value", 6))
+
+
+@registered(ENTRIES, f"""{_ON_MOSAIC} SELECT block, row, col, coalesce(p, 0) AS value FROM w LEFT JOIN m ON sx = floor(x) AND sy = floor(y)""")
+def warp_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The mosaic of all tiles on a grid of twice the pixel size that is turned against it, by the nearest pixel."""
+    return _warped(spark, d, "nearest")
+
+
+@registered(ENTRIES, f"""{_ON_MOSAIC}, f AS (SELECT block, row, col, x - CAST(0.5 AS DOUBLE) AS fx, y - CAST(0.5 AS DOUBLE) AS fy FROM w), n AS (SELECT block, row, col, floor(fx) + dx AS nx, floor(fy) + dy AS ny, CASE dx WHEN 1 THEN fx - floor(fx) ELSE 1 - fx + floor(fx) END * CASE dy WHEN 1 THEN fy - floor(fy) ELSE 1 - fy + floor(fy) END AS wt FROM f, range(0, 2) a(dx), range(0, 2) b(dy))
+SELECT block, row, col, round(coalesce(sum(p * wt) FILTER (WHERE p <> 0) / sum(wt) FILTER (WHERE p <> 0), 0), 6) AS value FROM n LEFT JOIN m ON sx = nx AND sy = ny GROUP BY block, row, col""")
+def warp_to_grid(spark: SparkSession, d: str) -> DataFrame:
+    """The same between the four nearest pixels."""
+    return _warped(spark, d, "bilinear")
+
+
 _HANN = "(1 - cos({0} * (2 * pi() / 7))) / 2"
 
 
