@@ -199,3 +199,33 @@ def line_vertices(lines: DataFrame, spacing: float = 3000.0) -> DataFrame:
     ends = (F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
     p = lines.select(F.col("id").alias("line_id"), F.posexplode(geo.densify(*ends, spacing)).alias("k", "p"))
     return p.select((F.col("line_id") * 100000 + F.col("k")).alias("id"), "line_id", "k", "p.x", "p.y")
+
+
+def drawn(groups: DataFrame, keep_off: list[tuple[DataFrame, float]], attempts: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """((group, k, x, y), (group, got, lacking)): random points in each group's box, clear of all frames, until its quota is met.
+
+    groups: group (a whole number), xmin, ymin, xmax, ymax, quota. A group's draws are numbered; those with nothing of a
+    frame within its distance are taken, in order, until there are quota or the draws are used up. A round draws only as
+    many as the groups still lack and some more, so what is drawn doesn't grow with the number of attempts allowed.
+    """
+    todo = materialize(groups.select("group", "xmin", "ymin", "xmax", "ymax", F.col("quota").cast("long").alias("quota"), F.lit(0).cast("long").alias("from"), F.lit(0).cast("long").alias("got")), "todo")
+    found, most = None, F.lit(attempts).cast("long")
+    over = lambda lo, hi, s: F.col(lo) + (F.col(hi) - F.col(lo)) * grid.uniform(F.col("group") * 1_000_003 + F.col("k"), s)
+    while True:
+        lacking = todo.where((F.col("got") < F.col("quota")) & (F.col("from") < most))
+        # Half as many again as are lacking, for what is too near.
+        upto = F.least(most, F.col("from") + F.ceil((F.col("quota") - F.col("got")) * 1.5) + 8)
+        draws = lacking.select("group", "xmin", "ymin", "xmax", "ymax", F.explode(F.sequence(F.col("from"), upto - 1)).alias("k"))
+        draws = draws.select(F.struct("group", "k").alias("id"), over("xmin", "xmax", seed).alias("x"), over("ymin", "ymax", seed + 1).alias("y"))
+        kept = materialize(clear_points(draws, keep_off), "draws")
+        found = kept if found is None else found.unionByName(kept)
+        n = kept.groupBy(F.col("id.group").alias("g")).agg(F.count("*").alias("n"))
+        again = (F.col("got") < F.col("quota")) & (F.col("from") < most)
+        todo = todo.join(n, F.col("group") == F.col("g"), "left").select("group", "xmin", "ymin", "xmax", "ymax", "quota", F.when(again, upto).otherwise(F.col("from")).alias("from"), (F.col("got") + F.coalesce("n", F.lit(0))).alias("got"))
+        todo = materialize(todo, "todo")
+        if todo.where((F.col("got") < F.col("quota")) & (F.col("from") < most)).isEmpty():
+            break
+    rows = found.select("id.group", "id.k", "x", "y").join(todo.select(F.col("group").alias("g"), "quota"), F.col("group") == F.col("g"))
+    # A group has its quota and a few more.
+    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("group").orderBy("k"))).where(F.col("n") <= F.col("quota"))
+    return first.select("group", "k", "x", "y"), todo.select("group", F.least("got", "quota").alias("got"), F.greatest(F.col("quota") - F.col("got"), F.lit(0).cast("long")).alias("lacking"))

@@ -75,13 +75,30 @@ def holders(points: DataFrame, parts: DataFrame, size: float) -> DataFrame:
     return held.groupBy(F.col("pid").alias("h")).agg(F.collect_set("other").alias("held_by"))
 
 
+def cycles(way: DataFrame) -> DataFrame:
+    """(e, ring, off) of steps (e, next), next null at an open end: the ring's least e, and how many steps it is away. Steps in no closed ring are left out.
+
+    Each step knows the least one among the next 2**k steps and how far that is, which takes as many joins as the longest
+    ring has binary digits (list ranking by doubling); no ring is a task's work.
+    """
+    way = materialize(way.select("e", F.col("e").alias("least"), F.lit(0).cast("long").alias("off"), "next"), "way")
+    step, before = 1, None
+    while (now := way.agg(F.sum(F.col("least").cast("decimal(38,0)")), F.count("next")).first()) != before:
+        before = now
+        there = way.select(F.col("e").alias("next"), F.col("least").alias("l"), F.col("off").alias("o"), F.col("next").alias("n"))
+        nearer = F.col("l") < F.col("least")
+        far = way.join(there, "next", "left").select("e", F.when(nearer, F.col("l")).otherwise(F.col("least")).alias("least"), F.when(nearer, F.col("o") + step).otherwise(F.col("off")).alias("off"), F.col("n").alias("next"))
+        way = materialize(far, "way")
+        step *= 2
+    return way.where("next IS NOT NULL").select("e", F.col("least").alias("ring"), "off")
+
+
 def rings(edges: DataFrame) -> DataFrame:
     """(group, ring, points, turned) of directed sides (group, x0, y0, x1, y1) with the inside on their left.
 
     Where several sides leave a point, the one goes on that closes the narrowest inside, so rings touch at points only.
-    Each side's way around its ring is found by doubling: it knows the least side among the next 2**k ones and how far
-    that is, which takes as many joins as the longest ring has binary digits. points is closed and without corners on
-    straight lines; turned is twice the signed area, above 0 for outer rings. Sides that close no ring are left out.
+    points is closed and without corners on straight lines; turned is twice the signed area, above 0 for outer rings.
+    Sides that close no ring are left out.
     """
     own = materialize(edges.select(F.monotonically_increasing_id().alias("e"), "group", *ENDS), "edges")
     after = own.select("group", F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.col("e").alias("n"), F.col("x1").alias("nx"), F.col("y1").alias("ny"))
@@ -89,18 +106,7 @@ def rings(edges: DataFrame) -> DataFrame:
     sweep = F.pmod(back - F.atan2(F.col("ny") - F.col("y1"), F.col("nx") - F.col("x1")), F.lit(2 * math.pi))
     sweep = F.when((sweep < 1e-9) | (sweep > 2 * math.pi - 1e-9), F.lit(2 * math.pi)).otherwise(sweep)
     way = own.join(after, ["group", "x1", "y1"]).groupBy("e").agg(F.min_by("n", F.struct(sweep, "n")).alias("next"))
-    # Of the 2**k sides from e on: the least one, how far it is, and the side after them.
-    way = materialize(way.select("e", F.col("e").alias("least"), F.lit(0).cast("long").alias("off"), "next"), "way")
-    step, before = 1, None
-    while (now := way.agg(F.sum(F.col("least").cast("decimal(38,0)")), F.count("next")).first()) != before:
-        before = now
-        there = way.select(F.col("e").alias("next"), F.col("least").alias("l"), F.col("off").alias("o"), F.col("next").alias("n"))
-        far = way.join(there, "next", "left")
-        nearer = F.col("l") < F.col("least")
-        far = far.select("e", F.when(nearer, F.col("l")).otherwise(F.col("least")).alias("least"), F.when(nearer, F.col("o") + step).otherwise(F.col("off")).alias("off"), F.col("n").alias("next"))
-        way = materialize(far, "way")
-        step *= 2
-    closed = way.where("next IS NOT NULL").select("e", F.col("least").alias("ring"), "off")
+    closed = cycles(own.select("e").join(way.select("e", "next"), "e", "left"))
     size = F.struct(F.when(F.col("off") == 0, F.lit(0)).otherwise(-F.col("off")).alias("k"), F.col("x0").alias("x"), F.col("y0").alias("y"))
     whole = own.join(closed, "e").groupBy("group", "ring").agg(F.array_sort(F.collect_list(size)).alias("s"))
     # The head of a ring, off 0, comes last.

@@ -1,4 +1,4 @@
-"""Streaming forms of batch operators: daily composites, deduplication, incremental runs and runs of failures."""
+"""Streaming forms of batch operators: daily means and median composites, deduplication, incremental runs and runs of failures."""
 
 from __future__ import annotations
 
@@ -19,6 +19,20 @@ def daily(stream: DataFrame, keys: list[str], value: str = "value", ts: str = "t
     return w.select(*keys, F.col("window.start").cast("date").alias("day"), "n", "mean")
 
 
+def composite(stream: DataFrame, keys: list[str], days: int, value: str = "value", ts: str = "ts", late: str = "2 days", clear: Column | None = None) -> DataFrame:
+    """(keys, start, n_days, composite): the median over the days of each window of the first clear observation a day, cut to an integer.
+
+    Two aggregations in a row, days and then windows of so many days, so what is kept for a pixel is one value a day, and
+    late observations count until the watermark has passed their day. A window comes out once it has passed the window; the
+    order in which rows came makes no difference. The same as raster.median_composite over a window's rows, but for pixels
+    that were never clear, which don't come out.
+    """
+    rows = stream.where(F.col(value).isNotNull() & (clear if clear is not None else F.lit(True)))
+    per_day = rows.withWatermark(ts, late).groupBy(F.window(ts, "1 day"), *keys).agg(F.min_by(value, F.struct(ts, value)).alias("v"))
+    whole = per_day.groupBy(F.window("window", f"{days} days"), *keys).agg(F.count("v").alias("n_days"), F.median("v").alias("m"))
+    return whole.select(*keys, F.col("window.start").alias("start"), "n_days", F.floor("m").cast("int").alias("composite"))
+
+
 def distinct_issues(stream: DataFrame, key: str, ts: str = "ts", late: str = "2 days") -> DataFrame:
     """The first row of each key within the watermark."""
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
