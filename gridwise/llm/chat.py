@@ -2,8 +2,8 @@
 
 The turns of a conversation are collected as structs and sorted, runs of one role become one block, and the blocks
 are concatenated. A block is ``<|role|>`` text ``<|end|>``; the texts of merged turns are separated by ``<|and|>``.
-In roles and texts ``&`` becomes ``&amp;`` and ``<`` becomes ``&lt;``, so no text can hold a mark of this template, and
-the turns can be read back exactly.
+In roles and texts ``&`` becomes ``&amp;`` and ``<`` becomes ``&lt;``, in roles ``>`` becomes ``&gt;`` too, so no text can
+hold a mark of this template and no role can end its own, and the turns can be read back exactly.
 """
 
 from __future__ import annotations
@@ -18,6 +18,10 @@ def escape(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
 
 
+def escape_role(c: Column) -> Column:
+    return F.replace(escape(c), F.lit(">"), F.lit("&gt;"))
+
+
 def unescape(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("&lt;"), F.lit("<")), F.lit("&amp;"), F.lit("&"))
 
@@ -34,7 +38,7 @@ def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     # Where a text starts: what all turns up to it take, the marks before them with them.
     order = Window.partitionBy("conv").orderBy("turn", "role", "text")
     before = F.lag("role").over(order)
-    head = F.length(escape(F.col("role"))) + 4
+    head = F.length(escape_role(F.col("role"))) + 4
     said = said.withColumn("ahead", F.when(before.isNull(), head).when(before != F.col("role"), head + len(END)).otherwise(len(AND)))
     size = F.length(escape(F.col("text")))
     end = F.sum(F.col("ahead") + size).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")
@@ -46,7 +50,7 @@ def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
         F.arrays_zip(F.col("starts").alias("a"), F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("turns") + 1)).alias("b")),
         lambda r: F.struct(F.element_at("turns", r["a"])["role"].alias("role"), F.transform(F.slice("turns", r["a"], r["b"] - r["a"]), lambda t: escape(t["text"])).alias("texts")),
     )
-    block = lambda r: F.concat(F.lit("<|"), escape(r["role"]), F.lit("|>"), F.array_join(r["texts"], AND), F.lit(END))
+    block = lambda r: F.concat(F.lit("<|"), escape_role(r["role"]), F.lit("|>"), F.array_join(r["texts"], AND), F.lit(END))
     spans = F.transform(F.filter("turns", lambda t: t["role"] == loss_role), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
     return turns.withColumn("starts", starts).select(F.col("conv").alias(conv_col), F.array_join(F.transform(runs, block), "").alias("formatted"), spans.alias("loss_spans"))
 
@@ -59,7 +63,7 @@ def read_turns(formatted: Column) -> Column:
             blocks,
             lambda b: F.transform(
                 F.split(F.substr(b, F.locate("|>", b) + 2), r"<\|and\|>", -1),
-                lambda t: F.struct(unescape(F.substr(b, F.lit(3), F.locate("|>", b) - 3)).alias("role"), unescape(t).alias("text")),
+                lambda t: F.struct(unescape(F.replace(F.substr(b, F.lit(3), F.locate("|>", b) - 3), F.lit("&gt;"), F.lit(">"))).alias("role"), unescape(t).alias("text")),
             ),
         )
     )

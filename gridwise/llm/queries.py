@@ -147,7 +147,7 @@ WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 r AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM c)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
     coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-    sum(length(replace(replace(text, '&', '&amp;'), '<', '&lt;')) + 7 + CASE WHEN before = role THEN 0 ELSE length(replace(replace(role, '&', '&amp;'), '<', '&lt;')) + 4 END)::BIGINT AS formatted_chars
+    sum(length(replace(replace(text, '&', '&amp;'), '<', '&lt;')) + 7 + CASE WHEN before = role THEN 0 ELSE length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) + 4 END)::BIGINT AS formatted_chars
 FROM r GROUP BY conv_id
 """,
     "op4_cross_entropy_difference": lm_score.SQL,

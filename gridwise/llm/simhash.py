@@ -260,6 +260,8 @@ WIDE_LEAVES, CROWDED, MORE = 1 << 16, 4, 6
 SIMILAR = (4, 5)
 #: Shingle hashes in a block of a proposed class, about (32 MB); a task compares two blocks.
 SET_BLOCK = 1 << 22
+#: Sets in it, at most about, and sets' places that are sent to every task at most (some 60 bytes each).
+SETS, SENT_PLACES = 1024, 500_000
 
 
 #: A table of bits says which texts are to be looked at: BITS_A_TEXT for each, ID_BITS at least and MOST_BITS at most (512 MB). Texts that share a bit with one are looked at in vain.
@@ -441,41 +443,49 @@ def _linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _links_in_classes(held: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(a, b): links that join what is similar in each class of sets (rep, class, hashes); sizes: (class, n, blocks).
+    """(a, b): links that join what is similar in each class of sets (rep, class, blocks, hashes); sizes: (class, n, blocks).
 
-    Each set is compared with the first one of its class, all over the cluster. Those that aren't similar to it are
-    compared with all of the class, block by block; those that are need no comparison with each other. So a family of
-    near copies takes work in proportion to its size, and a class without such a first set takes all pairs of blocks.
+    In a large class, one of SENT_SETS at most, each set is compared with the class's first one where it lies. Those that
+    aren't similar to it are compared with all of the class, block by block; those that are need no comparison with each
+    other. So a family of near copies takes work in proportion to its size. Of other classes, all pairs of blocks meet.
     """
-    firsts = held.groupBy("class").agg(F.min_by("hashes", "rep").alias("first_hashes"), F.min("rep").alias("first"))
-    out = {"linked": ("boolean", pa.bool_())}
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    hot = materialize(sizes.where(F.col("n") > max(HOT, total / SENT_SETS)).select(F.col("class").alias("hot_class")), "hot")
+    large = held.join(F.broadcast(hot), F.col("class") == F.col("hot_class"), "left_semi")
+    other = held.join(F.broadcast(hot), F.col("class") == F.col("hot_class"), "left_anti")
+    firsts = large.groupBy(F.col("class").alias("c")).agg(F.min_by("hashes", "rep").alias("first_hashes"), F.min("rep").alias("first"))
 
     def judge(b: pa.RecordBatch) -> dict[str, list]:
         pairs = zip(b.column("hashes").to_pylist(), b.column("first_hashes").to_pylist(), strict=True)
         return {"row": list(range(b.num_rows)), "linked": [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in pairs]}
 
-    both = look_up(held.select("rep", "class", "hashes"), firsts, "class", sizes.select("class", "n"), SENT_SETS)
-    judged = materialize(_beside(both, judge, out).select("rep", "class", "first", "hashes", "linked"), "judged")
-    words = F.octet_length("hashes") / 8
-    free = judged.where("NOT linked").groupBy("class").agg(F.greatest(F.ceil(F.sum(words) / SET_BLOCK), F.lit(1)).alias("free_blocks"))
-    free = materialize(free.join(sizes.select(F.col("class").alias("c"), "blocks"), F.col("class") == F.col("c")).drop("c"), "free")
-    rest = look_up(judged, free, "class", sizes.select("class", "n")).where("free_blocks IS NOT NULL")
+    both = large.join(F.broadcast(materialize(firsts, "firsts")), F.col("class") == F.col("c")).drop("c")
+    judged = materialize(_beside(both, judge, {"linked": ("boolean", pa.bool_())}).drop("first_hashes"), "judged")
+    free = judged.where("NOT linked").groupBy(F.col("class").alias("c")).agg(_blocks(F.sum(F.octet_length("hashes") / 8), F.count("*")).alias("free_blocks"))
+    rest = judged.join(F.broadcast(free), F.col("class") == F.col("c"))
     block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     at = lambda p, q: F.struct(p.cast("long").alias("p"), q.cast("long").alias("q"))
+    # A block of what is left meets each block of all; a block of a class without a first set, each one from its own on.
     everywhere = F.transform(upto("free_blocks"), lambda k: at(k, block("blocks")))
     places = F.when(F.col("linked"), everywhere).otherwise(F.array_union(everywhere, F.transform(upto("blocks"), lambda k: at(block("free_blocks"), k))))
+    pairs = F.transform(upto("blocks"), lambda k: at(F.least(block("blocks"), k), F.greatest(block("blocks"), k)))
 
     def exact(pdf: pd.DataFrame) -> pd.DataFrame:
         rep, of = pdf.rep.to_numpy(np.int64), same_classes([np.frombuffer(x, np.uint64) for x in pdf.hashes])
         moved = of != np.arange(len(of))
         return pd.DataFrame({"a": rep[moved], "b": rep[of[moved]]})
 
-    # A task compares a block of what is left with a block of all.
-    more = rest.select("rep", "class", "hashes", F.explode(places).alias("at")).groupBy("class", "at.p", "at.q").applyInPandas(exact, "a long, b long")
+    rows = rest.select("rep", "class", "hashes", F.explode(places).alias("at")).unionByName(other.select("rep", "class", "hashes", F.explode(pairs).alias("at")))
+    more = rows.groupBy("class", "at.p", "at.q").applyInPandas(exact, "a long, b long")
     return judged.where("linked AND rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).unionByName(more)
 
 
+def _blocks(hashes: Column, sets: Column) -> Column:
+    """Blocks of about SET_BLOCK hashes and SETS sets at most."""
+    return F.greatest(F.ceil(hashes / SET_BLOCK), F.ceil(sets / SETS), F.lit(1)).cast("long")
+
+
 def classes_of_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """(id, th, root, first_id, first_th) per row: th is the text's hash, root stands for a class of similar texts, and (first_id, first_th) is its first row.
 
@@ -491,9 +501,13 @@ def classes_of_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def members(b: pa.RecordBatch) -> dict[str, list]:
         bits = shared.value
         rows = [k for k, slot in enumerate(b.column("slot").to_pylist()) if bits[slot >> 3] >> (slot & 7) & 1]
+        # Of rows that are repeated in a task, one will do.
+        rows = [k for k in rows if (key := (b.column("id")[k].as_py(), b.column("th")[k].as_py())) not in seen and not seen.add(key)]
         sets = [shingle_set(b.column("text")[k].as_py(), shingle) for k in rows]
         return {"row": rows, "own": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], "hashes": [x.tobytes() for x in sets]}
 
+    # Each task has its own.
+    seen: set[tuple] = set()
     texts = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     made = _beside(texts, cut, {"fp": ("binary", pa.binary()), "digest": ("binary", pa.binary()), "n": ("long", pa.int64())})
     # Rows are numbered once, as they are written.
@@ -505,16 +519,16 @@ def classes_of_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     proposed = components(wide_links(distinct.select(F.col("fp_").alias("fp"), F.col("rep_").alias("rep"))))
     proposed = distinct.join(proposed, F.col("rep_") == F.col("node"), "left").select("fp_", F.coalesce("root", "rep_").alias("class"))
     proposed = materialize(sets.join(proposed, F.col("fp") == F.col("fp_")).select("digest", "rep", F.col("one.id").alias("rep_id"), F.col("one.th").alias("rep_th"), "n", "class"), "proposed")
-    sizes = materialize(proposed.groupBy("class").agg(F.greatest(F.ceil(F.sum("n") / SET_BLOCK), F.lit(1)).alias("blocks"), F.count("*").alias("n")).where("n > 1"), "sizes")
+    sizes = materialize(proposed.groupBy("class").agg(_blocks(F.sum("n"), F.count("*")).alias("blocks"), F.count("*").alias("n")).where("n > 1"), "sizes")
     several = look_up(proposed.select("digest", "rep", "rep_id", "rep_th", "class"), sizes.select("class", "blocks"), "class", sizes.select("class", "n")).where("blocks IS NOT NULL")
     several = materialize(several, "several")
     # Only texts that may be in such a class are cut into shingles once more, and no text is shuffled.
-    bits = bits_needed(several.count())
+    places = several.count()
+    bits = bits_needed(places)
     shared = df.sparkSession.sparkContext.broadcast(id_bits(several, "rep_id", "rep_th", bits=bits))
     held = _beside(texts.withColumn("slot", id_slot("id", "th", bits=bits)), members, {"own": ("binary", pa.binary()), "hashes": ("binary", pa.binary())})
-    held = held.join(several, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th")) & (F.col("own") == F.col("digest")))
-    # Repeated rows have the same set.
-    held = materialize(held.groupBy("rep", "class").agg(F.first("hashes").alias("hashes")), "members")
+    held = held.join(F.broadcast(several) if places <= SENT_PLACES else several, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th")) & (F.col("own") == F.col("digest")))
+    held = materialize(held.select("rep", "class", "blocks", "hashes"), "members")
     roots = components(_links_in_classes(held, sizes))
     classes = materialize(proposed.join(roots, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("root", "rep").alias("root")), "classes")
     rows = sets.select("digest", F.col("rows").alias("n"))

@@ -26,6 +26,16 @@ def test_round_trip(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_roles_with_marks(spark):
+    roles = ["a|>b", ">", "|>", "&gt;", "<|end|>", "a&lt;|>", "user"]
+    rows = [(1, i, r, "hi|>") for i, r in enumerate(roles)] + [(2, 0, "assistant|>", "x"), (2, 1, "assistant", "said")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.format_chats(df).withColumn("back", chat.read_turns(F.col("formatted"))).withColumn("masked", chat.under_mask(F.col("formatted"), F.col("loss_spans")))
+    got = {r.conv_id: r for r in out.collect()}
+    assert [tuple(t) for t in got[1].back] == [(r, "hi|>") for r in roles]
+    assert [tuple(t) for t in got[2].back] == [("assistant|>", "x"), ("assistant", "said")] and got[2].masked == "said"
+
+
 def test_no_python(spark):
     df = spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string")
     plan = chat.format_chats(df)._jdf.queryExecution().toString()

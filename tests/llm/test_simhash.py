@@ -199,16 +199,17 @@ def test_rows_are_judged_by_their_texts(spark, monkeypatch):
 def test_first_set_of_a_class_and_the_rest(spark, monkeypatch):
     """Chains in which the first set is similar to few: the rest is compared with all, in blocks."""
     monkeypatch.setattr(sh, "SET_BLOCK", 120)
+    monkeypatch.setattr(sh, "HOT", 3)
     rnd = random.Random(13)
     words = [f"w{rnd.randrange(10**6)}" for _ in range(90)]
     texts = [words[k : k + 50] for k in range(0, 40, 2)]
     rnd.shuffle(texts)
     sets = [sh.shingle_set(" ".join(t)) for t in texts]
-    held = spark.createDataFrame([(i, 0, s.tobytes()) for i, s in enumerate(sets)], "rep long, class long, hashes binary")
-    sizes = spark.createDataFrame([(0, len(sets), 9)], "class long, n long, blocks long")
+    held = spark.createDataFrame([(i, 0, 9, s.tobytes()) for i, s in enumerate(sets)] + [(100, 1, 2, sets[0].tobytes()), (101, 1, 2, sets[0].tobytes())], "rep long, class long, blocks long, hashes binary")
+    sizes = spark.createDataFrame([(0, len(sets), 9), (1, 2, 2)], "class long, n long, blocks long")
     roots = {r.node: r.root for r in sh.components(sh._links_in_classes(held, sizes)).collect()}
     want = classes(range(len(sets)), lambda a, b: sh._linked(sets[a], sets[b]))
-    assert {i: roots.get(i, i) for i in range(len(sets))} == {i: want[i] for i in range(len(sets))}
+    assert {i: roots.get(i, i) for i in range(len(sets))} == {i: want[i] for i in range(len(sets))} and roots[101] == 100
     assert len(set(want.values())) == 1 and sum(not sh._linked(s, sets[0]) for s in sets) > 10
 
 
