@@ -113,9 +113,6 @@ def test_refinement(spark):
     db[5:9, 5:9] = -5.0
     red, nir = np.full((n, n), 500.0), np.full((n, n), 3000.0)
     nir[5:10, 5:10] = 600.0
-    run = lambda **k: shapes.refine(*({"db": db, "inside": inside_, "built": built, "red": red, "nir": nir} | k).values(), 10000.0, 100.0)
-    status, area, mask = run()
-    assert (status, area, int(mask.sum())) == ("refined", 2500.0, 25)
     weak, roofs, spread = db.copy(), built.copy(), nir.copy()
     weak[5:9, 5:9] = -12.0
     roofs[5:8, 5:9] = True
@@ -125,17 +122,26 @@ def test_refinement(spark):
     pieces[5:7, 5:7] = pieces[8, 5:9] = 600.0
     two = db.copy()
     two[8, 5:9] = -5.0
-    assert run(db=weak)[0] == "no_signal" and run(built=roofs)[0] == "village" and run(red=None)[0] == "no_s2" and run(red=red[:5])[0] == "grid_mismatch"
-    assert run(nir=np.full((n, n), 3000.0))[0] == "no_bare" and run(nir=np.where(inside_, 600.0, 3000.0))[0] == "tight" and run(db=two, nir=pieces)[0] == "fragmented"
-    assert run(db=np.full((n, n), np.nan))[0] == "no_bg"
     far = np.full((n, n), 3000.0)
     far[0, 0] = 600.0
-    assert run(nir=far)[0] == "refine_failed"
-    flat = lambda a: [float(x) for x in a.ravel()]
-    row = (1, n, n, 10000.0, 100.0, flat(db), flat(db - 3), [bool(x) for x in inside_.ravel()], [bool(x) for x in built.ravel()], flat(red), flat(nir))
-    schema = "id long, h int, w int, area_m2 double, pixel_m2 double, vv array<double>, vh array<double>, inside array<boolean>, built array<boolean>, red array<double>, nir array<double>"
-    got = {r.id: r for r in shapes.refined(spark.createDataFrame([row, (2, *row[1:3], 50.0, *row[4:]), (3, *row[1:5], None, *row[6:])], schema), 1000.0).collect()}
-    assert (got[1].status, got[1].refined_area_m2, sum(got[1].mask)) == ("refined", 2500.0, 25) and got[2].status == "unchecked" and got[3].status == "no_s1"
+    cases = {
+        "refined": {}, "no_signal": {"db": weak}, "village": {"built": roofs}, "no_s2": {"red": None}, "grid_mismatch": {"red": red[:5]}, "no_bare": {"nir": np.full((n, n), 3000.0)},
+        "tight": {"nir": np.where(inside_, 600.0, 3000.0)}, "fragmented": {"db": two, "nir": pieces}, "no_bg": {"db": np.full((n, n), np.nan)}, "refine_failed": {"nir": far},
+    }
+    flat = lambda a, kind=float: None if a is None else [None if x != x else kind(x) for x in a.ravel()]
+
+    def row(name, area=10000.0, vv=True, **k):
+        x = {"db": db, "inside": inside_, "built": built, "red": red, "nir": nir} | k
+        return (name, n, n, area, 100.0, flat(x["db"]) if vv else None, flat(x["db"] - 3), flat(x["inside"], bool), flat(x["built"], bool), flat(x["red"]), flat(x["nir"]))
+
+    schema = "id string, h int, w int, area_m2 double, pixel_m2 double, vv array<double>, vh array<double>, inside array<boolean>, built array<boolean>, red array<double>, nir array<double>"
+    made = shapes.refined(spark.createDataFrame([*(row(name, **k) for name, k in cases.items()), row("unchecked", 50.0), row("no_s1", vv=False)], schema), 1000.0)
+    got = {r.id: r for r in made.collect()}
+    assert {k: r.status for k, r in got.items()} == {k: k for k in [*cases, "unchecked", "no_s1"]}
+    assert got["refined"].refined_area_m2 == 2500.0 and sum(got["refined"].mask) == 25 and all((r.mask is None) == (k != "refined") for k, r in got.items())
+    assert {k: r.refined_area_m2 for k, r in got.items() if k not in ("refined", "tight")} == {"no_signal": 0.0, "village": 10000.0, "no_s2": None, "grid_mismatch": 10000.0, "no_bare": 0.0, "fragmented": 10000.0, "no_bg": None, "refine_failed": 10000.0, "unchecked": 50.0, "no_s1": None}
+    rings = shapes.outlines_of(made, 10.0).collect()
+    assert [(r.id, len(r.rings)) for r in rings] == [("refined", 1)] and {(p.x, p.y) for p in rings[0].rings[0]} == {(50.0, 50.0), (100.0, 50.0), (100.0, 100.0), (50.0, 100.0)}
 
 
 def test_chains(spark):
