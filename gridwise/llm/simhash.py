@@ -260,7 +260,7 @@ WIDE_LEAVES, CROWDED, MORE = 1 << 16, 4, 6
 SIMILAR = (4, 5)
 #: Shingle hashes in a block of a proposed class, about (32 MB); a task compares two blocks.
 SET_BLOCK = 1 << 22
-#: Sets in it, at most about, and sets' places that are sent to every task at most (some 60 bytes each).
+#: Sets in it, at most about, and places of sets or rows that are sent to every task at most (some 60 bytes each).
 SETS, SENT_PLACES = 1024, 500_000
 
 
@@ -553,6 +553,8 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     first = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("th") == F.col("first_th"))
     named = lambda rows: rows.select(F.col("id").alias("gone_id"), F.col("th").alias("gone_th"))
     gone = materialize(named(each.where(~first).select("id", "th").distinct()), "gone")
+    # Few are sent to every task, so no text is shuffled; more of them meet the texts by their hashes.
+    gone = F.broadcast(gone) if gone.count() <= SENT_PLACES else gone
     again = materialize(named(each.where(first).groupBy("id", "th").count().where("count > 1")), "again")
     same = lambda left, right: left[id_col].eqNullSafe(right["gone_id"]) & (F.xxhash64(left[text_col]) == right["gone_th"])
     kept = df.join(gone, same(df, gone), "left_anti")
