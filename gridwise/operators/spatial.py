@@ -121,13 +121,14 @@ def nearest(left: DataFrame, right: DataFrame, start: float = 0.0, places: int =
 
     The first ring is as wide as right is sparse (at least ``start``), the next ones four times as wide: a row whose best
     hit lies within the ring is done, the others go on. What RINGS of them leave, lone rows far from all others, goes
-    down the cells of right. left is written once, and each round ends in the shared folder. Rows without a partner, also
+    down the cells of right. Both sides are written once, and each round ends in the shared folder. Rows without a partner, also
     within max_distance, have nulls.
     """
     line = _is_line(right)
     place = ["x0", "y0", "x1", "y1"] if line else ["x", "y"]
     left = materialize(left, "left")
-    right = right.select("id", *place).dropna(subset=place)
+    # Each round goes over right twice.
+    right = materialize(right.select("id", *place).dropna(subset=place), "right")
     edges = [f(c).alias(f"{n}_{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in place]
     bounds = right.agg(F.count(place[0]).alias("n"), *edges).first()
     todo, found = left.select("id", "x", "y").where("x IS NOT NULL AND y IS NOT NULL"), None
