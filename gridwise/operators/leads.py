@@ -123,3 +123,16 @@ def endpoint_leads(ends: DataFrame, subs: DataFrame, candidates: DataFrame, far:
     n = pairs.groupBy(F.col("left_id").alias("__id")).agg(F.count("*").alias("n_candidates"))
     found = e.join(n, F.col("id") == F.col("__id"), "left").drop("__id").withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0).cast("long")))
     return leads, found
+
+
+def regional(candidates: DataFrame, ends: DataFrame, subs: DataFrame, lines: DataFrame | None, floor: float, far: float = 700.0, search: float = 5000.0) -> DataFrame:
+    """Candidates (id, x, y, confidence, area_m2) near line ends that no substation explains, with endpoint_dist, n_endpoints, line_dist, below_floor and rank_score.
+
+    lines may be missing (None) or empty: line_dist is null then, and the score goes without it.
+    """
+    c = with_endpoints(candidates, unexplained(ends, subs, far), search).where("n_endpoints > 0")
+    if lines is None:
+        c = c.withColumn("line_dist", F.lit(None).cast("double"))
+    else:
+        c = spatial.nearest(c, lines.select("id", "x0", "y0", "x1", "y1"), 500.0).withColumnRenamed("near_dist", "line_dist").drop("near_id")
+    return c.withColumns({"below_floor": F.col("area_m2") < floor, "rank_score": scores.regional_rank(F.col("confidence"), F.col("endpoint_dist"), F.col("line_dist"))})
