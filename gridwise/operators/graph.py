@@ -25,8 +25,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # Large star: larger neighbours move to the smallest neighbour.
         both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
         least = both.groupBy(F.col("x").alias("x_")).agg(F.min("y").alias("least"))
-        large = both.join(least, F.col("x") == F.col("x_")).where("y > x").select(F.col("y").alias("x"), F.least("x", "least").alias("y")).distinct()
+        large = both.hint("merge").join(least, F.col("x") == F.col("x_")).where("y > x").select(F.col("y").alias("x"), F.least("x", "least").alias("y")).distinct()
         # Small star: smaller neighbours and the node itself move to the smallest neighbour.
         least = large.groupBy(F.col("x").alias("x_")).agg(F.min("y").alias("least"))
-        moved = large.join(least, F.col("x") == F.col("x_")).where("y > least").select(F.col("y").alias("x"), F.col("least").alias("y"))
+        moved = large.hint("merge").join(least, F.col("x") == F.col("x_")).where("y > least").select(F.col("y").alias("x"), F.col("least").alias("y"))
         edges = materialize(moved.unionByName(least.select(F.col("x_").alias("x"), F.col("least").alias("y"))).distinct(), "links")

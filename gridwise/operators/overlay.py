@@ -42,7 +42,7 @@ def cut(own: DataFrame, size: float) -> DataFrame:
     a = cells.select("group", "cx", "cy", *(F.col(c).alias(f"a_{c}") for c in ("side", "part", *ENDS)))
     b = cells.select("group", "cx", "cy", *(F.col(c).alias(f"b_{c}") for c in ("side", "part", *ENDS)))
     # Each pair of parts meets once, so that both sides get the very same point.
-    pairs = a.join(b, ["group", "cx", "cy"]).where("a_part < b_part AND least(a_x0, a_x1) <= greatest(b_x0, b_x1) AND least(b_x0, b_x1) <= greatest(a_x0, a_x1) AND least(a_y0, a_y1) <= greatest(b_y0, b_y1) AND least(b_y0, b_y1) <= greatest(a_y0, a_y1)")
+    pairs = a.hint("merge").join(b, ["group", "cx", "cy"]).where("a_part < b_part AND least(a_x0, a_x1) <= greatest(b_x0, b_x1) AND least(b_x0, b_x1) <= greatest(a_x0, a_x1) AND least(a_y0, a_y1) <= greatest(b_y0, b_y1) AND least(b_y0, b_y1) <= greatest(a_y0, a_y1)")
     end = lambda s, k: F.struct(F.col(f"{s}_x{k}").alias("x"), F.col(f"{s}_y{k}").alias("y"))
     on = lambda s, o: F.filter(F.array(end(o, 0), end(o, 1)), lambda p: geo.segment_distance(p["x"], p["y"], *(F.col(f"{s}_{c}") for c in ENDS)) <= 10.0**-PLACES / 2)
     rx, ry, qx, qy = (F.col(f"{s}_{c}1") - F.col(f"{s}_{c}0") for s in "ab" for c in "xy")
@@ -60,7 +60,7 @@ def cut(own: DataFrame, size: float) -> DataFrame:
     along = lambda p: (p["x"] - x0) * (x1 - x0) + (p["y"] - y0) * (y1 - y0)
     stops = F.array_distinct(F.concat(F.array(point(x0, y0), point(x1, y1)), F.coalesce("cuts", F.array().cast("array<struct<x: double, y: double>>"))))
     stops = F.array_sort(F.transform(stops, lambda p: F.struct(along(p).alias("t"), p["x"].alias("x"), p["y"].alias("y"))))
-    rows = own.join(cuts, F.col("side") == F.col("s"), "left").withColumn("stops", stops).select("group", "part", F.explode(geo._pairs(F.col("stops"))).alias("e"))
+    rows = own.hint("merge").join(cuts, F.col("side") == F.col("s"), "left").withColumn("stops", stops).select("group", "part", F.explode(geo._pairs(F.col("stops"))).alias("e"))
     return rows.select("group", "part", F.col("e.a.x").alias("x0"), F.col("e.a.y").alias("y0"), F.col("e.b.x").alias("x1"), F.col("e.b.y").alias("y1"))
 
 
@@ -70,8 +70,8 @@ def holders(points: DataFrame, parts: DataFrame, size: float) -> DataFrame:
     boxes = parts.select("group", F.col("part").alias("other"), *(c.alias(n) for n, c in polygon.box(F.col("rings")).items())).where("xmin IS NOT NULL")
     boxes = boxes.withColumn("cx", span("xmin", "xmax")).withColumn("cy", span("ymin", "ymax"))
     at = points.withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)})
-    near = at.join(boxes, ["group", "cx", "cy"]).where("part <> other AND x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax").select("pid", "group", "other", "x", "y")
-    held = near.join(parts.select("group", F.col("part").alias("other"), "rings"), ["group", "other"]).where(polygon.contains(F.col("rings"), F.col("x"), F.col("y")))
+    near = at.hint("merge").join(boxes, ["group", "cx", "cy"]).where("part <> other AND x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax").select("pid", "group", "other", "x", "y")
+    held = near.hint("merge").join(parts.select("group", F.col("part").alias("other"), "rings"), ["group", "other"]).where(polygon.contains(F.col("rings"), F.col("x"), F.col("y")))
     return held.groupBy(F.col("pid").alias("h")).agg(F.collect_set("other").alias("held_by"))
 
 
@@ -87,7 +87,7 @@ def cycles(way: DataFrame) -> DataFrame:
         before = now
         there = way.select(F.col("e").alias("next"), F.col("least").alias("l"), F.col("off").alias("o"), F.col("next").alias("n"))
         nearer = F.col("l") < F.col("least")
-        far = way.join(there, "next", "left").select("e", F.when(nearer, F.col("l")).otherwise(F.col("least")).alias("least"), F.when(nearer, F.col("o") + step).otherwise(F.col("off")).alias("off"), F.col("n").alias("next"))
+        far = way.hint("merge").join(there, "next", "left").select("e", F.when(nearer, F.col("l")).otherwise(F.col("least")).alias("least"), F.when(nearer, F.col("o") + step).otherwise(F.col("off")).alias("off"), F.col("n").alias("next"))
         way = materialize(far, "way")
         step *= 2
     return way.where("next IS NOT NULL").select("e", F.col("least").alias("ring"), "off")
@@ -105,10 +105,10 @@ def rings(edges: DataFrame) -> DataFrame:
     back = F.atan2(F.col("y0") - F.col("y1"), F.col("x0") - F.col("x1"))
     sweep = F.pmod(back - F.atan2(F.col("ny") - F.col("y1"), F.col("nx") - F.col("x1")), F.lit(2 * math.pi))
     sweep = F.when((sweep < 1e-9) | (sweep > 2 * math.pi - 1e-9), F.lit(2 * math.pi)).otherwise(sweep)
-    way = own.join(after, ["group", "x1", "y1"]).groupBy("e").agg(F.min_by("n", F.struct(sweep, "n")).alias("next"))
-    closed = cycles(own.select("e").join(way.select("e", "next"), "e", "left"))
+    way = own.hint("merge").join(after, ["group", "x1", "y1"]).groupBy("e").agg(F.min_by("n", F.struct(sweep, "n")).alias("next"))
+    closed = cycles(own.select("e").hint("merge").join(way.select("e", "next"), "e", "left"))
     size = F.struct(F.when(F.col("off") == 0, F.lit(0)).otherwise(-F.col("off")).alias("k"), F.col("x0").alias("x"), F.col("y0").alias("y"))
-    whole = own.join(closed, "e").groupBy("group", "ring").agg(F.array_sort(F.collect_list(size)).alias("s"))
+    whole = own.hint("merge").join(closed, "e").groupBy("group", "ring").agg(F.array_sort(F.collect_list(size)).alias("s"))
     # The head of a ring, off 0, comes last.
     corners = F.concat(F.slice(F.col("s"), F.size("s"), 1), F.slice(F.col("s"), 1, F.size("s") - 1))
     whole = whole.withColumn("s", corners).withColumn("m", F.size("s"))
@@ -164,7 +164,7 @@ def _overlay(parts: DataFrame, keep: str, size: float | None) -> DataFrame:
     else:
         way = F.lit(-1.0 if keep == "union" else 1.0)
     held = holders(pieces.select("pid", "group", "part", *beside(way)), parts, size)
-    rows = pieces.join(held, F.col("pid") == F.col("h"), "left").withColumn("n", F.coalesce(F.size("held_by"), F.lit(0)))
+    rows = pieces.hint("merge").join(held, F.col("pid") == F.col("h"), "left").withColumn("n", F.coalesce(F.size("held_by"), F.lit(0)))
     if keep == "union":
         rows = rows.where("n = 0").select("group", *ENDS)
     elif keep == "intersection":
