@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwise.functions import geo, grid
-from gridwise.operators import regions
+from gridwise.operators import regions, spatial
 from gridwise.session import materialize
 
 #: Cloud cover of scenes whose cover is unknown.
@@ -17,6 +17,20 @@ UNKNOWN_CLOUD = 100.0
 PLACE = r"lat_(-?[0-9.]+)_lon_(-?[0-9.]+)\.npz$"
 
 
+def _contenders(areas: DataFrame, items: DataFrame, size: float, most: int, keys: list[str]) -> DataFrame:
+    """(left_id, right_id) of boxes that meet, each pair once: at least the first ``most`` by keys and id of each area's."""
+    at = regions._cells(items, "right", size, keys)
+    x, y = F.col("cx") * size, F.col("cy") * size
+    covers = (F.col("right_xmin") <= x) & (F.col("right_xmax") >= x + size) & (F.col("right_ymin") <= y) & (F.col("right_ymax") >= y + size)
+    place = F.struct(*keys, "right_id")
+    n = F.row_number().over(Window.partitionBy("cx", "cy").orderBy(*keys, "right_id"))
+    # One row a cell: the last scene that counts there.
+    last = at.where(covers).withColumn("n", n).where(F.col("n") == most).select("cx", "cy", place.alias("last"))
+    kept = at.join(materialize(last, "last"), ["cx", "cy"], "left").where(F.col("last").isNull() | (place <= F.col("last"))).drop("last", *keys)
+    meet = (F.col("left_xmin") <= F.col("right_xmax")) & (F.col("right_xmin") <= F.col("left_xmax")) & (F.col("left_ymin") <= F.col("right_ymax")) & (F.col("right_ymin") <= F.col("left_ymax"))
+    return spatial._met(regions._cells(areas, "left", size), materialize(kept, "kept")).where(meet).select("left_id", "right_id").distinct()
+
+
 def searched(areas: DataFrame, items: DataFrame, size: float, window: tuple[str, str] | None = None, below: float | None = None, most: int | None = None, order: list[Column] | None = None) -> DataFrame:
     """(area, n, item's columns): each area's scenes, numbered from 1 in their order, at most so many.
 
@@ -24,8 +38,9 @@ def searched(areas: DataFrame, items: DataFrame, size: float, window: tuple[str,
     A scene is an area's if their boxes share a point, its day is in the window (both ends included) and its cloud cover
     is less than ``below``; with that limit, scenes of unknown cover don't count. order: of the items' columns; without
     any by cloud cover, an unknown one as UNKNOWN_CLOUD, then by id. The last tie is always the id. size: of the cells in
-    which boxes meet. Boxes with nulls meet nothing. Days and clouds are looked at before boxes meet, an area's scenes
-    are cut to its best before they are shuffled, and only these fetch their columns.
+    which boxes meet. Boxes with nulls meet nothing. Days and clouds are looked at before boxes meet, and only the best
+    scenes fetch their columns. With ``most``, boxes meet in cells a quarter as long: scenes that cover a cell are all of
+    any area that touches it, so what comes after so many of them can't be among the area's best and isn't met there.
     """
     if window is not None:
         items = items.where(F.col("day").between(*(F.lit(d).cast("date") for d in window)))
@@ -33,13 +48,16 @@ def searched(areas: DataFrame, items: DataFrame, size: float, window: tuple[str,
         items = items.where(F.col("cloud") < below)
     order = [F.coalesce("cloud", F.lit(UNKNOWN_CLOUD))] if order is None else order
     whole = lambda df: df.dropna(subset=["id", *regions.EDGES])
-    met = regions.pairs(whole(areas), whole(items), size)
     keys = [f"__k{i}" for i in range(len(order))]
-    ranked = met.join(items.select("id", *(c.alias(k) for c, k in zip(order, keys, strict=True))), F.col("right_id") == F.col("id"))
+    if most is None:
+        met = regions.pairs(whole(areas), whole(items), size)
+    else:
+        met = _contenders(whole(areas), whole(items).select("id", *regions.EDGES, *(c.alias(k) for c, k in zip(order, keys, strict=True))), size / 4, most, keys)
+    ranked = met.hint("merge").join(items.select("id", *(c.alias(k) for c, k in zip(order, keys, strict=True))), F.col("right_id") == F.col("id"))
     n = F.row_number().over(Window.partitionBy("left_id").orderBy(*keys, "right_id"))
     best = ranked.select(F.col("left_id").alias("area"), F.col("right_id").alias("__item"), n.alias("n"))
     best = best if most is None else best.where(F.col("n") <= most)
-    return best.join(items, F.col("__item") == F.col("id")).select("area", "n", *items.columns)
+    return best.hint("merge").join(items, F.col("__item") == F.col("id")).select("area", "n", *items.columns)
 
 
 def file_of(path: Column) -> Column:

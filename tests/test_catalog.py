@@ -90,3 +90,23 @@ def test_backfill(spark):
     rows, n = catalog.backfilled(index, layer, "id", "s1")
     assert sorted((r.id, r.s1, r.x) for r in rows.collect()) == [(1, "a", 9), (2, "b", 8), (2, "own", 5)]
     assert {r.outcome: r.n for r in n.collect()} == {"existing": 2, "written": 1, "missing": 2}
+
+
+def test_scenes_behind_enough_covers_are_not_met(spark, monkeypatch):
+    """With a limit, areas meet only what can be among their best; all the same the best are those of brute force."""
+    import random
+
+    from gridwise.operators import catalog, regions
+
+    rnd = random.Random(3)
+    box = lambda lo, hi: (x := rnd.uniform(-50, 50), y := rnd.uniform(-50, 50), x + rnd.uniform(lo, hi), y + rnd.uniform(lo, hi))
+    areas, items = [(i, *box(0, 12)) for i in range(40)], [(i, None if i % 9 == 0 else float(rnd.randrange(20)), *box(2, 40)) for i in range(400)]
+    edges = "xmin double, ymin double, xmax double, ymax double"
+    a, b = spark.createDataFrame(areas, f"id long, {edges}"), spark.createDataFrame(items, f"id long, cloud double, {edges}").selectExpr("*", "DATE '2024-01-01' AS day")
+    monkeypatch.setattr(regions, "pairs", None)
+    got = {(r.area, r.n): r.id for r in catalog.searched(a, b, 20.0, most=3).collect()}
+    want = {}
+    for i, x0, y0, x1, y1 in areas:
+        best = sorted((100.0 if c is None else c, j) for j, c, u0, v0, u1, v1 in items if x0 <= u1 and u0 <= x1 and y0 <= v1 and v0 <= y1)[:3]
+        want |= {(i, n): j for n, (_, j) in enumerate(best, 1)}
+    assert got == want
