@@ -65,7 +65,7 @@ def annulus_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @registered(ENTRIES, f"""{ctes("nodes")}, n AS (SELECT a.id, count(*) AS k FROM nodes a, nodes b WHERE a.id <> b.id AND {_D} <= 2500 GROUP BY a.id) SELECT a.id, coalesce(k, 0) AS n_near FROM nodes a LEFT JOIN n USING (id) WHERE coalesce(k, 0) <= 3""")
 def neighbour_isolation(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.neighbours(view(spark, d, "nodes").select("id", "x", "y"), 2500.0).where("n_near <= 3").select("id", "n_near")
+    return spatial.neighbours(view(spark, d, "nodes").select("id", "x", "y"), 2500.0, most=3).select("id", "n_near")
 
 
 @registered(ENTRIES, f"""{ctes("subs", "nodes")}, near AS (SELECT a.id, b.id AS n, b.x, b.y FROM subs a, nodes b WHERE {_D} <= 5000), l AS (SELECT a.id, degrees(atan2(b.y - a.y, b.x - a.x)) AS g FROM near a JOIN near b ON a.id = b.id AND a.n < b.n WHERE {_D} > 1 AND {_D} < 3000)

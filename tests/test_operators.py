@@ -178,3 +178,12 @@ def test_matches_of_a_candidate_are_shuffled_in_sums(spark):
     best = leads.best_by_candidate(pairs)
     assert best._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3
     assert {r.right_id: r.n_endpoints for r in best.collect()} == {r.right_id: r["count"] for r in pairs.groupBy("right_id").count().collect()}
+
+
+def test_few_neighbours_leave_dense_cells_out(spark, monkeypatch):
+    p = spark.range(420).selectExpr("id", "IF(id < 400, id % 20 * 0.1D, id * 4.0D - 1590) AS x", "IF(id < 400, id DIV 20 * 0.1D, 0.0D) AS y")
+    want = {(r.id, r.n_near) for r in spatial.neighbours(p, 10.0).where("n_near <= 3").collect()}
+    met, kept = [], spatial.within
+    monkeypatch.setattr(spatial, "within", lambda left, *a, **k: met.append(left.count()) or kept(left, *a, **k))
+    assert {(r.id, r.n_near) for r in spatial.neighbours(p, 10.0, most=3).collect()} == want
+    assert want and met[0] < 50
