@@ -203,10 +203,10 @@ def warped(tiles: DataFrame, grid: DataFrame, to_source: Callable[[Column, Colum
         wanted = at.select("block", "row", "col", F.explode(F.array(*(corner(dx, dy) for dx in (0, 1) for dy in (0, 1)))).alias("c")).select("block", "row", "col", "c.*").where("weight > 0")
     place = (F.pmod("sy", F.lit(th)) * tw + F.pmod("sx", F.lit(tw))).cast("int")
     asked = wanted.groupBy("block", F.floor(F.col("sx") / tw).alias("tx"), F.floor(F.col("sy") / th).alias("ty")).agg(F.collect_list(F.struct("row", "col", "weight", place.alias("place"))).alias("asked"))
-    met = asked.join(tiles.select("tx", "ty", "px"), ["tx", "ty"])
+    met = asked.hint("merge").join(tiles.select("tx", "ty", "px"), ["tx", "ty"])
     got = met.select("block", F.explode(F.transform("asked", lambda q: F.struct(q["row"].alias("row"), q["col"].alias("col"), q["weight"].alias("weight"), F.get("px", q["place"]).alias("p")))).alias("g")).select("block", "g.*")
     got = got.where("p IS NOT NULL AND p <> 0").groupBy("block", "row", "col").agg((F.sum(F.col("p") * F.col("weight")) / F.sum("weight")).alias("value"))
-    return at.select("block", "row", "col").join(got, ["block", "row", "col"], "left").select("block", "row", "col", F.coalesce("value", F.lit(0.0)).alias("value"))
+    return at.select("block", "row", "col").hint("merge").join(got, ["block", "row", "col"], "left").select("block", "row", "col", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 def zonal(cells: DataFrame, zones: list[str], value: str = "p") -> DataFrame:
@@ -261,38 +261,48 @@ def around(points: DataFrame, cells: DataFrame, reach: int) -> DataFrame:
     return near.join(cells, ["id", "row", "col"]).groupBy("point_id").agg(F.count("p").alias("n"), F.avg("p").alias("mean"), F.max("p").alias("most"), F.min("p").alias("least"))
 
 
-def _picked(tiles: DataFrame, h: Column, w: Column, source: Column | None) -> DataFrame:
-    """tiles of a new shape whose pixel k is the old pixel number source(k), or 0 where that is null."""
-    px = F.transform(F.sequence(F.lit(0), h * w - 1), lambda k: F.coalesce(F.get(F.col("px"), source(k)), F.lit(0.0)))
-    # In two steps: in one, names inside the function would mean the new columns.
-    return tiles.withColumn("px", px).withColumns({"h": h, "w": w})
+def _picked(tiles: DataFrame, h: Column, w: Column, source: Callable[[int, int], np.ndarray]) -> DataFrame:
+    """tiles of a new shape whose pixel k is the old pixel number source(old h, old w)[k], or 0 where that is below 0 or null."""
+
+    @F.arrow_udf("array<double>")
+    def run(px: pa.Array, h: pa.Array, w: pa.Array) -> pa.Array:
+        made, places = [], {}
+        for p, size in zip(px, zip(h.to_pylist(), w.to_pylist(), strict=True), strict=True):
+            if None in size:
+                made.append(None)
+                continue
+            if size not in places:
+                places[size] = source(*size)
+            # One more value, 0, for what isn't there.
+            old = np.append(np.nan_to_num(p.values.to_numpy(zero_copy_only=False).astype(float), nan=np.nan if not p.values.null_count else 0.0) if p.is_valid else [], 0.0)
+            k = places[size]
+            made.append(old[np.where((k < 0) | (k >= len(old) - 1), len(old) - 1, k)])
+        ends = np.cumsum([0, *(0 if m is None else len(m) for m in made)]).astype(np.int32)
+        flat = np.concatenate([np.zeros(0), *(m for m in made if m is not None)])
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array([m is None for m in made]))
+
+    return tiles.withColumns({"px": run(F.col("px").cast("array<double>"), "h", "w"), "h": h, "w": w})
 
 
 def fitted(tiles: DataFrame, size: int) -> DataFrame:
     """tiles cut to size x size around their middle, or filled up with 0 below and to the right."""
-    half = lambda c: F.greatest(F.floor((F.col(c) - size) / 2), F.lit(0)).cast("int")
-    top, left = half("h"), half("w")
 
-    def source(k: Column) -> Column:
-        r, c = F.floor(k / size).cast("int") + top, k % size + left
-        return F.when((r >= 0) & (r < F.col("h")) & (c >= 0) & (c < F.col("w")), (r * F.col("w") + c).cast("int"))
+    def source(h: int, w: int) -> np.ndarray:
+        r, c = (np.arange(size) + max((n - size) // 2, 0) for n in (h, w))
+        return np.where((r[:, None] < h) & (c[None, :] < w), r[:, None] * w + c[None, :], -1).ravel()
 
     return _picked(tiles, F.lit(size), F.lit(size), source)
 
 
 def turned(tiles: DataFrame, quarters: int, mirrored: bool = False) -> DataFrame:
     """tiles turned counter-clockwise by so many quarters, then mirrored left to right if asked for."""
-    q, h, w = quarters % 4, F.col("h"), F.col("w")
-    new_h, new_w = (w, h) if q % 2 else (h, w)
 
-    def source(k: Column) -> Column:
-        r, c = F.floor(k / new_w).cast("int"), (k % new_w).cast("int")
-        if mirrored:
-            c = new_w - 1 - c
-        row, col = {0: (r, c), 1: (c, w - 1 - r), 2: (h - 1 - r, w - 1 - c), 3: (h - 1 - c, r)}[q]
-        return (row * w + col).cast("int")
+    def source(h: int, w: int) -> np.ndarray:
+        k = np.rot90(np.arange(h * w).reshape(h, w), quarters)
+        return (k[:, ::-1] if mirrored else k).ravel()
 
-    return _picked(tiles, new_h, new_w, source)
+    odd = quarters % 2
+    return _picked(tiles, F.col("w" if odd else "h"), F.col("h" if odd else "w"), source)
 
 
 def _kernel(x: np.ndarray, mode: str) -> np.ndarray:
