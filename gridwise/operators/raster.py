@@ -31,6 +31,11 @@ def median_composite(obs: DataFrame, keys: list[str], value: str = "value", day:
     return per_day.groupBy(*keys).agg(F.coalesce(F.floor(F.median("v")), F.lit(0)).cast("int").alias("composite"), F.count("v").alias("n_days"))
 
 
+def spread(tiles: DataFrame) -> DataFrame:
+    """tiles dealt by id over as many tasks as a shuffle has: little data and much work, and a file's row group is one task's."""
+    return tiles.repartition(int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+
+
 def pixels(tiles: DataFrame) -> DataFrame:
     """(id, row, col, p), a row a pixel."""
     return tiles.select("id", "w", F.posexplode("px").alias("k", "p")).select("id", F.floor(F.col("k") / F.col("w")).cast("int").alias("row"), (F.col("k") % F.col("w")).alias("col"), "p")

@@ -142,10 +142,9 @@ def ctes(*names: str) -> str:
 
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, h, w, px): 8 x 8 tiles, each scaled to 0..1 by its least and largest value, 4 places."""
-    return table(spark, sf_dir, "embeddings").selectExpr(
-        "vec_id AS id", "8 AS h", "8 AS w",
-        "transform(embedding, v -> round((CAST(v AS DOUBLE) - CAST(array_min(embedding) AS DOUBLE)) / (CAST(array_max(embedding) AS DOUBLE) - CAST(array_min(embedding) AS DOUBLE)), 4)) AS px",
-    )
+    # The extremes first, and not once more for each pixel.
+    own = table(spark, sf_dir, "embeddings").selectExpr("vec_id AS id", "embedding", "array(CAST(array_min(embedding) AS DOUBLE), CAST(array_max(embedding) AS DOUBLE)) AS m")
+    return own.selectExpr("id", "8 AS h", "8 AS w", "transform(embedding, v -> round((CAST(v AS DOUBLE) - m[0]) / (m[1] - m[0]), 4)) AS px")
 
 
 #: Pixels of the same tiles (id, k, p), k from 0.

@@ -63,7 +63,7 @@ def pixel_windows(spark: SparkSession, d: str) -> DataFrame:
 UNION ALL SELECT id, 0, 'cut', round(sum(p * (4 * (k // 8 - 2) + k % 8 - 2 + 1)), 6) FROM px WHERE k // 8 BETWEEN 2 AND 5 AND k % 8 BETWEEN 2 AND 5 GROUP BY id UNION ALL SELECT id, 0, 'filled', round(sum(p * (12 * (k // 8) + k % 8 + 1)), 6) FROM px GROUP BY id""")
 def tile_shapes(spark: SparkSession, d: str) -> DataFrame:
     """Tiles turned by a quarter, mirrored, cut and filled up: each pixel times its place, summed up."""
-    t = tiles(spark, d)
+    t = raster.spread(tiles(spark, d))
     made = {"turned": raster.turned(t, 1), "mirrored": raster.turned(t, 0, True), "cut": raster.fitted(t, 4), "filled": raster.fitted(t, 12)}
     place = F.aggregate(F.transform("px", lambda p, i: p * (i + 1)), F.lit(0.0), lambda s, v: s + v)
     out = None
@@ -79,7 +79,7 @@ def component_polygons(spark: SparkSession, d: str) -> DataFrame:
     """Regions of bright pixels as polygons on a grid of 10 m: their area less holes and the length of all rings."""
     from gridwise.functions import polygon
 
-    p = shapes.polygons(raster.hysteresis_pixels(tiles(spark, d), 0.6), ["id", "label"], 10.0)
+    p = shapes.polygons(raster.hysteresis_pixels(raster.spread(tiles(spark, d)), 0.6), ["id", "label"], 10.0)
     around = F.aggregate(F.transform("rings", geo.line_length), F.lit(0.0), lambda s, v: s + v)
     return p.select("id", "label", "n_pixels", polygon.area(F.col("rings")).alias("area_m2"), around.alias("outline_m"))
 
