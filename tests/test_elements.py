@@ -74,3 +74,36 @@ def test_streaming_composite(spark, tmp_path):
         whole = raster.median_composite(batch, ["pixel", "start"], clear=F.col("ok"))
         want = {(r.pixel, r.start): (r.n_days, r.composite) for r in whole.collect() if r.n_days}
         assert got == want and len(want) >= 12
+
+
+def test_rings_in_rows_match_ranked_ones(spark, monkeypatch):
+    rng = random.Random(8)
+    nodes = spark.createDataFrame([(i, float(rng.randrange(50)), float(rng.randrange(50))) for i in range(90)], "id long, x double, y double")
+    pos, use = [], []
+    for w in range(400):
+        # Few nodes for many ways: rings, chains, forks, ways that close on themselves, and nodes that aren't there.
+        ns = [rng.randrange(94) for _ in range(rng.randint(1, 4))]
+        pos += [(w, k, n) for k, n in enumerate(ns + ns[:1] * (rng.random() < 0.2))]
+        use += [(rng.choice([*range(12), None]), rng.choice(["outer", "inner", None]), w) for _ in range(rng.randint(1, 2))]
+    for r in range(12, 40):
+        m = rng.randint(2, 9)
+        for i in range(m):
+            a, b = i * 7, (i + 1) % m * 7
+            pos += [(r * 100 + i, k, n) for k, n in enumerate((a, b) if rng.random() < 0.5 else (b, a))]
+            use += [(r, "outer", r * 100 + i)] if rng.random() < 0.97 else []
+    ways = spark.createDataFrame(pos, "way long, pos int, node long")
+    members = spark.createDataFrame([(r, "way", role, w) for r, role, w in use], "relation long, kind string, role string, ref long")
+
+    def found():
+        rings, loose = elements.rings_of(nodes, ways, members)
+        return sorted((r.relation, r.role, r.ring, tuple((p.x, p.y) for p in r.points)) for r in rings.collect()), sorted(map(repr, loose.collect()))
+
+    rows = found()
+    ranks = []
+    kept = elements.overlay.cycles
+    monkeypatch.setattr(elements.overlay, "cycles", lambda way: ranks.append(1) or kept(way))
+    assert found() == rows and not ranks and len(rows[0]) > 20 and len(rows[1]) > 20
+    monkeypatch.setattr(elements, "FEW", 5)
+    assert found() == rows and ranks
+    monkeypatch.setattr(elements, "FEW", 0)
+    assert found() == rows
