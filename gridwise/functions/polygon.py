@@ -109,6 +109,19 @@ def _flat_sides(polygons: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return row[ring], ends, np.where((turned > 0) == outer, 1, -1)[ring] * np.sign(ends[0] - ends[2])
 
 
+def side_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, low, x0, y0, x1, y1, sign) from polygons (id, rings): sides that aren't upright, with the polygon's lowest y and the sign of _flat_sides. Polygons with a null corner, whose area is 0, have none."""
+    for b in batches:
+        row, ends, sign = _flat_sides(b["rings"])
+        low = np.full(b.num_rows, np.inf)
+        np.minimum.at(low, row, np.minimum(ends[1], ends[3]))
+        whole = np.ones(b.num_rows, bool)
+        whole[row[np.isnan(ends).any(0)]] = False
+        kept = np.flatnonzero((sign != 0) & whole[row])
+        columns = [b["id"].take(pa.array(row[kept])), *(pa.array(c[kept]) for c in (low[row], *ends, sign))]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "low", "x0", "y0", "x1", "y1", "sign"])
+
+
 def _least_below(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Area below the lower one of two sides (x0, y0, x1, y1), where both have an x."""
     lo = np.maximum(np.minimum(a[0], a[2]), np.minimum(b[0], b[2]))
