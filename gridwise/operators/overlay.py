@@ -12,14 +12,17 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, MapType, StructField, StructType
 
-from gridwise.functions import geo, polygon
+from gridwise.functions import cells, geo, polygon
 from gridwise.operators import spatial
 from gridwise.session import materialize
 
 #: Decimal places of coordinates: corners and crossings nearer than that are one. How far beside a side its neighbourhood is looked up.
 PLACES, BESIDE = 4, 1e-3
 ENDS = ("x0", "y0", "x1", "y1")
+#: A polygon is about so many of open_sides' small cells long, and a larger cell so many of them; it is dealt out in blocks of so many polygons.
+FINE, WIDE, BLOCK = 8, 32, 20_000
 
 
 def _turned(ring: Column) -> Column:
@@ -36,9 +39,42 @@ def sides(parts: DataFrame) -> DataFrame:
     return materialize(rows.select(F.monotonically_increasing_id().alias("side"), "group", "part", *(F.col(f"e.{p}").alias(f"{p[-1]}{'ab'.index(p[0])}") for p in ("a.x", "a.y", "b.x", "b.y"))), "sides")
 
 
-def cut(own: DataFrame, size: float) -> DataFrame:
-    """(group, part, x0, y0, x1, y1): sides in pieces, ended wherever another part's side of the group crosses or touches them."""
-    cells = spatial._touched(own, size)
+def open_sides(parts: DataFrame) -> DataFrame:
+    """(side, group, part, x0, y0, x1, y1, cx, cy) of polygons (group, part, rings): as sides, beside each small cell that they touch, without cells that a part of the group covers wholly.
+
+    Where a side goes from a union's edge to its inside, it meets a side of another part, and no part covers the small cell
+    around that point. So sides of a union are cut right by what meets in these cells alone, and where many parts lie on
+    each other, nearly all sides are gone. Polygons go to larger cells with their rings, crowded ones in blocks.
+    """
+    rounded = lambda r: F.transform(r, lambda p: F.struct(F.round(p["x"], PLACES).alias("x"), F.round(p["y"], PLACES).alias("y")))
+    whole = F.filter(F.transform(F.transform("rings", rounded), lambda r, k: F.when((_turned(r) > 0) == (k == 0), r).otherwise(F.reverse(r))), lambda r: F.size(r) >= 4)
+    b = polygon.box(F.col("rings"))
+    rows = parts.select("group", "part", whole.alias("rings")).select("*", *(c.alias(n) for n, c in b.items())).where("xmin IS NOT NULL AND ymin IS NOT NULL")
+    rows = materialize(rows, "turned")
+    long = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+    # By squares, so that all polygons together cover a bounded number of small cells each, on average.
+    fine = max(math.sqrt(rows.agg(F.avg(long * long)).first()[0] or 1.0) / FINE, 100 * BESIDE)
+    span = lambda axis: F.explode(F.sequence(F.floor((F.col(f"{axis}min") - 2 * BESIDE) / (fine * WIDE)), F.floor((F.col(f"{axis}max") + 2 * BESIDE) / (fine * WIDE))))
+    kind = parts.schema["group"].dataType
+    name = F.to_json(F.struct("group")) if isinstance(kind, (ArrayType, MapType, StructType)) else F.col("group").cast("string")
+    rows = rows.withColumn("cx", span("x")).withColumn("cy", span("y")).select(F.coalesce(name, F.lit("")).alias("name"), "cx", "cy", "group", "part", "rings")
+    held = materialize(rows.groupBy("name", "cx", "cy").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "crowded")
+    if held.isEmpty():
+        rows = rows.withColumn("block", F.lit(0))
+    else:
+        # One row for BLOCK polygons at least.
+        full = held.select(F.col("name").alias("fn"), F.col("cx").alias("fx"), F.col("cy").alias("fy"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        rows = rows.join(F.broadcast(full), (F.col("name") == F.col("fn")) & (F.col("cx") == F.col("fx")) & (F.col("cy") == F.col("fy")), "left")
+        rows = rows.withColumn("block", F.coalesce(F.pmod(F.xxhash64("part"), F.col("blocks")).cast("int"), F.lit(0)))
+    key = ["name", "cx", "cy", "block"]
+    rows = rows.select(*key, "group", "part", "rings").repartition(*key).sortWithinPartitions(*key)
+    fields = [StructField("group", kind), StructField("part", parts.schema["part"].dataType), StructField("k", IntegerType()), *(StructField(c, DoubleType()) for c in ENDS), StructField("cx", LongType()), StructField("cy", LongType())]
+    out = rows.mapInArrow(lambda batches: cells.open_sides(batches, fine, WIDE, 2 * BESIDE), StructType(fields))
+    return materialize(out.select(F.struct("group", "part", "k").alias("side"), "group", "part", *ENDS, "cx", "cy"), "open")
+
+
+def cut(own: DataFrame, cells: DataFrame) -> DataFrame:
+    """(group, part, x0, y0, x1, y1): sides in pieces, ended wherever another part's side of the group crosses or touches them. cells: the sides beside the cells in which they meet."""
     a = cells.select("group", "cx", "cy", *(F.col(c).alias(f"a_{c}") for c in ("side", "part", *ENDS)))
     b = cells.select("group", "cx", "cy", *(F.col(c).alias(f"b_{c}") for c in ("side", "part", *ENDS)))
     # Each pair of parts meets once, so that both sides get the very same point.
@@ -149,7 +185,14 @@ def _span(parts: DataFrame) -> float:
 def _overlay(parts: DataFrame, keep: str, size: float | None) -> DataFrame:
     parts = materialize(parts.select("group", "part", "rings").where("size(rings) > 0"), "parts")
     size = size or _span(parts)
-    pieces = materialize(cut(sides(parts), size).withColumn("pid", F.monotonically_increasing_id()), "pieces")
+    if keep == "union":
+        touched = open_sides(parts)
+        own = touched.select("side", "group", "part", *ENDS).dropDuplicates(["side"])
+        size = min(size, _span(parts))
+    else:
+        own = sides(parts)
+        touched = spatial._touched(own, size)
+    pieces = materialize(cut(own, touched).withColumn("pid", F.monotonically_increasing_id()), "pieces")
     length = geo.distance(*(F.col(c) for c in ENDS))
     # The inside is on the left; a union asks for what is on the right.
     beside = lambda way: (

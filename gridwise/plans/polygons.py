@@ -175,7 +175,7 @@ def polygon_union(spark: SparkSession, d: str) -> DataFrame:
     """Polygons that meet as one, with its area; what several cover counts once."""
     p = polygons(spark, d, "diamonds")
     groups = materialize(regions.dissolved(p, CELL_M), "groups")
-    parts = groups.join(p.select(F.col("id").alias("k"), "rings"), F.col("part") == F.col("k")).select(F.col("id").alias("group"), "part", "rings")
+    parts = groups.hint("merge").join(p.select(F.col("id").alias("k"), "rings"), F.col("part") == F.col("k")).select(F.col("id").alias("group"), "part", "rings")
     size = overlay.union(parts, CELL_M).groupBy("group").agg(F.sum(polygon.area(F.col("rings"))).alias("area"))
     n = groups.groupBy("id").agg(F.count("*").alias("n_parts"))
-    return n.join(size, F.col("id") == F.col("group")).select("id", "n_parts", F.round("area", 2).alias("area_m2"))
+    return n.hint("merge").join(size, F.col("id") == F.col("group")).select("id", "n_parts", F.round("area", 2).alias("area_m2"))

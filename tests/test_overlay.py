@@ -93,3 +93,20 @@ def test_open_sides_are_left_out(spark):
     edges = [(1, 0.0, 0.0, 1.0, 0.0), (1, 1.0, 0.0, 1.0, 1.0), (1, 1.0, 1.0, 0.0, 0.0), (1, 5.0, 5.0, 6.0, 6.0), (1, 6.0, 6.0, 7.0, 6.0)]
     got = overlay.rings(spark.createDataFrame(edges, "group long, x0 double, y0 double, x1 double, y1 double")).collect()
     assert len(got) == 1 and got[0].turned == 1.0 and len(got[0].points) == 4
+
+
+def test_sides_under_others_are_gone_before_they_meet(spark):
+    rnd = random.Random(3)
+    rows = [(1, i, [box(rnd.randrange(0, 90), rnd.randrange(0, 90), 10, 10)]) for i in range(1500)] + [(2, 1, [box(0, 0, 10, 10)]), (3, 1, [box(0, 0, 9, 9), box(2, 2, 5, 5)]), (3, 2, [box(3, 3, 1, 1)])]
+    df = spark.createDataFrame(rows, KIND)
+    touched = overlay.open_sides(df)
+    # Of the pile's 6,000 sides few are left, and all of the others.
+    left = {r["group"]: r.n for r in touched.groupBy("group").agg(F.count_distinct("side").alias("n")).collect()}
+    assert left[1] < 1500 and left[2] == 4 and left[3] == 12
+    grid = np.zeros((100, 100), bool)
+    for g, _, rings in rows:
+        if g == 1:
+            x, y = int(min(p["x"] for p in rings[0])), int(min(p["y"] for p in rings[0]))
+            grid[x : x + 10, y : y + 10] = True
+    got = {r["group"]: r.a for r in overlay.union(df).groupBy("group").agg(F.sum(polygon.area(F.col("rings"))).alias("a")).collect()}
+    assert {g: round(a, 6) for g, a in got.items()} == {1: float(grid.sum()), 2: 100.0, 3: 57.0}
