@@ -11,6 +11,7 @@ from gridwise.plans.base import Entry, registered
 from gridwise.plans.domain import PIXELS, ctes, polygons, tiles, view
 from gridwise.plans.polygons import _MEET, _NEAR_NODE, _U, _V, CELL_M, _shared
 from gridwise.plans.spatials import _D, _nearest, _nearest_line
+from gridwise.session import materialize
 
 ENTRIES: dict[str, Entry] = {}
 
@@ -22,6 +23,7 @@ def field_evaluation(spark: SparkSession, d: str) -> DataFrame:
     """Candidates against mapped sites and nodes: hits, sites found, area under the curve, precision at 20 and 50."""
     c, sites = polygons(spark, d, "diamonds").select("id", "rings", "confidence"), polygons(spark, d, "sites")
     t = regions.with_known(c, sites, view(spark, d, "nodes").select("id", "x", "y"), 0.0, CELL_M).withColumn("truth", (F.col("status") == "known").cast("int"))
+    t = materialize(t.select("id", "confidence", "truth"), "truth")
     m = ranking.compared(t, {"conf": F.col("confidence")}, "truth", [20, 50], F.col("id")).drop("variant")
     n = t.agg(F.count("*").alias("candidates"), F.sum(F.col("truth").cast("long")).alias("hits"))
     found = regions.marked(sites, c, CELL_M, "found").agg(F.count_if("found").alias("sites_found"))

@@ -63,3 +63,13 @@ def test_distances_between_polygons(spark, pairs, way):
     if way == "whole":
         # Before, all sides of a cell were joined.
         assert _joins(near) == 0
+
+
+def test_points_near_polygons_are_marks(spark, pairs, way):
+    rnd = random.Random(6)
+    p = spark.createDataFrame([(i, rnd.uniform(-70, 70), rnd.uniform(-70, 70)) for i in range(60)] + [(99, None, 1.0)], "id long, x double, y double")
+    for radius in (0.0, 3.0):
+        near = regions.near(pairs[0], p, radius, 25.0)
+        want = {r.polygon_id for r in regions.near_points(pairs[0], p, radius, 25.0).collect()}
+        assert {r.left_id for r in near.collect()} == want and 3 < len(want) < 42
+        assert way != "whole" or _joins(near) == 0
