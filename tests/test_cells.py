@@ -73,3 +73,17 @@ def test_points_near_polygons_are_marks(spark, pairs, way):
         want = {r.polygon_id for r in regions.near_points(pairs[0], p, radius, 25.0).collect()}
         assert {r.left_id for r in near.collect()} == want and 3 < len(want) < 42
         assert way != "whole" or _joins(near) == 0
+
+
+def test_few_links_join_what_meets(spark, pairs, way, monkeypatch):
+    monkeypatch.setattr(regions.cells, "FEW", 5)
+    one = pairs[0]
+    pile = spark.createDataFrame([(2000 + i, [_ring([(500 + i / 9, 500), (510 + i / 9, 500), (510 + i / 9, 510), (500 + i / 9, 510)])]) for i in range(80)], SCHEMA)
+    parts = one.unionByName(pile)
+    links = regions.links(parts, 25.0)
+    got = {(r.node, r.root) for r in components(links).collect()}
+    every = regions._fetched_crossing(parts, parts, 25.0).where("left_id < right_id")
+    assert got == {(r.node, r.root) for r in components(every, "left_id", "right_id").collect()} and len({r for _, r in got}) > 1
+    if way == "whole":
+        # The pile alone has over 3,000 pairs; before, all were links.
+        assert links.count() < 700 and every.count() > 3000
