@@ -40,8 +40,7 @@ def polygon_known_mark(spark: SparkSession, d: str) -> DataFrame:
 
 @registered(ENTRIES, f"""{ctes("diamonds", "nodes")} SELECT b.id AS polygon_id, count(*) AS n, min(a.id) AS first FROM nodes a, diamonds b WHERE abs(a.x - b.cx) + abs(a.y - b.cy) < b.r AND abs(a.x - b.cx) + abs(a.y - b.cy) > b.hole GROUP BY b.id""")
 def points_in_polygons(spark: SparkSession, d: str) -> DataFrame:
-    held = regions.points_in(view(spark, d, "nodes").select("id", "x", "y"), polygons(spark, d, "diamonds"), CELL_M)
-    return held.groupBy("polygon_id").agg(F.count("*").alias("n"), F.min("point_id").alias("first"))
+    return regions.counts_in(view(spark, d, "nodes").select("id", "x", "y"), polygons(spark, d, "diamonds"), CELL_M)
 
 
 @registered(ENTRIES, f"""{ctes("diamonds", "sites")}, h AS (SELECT DISTINCT b.id FROM diamonds a, sites b WHERE {_MEET}), t AS (SELECT s.id, 2 * r * r AS area, h.id IS NOT NULL AS hit FROM sites s LEFT JOIN h USING (id))

@@ -87,3 +87,14 @@ def test_few_links_join_what_meets(spark, pairs, way, monkeypatch):
     if way == "whole":
         # The pile alone has over 3,000 pairs; before, all were links.
         assert links.count() < 700 and every.count() > 3000
+
+
+def test_points_are_counted_in_cells(spark, pairs, way):
+    rnd = random.Random(7)
+    p = spark.createDataFrame([(i, rnd.uniform(-70, 70), rnd.uniform(-70, 70)) for i in range(200)] + [(999, None, 1.0)], "id long, x double, y double")
+    held = p.where("x IS NOT NULL").withColumnRenamed("id", "p").crossJoin(pairs[0].where("size(rings) > 0")).where(polygon.contains(F.col("rings"), F.col("x"), F.col("y")))
+    n = regions.counts_in(p, pairs[0], 25.0)
+    want = {(r.id, r.n, r.f) for r in held.groupBy("id").agg(F.count("*").alias("n"), F.min("p").alias("f")).collect()}
+    assert {tuple(r) for r in n.collect()} == want and len(want) > 10
+    assert {tuple(r) for r in regions.points_in(p, pairs[0], 25.0).collect()} == {(r.p, r.id) for r in held.collect()}
+    assert way != "whole" or _joins(n) == 0
