@@ -98,3 +98,15 @@ def test_points_are_counted_in_cells(spark, pairs, way):
     assert {tuple(r) for r in n.collect()} == want and len(want) > 10
     assert {tuple(r) for r in regions.points_in(p, pairs[0], 25.0).collect()} == {(r.p, r.id) for r in held.collect()}
     assert way != "whole" or _joins(n) == 0
+
+
+def test_marks_list_no_pairs(spark, pairs, way):
+    a, b, both = pairs
+    hit = both.where(polygon.intersect(F.col("left_rings"), F.col("right_rings"))).select("left_id").distinct()
+    found = regions.crossed(a, b, 25.0)
+    assert {r.left_id for r in found.collect()} == {r.left_id for r in hit.collect()}
+    marked = regions.marked(a, b, 25.0, "hit")
+    assert marked.count() == a.count() and marked.where("hit").count() == hit.count()
+    if way == "whole":
+        # Before, rings were joined to each pair of boxes.
+        assert _joins(found) == 0
