@@ -110,3 +110,14 @@ def test_marks_list_no_pairs(spark, pairs, way):
     if way == "whole":
         # Before, rings were joined to each pair of boxes.
         assert _joins(found) == 0
+
+
+def test_shared_areas_of_pairs(spark, pairs, way):
+    a, b, both = pairs
+    shared = regions.overlaps(a, b, 25.0)
+    got = {(r.left_id, r.right_id): r.overlap for r in shared.collect()}
+    area = both.select("left_id", "right_id", polygon.shared_area(F.col("left_rings"), F.col("right_rings")).alias("s")).where("s > 0")
+    want = {(r.left_id, r.right_id): r.s for r in area.collect()}
+    assert {k for k in got.keys() ^ want.keys() if max(got.get(k, 0), want.get(k, 0)) > 1e-9} == set()
+    assert all(abs(got[k] - want[k]) < 1e-6 for k in got.keys() & want.keys()) and len(want) > 50
+    assert way != "whole" or _joins(shared) == 0
