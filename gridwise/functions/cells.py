@@ -379,3 +379,151 @@ def linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = p.part(lo, lo + m)
             for a, b in _links(own, box[:, lo : lo + m]):
                 yield _batch([ids.take(pa.array(lo + a)), ids.take(pa.array(lo + b))], ["a", "b"])
+
+
+def _codes(*columns: np.ndarray) -> np.ndarray:
+    """A number for each row, equal for equal rows."""
+    order = np.lexsort(columns)
+    new = np.logical_or.reduce([np.append(True, c[order][1:] != c[order][:-1]) for c in columns])[: len(order)]
+    out = np.empty(len(order), int)
+    out[order] = np.cumsum(new) - 1
+    return out
+
+
+def _cut(p: Sides, i: np.ndarray, q: Sides, j: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, whether of j, (x0, y0, x1, y1)): sides of each two of the polygons i and j in pieces, ended wherever the other's sides cross or touch them; as overlay.cut."""
+    (ra, s), (rb, t) = p.of(i), q.of(j)
+    ends = np.concatenate([p.ends[:, s], q.ends[:, t]], axis=1)
+    # Number of a polygon's first side among all of these.
+    fa, fb = np.cumsum(p.n[i]) - p.n[i], np.cumsum(q.n[j]) - q.n[j] + len(s)
+    keys, xs, ys = [np.arange(ends.shape[1])] * 2, [ends[0], ends[2]], [ends[1], ends[3]]
+    for lo, hi in _chunks(p.n[i] * q.n[j]):
+        n, m = p.n[i[lo:hi]] * q.n[j[lo:hi]], q.n[j[lo:hi]]
+        at, k = np.repeat(np.arange(lo, hi), n), _runs(np.zeros(len(n), int), n)
+        u, v = fa[at] + k // m[at - lo], fb[at] + k % m[at - lo]
+        a, b = ends[:, u], ends[:, v]
+        near = np.logical_and.reduce([(np.minimum(a[c], a[c + 2]) <= np.maximum(b[c], b[c + 2])) & (np.minimum(b[c], b[c + 2]) <= np.maximum(a[c], a[c + 2])) for c in (0, 1)])
+        u, v, a, b = u[near], v[near], a[:, near], b[:, near]
+        tip = np.zeros(len(u), bool)
+        for own, x, y in ((u, b[0], b[1]), (u, b[2], b[3]), (v, a[0], a[1]), (v, a[2], a[3])):
+            on = _to_side(x, y, a if own is u else b) <= 10.0**-places / 2
+            keys, xs, ys, tip = [*keys, own[on]], [*xs, x[on]], [*ys, y[on]], tip | on
+        rx, ry, sx, sy, dx, dy = a[2] - a[0], a[3] - a[1], b[2] - b[0], b[3] - b[1], b[0] - a[0], b[1] - a[1]
+        turn = rx * sy - ry * sx
+        safe = np.where(turn == 0, 1.0, turn)
+        f, g = (dx * sy - dy * sx) / safe, (dx * ry - dy * rx) / safe
+        cross = ~tip & (turn != 0) & (f > 0) & (f < 1) & (g > 0) & (g < 1)
+        x, y = np.round((a[0] + f * rx)[cross], places), np.round((a[1] + f * ry)[cross], places)
+        keys, xs, ys = [*keys, u[cross], v[cross]], [*xs, x, x], [*ys, y, y]
+    key, x, y = np.concatenate(keys), np.concatenate(xs), np.concatenate(ys)
+    along = (x - ends[0, key]) * (ends[2] - ends[0])[key] + (y - ends[1, key]) * (ends[3] - ends[1])[key]
+    order = np.lexsort((y, x, along, key))
+    key, x, y = key[order], x[order], y[order]
+    piece = (key[1:] == key[:-1]) & ((x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+    own = key[:-1][piece]
+    return np.concatenate([ra, rb])[own], own >= len(s), np.stack([x[:-1], y[:-1], x[1:], y[1:]])[:, piece]
+
+
+def _rings_of(pair: np.ndarray, e: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pair of each ring, twice its signed area, its number of corners, all corners (x, y)) of directed pieces with the inside on their left; as overlay.rings."""
+    # In the order of pairs, so rings are too.
+    one = np.unique(_codes(*e, pair), return_index=True)[1]
+    pair, e = pair[one], e[:, one]
+    n = len(pair)
+    point = _codes(np.tile(pair, 2), np.append(e[0], e[2]), np.append(e[1], e[3]))
+    start, end = point[:n], point[n:]
+    order = np.argsort(start, kind="stable")
+    first, last = (np.searchsorted(start[order], end, side) for side in ("left", "right"))
+    own, then = np.repeat(np.arange(n), last - first), order[_runs(first, last - first)]
+    sweep = np.mod(np.arctan2(e[1] - e[3], e[0] - e[2])[own] - np.arctan2(e[3] - e[1], e[2] - e[0])[then], 2 * np.pi)
+    sweep = np.where((sweep < 1e-9) | (sweep > 2 * np.pi - 1e-9), 2 * np.pi, sweep)
+    best = np.lexsort((sweep, own))
+    best = best[np.append(True, own[best][1:] != own[best][:-1])[: len(best)]]
+    # The last place stands for an open end; each step knows the least among the next 2**k and how far that is.
+    way = np.full(n + 1, n)
+    way[own[best]] = then[best]
+    least, off, step = np.arange(n + 1), np.zeros(n + 1, int), 1
+    least[n] = n + 1
+    while step < 2 * n:
+        nearer = least[way] < least
+        least, off, way, step = np.where(nearer, least[way], least), np.where(nearer, off[way] + step, off), way[way], step * 2
+        if step > 64 and (least[way] >= least).all():
+            break
+    closed = np.flatnonzero(way[:n] != n)
+    count = np.bincount(least[closed], minlength=n)
+    order = closed[np.lexsort(((count[least[closed]] - off[closed]) % np.maximum(count[least[closed]], 1), least[closed]))]
+    ring = least[order]
+    for final in (False, True):
+        head = np.flatnonzero(np.append(True, ring[1:] != ring[:-1]))[: len(ring)]
+        m = np.diff(np.append(head, len(ring)))
+        after, before = np.arange(1, len(ring) + 1), np.arange(-1, len(ring) - 1)
+        after[head + m - 1], before[head] = head, head + m - 1
+        x, y = e[0, order], e[1, order]
+        if final:
+            turned = np.add.reduceat(x * y[after] - x[after] * y, head) if len(head) else np.zeros(0)
+            return pair[order[head]], turned, m, np.stack([x, y])
+        bend = np.abs((x - x[before]) * (y[after] - y) - (y - y[before]) * (x[after] - x)) > 10.0**-places * (np.abs(x[after] - x[before]) + np.abs(y[after] - y[before]))
+        left = np.add.reduceat(bend, head, dtype=int) if len(head) else np.zeros(0, int)
+        kept = bend & np.repeat(left >= 3, m)
+        order, ring = order[kept], ring[kept]
+
+
+def _inside_of(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """A point inside a ring: as polygon.interior_point."""
+    at = y.min() + (y.max() - y.min()) * 0.5000123
+    u, v = np.append(x[1:], x[0]), np.append(y[1:], y[0])
+    over = (y > at) != (v > at)
+    xs = np.sort(x[over] + (u[over] - x[over]) * (at - y[over]) / (v[over] - y[over]))
+    k = int(np.argmax(xs[1::2] - xs[::2]))
+    return (xs[2 * k] + xs[2 * k + 1]) / 2, at
+
+
+def _polygons(n: int, pair: np.ndarray, turned: np.ndarray, m: np.ndarray, xy: np.ndarray) -> pa.Array:
+    """For each of n pairs its polygons, of rings in the pairs' order: each hole with the smallest outer ring around it."""
+    first = np.cumsum(m) - m
+    outer = np.flatnonzero(turned > 0)
+    lo, hi = np.searchsorted(pair[outer], pair), np.searchsorted(pair[outer], pair, "right")
+    home = np.where(turned > 0, np.arange(len(pair)), -1)
+    single = (turned < 0) & (hi - lo == 1)
+    home[single] = outer[lo[single]]
+    corners = lambda r: xy[:, first[r] : first[r] + m[r]]
+    for h in np.flatnonzero((turned < 0) & (hi - lo > 1)):
+        px, py = _inside_of(*corners(h))
+        for o in outer[lo[h] : hi[h]][np.argsort(turned[outer[lo[h] : hi[h]]], kind="stable")]:
+            x, y = corners(o)
+            u, v = np.append(x[1:], x[0]), np.append(y[1:], y[0])
+            over = (y > py) != (v > py)
+            if (px < x[over] + (u[over] - x[over]) * (py - y[over]) / (v[over] - y[over])).sum() % 2:
+                home[h] = o
+                break
+    order = np.flatnonzero(home >= 0)
+    order = order[np.lexsort((order, turned[order] < 0, home[order]))]
+    # A ring ends where it begins.
+    at = _runs(first[order], m[order] + 1)
+    at[np.cumsum(m[order] + 1) - 1] = first[order]
+    points = pa.StructArray.from_arrays([pa.array(xy[0, at]), pa.array(xy[1, at])], ["x", "y"])
+    ends = lambda sizes: pa.array(np.append(0, np.cumsum(sizes)).astype("int32"))
+    rings = pa.ListArray.from_arrays(ends(m[order] + 1), points)
+    made = pa.ListArray.from_arrays(ends(np.bincount(home[order], minlength=len(pair))[outer] if len(pair) else []), rings)
+    return pa.ListArray.from_arrays(ends(np.bincount(pair[outer], minlength=n)), made)
+
+
+def overlaid_pairs(batches: Iterable[pa.RecordBatch], size: float, places: int, beside: float) -> Iterator[pa.RecordBatch]:
+    """(left_id, right_id, shared, rest) of polygons whose boxes meet and that share area: what they share and what is left of the left one, as arrays of polygons. Rings have the inside on their left."""
+    for m in _met(batches, size, 0.0):
+        p, q = m.sides()
+        for first, second in m.pairs():
+            for lo in range(0, len(first), ROWS):
+                i, j = first[lo : lo + ROWS], second[lo : lo + ROWS]
+                pair, other, e = _cut(p, i, q, j, places)
+                long = np.hypot(e[2] - e[0], e[3] - e[1])
+                at = lambda k, way: ((e[0, k] + e[2, k]) / 2 - way * beside * (e[3, k] - e[1, k]) / long[k], (e[1, k] + e[3, k]) / 2 + way * beside * (e[2, k] - e[0, k]) / long[k])  # noqa: B023, E731
+                a, b = np.flatnonzero(~other), np.flatnonzero(other)
+                in_a, in_b, out_b = holds(q, j[pair[a]], *at(a, 1)), holds(p, i[pair[b]], *at(b, 1)), holds(p, i[pair[b]], *at(b, -1))
+                k = np.append(a[in_a], b[in_b])
+                shared = _rings_of(pair[k], e[:, k], places)
+                k, back = a[~in_a], b[out_b]
+                rest = _rings_of(np.append(pair[k], pair[back]), np.concatenate([e[:, k], e[[2, 3, 0, 1]][:, back]], axis=1), places)
+                made = [_polygons(len(i), *r) for r in (shared, rest)]
+                hit = np.flatnonzero(pc.list_value_length(made[0]).to_numpy() > 0)
+                yield _batch([*m.ids(i[hit], j[hit]), *(c.take(pa.array(hit)) for c in made)], ["left_id", "right_id", "shared", "rest"])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, MapType, StructField, StructType
 
 from gridwise.functions import cells, geo, polygon
-from gridwise.operators import spatial
+from gridwise.operators import regions, spatial
 from gridwise.session import materialize
 
 #: Decimal places of coordinates: corners and crossings nearer than that are one. How far beside a side its neighbourhood is looked up.
@@ -39,6 +39,12 @@ def sides(parts: DataFrame) -> DataFrame:
     return materialize(rows.select(F.monotonically_increasing_id().alias("side"), "group", "part", *(F.col(f"e.{p}").alias(f"{p[-1]}{'ab'.index(p[0])}") for p in ("a.x", "a.y", "b.x", "b.y"))), "sides")
 
 
+def _oriented(rings: Column) -> Column:
+    """Rings with rounded corners and the inside on their left, those of fewer than four points left out."""
+    rounded = lambda r: F.transform(r, lambda p: F.struct(F.round(p["x"], PLACES).alias("x"), F.round(p["y"], PLACES).alias("y")))
+    return F.filter(F.transform(F.transform(rings, rounded), lambda r, k: F.when((_turned(r) > 0) == (k == 0), r).otherwise(F.reverse(r))), lambda r: F.size(r) >= 4)
+
+
 def open_sides(parts: DataFrame) -> DataFrame:
     """(side, group, part, x0, y0, x1, y1, cx, cy) of polygons (group, part, rings): as sides, beside each small cell that they touch, without cells that a part of the group covers wholly.
 
@@ -46,10 +52,8 @@ def open_sides(parts: DataFrame) -> DataFrame:
     around that point. So sides of a union are cut right by what meets in these cells alone, and where many parts lie on
     each other, nearly all sides are gone. Polygons go to larger cells with their rings, crowded ones in blocks.
     """
-    rounded = lambda r: F.transform(r, lambda p: F.struct(F.round(p["x"], PLACES).alias("x"), F.round(p["y"], PLACES).alias("y")))
-    whole = F.filter(F.transform(F.transform("rings", rounded), lambda r, k: F.when((_turned(r) > 0) == (k == 0), r).otherwise(F.reverse(r))), lambda r: F.size(r) >= 4)
     b = polygon.box(F.col("rings"))
-    rows = parts.select("group", "part", whole.alias("rings")).select("*", *(c.alias(n) for n, c in b.items())).where("xmin IS NOT NULL AND ymin IS NOT NULL")
+    rows = parts.select("group", "part", _oriented(F.col("rings")).alias("rings")).select("*", *(c.alias(n) for n, c in b.items())).where("xmin IS NOT NULL AND ymin IS NOT NULL")
     rows = materialize(rows, "turned")
     long = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
     # By squares, so that all polygons together cover a bounded number of small cells each, on average.
@@ -242,3 +246,22 @@ def paired(pairs: DataFrame) -> DataFrame:
     """(group, part, rings) of pairs (left_id, right_id, left_rings, right_rings): the left one is part 0."""
     two = F.explode(F.array(F.struct(F.lit(0).alias("part"), F.col("left_rings").alias("rings")), F.struct(F.lit(1).alias("part"), F.col("right_rings").alias("rings"))))
     return pairs.select(F.struct("left_id", "right_id").alias("group"), two.alias("t")).select("group", "t.part", "t.rings")
+
+
+def overlaid(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
+    """(left_id, right_id, shared, rest) of polygons (id, rings) that share area: what two of them share, and what is left of the left one, as arrays of polygons.
+
+    As intersection and difference of each pair, but worked out where the two meet, in Arrow batches: pairs with their rings
+    aren't shuffled. Pairs with a polygon too large to go to cells are put together by joins as there.
+    """
+    kind = ArrayType(left.schema["rings"].dataType)
+    turned = lambda df: df.select("id", _oriented(F.col("rings")).alias("rings"))
+
+    def large(p: DataFrame, q: DataFrame) -> DataFrame:
+        two = materialize(paired(regions.fetched(p, q, size)), "pairs")
+        made = [f(two, size).groupBy(F.col("group").alias(g)).agg(F.collect_list("rings").alias(name)) for f, g, name in ((intersection, "g", "shared"), (difference, "h", "rest"))]
+        both = made[0].hint("merge").join(made[1], F.col("g") == F.col("h"), "left")
+        return both.select("g.left_id", "g.right_id", "shared", F.coalesce("rest", F.array().cast(kind)).alias("rest"))
+
+    more = [StructField(c, kind) for c in ("shared", "rest")]
+    return regions._joined(turned(left), turned(right), size, 0.0, lambda rows: cells.overlaid_pairs(rows, size, PLACES, BESIDE), more, large)

@@ -156,11 +156,9 @@ def polygon_intersection_area(spark: SparkSession, d: str) -> DataFrame:
 @registered(ENTRIES, f"""{_YARDS} SELECT left_id, right_id, round(shared, 2) AS shared_m2, round(own - shared, 2) AS left_m2 FROM p WHERE shared > 1e-3""")
 def polygon_overlay(spark: SparkSession, d: str) -> DataFrame:
     """Candidates and yards that share area: their intersection, and what is left of the candidate, as polygons."""
-    met = regions.meeting(polygons(spark, d, "diamonds"), polygons(spark, d, "yards"), CELL_M)
-    two = materialize(overlay.paired(met), "pairs")
-    size = lambda df, name: df.groupBy("group").agg(F.sum(polygon.area(F.col("rings"))).alias(name))
-    both = size(overlay.intersection(two, CELL_M), "shared").join(size(overlay.difference(two, CELL_M), "rest"), "group", "left")
-    return both.select("group.left_id", "group.right_id", F.round("shared", 2).alias("shared_m2"), F.round(F.coalesce("rest", F.lit(0.0)), 2).alias("left_m2"))
+    made = overlay.overlaid(polygons(spark, d, "diamonds"), polygons(spark, d, "yards"), CELL_M)
+    size = lambda name: F.aggregate(name, F.lit(0.0), lambda n, p: n + polygon.area(p))
+    return made.select("left_id", "right_id", F.round(size("shared"), 2).alias("shared_m2"), F.round(size("rest"), 2).alias("left_m2"))
 
 
 @registered(ENTRIES, f"""WITH RECURSIVE {ctes("diamonds").removeprefix("WITH ")}, e AS (SELECT a.id AS a, b.id AS b FROM diamonds a, diamonds b WHERE a.id <> b.id AND {_MEET} AND greatest({_U}, {_V}) + a.r >= b.hole),

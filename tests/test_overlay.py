@@ -110,3 +110,31 @@ def test_sides_under_others_are_gone_before_they_meet(spark):
             grid[x : x + 10, y : y + 10] = True
     got = {r["group"]: r.a for r in overlay.union(df).groupBy("group").agg(F.sum(polygon.area(F.col("rings"))).alias("a")).collect()}
     assert {g: round(a, 6) for g, a in got.items()} == {1: float(grid.sum()), 2: 100.0, 3: 57.0}
+
+
+@pytest.mark.parametrize("light", (20_000, 15))
+def test_pairs_are_overlaid_where_they_meet(spark, stars, monkeypatch, light):
+    monkeypatch.setattr(overlay.regions, "LIGHT", light)
+    as_ring = lambda rings: [[{"x": float(x), "y": float(y)} for x, y in r] for r in rings]
+    kind = f"id long, rings {polygon.POLYGON}"
+    a = [(g * 20 + k, as_ring(rings)) for g, k, rings in stars if k % 3 == 0]
+    b = [(g * 20 + k, as_ring(rings)) for g, k, rings in stars if k % 3 == 1]
+    # A frame cut in two with a hole in one half, an island in a hole, copies, and a shared side only.
+    a += [(900, [box(200, 0, 10, 10), box(201, 4, 1, 1)]), (901, [box(300, 0, 6, 6), box(301, 1, 4, 4)]), (902, [box(400, 0, 5, 5)]), (903, [box(500, 0, 2, 2)]), (904, [])]
+    b += [(900, [box(204, -1, 2, 20)]), (901, [box(300.5, 0.5, 5, 5)]), (902, [box(400, 0, 5, 5)]), (903, [box(502, 0, 2, 2)])]
+    left, right = spark.createDataFrame(a, kind), spark.createDataFrame(b, kind)
+    made = overlay.overlaid(left, right, 20.0)
+    total = lambda name: F.aggregate(name, F.lit(0.0), lambda n, p: n + polygon.area(p))
+    got = {(r.left_id, r.right_id): (r.s, r.r, r.n, r.m) for r in made.select("left_id", "right_id", total("shared").alias("s"), total("rest").alias("r"), F.size("shared").alias("n"), F.size("rest").alias("m")).collect()}
+    two = overlay.paired(overlay.regions.fetched(left, right, 20.0))
+    each = [{tuple(r["group"]): (r.a, r.n) for r in f(two, 20.0).groupBy("group").agg(F.sum(polygon.area(F.col("rings"))).alias("a"), F.count("*").alias("n")).collect()} for f in (overlay.intersection, overlay.difference)]
+    assert got.keys() == each[0].keys() and len(got) > 20
+    for k, (s, r, n, m) in got.items():
+        want = (*each[0][k], *each[1].get(k, (0.0, 0)))
+        assert abs(s - want[0]) < 1e-3 and abs(r - want[2]) < 1e-3 and (n, m) == (want[1], want[3]), k
+    assert got[900, 900][2:] == (1, 2) and got[902, 902][3] == 0 and (903, 903) not in got
+    rest = made.where("left_id = 900").select(F.transform("rest", lambda p: F.size(p)).alias("n")).first().n
+    assert sorted(rest) == [1, 2]
+    if light > 15:
+        # Before, pairs with their rings were written, cut and joined.
+        assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
