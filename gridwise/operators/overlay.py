@@ -152,14 +152,16 @@ def rings(edges: DataFrame) -> DataFrame:
     # The head of a ring, off 0, comes last.
     corners = F.concat(F.slice(F.col("s"), F.size("s"), 1), F.slice(F.col("s"), 1, F.size("s") - 1))
     whole = whole.withColumn("s", corners).withColumn("m", F.size("s"))
-    near = lambda i, d: F.get("s", F.pmod(i + d, F.col("m")))
+    # Each corner between its neighbours; got by place, they would be looked up in a ring made anew for each corner.
+    before, after = F.concat(F.slice("s", F.col("m"), 1), F.slice("s", 1, F.col("m") - 1)), F.concat(F.slice("s", 2, F.col("m") - 1), F.slice("s", 1, 1))
+    three = F.arrays_zip(before.alias("p"), F.col("s").alias("q"), after.alias("r"))
 
-    def bends(i: Column) -> Column:
-        p, q, r = near(i, -1), near(i, 0), near(i, 1)
+    def bends(t: Column) -> Column:
+        p, q, r = t["p"], t["q"], t["r"]
         area = (q["x"] - p["x"]) * (r["y"] - q["y"]) - (q["y"] - p["y"]) * (r["x"] - q["x"])
         return F.abs(area) > 10.0**-PLACES * (F.abs(r["x"] - p["x"]) + F.abs(r["y"] - p["y"]))
 
-    kept = F.transform(F.filter(F.sequence(F.lit(0), F.col("m") - 1), bends), lambda i: F.struct(near(i, 0)["x"].alias("x"), near(i, 0)["y"].alias("y")))
+    kept = F.transform(F.filter(three, bends), lambda t: F.struct(t["q"]["x"].alias("x"), t["q"]["y"].alias("y")))
     whole = whole.withColumn("c", kept).where("size(c) >= 3").withColumn("points", F.concat("c", F.slice("c", 1, 1)))
     return whole.select("group", "ring", "points", _turned(F.col("points")).alias("turned"))
 

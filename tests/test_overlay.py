@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -138,3 +139,14 @@ def test_pairs_are_overlaid_where_they_meet(spark, stars, monkeypatch, light):
     if light > 15:
         # Before, pairs with their rings were written, cut and joined.
         assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_long_ring_takes_work_by_its_corners(spark):
+    n = 6000
+    at = lambda k: [1000 + 900 * f(2 * math.pi * (k % n) / n) * (1 + k % 2 * 0.01) for f in (math.cos, math.sin)]
+    edges = spark.createDataFrame([(1, *at(k), *at(k + 1)) for k in range(n)], "group long, x0 double, y0 double, x1 double, y1 double")
+    made = overlay.rings(edges)
+    start = time.monotonic()
+    ring = made.first()
+    # Before, each corner's neighbours were looked up in a ring made anew.
+    assert len(ring.points) == n + 1 and time.monotonic() - start < 60
